@@ -1 +1,175 @@
 """More oracle SQL."""
+
+from .oracle import CTE, DEPS, SQL, with_ctes
+
+# ------------------------------------------------------------------ promotion
+CTE["cands"] = """
+cands AS (
+  SELECT o_custkey AS line, o_orderkey AS cand_id, o_orderdate AS ts,
+         0.88::DOUBLE + (CAST(round(o_totalprice * 100) AS BIGINT) % 120) / 1000 AS R2,
+         (CAST(round(o_totalprice * 100) AS BIGINT) % 53) / 1000 AS MAE,
+         CASE WHEN o_orderkey % 9 = 0 THEN 'B' ELSE 'A' END AS feature_order,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq
+  FROM orders
+)"""
+
+
+def _decision(r2="R2", mae="MAE", fo="feature_order", pr2="s_R2", pmae="s_MAE", pfo="s_fo", has="s_has",
+              floor=0.90, ceil=0.05, minor=0.03, major=0.08, tol=0.05):
+    d = f"({r2} - {pr2})"
+    rel = f"(({mae} - {pmae}) / greatest({pmae}, 1e-12))"
+    return f"""CASE WHEN {r2} < {floor} THEN 'refused:r2_below_floor'
+      WHEN {mae} > {ceil} THEN 'refused:mae_above_ceiling'
+      WHEN NOT {has} THEN 'bootstrap'
+      WHEN {fo} <> {pfo} THEN CASE WHEN {d} >= {minor} AND {rel} <= {tol} THEN 'schema_break_accepted' ELSE 'refused:schema_break' END
+      WHEN {d} >= {major} AND {rel} <= 0 THEN 'major_gain'
+      WHEN {d} >= {minor} AND {rel} <= 0 THEN 'minor_gain'
+      WHEN {d} >= {minor} AND {rel} > 0 AND {rel} <= {tol} THEN 'minor_gain_mae_soft'
+      WHEN {d} >= {minor} AND {rel} > {tol} THEN 'refused:mae_regression'
+      WHEN {d} >= 0 AND {rel} <= 0 THEN 'stable_or_better'
+      WHEN {d} >= 0 AND {rel} > 0 THEN 'r2_ok_mae_worse'
+      WHEN {d} < 0 AND {rel} < 0 THEN 'tradeoff_mae'
+      ELSE 'refused:dual_regression' END"""
+
+
+# recursive fold: state s_* is the last accepted candidate of the line
+CTE["fold"] = f"""
+fold AS (
+  WITH RECURSIVE f(line, seq, cand_id, ts, decision, d_r2, rel, s_has, s_major, s_minor, s_patch, s_R2, s_MAE, s_fo, s_epoch, s_created,
+                  version, parent_version, bundle_epoch, created_at) AS (
+    SELECT DISTINCT line, 0::BIGINT, NULL::BIGINT, NULL::TIMESTAMP, NULL::VARCHAR, NULL::DOUBLE, NULL::DOUBLE, false,
+           0, 0, 0, 0.0::DOUBLE, 0.0::DOUBLE, NULL::VARCHAR, 0, NULL::TIMESTAMP, NULL::VARCHAR, NULL::VARCHAR, NULL::INTEGER, NULL::TIMESTAMP
+    FROM cands
+    UNION ALL
+    SELECT x.line, x.seq, x.cand_id, x.ts, x.dec,
+           CASE WHEN x.s_has AND x.dec NOT LIKE 'refused:r2%' AND x.dec NOT LIKE 'refused:mae_above%' THEN x.R2 - x.s_R2 END,
+           CASE WHEN x.s_has AND x.dec NOT LIKE 'refused:r2%' AND x.dec NOT LIKE 'refused:mae_above%' THEN (x.MAE - x.s_MAE) / greatest(x.s_MAE, 1e-12) END,
+           x.s_has OR x.acc,
+           CASE WHEN x.acc THEN x.n_major ELSE x.s_major END,
+           CASE WHEN x.acc THEN x.n_minor ELSE x.s_minor END,
+           CASE WHEN x.acc THEN x.n_patch ELSE x.s_patch END,
+           CASE WHEN x.acc THEN x.R2 ELSE x.s_R2 END,
+           CASE WHEN x.acc THEN x.MAE ELSE x.s_MAE END,
+           CASE WHEN x.acc THEN x.feature_order ELSE x.s_fo END,
+           CASE WHEN x.acc THEN x.n_epoch ELSE x.s_epoch END,
+           CASE WHEN x.acc THEN x.n_created ELSE x.s_created END,
+           CASE WHEN x.acc THEN x.n_major || '.' || x.n_minor || '.' || x.n_patch END,
+           CASE WHEN x.acc AND x.s_has THEN x.s_major || '.' || x.s_minor || '.' || x.s_patch END,
+           CASE WHEN x.acc THEN x.n_epoch END,
+           CASE WHEN x.acc THEN x.n_created END
+    FROM (
+      SELECT y.*, y.dec NOT LIKE 'refused%' AS acc,
+             CASE WHEN y.dec = 'bootstrap' THEN 1 WHEN y.dec = 'major_gain' THEN y.s_major + 1 ELSE y.s_major END AS n_major,
+             CASE WHEN y.dec IN ('bootstrap', 'major_gain') THEN 0 WHEN y.dec IN ('minor_gain', 'schema_break_accepted') THEN y.s_minor + 1 ELSE y.s_minor END AS n_minor,
+             CASE WHEN y.dec IN ('bootstrap', 'major_gain', 'minor_gain', 'schema_break_accepted') THEN 0 ELSE y.s_patch + 1 END AS n_patch,
+             CASE WHEN y.dec = 'bootstrap' THEN 7 WHEN y.dec = 'major_gain' THEN y.s_epoch + 1 ELSE y.s_epoch END AS n_epoch,
+             CASE WHEN y.dec = 'bootstrap' THEN y.ts ELSE greatest(y.ts, y.s_created + INTERVAL 1 MICROSECOND) END AS n_created
+      FROM (
+        SELECT c.line, c.seq, c.cand_id, c.ts, c.R2, c.MAE, c.feature_order,
+               f.s_has, f.s_major, f.s_minor, f.s_patch, f.s_R2, f.s_MAE, f.s_fo, f.s_epoch, f.s_created,
+               {_decision()} AS dec
+        FROM f JOIN cands c ON c.line = f.line AND c.seq = f.seq + 1
+      ) y
+    ) x
+  )
+  SELECT line, cand_id, ts, decision,
+         CASE WHEN decision NOT LIKE 'refused%' THEN decision END AS promotion_class,
+         CASE WHEN decision LIKE 'refused%' THEN substr(decision, 9) END AS refusal,
+         version, parent_version, bundle_epoch, created_at, d_r2 AS delta_R2, rel AS mae_rel
+  FROM f WHERE seq > 0
+)"""
+DEPS["fold"] = ["cands"]
+
+SQL["promotion_fold"] = with_ctes(["fold"], """
+SELECT line, cand_id, decision, promotion_class, refusal, version, parent_version, bundle_epoch, created_at,
+       round(delta_R2, 6) AS delta_R2, round(mae_rel, 6) AS mae_rel FROM fold""")
+
+SQL["promotion_step"] = with_ctes(["cands"], f"""
+, l AS (SELECT *, lag(R2) OVER w AS p_R2, lag(MAE) OVER w AS p_MAE, lag(feature_order) OVER w AS p_fo
+        FROM cands WINDOW w AS (PARTITION BY line ORDER BY ts, cand_id))
+SELECT line, cand_id, {_decision(pr2='p_R2', pmae='p_MAE', pfo='p_fo', has='(p_R2 IS NOT NULL)')} AS decision,
+       round(R2 - p_R2, 6) AS delta_R2, round((MAE - p_MAE) / greatest(p_MAE, 1e-12), 6) AS mae_rel
+FROM l""")
+
+SQL["parent_lookup"] = with_ctes(["fold"], """
+SELECT line, cand_id,
+  last_value(version IGNORE NULLS) OVER w AS parent_version,
+  last_value(CASE WHEN version IS NOT NULL THEN R2 END IGNORE NULLS) OVER w AS parent_R2,
+  last_value(CASE WHEN version IS NOT NULL THEN MAE END IGNORE NULLS) OVER w AS parent_MAE
+FROM fold JOIN cands USING (line, cand_id)
+WINDOW w AS (PARTITION BY line ORDER BY fold.ts, cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+
+SQL["active_pointer"] = with_ctes(["fold"], """
+, acc AS (SELECT *, promotion_class IN ('bootstrap','major_gain','minor_gain','schema_break_accepted','stable_or_better') AS is_anchor
+          FROM fold WHERE promotion_class IS NOT NULL),
+la AS (SELECT line, max(created_at) FILTER (WHERE is_anchor) AS a_t FROM acc GROUP BY line),
+per AS (
+  SELECT a.line,
+         arg_max(version, (created_at, cand_id)) FILTER (WHERE is_anchor) AS anchor,
+         arg_max(version, (created_at, cand_id)) FILTER (WHERE NOT is_anchor AND created_at > la.a_t) AS probe
+  FROM acc a JOIN la USING (line) GROUP BY a.line)
+SELECT line, anchor, probe, coalesce(probe, anchor) AS active FROM per""")
+
+CTE["manifest"] = """
+manifest AS (
+  SELECT f.line, f.cand_id, f.version AS model_version, f.parent_version, f.created_at, f.promotion_class, f.bundle_epoch,
+         c.R2, c.MAE, c.feature_order,
+         sha256('model:' || f.line || ':' || CAST(round(c.R2 * 1000) AS BIGINT)) AS d_model,
+         sha256('metrics:' || f.line || ':' || CAST(round(c.MAE * 1000) AS BIGINT)) AS d_metrics,
+         sha256('encoders:' || f.line) AS d_enc,
+         sha256('features:' || c.feature_order) AS d_feat,
+         octet_length(('model:' || f.line || ':' || CAST(round(c.R2 * 1000) AS BIGINT))::BLOB) AS s_model,
+         octet_length(('metrics:' || f.line || ':' || CAST(round(c.MAE * 1000) AS BIGINT))::BLOB) AS s_metrics,
+         octet_length(('encoders:' || f.line)::BLOB) AS s_enc,
+         octet_length(('features:' || c.feature_order)::BLOB) AS s_feat
+  FROM fold f JOIN cands c USING (line, cand_id) WHERE f.promotion_class IS NOT NULL
+)"""
+DEPS["manifest"] = ["fold"]
+
+CTE["lineage"] = """
+lineage AS (
+  SELECT line, model_version, parent_version,
+         sha256(coalesce(parent_version, 'ROOT') || '|' || model_version || '|' ||
+                sha256(bundle_epoch || '|' || d_model || '|' || d_metrics || '|' || d_enc || '|' || d_feat)) AS lineage_token
+  FROM manifest
+)"""
+DEPS["lineage"] = ["manifest"]
+
+SQL["catalog_packages"] = with_ctes(["lineage"], """
+SELECT m.line, m.model_version AS version, m.parent_version, m.created_at, m.promotion_class, m.bundle_epoch,
+       m.R2 AS r2, m.MAE AS mae, l.lineage_token
+FROM manifest m JOIN lineage l USING (line, model_version)""")
+
+SQL["lineage_token"] = with_ctes(["lineage"], "SELECT line, model_version, parent_version, lineage_token FROM lineage")
+
+SQL["blob_first_seen"] = with_ctes(["manifest"], """
+, e AS (
+  SELECT line, model_version, created_at, 'model.pkl' AS logical_name, d_model AS sha256, s_model AS size FROM manifest
+  UNION ALL SELECT line, model_version, created_at, 'metrics.json', d_metrics, s_metrics FROM manifest
+  UNION ALL SELECT line, model_version, created_at, 'label_encoders.pkl', d_enc, s_enc FROM manifest
+  UNION ALL SELECT line, model_version, created_at, 'feature_columns.json', d_feat, s_feat FROM manifest),
+r AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY created_at, line,
+        CAST(split_part(model_version, '.', 1) AS INT), CAST(split_part(model_version, '.', 2) AS INT), CAST(split_part(model_version, '.', 3) AS INT)) AS rn,
+        count(*) OVER (PARTITION BY sha256) AS n_refs,
+        min(size) OVER (PARTITION BY sha256) AS msize
+      FROM e)
+SELECT sha256, logical_name, msize AS size, line AS first_seen_line, model_version AS first_seen_version, n_refs FROM r WHERE rn = 1""")
+
+SQL["parent_chain"] = with_ctes(["manifest"], """
+SELECT line, model_version, parent_version, prev AS previous_version,
+       coalesce(parent_version = prev, parent_version IS NULL AND prev IS NULL) AS chain_ok
+FROM (SELECT *, lag(model_version) OVER (PARTITION BY line ORDER BY
+        CAST(split_part(model_version, '.', 1) AS INT), CAST(split_part(model_version, '.', 2) AS INT), CAST(split_part(model_version, '.', 3) AS INT)) AS prev
+      FROM manifest)""")
+
+SQL["version_parse"] = with_ctes(["fold"], """
+, t AS (SELECT line, cand_id,
+          CASE WHEN cand_id % 7 = 0 THEN 'v' || version WHEN cand_id % 11 = 0 THEN version || '.1' ELSE version END AS text
+        FROM fold WHERE version IS NOT NULL),
+p AS (SELECT *, regexp_full_match(text, '[0-9]+\\.[0-9]+\\.[0-9]+') AS valid FROM t),
+q AS (SELECT *, CASE WHEN valid THEN CAST(split_part(text, '.', 1) AS INT) END AS major,
+               CASE WHEN valid THEN CAST(split_part(text, '.', 2) AS INT) END AS minor,
+               CASE WHEN valid THEN CAST(split_part(text, '.', 3) AS INT) END AS patch FROM p)
+SELECT line, cand_id, text, major, minor, patch, valid,
+       CASE WHEN valid THEN row_number() OVER (PARTITION BY line, valid ORDER BY major, minor, patch) END AS version_rank
+FROM q""")

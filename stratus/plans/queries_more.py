@@ -1 +1,127 @@
 """More registered queries (contracts, promotion, election, drift, requests)."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import promotion as prm
+from ..sources import adapters
+from ..sources.tables import Tables
+from .queries import query
+
+P = prm.QUERY_PARAMS
+
+
+def _fold(spark, sf_dir):
+    return prm.promotion_fold(adapters.candidates(Tables(spark, sf_dir)), P)
+
+
+FOLD_COLS = ["line", "cand_id", "decision", "promotion_class", "refusal", "version", "parent_version", "bundle_epoch", "created_at"]
+
+
+@query("promotion_fold")
+def q_promotion_fold(spark, sf_dir):
+    f = _fold(spark, sf_dir)
+    return f.select(*FOLD_COLS, F.round("delta_R2", 6).alias("delta_R2"), F.round("mae_rel", 6).alias("mae_rel"))
+
+
+@query("promotion_step")
+def q_promotion_step(spark, sf_dir):
+    """One decision-table step per candidate against the previous candidate of
+    its line (stateless; the fold chains accepted ones)."""
+    c = adapters.candidates(Tables(spark, sf_dir))
+    w = Window.partitionBy("line").orderBy("ts", "cand_id")
+    c = c.select("*", *[F.lag(x).over(w).alias(f"p_{x}") for x in ("R2", "MAE", "feature_order")])
+    d = F.col("R2") - F.col("p_R2")
+    rel = (F.col("MAE") - F.col("p_MAE")) / F.greatest(F.col("p_MAE"), F.lit(1e-12))
+    gate = prm.gate_reason(F.col("R2"), F.col("MAE"), P)
+    dec = (
+        F.when(gate.isNotNull(), F.concat(F.lit("refused:"), gate))
+        .when(F.col("p_R2").isNull(), F.lit("bootstrap"))
+        .otherwise(prm.step_decision(d, rel, F.col("feature_order") != F.col("p_feature_order"), P))
+    )
+    return c.select("line", "cand_id", dec.alias("decision"), F.round(d, 6).alias("delta_R2"), F.round(rel, 6).alias("mae_rel"))
+
+
+@query("parent_lookup")
+def q_parent_lookup(spark, sf_dir):
+    """As-of lookup: the latest accepted version of the line before each candidate."""
+    f = _fold(spark, sf_dir)
+    w = Window.partitionBy("line").orderBy("ts", "cand_id").rowsBetween(Window.unboundedPreceding, -1)
+    acc = F.col("promotion_class").isNotNull()
+    return f.select(
+        "line", "cand_id",
+        F.last(F.when(acc, F.col("version")), ignorenulls=True).over(w).alias("parent_version"),
+        F.last(F.when(acc, F.col("R2")), ignorenulls=True).over(w).alias("parent_R2"),
+        F.last(F.when(acc, F.col("MAE")), ignorenulls=True).over(w).alias("parent_MAE"),
+    )
+
+
+@query("active_pointer")
+def q_active_pointer(spark, sf_dir):
+    return prm.active_pointer(_fold(spark, sf_dir))
+
+
+def _manifests(spark, sf_dir):
+    return prm.manifests(_fold(spark, sf_dir))
+
+
+@query("catalog_packages")
+def q_catalog_packages(spark, sf_dir):
+    """Version rows joined to their metrics (r2, mae) and lineage token."""
+    m = _manifests(spark, sf_dir)
+    tok = prm.lineage(m).select("line", "model_version", "lineage_token")
+    return m.join(tok, ["line", "model_version"]).select(
+        "line", F.col("model_version").alias("version"), "parent_version", "created_at", "promotion_class",
+        "bundle_epoch", F.col("R2").alias("r2"), F.col("MAE").alias("mae"), "lineage_token",
+    )
+
+
+@query("blob_first_seen")
+def q_blob_first_seen(spark, sf_dir):
+    """Catalogue ``blobs``: first version (by publish time) that referenced each digest."""
+    m = _manifests(spark, sf_dir)
+    e = m.select("line", "model_version", "created_at", F.explode("blobs").alias("logical_name", "b"))
+    order = F.struct("created_at", "line", prm.version_struct(F.col("model_version")))
+    return e.groupBy(F.col("b.sha256").alias("sha256")).agg(
+        F.min_by("logical_name", order).alias("logical_name"),
+        F.min(F.col("b.size")).alias("size"),
+        F.min_by("line", order).alias("first_seen_line"),
+        F.min_by("model_version", order).alias("first_seen_version"),
+        F.count("*").alias("n_refs"),
+    )
+
+
+@query("lineage_token")
+def q_lineage_token(spark, sf_dir):
+    return prm.lineage(_manifests(spark, sf_dir))
+
+
+@query("seal_audit")
+def q_seal_audit(spark, sf_dir):
+    m = _manifests(spark, sf_dir)
+    return prm.seal_audit(m, tamper=(F.col("cand_id") % 11 == 0))
+
+
+@query("parent_chain")
+def q_parent_chain(spark, sf_dir):
+    return prm.parent_chain(_manifests(spark, sf_dir))
+
+
+@query("version_parse")
+def q_version_parse(spark, sf_dir):
+    """Parse version text (plus malformed variants) and order numerically per line."""
+    f = _fold(spark, sf_dir).where(F.col("version").isNotNull())
+    text = (
+        F.when(F.col("cand_id") % 7 == 0, F.concat(F.lit("v"), F.col("version")))
+        .when(F.col("cand_id") % 11 == 0, F.concat(F.col("version"), F.lit(".1")))
+        .otherwise(F.col("version"))
+    )
+    v = f.select("line", "cand_id", text.alias("text")).withColumn("v", prm.version_struct(F.col("text")))
+    w = Window.partitionBy("line").orderBy(F.col("v"))
+    rank = F.when(F.col("v").isNotNull(), F.row_number().over(w))
+    return v.select(
+        "line", "cand_id", "text", F.col("v.major").alias("major"), F.col("v.minor").alias("minor"),
+        F.col("v.patch").alias("patch"), F.col("v").isNotNull().alias("valid"),
+        # nulls sort first; rank among the valid ones
+        (rank - F.count(F.when(F.col("v").isNull(), 1)).over(Window.partitionBy("line"))).alias("version_rank"),
+    )
