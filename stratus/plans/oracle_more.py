@@ -173,3 +173,70 @@ q AS (SELECT *, CASE WHEN valid THEN CAST(split_part(text, '.', 1) AS INT) END A
 SELECT line, cand_id, text, major, minor, patch, valid,
        CASE WHEN valid THEN row_number() OVER (PARTITION BY line, valid ORDER BY major, minor, patch) END AS version_rank
 FROM q""")
+
+# ------------------------------------------------------------------ election
+CTE["trials"] = """
+trials AS (
+  SELECT p_brand AS election_id, 'trial_' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS trial_id, p_partkey,
+         p_size * 20 AS n_estimators,
+         CASE WHEN p_partkey % 7 = 0 THEN 12 END AS max_depth,
+         CASE WHEN p_type = 'PROMO' THEN '0.5' WHEN p_type = 'LARGE' THEN 'log2' ELSE 'sqrt' END AS max_features,
+         CASE WHEN p_partkey % 10 = 0 THEN 7 ELSE 42 END AS random_state,
+         ((CAST(round(p_retailprice * 100) AS BIGINT) + 50) // 100) / 100 AS RMSE,
+         p_size / 10 AS MAE, (p_partkey % 50) / 50 AS R2, (p_partkey % 11) / 2 AS pred_var
+  FROM part
+)"""
+CTE["trials_fp"] = """
+trials_fp AS (
+  SELECT *, sha256('{"max_depth":' || coalesce(CAST(max_depth AS VARCHAR), 'null') ||
+                   ',"max_features":' || CASE WHEN max_features = '0.5' THEN '0.5' ELSE '"' || max_features || '"' END ||
+                   ',"min_samples_leaf":1,"min_samples_split":2,"n_estimators":' || n_estimators ||
+                   ',"random_state":' || random_state || '}') AS fingerprint
+  FROM trials
+)"""
+DEPS["trials_fp"] = ["trials"]
+CTE["elig"] = """
+elig AS (
+  SELECT t.*, CASE WHEN n_estimators < 100 THEN 'n_estimators_min' WHEN n_estimators > 800 THEN 'n_estimators_max'
+                   WHEN max_features <> 'sqrt' THEN 'max_features' WHEN random_state <> 42 THEN 'random_state'
+                   WHEN max_depth IS NOT NULL THEN 'max_depth' WHEN pred_var > 4.5 THEN 'pred_var'
+                   WHEN fingerprint IN (SELECT fingerprint FROM trials_fp WHERE p_partkey % 13 = 0) THEN 'denied' END AS reason
+  FROM trials_fp t
+)"""
+DEPS["elig"] = ["trials_fp"]
+CTE["borda"] = """
+borda AS (
+  SELECT election_id, trial_id, RMSE, MAE, R2, pred_var, fingerprint, n_survivors,
+         n_survivors - (rank() OVER (PARTITION BY election_id ORDER BY RMSE) + (count(*) OVER (PARTITION BY election_id, RMSE) - 1) / 2) AS borda_rmse,
+         n_survivors - (rank() OVER (PARTITION BY election_id ORDER BY MAE) + (count(*) OVER (PARTITION BY election_id, MAE) - 1) / 2) AS borda_mae,
+         n_survivors - (rank() OVER (PARTITION BY election_id ORDER BY R2 DESC) + (count(*) OVER (PARTITION BY election_id, R2) - 1) / 2) AS borda_r2
+  FROM (SELECT *, count(*) OVER (PARTITION BY election_id) AS n_survivors FROM elig WHERE reason IS NULL)
+)"""
+DEPS["borda"] = ["elig"]
+CTE["cope"] = """
+cope AS (
+  SELECT a.election_id, a.trial_id,
+         CAST(count(b.trial_id) FILTER (WHERE
+            ((a.RMSE < b.RMSE)::INT + (a.MAE < b.MAE)::INT + (a.R2 > b.R2)::INT) >
+            ((a.RMSE > b.RMSE)::INT + (a.MAE > b.MAE)::INT + (a.R2 < b.R2)::INT)) AS BIGINT) AS copeland
+  FROM (SELECT *, borda_rmse + borda_mae + borda_r2 AS borda, max(borda_rmse + borda_mae + borda_r2) OVER (PARTITION BY election_id) AS top FROM borda) a
+  LEFT JOIN borda b ON a.election_id = b.election_id AND a.trial_id <> b.trial_id
+  WHERE a.borda = a.top
+  GROUP BY a.election_id, a.trial_id
+)"""
+DEPS["cope"] = ["borda"]
+
+SQL["eligible_trials"] = with_ctes(["elig"], "SELECT election_id, trial_id, fingerprint, reason FROM elig")
+SQL["borda_points"] = with_ctes(["borda"], """
+SELECT election_id, trial_id, n_survivors, borda_rmse, borda_mae, borda_r2, borda_rmse + borda_mae + borda_r2 AS borda FROM borda""")
+SQL["copeland"] = with_ctes(["cope"], "SELECT election_id, trial_id, copeland FROM cope")
+SQL["election_winner"] = with_ctes(["cope", "trials"], """
+, lead AS (SELECT b.*, b.borda_rmse + b.borda_mae + b.borda_r2 AS borda, c.copeland FROM borda b JOIN cope c USING (election_id, trial_id)),
+w AS (SELECT election_id, trial_id AS winner, borda, copeland, n_survivors,
+             row_number() OVER (PARTITION BY election_id ORDER BY borda DESC, copeland DESC, pred_var, upper(fingerprint), trial_id) AS rn
+      FROM lead),
+e AS (SELECT DISTINCT election_id FROM trials)
+SELECT e.election_id, CASE WHEN w.winner IS NULL THEN 'NONE' ELSE 'OK' END AS status, w.winner, w.borda, w.copeland,
+       coalesce(w.n_survivors, 0) AS n_survivors, t.n_estimators, t.max_depth, t.max_features, t.pred_var
+FROM e LEFT JOIN (SELECT * FROM w WHERE rn = 1) w USING (election_id)
+LEFT JOIN trials t ON t.trial_id = w.winner""")

@@ -125,3 +125,41 @@ def q_version_parse(spark, sf_dir):
         # nulls sort first; rank among the valid ones
         (rank - F.count(F.when(F.col("v").isNull(), 1)).over(Window.partitionBy("line"))).alias("version_rank"),
     )
+
+
+# ------------------------------------------------------------------ election
+from ..operators import election as ele  # noqa: E402
+
+
+def _election_inputs(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return adapters.trials(t), ele.Constraints().frame(spark), adapters.deny_list(t)
+
+
+@query("eligible_trials")
+def q_eligible_trials(spark, sf_dir):
+    tr, c, d = _election_inputs(spark, sf_dir)
+    return ele.eligibility(tr, c, d).select("election_id", "trial_id", "fingerprint", "reason")
+
+
+@query("borda_points")
+def q_borda_points(spark, sf_dir):
+    tr, c, d = _election_inputs(spark, sf_dir)
+    s = ele.eligibility(tr, c, d).where(F.col("reason").isNull())
+    return ele.borda(s).select("election_id", "trial_id", "n_survivors", "borda_rmse", "borda_mae", "borda_r2", "borda")
+
+
+@query("copeland")
+def q_copeland(spark, sf_dir):
+    tr, c, d = _election_inputs(spark, sf_dir)
+    s = ele.borda(ele.eligibility(tr, c, d).where(F.col("reason").isNull()))
+    return ele.copeland_for_leaders(s)
+
+
+@query("election_winner")
+def q_election_winner(spark, sf_dir):
+    tr, c, d = _election_inputs(spark, sf_dir)
+    w = ele.elect(tr, c, d)
+    return ele.winner_documents(w, tr).select(
+        "election_id", "status", "winner", "borda", "copeland", "n_survivors", "n_estimators", "max_depth", "max_features", "pred_var",
+    )
