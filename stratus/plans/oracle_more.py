@@ -240,3 +240,111 @@ SELECT e.election_id, CASE WHEN w.winner IS NULL THEN 'NONE' ELSE 'OK' END AS st
        coalesce(w.n_survivors, 0) AS n_survivors, t.n_estimators, t.max_depth, t.max_features, t.pred_var
 FROM e LEFT JOIN (SELECT * FROM w WHERE rn = 1) w USING (election_id)
 LEFT JOIN trials t ON t.trial_id = w.winner""")
+
+# ------------------------------------------------------------------ request log
+CTE["req"] = """
+req AS (
+  SELECT event_id AS request_id, ts, user_id AS client, event_type AS endpoint,
+         CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
+         CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 4 = 0 THEN 'cache_hit' ELSE 'success' END AS outcome,
+         value / 100 AS latency_s, props AS payload_key,
+         CASE WHEN hour(ts) IN (3, 4) THEN 0 ELSE 1 END AS model_loaded,
+         CAST(user_id AS VARCHAR) || ':' || event_type AS client_key
+  FROM events
+)"""
+_B = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
+_BUCKET = "CASE " + " ".join(f"WHEN latency_s <= {b} THEN {i}" for i, b in enumerate(_B)) + f" ELSE {len(_B)} END"
+_LE = "[" + ", ".join(f"'{b}'" for b in _B) + ", '+Inf']"
+_BOUNDS = "[" + ", ".join(f"{b}::DOUBLE" for b in _B) + "]"
+# sliding windows of 6 h every 1 h: each event belongs to the 6 windows whose start is
+# one of the 6 hour marks at or before it
+CTE["slide"] = """
+slide AS (
+  SELECT r.*, date_trunc('hour', r.ts) - to_hours(k) AS window_start, date_trunc('hour', r.ts) - to_hours(k) + INTERVAL 6 HOUR AS window_end
+  FROM req r, range(0, 6) t(k)
+)"""
+DEPS["slide"] = ["req"]
+
+SQL["request_counts"] = with_ctes(["req"], """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+       endpoint, status, count(*) AS n
+FROM req GROUP BY ALL""")
+
+SQL["outcome_counts"] = with_ctes(["req"], """
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, outcome,
+       CASE WHEN status >= 500 THEN 'server' WHEN status >= 400 THEN 'client' ELSE 'none' END AS error_class, count(*) AS n
+FROM req GROUP BY ALL""")
+
+SQL["request_rate"] = with_ctes(["req"], """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+       status, outcome, count(*) AS n, round(count(*) / 3600, 6) AS rate_per_s
+FROM req GROUP BY ALL""")
+
+SQL["latency_histogram"] = with_ctes(["req"], f"""
+, b AS (SELECT endpoint, {_BUCKET} AS b, count(*) AS c FROM req GROUP BY ALL),
+g AS (SELECT e.endpoint, k.b FROM (SELECT DISTINCT endpoint FROM req) e, (SELECT range AS b FROM range(0, {len(_B) + 1})) k)
+SELECT g.endpoint, ({_LE})[g.b + 1] AS le,
+       CAST(sum(coalesce(b.c, 0)) OVER (PARTITION BY g.endpoint ORDER BY g.b) AS BIGINT) AS cum_count
+FROM g LEFT JOIN b USING (endpoint, b)""")
+
+SQL["latency_p95"] = with_ctes(["slide"], f"""
+, b AS (SELECT window_start, window_end, {_BUCKET} AS b, count(*) AS c FROM slide GROUP BY ALL),
+c AS (SELECT *, sum(c) OVER (PARTITION BY window_start ORDER BY b) AS cum, sum(c) OVER (PARTITION BY window_start) AS n FROM b),
+f AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY b) AS rn FROM c WHERE cum >= n * 0.95::DOUBLE)
+SELECT window_start, window_end, n,
+       (CASE WHEN b = {len(_B)} THEN {_B[-1]}::DOUBLE
+             ELSE (CASE WHEN b = 0 THEN 0.0::DOUBLE ELSE ({_BOUNDS})[b] END)
+                  + (({_BOUNDS})[b + 1] - (CASE WHEN b = 0 THEN 0.0::DOUBLE ELSE ({_BOUNDS})[b] END)) * (n * 0.95::DOUBLE - (cum - c)) / c END) AS p95
+FROM f WHERE rn = 1""")
+
+
+def _ratio(where: str, bad: str, thr: float, series: str) -> str:
+    return f"""SELECT window_start, window_end, count(*) AS n, count(*) FILTER (WHERE {bad}) AS n_bad,
+       round(count(*) FILTER (WHERE {bad}) / greatest(count(*), 1e-9), 6) AS ratio,
+       count(*) FILTER (WHERE {bad}) / greatest(count(*), 1e-9) > {thr} AS above, '{series}' AS series
+FROM slide WHERE {where} GROUP BY window_start, window_end"""
+
+
+SQL["error_ratio"] = with_ctes(["slide"], _ratio("true", "status >= 500", 0.25, "http_5xx") + "\nUNION ALL\n"
+                               + _ratio("endpoint <> 'view'", "outcome = 'error'", 0.10, "select_errors"))
+
+SQL["alert_states"] = with_ctes(["slide"], f"""
+, grid AS (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS tick FROM req),
+ratio AS (SELECT window_end AS tick, count(*) FILTER (WHERE status >= 500) / greatest(count(*), 1e-9) AS v FROM slide GROUP BY window_end),
+r AS (SELECT 'high_5xx_ratio' AS alert, g.tick, round(coalesce(v, 0.0), 6) AS value FROM grid g LEFT JOIN ratio USING (tick)),
+hr AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS tick, arg_max(model_loaded, (ts, request_id)) AS lv FROM req GROUP BY 1),
+gg AS (SELECT 'model_not_loaded' AS alert, g.tick, CAST(last_value(lv IGNORE NULLS) OVER (ORDER BY g.tick) AS DOUBLE) AS value
+       FROM grid g LEFT JOIN hr USING (tick)),
+s AS (SELECT *, value > 0.25 AS cond FROM r UNION ALL SELECT *, value = 0 AS cond FROM gg),
+i AS (SELECT *, sum(CASE WHEN cond THEN 0 ELSE 1 END) OVER (PARTITION BY alert ORDER BY tick) AS grp FROM s),
+j AS (SELECT *, CASE WHEN cond THEN min(tick) FILTER (WHERE cond) OVER (PARTITION BY alert, grp) END AS island_start FROM i)
+SELECT alert, tick, value, cond, island_start,
+       coalesce(cond AND tick - island_start >= CASE WHEN alert = 'high_5xx_ratio' THEN INTERVAL 3 HOUR ELSE INTERVAL 1 HOUR END, false) AS firing
+FROM j""")
+
+SQL["rate_limit"] = with_ctes(["req"], """
+, q AS (SELECT request_id, ts, client_key, row_number() OVER (PARTITION BY client_key ORDER BY ts, request_id) AS seq FROM req),
+rec AS (
+  WITH RECURSIVE f(client_key, seq, request_id, ts, admitted, bucket) AS (
+    SELECT client_key, seq, request_id, ts, true, [ts] FROM q WHERE seq = 1
+    UNION ALL
+    SELECT q.client_key, q.seq, q.request_id, q.ts,
+           len(list_filter(f.bucket, lambda x: NOT (q.ts - x > INTERVAL 1 DAY))) < 2,
+           CASE WHEN len(list_filter(f.bucket, lambda x: NOT (q.ts - x > INTERVAL 1 DAY))) < 2
+                THEN list_append(list_filter(f.bucket, lambda x: NOT (q.ts - x > INTERVAL 1 DAY)), q.ts)
+                ELSE list_filter(f.bucket, lambda x: NOT (q.ts - x > INTERVAL 1 DAY)) END
+    FROM f JOIN q ON q.client_key = f.client_key AND q.seq = f.seq + 1
+  ) SELECT * FROM f)
+SELECT request_id, ts, client_key, admitted FROM rec""")
+
+SQL["cache_replay"] = with_ctes(["req"], """
+, q AS (SELECT request_id, ts, payload_key, row_number() OVER (PARTITION BY payload_key ORDER BY ts, request_id) AS seq FROM req),
+rec AS (
+  WITH RECURSIVE f(payload_key, seq, request_id, ts, cache_hit, stored) AS (
+    SELECT payload_key, seq, request_id, ts, false, ts FROM q WHERE seq = 1
+    UNION ALL
+    SELECT q.payload_key, q.seq, q.request_id, q.ts, NOT (q.ts - f.stored > INTERVAL 6 HOUR),
+           CASE WHEN q.ts - f.stored > INTERVAL 6 HOUR THEN q.ts ELSE f.stored END
+    FROM f JOIN q ON q.payload_key = f.payload_key AND q.seq = f.seq + 1
+  ) SELECT * FROM f)
+SELECT request_id, ts, payload_key, cache_hit FROM rec""")

@@ -163,3 +163,76 @@ def q_election_winner(spark, sf_dir):
     return ele.winner_documents(w, tr).select(
         "election_id", "status", "winner", "borda", "copeland", "n_survivors", "n_estimators", "max_depth", "max_features", "pred_var",
     )
+
+
+# ------------------------------------------------------------------ request log
+from ..operators import requests_log as rl  # noqa: E402
+
+# adapter scale (events are sparse): FIXTURES.md
+RL_LIMIT, RL_WINDOW, CACHE_TTL = 2, "1 day", "6 hours"
+AL_WIDTH, AL_STEP, AL_THRESHOLD, AL_FOR, GAUGE_FOR = "6 hours", "1 hour", 0.25, "3 hours", "1 hour"
+
+
+def _requests(spark, sf_dir):
+    return adapters.requests(Tables(spark, sf_dir))
+
+
+@query("request_counts")
+def q_request_counts(spark, sf_dir):
+    return rl.window_counts(_requests(spark, sf_dir), "ts", "1 hour", ["endpoint", "status"]).drop("rate_per_s")
+
+
+@query("outcome_counts")
+def q_outcome_counts(spark, sf_dir):
+    r = _requests(spark, sf_dir).withColumn(
+        "error_class", F.when(F.col("status") >= 500, F.lit("server")).when(F.col("status") >= 400, F.lit("client")).otherwise(F.lit("none"))
+    )
+    return rl.window_counts(r, "ts", "1 day", ["outcome", "error_class"]).drop("rate_per_s")
+
+
+@query("request_rate")
+def q_request_rate(spark, sf_dir):
+    return rl.window_counts(_requests(spark, sf_dir), "ts", "1 hour", ["status", "outcome"])
+
+
+@query("latency_histogram")
+def q_latency_histogram(spark, sf_dir):
+    return rl.latency_histogram(_requests(spark, sf_dir), "latency_s", ["endpoint"]).drop("b")
+
+
+@query("latency_p95")
+def q_latency_p95(spark, sf_dir):
+    return rl.windowed_quantile(_requests(spark, sf_dir), "ts", "latency_s", AL_WIDTH, AL_STEP, 0.95)
+
+
+@query("error_ratio")
+def q_error_ratio(spark, sf_dir):
+    """5xx ratio per sliding window (and the predict-style error ratio by outcome)."""
+    r = _requests(spark, sf_dir)
+    a = rl.ratio_series(r, "ts", F.col("status") >= 500, AL_WIDTH, AL_STEP, AL_THRESHOLD).withColumn("series", F.lit("http_5xx"))
+    b = rl.ratio_series(r.where(F.col("endpoint") != "view"), "ts", F.col("outcome") == "error", AL_WIDTH, AL_STEP, 0.10).withColumn(
+        "series", F.lit("select_errors")
+    )
+    return a.unionByName(b)
+
+
+@query("alert_states")
+def q_alert_states(spark, sf_dir):
+    return rl.alert_states(_requests(spark, sf_dir), AL_WIDTH, AL_STEP, AL_THRESHOLD, AL_FOR, GAUGE_FOR)
+
+
+def _keyed_requests(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    return r.withColumn("client_key", rl.client_key(F.col("xff"), F.col("endpoint")))
+
+
+@query("rate_limit")
+def q_rate_limit(spark, sf_dir):
+    r = _keyed_requests(spark, sf_dir).select("request_id", "ts", "client_key")
+    return rl.rate_limit(r, "client_key", "ts", "request_id", RL_LIMIT, RL_WINDOW)
+
+
+@query("cache_replay")
+def q_cache_replay(spark, sf_dir):
+    r = _requests(spark, sf_dir).select("request_id", "ts", "payload_key")
+    return rl.cache_replay(r, "payload_key", "ts", "request_id", CACHE_TTL)

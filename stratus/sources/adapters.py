@@ -81,6 +81,8 @@ def requests(t: Tables) -> DataFrame:
         (F.col("value") / 100).alias("latency_s"),
         F.col("props").alias("payload_key"),
         F.when(F.hour("ts").isin(3, 4), F.lit(0)).otherwise(F.lit(1)).alias("model_loaded"),
+        # forwarded-for header: client first, then a proxy hop
+        F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(", 10.0."), (F.col("user_id") % 7).cast("string"), F.lit(".1")).alias("xff"),
     )
 
 
