@@ -73,10 +73,10 @@ def payload_errors(payload: Column, require_latency: bool = True) -> Column:
 def numeric_fields(payload: Column) -> list[Column]:
     """Strict typed projection: bad text gives null plus an error message."""
     m = F.from_json(payload, "map<string,string>")
-    cpu = F.try_cast(m["cpu_usage"], "double")
-    lat = F.try_cast(m["latency_ms"], "double")
-    vcpu_d = F.try_cast(m["vCPU"], "double")
-    vcpu = F.try_cast(vcpu_d, "bigint")  # int() of the number truncates
+    cpu = (m["cpu_usage"]).try_cast("double")
+    lat = (m["latency_ms"]).try_cast("double")
+    vcpu_d = (m["vCPU"]).try_cast("double")
+    vcpu = (vcpu_d).try_cast("bigint")  # int() of the number truncates
     bad = F.filter(
         F.array(
             F.when(m["cpu_usage"].isNotNull() & cpu.isNull(), F.lit("cpu_usage")),

@@ -348,3 +348,49 @@ rec AS (
     FROM f JOIN q ON q.payload_key = f.payload_key AND q.seq = f.seq + 1
   ) SELECT * FROM f)
 SELECT request_id, ts, payload_key, cache_hit FROM rec""")
+
+# ------------------------------------------------------------------ drift
+_F = ["cpu_usage", "memory_usage", "net_io", "disk_io", "RAM_GB", "vCPU", "latency_ms", "throughput", "utilization"]
+_D = {"cpu_usage": (0, 100), "memory_usage": (0, 100), "net_io": (0, 5000), "disk_io": (0, 5000), "RAM_GB": (0.25, 256),
+      "vCPU": (1, 128), "latency_ms": (0, 10000), "throughput": (0, 100000), "utilization": (0, 100)}
+CTE["ranges"] = "ranges AS (\n  SELECT field, CASE WHEN q[2] > q[1] THEN q[1] ELSE d_low END AS low, CASE WHEN q[2] > q[1] THEN q[2] ELSE d_high END AS high,\n" \
+    "         CASE WHEN q[2] > q[1] THEN 'data' ELSE 'default' END AS source FROM (\n" + "\n  UNION ALL ".join(
+        f"SELECT '{f}' AS field, {lo}::DOUBLE AS d_low, {hi}::DOUBLE AS d_high, (SELECT quantile_cont(CAST({f} AS DOUBLE), [0.01, 0.99]) FROM telemetry WHERE {f} IS NOT NULL) AS q"
+        for f, (lo, hi) in _D.items()) + "))"
+DEPS["ranges"] = ["telemetry"]
+_RANGE_VALS = ", ".join(f"(SELECT low FROM ranges WHERE field = '{f}') AS lo_{f}, (SELECT high FROM ranges WHERE field = '{f}') AS hi_{f}" for f in _F)
+_OFF = "list_filter([" + ", ".join(f"CASE WHEN {f} < lo_{f} OR {f} > hi_{f} THEN '{f}' END" for f in _F) + "], lambda x: x IS NOT NULL)"
+CTE["oob"] = f"oob AS (SELECT t.*, {_OFF} AS offenders FROM telemetry t, (SELECT {_RANGE_VALS}) r)"
+DEPS["oob"] = ["ranges"]
+
+SQL["training_ranges"] = with_ctes(["ranges"], "SELECT field, round(low, 6) AS low, round(high, 6) AS high, source FROM ranges")
+SQL["oob_fields"] = with_ctes(["oob"], "SELECT row_id, array_to_string(offenders, ',') AS offenders, len(offenders) AS n_offenders FROM oob")
+SQL["oob_counts"] = with_ctes(["oob"], """
+SELECT field, count(*) AS n FROM (SELECT unnest(offenders) AS field FROM oob) GROUP BY field
+UNION ALL SELECT '*rows*', count(*) FROM oob WHERE len(offenders) > 0""")
+SQL["oob_rate"] = with_ctes(["oob"], """
+, s AS (SELECT date_trunc('day', ts) - to_days(k) AS window_start FROM oob, range(0, 7) t(k) WHERE len(offenders) > 0)
+SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, count(*) AS n, round(count(*) / 604800, 6) AS rate_per_s,
+       count(*) / 604800 > 0.2 AS above
+FROM s GROUP BY window_start""")
+
+
+def _psi_sql(actual_expr: str, scenario: str) -> str:
+    return f"""(WITH e AS (SELECT l_extendedprice AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01'),
+  a AS (SELECT {actual_expr} AS v FROM lineitem WHERE NOT (l_shipdate < TIMESTAMP '2000-01-01')),
+  ed AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]), lambda x: round(x, 6)))) AS edges FROM e),
+  be AS (SELECT CASE WHEN v < edges[1] OR v > edges[len(edges)] THEN NULL ELSE least(len(list_filter(edges, lambda x: x <= v)) - 1, len(edges) - 2) END AS b FROM e, ed),
+  ba AS (SELECT CASE WHEN v < edges[1] OR v > edges[len(edges)] THEN NULL ELSE least(len(list_filter(edges, lambda x: x <= v)) - 1, len(edges) - 2) END AS b FROM a, ed),
+  ce AS (SELECT b, count(*) AS c FROM be WHERE b IS NOT NULL GROUP BY b),
+  ca AS (SELECT b, count(*) AS c FROM ba WHERE b IS NOT NULL GROUP BY b),
+  h AS (SELECT coalesce(ce.b, ca.b) AS b, coalesce(ce.c, 0) AS ce, coalesce(ca.c, 0) AS ca FROM ce FULL JOIN ca ON ce.b = ca.b),
+  p AS (SELECT greatest(ce / greatest((SELECT sum(ce) FROM h), 1), 1e-4) AS pe, greatest(ca / greatest((SELECT sum(ca) FROM h), 1), 1e-4) AS pa FROM h)
+  SELECT round(sum((pa - pe) * ln(pa / pe)), 6) AS psi,
+         round((SELECT count(*) FROM ba WHERE b IS NULL) / (SELECT count(*) FROM a), 6) AS out_of_range_fraction,
+         (SELECT count(*) FROM e) AS n_expected, (SELECT count(*) FROM a) AS n_actual,
+         CAST((SELECT len(edges) FROM ed) AS INTEGER) AS n_edges, '{scenario}' AS scenario
+  FROM p)"""
+
+
+SQL["psi"] = "SELECT * FROM " + _psi_sql("l_extendedprice", "baseline") + " UNION ALL SELECT * FROM " + \
+    _psi_sql("l_extendedprice * l_extendedprice / 105000", "drifted")

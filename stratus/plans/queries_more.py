@@ -236,3 +236,52 @@ def q_rate_limit(spark, sf_dir):
 def q_cache_replay(spark, sf_dir):
     r = _requests(spark, sf_dir).select("request_id", "ts", "payload_key")
     return rl.cache_replay(r, "payload_key", "ts", "request_id", CACHE_TTL)
+
+
+# ------------------------------------------------------------------ drift
+from ..operators import drift as drf  # noqa: E402
+from .queries import _telemetry  # noqa: E402
+
+
+@query("training_ranges")
+def q_training_ranges(spark, sf_dir):
+    r = drf.training_ranges(_telemetry(spark, sf_dir))
+    return r.select("field", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "source")
+
+
+def _oob(spark, sf_dir):
+    tel = _telemetry(spark, sf_dir)
+    ranges = drf.ranges_dict(drf.training_ranges(tel))
+    return tel.withColumn("offenders", drf.oob_fields(tel, ranges))
+
+
+@query("oob_fields")
+def q_oob_fields(spark, sf_dir):
+    o = _oob(spark, sf_dir)
+    return o.select("row_id", F.array_join("offenders", ",").alias("offenders"), F.size("offenders").alias("n_offenders"))
+
+
+@query("oob_counts")
+def q_oob_counts(spark, sf_dir):
+    o = _oob(spark, sf_dir)
+    per = o.select(F.explode("offenders").alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+    rows = o.where(F.size("offenders") > 0).agg(F.count("*").alias("n")).select(F.lit("*rows*").alias("field"), "n")
+    return per.unionByName(rows)
+
+
+@query("oob_rate")
+def q_oob_rate(spark, sf_dir):
+    o = _oob(spark, sf_dir).where(F.size("offenders") > 0)
+    r = rl.window_counts(o, "ts", "7 days", [], slide="1 day")
+    return r.withColumn("above", F.col("rate_per_s") > 0.2)
+
+
+@query("psi")
+def q_psi(spark, sf_dir):
+    li = Tables(spark, sf_dir).lineitem
+    cut = F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz")
+    exp, act = li.where(cut), li.where(~cut)
+    base = drf.psi(exp, act, "l_extendedprice").withColumn("scenario", F.lit("baseline"))
+    shaped = act.select((F.col("l_extendedprice") * F.col("l_extendedprice") / 105000).alias("l_extendedprice"))
+    drifted = drf.psi(exp, shaped, "l_extendedprice").withColumn("scenario", F.lit("drifted"))
+    return base.unionByName(drifted)
