@@ -1,6 +1,6 @@
 """More oracle SQL."""
 
-from .oracle import CTE, DEPS, SQL, with_ctes
+from .oracle import CTE, DEPS, SQL, _metrics, with_ctes
 
 # ------------------------------------------------------------------ promotion
 CTE["cands"] = """
@@ -394,3 +394,152 @@ def _psi_sql(actual_expr: str, scenario: str) -> str:
 
 SQL["psi"] = "SELECT * FROM " + _psi_sql("l_extendedprice", "baseline") + " UNION ALL SELECT * FROM " + \
     _psi_sql("l_extendedprice * l_extendedprice / 105000", "drifted")
+
+# ------------------------------------------------------------------ contracts
+_SCHEMA = ["timestamp", "cpu_usage", "memory_usage", "net_io", "disk_io", "cloud_provider", "region", "vm_type", "vCPU", "RAM_GB",
+           "price_per_hour", "target", "latency_ms", "throughput", "utilization", "cost"]
+SQL["required_columns"] = with_ctes(["telemetry"], f"""
+, c AS (SELECT list_filter([{', '.join(f"CASE WHEN count(\"{c}\") = 0 THEN '{c}' END" for c in _SCHEMA)}], lambda x: x IS NOT NULL) AS m FROM telemetry)
+SELECT len(m) = 0 AS status, array_to_string(m, ',') AS missing, CAST(len(m) AS INTEGER) AS n_missing FROM c""")
+
+_MISSING = "CASE WHEN l_partkey % 11 = 0 THEN 'Missing required fields: cpu_usage' " \
+           "WHEN l_partkey % 12 = 0 AND l_partkey % 24 <> 0 THEN 'Provide ''timestamp'' or temporal fields hour/day/month/day_of_week/is_weekend' END"
+SQL["payload_errors"] = with_ctes(["telemetry"], f"SELECT row_id, {_MISSING} AS error, {_MISSING} AS error_latency_endpoint FROM telemetry")
+
+SQL["numeric_cast"] = with_ctes(["telemetry"], """
+SELECT row_id, CASE WHEN l_partkey % 11 <> 0 THEN cpu_usage END AS cpu_usage,
+       CASE WHEN l_partkey % 29 <> 0 THEN vCPU END AS vCPU,
+       CASE WHEN l_partkey % 13 <> 0 THEN latency_ms END AS latency_ms,
+       CASE WHEN l_partkey % 29 = 0 THEN 'could not convert: vCPU' END AS cast_error
+FROM telemetry""")
+
+SQL["latency_fill"] = with_ctes(["telemetry"], """
+SELECT row_id, CASE WHEN l_orderkey % 10 = 0 OR l_partkey % 13 = 0 THEN net_io / 4 * 0.98::DOUBLE + 2 ELSE latency_ms END AS latency_ms,
+       CASE WHEN l_orderkey % 10 = 0 OR l_partkey % 13 = 0 THEN 'model' ELSE 'request' END AS latency_source
+FROM telemetry""")
+
+CTE["runs"] = f"""
+runs AS (
+  WITH m AS (SELECT cloud_provider || '/' || region AS run_id, any_value(n_nationkey) AS nk,
+                    {_metrics('cost', 'pred')} FROM telemetry GROUP BY cloud_provider, region)
+  SELECT run_id, nk, 'MAE' AS metric, MAE AS value FROM m
+  UNION ALL SELECT run_id, nk, 'MSE', MSE FROM m WHERE nk % 5 <> 0
+  UNION ALL SELECT run_id, nk, 'RMSE', RMSE FROM m
+  UNION ALL SELECT run_id, nk, 'R2', R2 FROM m
+)"""
+DEPS["runs"] = ["telemetry"]
+SQL["metrics_complete"] = with_ctes(["runs"], """
+SELECT run_id, CASE WHEN count(*) FILTER (WHERE metric = 'MSE') = 0 THEN 'MSE' ELSE '' END AS missing,
+       count(*) FILTER (WHERE metric = 'MSE') > 0 AS complete
+FROM runs GROUP BY run_id""")
+SQL["metrics_gate"] = with_ctes(["runs"], """
+SELECT run_id, max(value) FILTER (WHERE metric = 'R2') AS R2, max(value) FILTER (WHERE metric = 'MAE') AS MAE,
+       CASE WHEN count(*) FILTER (WHERE metric = 'MSE') = 0 THEN 1
+            WHEN max(value) FILTER (WHERE metric = 'R2') < 0.99 THEN 2
+            WHEN max(value) FILTER (WHERE metric = 'MAE') > 0.33 THEN 3 ELSE 0 END AS gate_code
+FROM runs GROUP BY run_id""")
+
+_ORDER = ["cpu_usage", "memory_usage", "net_io", "disk_io", "vCPU", "RAM_GB", "latency_ms", "throughput", "utilization", "hour", "day",
+          "month", "day_of_week", "is_weekend", "cloud_provider_encoded", "region_encoded", "vm_type_encoded", "target_encoded",
+          "cpu_memory_ratio", "total_io", "io_ratio", "resource_efficiency", "latency_throughput_ratio", "resource_intensity", "ram_per_vcpu"]
+_JA = '["' + '","'.join(_ORDER) + '"]'
+_JB = '["' + '","'.join(x for x in _ORDER if x != "ram_per_vcpu") + '"]'
+SQL["feature_doc_valid"] = with_ctes(["manifest"], f"""
+SELECT line, model_version, CASE WHEN feature_order = 'A' THEN {len(_ORDER)} ELSE {len(_ORDER) - 1} END AS n_listed,
+       feature_order = 'A' AND cand_id % 17 <> 0 AS valid
+FROM manifest""")
+SQL["schema_fingerprint"] = with_ctes(["manifest"], f"""
+SELECT line, model_version,
+       sha256('{{"feature_order":' || CASE WHEN feature_order = 'A' THEN '{_JA}' ELSE '{_JB}' END || ',"model_version":"' || model_version || '"}}') AS fingerprint,
+       feature_order = 'A' AS serve_ok
+FROM manifest""")
+SQL["manifest_valid"] = with_ctes(["manifest"], """
+SELECT line, model_version, cand_id % 13 <> 0 AND cand_id % 17 <> 0 AND cand_id % 19 <> 0 AS valid FROM manifest""")
+SQL["params_fingerprint"] = with_ctes(["trials_fp"], "SELECT trial_id, fingerprint FROM trials_fp")
+SQL["payload_key"] = """
+SELECT event_id AS request_id, sha256('{"p":' || json(props)::VARCHAR || ',"v":"1.0.0"}') AS cache_key FROM events"""
+
+# ------------------------------------------------------------------ blobs and digests
+SQL["git_blob_digest"] = """
+SELECT doc_id, sha256(('blob ' || octet_length(encode(text)))::BLOB || '\\x00'::BLOB || encode(text)) AS git_sha256 FROM documents"""
+CTE["blobs"] = """
+blobs AS (SELECT doc_id, source AS logical_name, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents)"""
+SQL["blob_scan"] = with_ctes(["blobs"], """
+SELECT doc_id, logical_name, sha256, size, substr(sha256, 1, 2) || '/' || substr(sha256, 3, 2) || '/' || substr(sha256, 5) AS object_path FROM blobs""")
+SQL["content_dedup"] = with_ctes(["blobs"], """
+SELECT sha256, count(*) AS n_copies, min(doc_id) AS stored_doc_id, arg_min(logical_name, doc_id) AS logical_name,
+       count(DISTINCT size) > 1 AS collision FROM blobs GROUP BY sha256""")
+SQL["blob_integrity"] = with_ctes(["blobs"], """
+, rec AS (SELECT doc_id AS path, CASE WHEN doc_id % 31 = 0 THEN sha256(sha256) ELSE sha256 END AS rec_sha,
+                 CASE WHEN doc_id % 37 = 0 THEN size + 1 ELSE size END AS rec_size FROM blobs),
+scan AS (SELECT doc_id AS path, sha256 AS cur_sha, size AS cur_size FROM blobs WHERE doc_id % 41 <> 0)
+SELECT coalesce(rec.path, scan.path) AS path,
+       CASE WHEN cur_sha IS NULL THEN 'missing' WHEN rec_sha IS NULL THEN 'unlisted' WHEN rec_sha <> cur_sha THEN 'hash_mismatch'
+            WHEN rec_size <> cur_size THEN 'size_mismatch' ELSE 'ok' END AS status
+FROM rec FULL JOIN scan ON rec.path = scan.path""")
+
+_GIT = "sha256(('blob ' || octet_length(encode({t})))::BLOB || '\\x00'::BLOB || encode({t}))"
+CTE["digests"] = f"""
+digests AS (
+  SELECT lang AS pipeline, source AS stage, doc_id AS path, 'recorded' AS snapshot, {_GIT.format(t='text')} AS digest FROM documents
+  UNION ALL
+  SELECT lang, source, doc_id, 'current', {_GIT.format(t="CASE WHEN doc_id % 97 = 0 THEN text || ' ' ELSE text END")} FROM documents WHERE doc_id % 193 <> 0
+  UNION ALL
+  SELECT lang, source, doc_id + 1000000000, 'current', {_GIT.format(t='text')} FROM documents WHERE doc_id % 197 = 0
+)"""
+CTE["ddiff"] = """
+ddiff AS (
+  SELECT coalesce(r.pipeline, c.pipeline) AS pipeline, coalesce(r.stage, c.stage) AS stage,
+         count(*) FILTER (WHERE r.digest IS NOT NULL AND c.digest IS NOT NULL AND r.digest <> c.digest) AS n_changed,
+         count(*) FILTER (WHERE c.digest IS NULL) AS n_missing,
+         count(*) FILTER (WHERE r.digest IS NULL) AS n_extra,
+         NOT bool_and(r.digest IS NOT DISTINCT FROM c.digest) AS stale
+  FROM (SELECT * FROM digests WHERE snapshot = 'recorded') r
+  FULL JOIN (SELECT * FROM digests WHERE snapshot = 'current') c USING (pipeline, stage, path)
+  GROUP BY ALL
+)"""
+DEPS["ddiff"] = ["digests"]
+SQL["digest_snapshot"] = with_ctes(["digests"], """
+SELECT pipeline, stage, count(*) AS n_paths,
+       count(*) || ':' || CAST(sum(('0x' || left(sha256(path || '|' || digest), 15))::BIGINT) AS VARCHAR) AS snapshot_digest
+FROM digests WHERE snapshot = 'recorded' GROUP BY pipeline, stage""")
+SQL["digest_diff"] = with_ctes(["ddiff"], "SELECT * FROM ddiff")
+SQL["staleness_plan"] = with_ctes(["ddiff"], """
+SELECT pipeline, stage, stale, bool_or(stale) OVER (PARTITION BY pipeline ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS must_run
+FROM ddiff""")
+
+# ------------------------------------------------------------------ scoring
+SQL["batch_explode"] = with_ctes(["telemetry"], """
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS INTEGER) AS index,
+       l_linenumber, l_partkey, l_suppkey, cpu_usage, vm_type
+FROM telemetry""")
+SQL["batch_status"] = with_ctes(["telemetry"], f"""
+, e AS (SELECT *, coalesce({_MISSING}, CASE WHEN l_partkey % 29 = 0 THEN 'could not convert: vCPU' END) AS error FROM telemetry)
+SELECT row_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error,
+       CASE WHEN error IS NULL THEN cpu_usage * 0.01::DOUBLE + RAM_GB * 0.05::DOUBLE + CAST(vCPU AS DOUBLE) * 0.1::DOUBLE END AS prediction
+FROM e""")
+SQL["payload_dedup"] = """
+SELECT event_id AS request_id, props AS payload_key, CAST(props->>'k' AS DOUBLE) * 1.5::DOUBLE + length(props) AS score FROM events"""
+SQL["canary_route"] = """
+SELECT event_id AS request_id, CASE WHEN ('0x' || left(md5(CAST(event_id AS VARCHAR)), 8))::BIGINT % 100 < 10 THEN 'probe' ELSE 'anchor' END AS variant FROM events"""
+SQL["shadow_delta"] = with_ctes(["req"], """
+SELECT endpoint, count(*) AS n, round(avg((latency_s * 2.1::DOUBLE + 0.9::DOUBLE) - (latency_s * 2 + 1)), 6) AS mean_delta,
+       round(max(abs((latency_s * 2.1::DOUBLE + 0.9::DOUBLE) - (latency_s * 2 + 1))), 6) AS max_abs_delta
+FROM req GROUP BY endpoint""")
+CTE["audit"] = """
+audit AS (
+  SELECT CAST(request_id AS VARCHAR) AS request_id, epoch_us(ts) / 1e6 AS created_at,
+         coalesce(CASE WHEN endpoint <> 'view' THEN endpoint END, 'unknown') AS endpoint, '1.0.0' AS model_version,
+         CASE WHEN ('0x' || left(md5(CAST(request_id AS VARCHAR)), 8))::BIGINT % 100 < 10 THEN 'probe' ELSE 'anchor' END AS variant,
+         latency_s * 2 + 1 AS prediction, CASE WHEN outcome = 'cache_hit' THEN 1 ELSE 0 END AS cache_hit,
+         latency_s * 1000 AS latency_ms, CASE WHEN status >= 500 THEN 'error' ELSE 'success' END AS status,
+         CAST(ts AS DATE) AS event_date, latency_s
+  FROM req
+)"""
+DEPS["audit"] = ["req"]
+SQL["audit_events"] = with_ctes(["audit"], """
+SELECT request_id, created_at, endpoint, model_version, variant, prediction, cache_hit, latency_ms, status FROM audit""")
+SQL["audit_lookup"] = with_ctes(["audit"], """
+SELECT 'status=error' AS lookup, endpoint, count(*) AS n FROM audit WHERE status = 'error' GROUP BY endpoint
+UNION ALL SELECT 'date in [01-10, 01-12)', endpoint, count(*) FROM audit WHERE event_date >= DATE '2024-01-10' AND event_date < DATE '2024-01-12' GROUP BY endpoint
+UNION ALL SELECT 'request_id in slow set', endpoint, count(*) FROM audit WHERE latency_s > 4.5 GROUP BY endpoint""")

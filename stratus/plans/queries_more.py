@@ -285,3 +285,358 @@ def q_psi(spark, sf_dir):
     shaped = act.select((F.col("l_extendedprice") * F.col("l_extendedprice") / 105000).alias("l_extendedprice"))
     drifted = drf.psi(exp, shaped, "l_extendedprice").withColumn("scenario", F.lit("drifted"))
     return base.unionByName(drifted)
+
+
+# ------------------------------------------------------------------ contracts
+from ..functions import hashing as hsh  # noqa: E402
+from ..operators import contracts as con  # noqa: E402
+from ..operators import lineage as lin  # noqa: E402
+from ..operators import scoring as sco  # noqa: E402
+from ..operators.features import feature_order as _feature_order  # noqa: E402
+
+
+@query("required_columns")
+def q_required_columns(spark, sf_dir):
+    return con.required_columns(_telemetry(spark, sf_dir))
+
+
+def _payloads(spark, sf_dir):
+    return adapters.payloads(Tables(spark, sf_dir))
+
+
+@query("payload_errors")
+def q_payload_errors(spark, sf_dir):
+    p = _payloads(spark, sf_dir)
+    return p.select("row_id", con.payload_errors(F.col("payload"), True).alias("error"),
+                    con.payload_errors(F.col("payload"), False).alias("error_latency_endpoint"))
+
+
+@query("numeric_cast")
+def q_numeric_cast(spark, sf_dir):
+    p = _payloads(spark, sf_dir)
+    return p.select("row_id", *con.numeric_fields(F.col("payload")))
+
+
+def _stand_in_latency() -> F.Column:
+    return F.col("net_io") / 4 * 0.98 + 2
+
+
+@query("latency_fill")
+def q_latency_fill(spark, sf_dir):
+    """Blank or absent latency_ms is filled from a latency predictor (stand-in
+    expression of the other features) and the source is recorded."""
+    tel = _telemetry(spark, sf_dir)
+    text = (F.when(F.col("l_orderkey") % 10 == 0, F.lit(None))
+            .when(F.col("l_partkey") % 13 == 0, F.lit(""))
+            .otherwise(F.col("latency_ms").cast("string")))
+    blank = F.nullif(F.trim(text), F.lit("")).isNull()
+    return tel.select(
+        "row_id",
+        F.when(blank, _stand_in_latency()).otherwise(text.cast("double")).alias("latency_ms"),
+        F.when(blank, F.lit("model")).otherwise(F.lit("request")).alias("latency_source"),
+    )
+
+
+def _runs(spark, sf_dir):
+    """Metrics documents per (provider, region) run, long form; runs of nations
+    with n_nationkey % 5 = 0 lack MSE."""
+    tel = _telemetry(spark, sf_dir)
+    m = tel.groupBy("cloud_provider", "region").agg(
+        F.first("n_nationkey").alias("n_nationkey"), *evaluate_exprs()
+    )
+    kv = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("MAE", "MSE", "RMSE", "R2")]))
+    long = m.select(F.concat_ws("/", "cloud_provider", "region").alias("run_id"), "n_nationkey", kv.alias("kv")).select(
+        "run_id", "n_nationkey", "kv.metric", "kv.value"
+    )
+    return long.where(~((F.col("n_nationkey") % 5 == 0) & (F.col("metric") == "MSE")))
+
+
+def evaluate_exprs():
+    from ..operators import evaluate
+
+    return [c for c in evaluate._metric_exprs(F.col("cost"), F.col("pred"))[1:]]  # noqa: SLF001
+
+
+@query("metrics_complete")
+def q_metrics_complete(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    per = r.groupBy("run_id").agg(F.collect_set("metric").alias("names"))  # <= 4 names per run
+    miss = con.metrics_complete(F.col("names"))
+    return per.select("run_id", F.array_join(miss, ",").alias("missing"), (F.size(miss) == 0).alias("complete"))
+
+
+@query("metrics_gate")
+def q_metrics_gate(spark, sf_dir):
+    """Gate code per run: 0 ok, 1 missing keys, 2 R2 below floor, 3 MAE above ceiling
+    (thresholds scaled to the adapter: R2 >= 0.99, MAE <= 0.33)."""
+    r = _runs(spark, sf_dir)
+    per = r.groupBy("run_id").agg(
+        F.max(F.when(F.col("metric") == "R2", F.col("value"))).alias("R2"),
+        F.max(F.when(F.col("metric") == "MAE", F.col("value"))).alias("MAE"),
+        F.collect_set("metric").alias("names"),
+    )
+    complete = F.size(con.metrics_complete(F.col("names"))) == 0
+    return per.select("run_id", "R2", "MAE", con.metrics_gate(F.col("R2"), F.col("MAE"), 0.99, 0.33, complete).alias("gate_code"))
+
+
+_FULL_ORDER = None
+
+
+def _full_feature_order():
+    from ..operators import features as fe
+
+    base = ["cpu_usage", "memory_usage", "net_io", "disk_io", "cloud_provider", "region", "vm_type", "vCPU", "RAM_GB",
+            "price_per_hour", "target", "latency_ms", "throughput", "utilization", "cost", "hour", "day", "month",
+            "day_of_week", "is_weekend"] + [f"{c}_encoded" for c in fe.CATEGORICAL_COLUMNS] + [
+            "cpu_memory_ratio", "total_io", "io_ratio", "resource_efficiency", "latency_throughput_ratio",
+            "resource_intensity", "ram_per_vcpu"]
+    return _feature_order(base)
+
+
+def _feature_docs(spark, sf_dir):
+    """Feature-schema documents per accepted version: 'A' lines carry the full
+    order, 'B' lines drop ram_per_vcpu; n_features always says 25; versions of
+    cand_id % 17 = 0 lack a model_version."""
+    m = prm.manifests(_fold(spark, sf_dir))
+    full = _full_feature_order()
+    arr_a = F.array(*[F.lit(x) for x in full])
+    arr_b = F.array(*[F.lit(x) for x in full if x != "ram_per_vcpu"])
+    return m.select(
+        "line", "cand_id", "model_version",
+        F.when(F.col("feature_order") == "A", arr_a).otherwise(arr_b).alias("order"),
+        F.lit(len(full)).alias("n_features"),
+        F.when(F.col("cand_id") % 17 != 0, F.col("model_version")).alias("doc_version"),
+    )
+
+
+@query("feature_doc_valid")
+def q_feature_doc_valid(spark, sf_dir):
+    d = _feature_docs(spark, sf_dir)
+    return d.select("line", "model_version", F.size("order").alias("n_listed"),
+                    con.feature_doc_valid(F.col("order"), F.col("n_features"), F.col("doc_version")).alias("valid"))
+
+
+@query("schema_fingerprint")
+def q_schema_fingerprint(spark, sf_dir):
+    """Train-side fingerprint of (feature_order, model_version) vs the serving schema (full order)."""
+    d = _feature_docs(spark, sf_dir)
+    full = F.array(*[F.lit(x) for x in _full_feature_order()])
+    fp = hsh.schema_fingerprint(F.col("order"), F.col("model_version"))
+    serve = hsh.schema_fingerprint(full, F.col("model_version"))
+    return d.select("line", "model_version", fp.alias("fingerprint"), (fp == serve).alias("serve_ok"))
+
+
+@query("manifest_valid")
+def q_manifest_valid(spark, sf_dir):
+    """Manifest checks: required keys, version equals its folder, four core blobs."""
+    m = prm.manifests(_fold(spark, sf_dir))
+    names = F.array_join(F.filter(F.map_keys("blobs"), lambda k: ~((F.col("cand_id") % 17 == 0) & (k == "label_encoders.pkl"))), ",")
+    entries = [
+        ("model_version", F.col("model_version")),
+        ("created_at", F.when(F.col("cand_id") % 13 != 0, F.col("created_at").cast("string"))),
+        ("promotion_class", F.col("promotion_class")),
+        ("bundle_epoch", F.col("bundle_epoch").cast("string")),
+        ("blobs", F.lit("4")),
+        ("blob_names", names),
+    ]
+    mp = F.map_filter(F.create_map(*[x for k, v in entries for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    folder = F.when(F.col("cand_id") % 19 == 0, F.lit("0.0.0")).otherwise(F.col("model_version"))
+    return m.select("line", "model_version", con.manifest_valid(mp, folder).alias("valid"))
+
+
+@query("params_fingerprint")
+def q_params_fingerprint(spark, sf_dir):
+    t = adapters.trials(Tables(spark, sf_dir))
+    return t.select("trial_id", hsh.params_fingerprint(F.col("params_json")).alias("fingerprint"))
+
+
+@query("payload_key")
+def q_payload_key(spark, sf_dir):
+    """Cache key: SHA-256 of {"p": payload (keys sorted), "v": model version}."""
+    r = _requests(spark, sf_dir)
+    key = F.sha2(F.to_json(F.struct(F.parse_json(F.col("payload_key")).alias("p"), F.lit("1.0.0").alias("v"))), 256)
+    return r.select("request_id", key.alias("cache_key"))
+
+
+# ------------------------------------------------------------------ blobs and digests
+
+def _blobs(spark, sf_dir):
+    b = adapters.blobs(Tables(spark, sf_dir))
+    return b.select("doc_id", "logical_name", F.sha2(F.col("content"), 256).alias("sha256"),
+                    F.octet_length("content").cast("bigint").alias("size"))
+
+
+@query("git_blob_digest")
+def q_git_blob_digest(spark, sf_dir):
+    b = adapters.blobs(Tables(spark, sf_dir))
+    return b.select("doc_id", hsh.git_blob_digest(F.col("content")).alias("git_sha256"))
+
+
+@query("blob_scan")
+def q_blob_scan(spark, sf_dir):
+    b = _blobs(spark, sf_dir)
+    return b.select("doc_id", "logical_name", "sha256", "size", hsh.content_path(F.col("sha256")).alias("object_path"))
+
+
+@query("content_dedup")
+def q_content_dedup(spark, sf_dir):
+    """Store each digest once; flag a collision if one digest shows two sizes."""
+    b = _blobs(spark, sf_dir)
+    return b.groupBy("sha256").agg(
+        F.count("*").alias("n_copies"),
+        F.min("doc_id").alias("stored_doc_id"),
+        F.min_by("logical_name", "doc_id").alias("logical_name"),
+        (F.countDistinct("size") > 1).alias("collision"),
+    )
+
+
+@query("blob_integrity")
+def q_blob_integrity(spark, sf_dir):
+    """Manifest (recorded digest/size per path) vs a fresh scan: full outer join.
+
+    Recorded digests are altered when doc_id % 31 = 0, sizes when % 37 = 0;
+    the scan misses doc_id % 41 = 0."""
+    b = _blobs(spark, sf_dir)
+    rec = b.select(
+        F.col("doc_id").alias("path"),
+        F.when(F.col("doc_id") % 31 == 0, F.sha2(F.col("sha256"), 256)).otherwise(F.col("sha256")).alias("rec_sha"),
+        F.when(F.col("doc_id") % 37 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("rec_size"),
+    )
+    scan = b.where(F.col("doc_id") % 41 != 0).select(F.col("doc_id").alias("path"), F.col("sha256").alias("cur_sha"), F.col("size").alias("cur_size"))
+    j = rec.join(scan, "path", "full")
+    status = (
+        F.when(F.col("cur_sha").isNull(), F.lit("missing"))
+        .when(F.col("rec_sha").isNull(), F.lit("unlisted"))
+        .when(F.col("rec_sha") != F.col("cur_sha"), F.lit("hash_mismatch"))
+        .when(F.col("rec_size") != F.col("cur_size"), F.lit("size_mismatch"))
+        .otherwise(F.lit("ok"))
+    )
+    return j.select("path", status.alias("status"))
+
+
+def _digests(spark, sf_dir):
+    return adapters.digests(Tables(spark, sf_dir))
+
+
+@query("digest_snapshot")
+def q_digest_snapshot(spark, sf_dir):
+    d = _digests(spark, sf_dir).where(F.col("snapshot") == "recorded")
+    return lin.snapshot(d, ["pipeline", "stage"])
+
+
+@query("digest_diff")
+def q_digest_diff(spark, sf_dir):
+    d = _digests(spark, sf_dir)
+    return lin.digest_diff(d.where(F.col("snapshot") == "recorded"), d.where(F.col("snapshot") == "current"), ["pipeline", "stage"])
+
+
+@query("staleness_plan")
+def q_staleness_plan(spark, sf_dir):
+    d = _digests(spark, sf_dir)
+    diff = lin.digest_diff(d.where(F.col("snapshot") == "recorded"), d.where(F.col("snapshot") == "current"), ["pipeline", "stage"])
+    return lin.staleness_plan(diff, "pipeline", "stage")
+
+
+# ------------------------------------------------------------------ scoring
+
+INSTANCE = "l_linenumber int, l_partkey bigint, l_suppkey bigint, cpu_usage double, vm_type string"
+
+
+@query("batch_explode")
+def q_batch_explode(spark, sf_dir):
+    """Batches of instances (one JSON document per order, at most 7 lines) ->
+    one row per instance with its position."""
+    tel = _telemetry(spark, sf_dir)
+    inst = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "cpu_usage", "vm_type")
+    docs = tel.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(inst)).alias("xs"))
+    docs = docs.select("l_orderkey", F.to_json(F.struct(
+        F.transform("xs", lambda x: x.dropFields("l_extendedprice", "l_shipdate")).alias("instances"))).alias("doc"))
+    return sco.explode_batch(docs, "doc", INSTANCE, "l_orderkey")
+
+
+def _stand_in_score(cpu, ram, vcpu):
+    return cpu * 0.01 + ram * 0.05 + vcpu * 0.1
+
+
+@query("batch_status")
+def q_batch_status(spark, sf_dir):
+    """Per-row status of a batch: invalid rows get the error text, others a score."""
+    p = _payloads(spark, sf_dir)
+    m = F.from_json(F.col("payload"), "map<string,string>")
+    err = F.coalesce(con.payload_errors(F.col("payload"), False), con.numeric_fields(F.col("payload"))[3])
+    score = _stand_in_score(m["cpu_usage"].try_cast("double"), m["RAM_GB"].try_cast("double"), m["vCPU"].try_cast("double"))
+    return p.select(
+        "row_id", F.when(err.isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"), err.alias("error"),
+        F.when(err.isNull(), score).alias("prediction"),
+    )
+
+
+@query("payload_dedup")
+def q_payload_dedup(spark, sf_dir):
+    """Identical payloads are scored once and the score is reused."""
+    r = _requests(spark, sf_dir)
+    scorer = lambda d: d.select("payload_key", (F.variant_get(F.parse_json("payload_key"), "$.k", "double") * 1.5 + F.length("payload_key")).alias("score"))
+    out = sco.score_distinct(r, "payload_key", scorer)
+    return out.select("request_id", "payload_key", "score")
+
+
+CANARY_PERCENT = 10.0
+
+
+def _variant_scores(df):
+    anchor = F.col("latency_s") * 2 + 1
+    probe = F.col("latency_s") * 2.1 + 0.9
+    return df.select("*", anchor.alias("primary"), probe.alias("shadow"))
+
+
+@query("canary_route")
+def q_canary_route(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    return r.select("request_id", sco.canary_variant(F.col("request_id"), CANARY_PERCENT).alias("variant"))
+
+
+@query("shadow_delta")
+def q_shadow_delta(spark, sf_dir):
+    """Score with anchor and probe versions, delta = probe - primary, per endpoint."""
+    r = _variant_scores(_requests(spark, sf_dir))
+    if CANARY_PERCENT <= 0:
+        r = r.limit(0)  # shadow mode needs a canary percentage
+    d = F.col("shadow") - F.col("primary")
+    return r.groupBy("endpoint").agg(
+        F.count("*").alias("n"), F.round(F.avg(d), 6).alias("mean_delta"), F.round(F.max(F.abs(d)), 6).alias("max_abs_delta")
+    )
+
+
+def _audit(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    r = r.select(
+        "request_id", "ts",
+        F.when(F.col("endpoint") != "view", F.col("endpoint")).alias("endpoint"),
+        F.lit("1.0.0").alias("model_version"),
+        sco.canary_variant(F.col("request_id"), CANARY_PERCENT).alias("variant"),
+        (F.col("latency_s") * 2 + 1).alias("prediction"),
+        (F.col("outcome") == "cache_hit").alias("cache_hit"),
+        (F.col("latency_s") * 1000).alias("latency_ms"),
+        F.when(F.col("status") >= 500, F.lit("error")).alias("status"),
+    )
+    return sco.audit_projection(r)
+
+
+@query("audit_events")
+def q_audit_events(spark, sf_dir):
+    return _audit(spark, sf_dir).drop("event_date")
+
+
+@query("audit_lookup")
+def q_audit_lookup(spark, sf_dir):
+    """The three audit lookups: by status, by time range (date-partition prunable), and
+    by a set of request ids (those of slow requests, semi join)."""
+    a = _audit(spark, sf_dir)
+    by_status = a.where(F.col("status") == "error").groupBy("endpoint").agg(F.count("*").alias("n")).select(
+        F.lit("status=error").alias("lookup"), "endpoint", "n")
+    by_time = a.where((F.col("event_date") >= F.lit("2024-01-10").cast("date")) & (F.col("event_date") < F.lit("2024-01-12").cast("date"))) \
+        .groupBy("endpoint").agg(F.count("*").alias("n")).select(F.lit("date in [01-10, 01-12)").alias("lookup"), "endpoint", "n")
+    slow = _requests(spark, sf_dir).where(F.col("latency_s") > 4.5).select(F.col("request_id").cast("string").alias("request_id"))
+    by_id = a.join(slow, "request_id", "left_semi").groupBy("endpoint").agg(F.count("*").alias("n")).select(
+        F.lit("request_id in slow set").alias("lookup"), "endpoint", "n")
+    return by_status.unionByName(by_time).unionByName(by_id)
