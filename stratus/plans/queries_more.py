@@ -640,3 +640,89 @@ def q_audit_lookup(spark, sf_dir):
     by_id = a.join(slow, "request_id", "left_semi").groupBy("endpoint").agg(F.count("*").alias("n")).select(
         F.lit("request_id in slow set").alias("lookup"), "endpoint", "n")
     return by_status.unionByName(by_time).unionByName(by_id)
+
+
+# ------------------------------------------------------------------ models (rows-only checks)
+from ..operators import features as fea  # noqa: E402
+from ..operators import train as trn  # noqa: E402
+
+COST_FEATURES = _full_feature_order()
+LATENCY_FEATURES = [c for c in COST_FEATURES if c not in fea.LATENCY_EXCLUDED]
+
+
+def _model_frame(spark, sf_dir):
+    """Telemetry with calendar, encoded and ratio features, temporally split."""
+    tel = _telemetry(spark, sf_dir)
+    df = fea.temporal_features(tel, fea.parse_timestamp(F.col("timestamp")))
+    df = fea.ratio_features(fea.apply_encoders(df, fea.fit_encoders(df)))
+    from ..operators import split as spl
+
+    return spl.temporal_split(df, "ts", adapters.ROW_KEY)
+
+
+@query("cost_model")
+def q_cost_model(spark, sf_dir):
+    return trn.holdout_report(_model_frame(spark, sf_dir), COST_FEATURES, "cost", trn.QUERY_FOREST)
+
+
+@query("latency_model")
+def q_latency_model(spark, sf_dir):
+    return trn.holdout_report(_model_frame(spark, sf_dir), LATENCY_FEATURES, "latency_ms", trn.QUERY_FOREST)
+
+
+@query("cv_r2")
+def q_cv_r2(spark, sf_dir):
+    return trn.cv_r2(_model_frame(spark, sf_dir), "row_id", COST_FEATURES, "cost", trn.QUERY_FOREST, k=3)
+
+
+@query("batch_score")
+def q_batch_score(spark, sf_dir):
+    """Batch scoring with per-row status: invalid payloads get their error, the
+    rest are scored by the cost model (fit on the temporal train split)."""
+    frame = _model_frame(spark, sf_dir)
+    model = trn.fit(frame.where(F.col("split") == "train"), COST_FEATURES, "cost", trn.QUERY_FOREST)
+    p = _payloads(spark, sf_dir).select("row_id", "payload")
+    err = F.coalesce(con.payload_errors(F.col("payload"), False), con.numeric_fields(F.col("payload"))[3])
+    checked = p.select("row_id", err.alias("error"))
+    ok = frame.join(checked.where(F.col("error").isNull()).select("row_id"), "row_id", "left_semi")
+    scored = trn.score(model, ok, COST_FEATURES).select("row_id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), "prediction")
+    bad = checked.where(F.col("error").isNotNull()).select("row_id", F.lit("error").alias("status"), "error", F.lit(None).cast("double").alias("prediction"))
+    return scored.unionByName(bad)
+
+
+def _lab(spark, sf_dir):
+    """Lab regression table from ``embeddings``: f0..f5 = first six components,
+    target = 10 * label + 50 * component 6; eval = md5 bucket < 25."""
+    e = Tables(spark, sf_dir).embeddings
+    cols = [F.col("embedding").getItem(i).cast("double").alias(f"f{i}") for i in range(6)]
+    target = (F.col("label") * 10 + F.col("embedding").getItem(6).cast("double") * 50).alias("target")
+    lab = e.select("vec_id", *cols, target)
+    return lab.withColumn("split", F.when(md5_b(F.col("vec_id")) < 25, F.lit("eval")).otherwise(F.lit("train")))
+
+
+def md5_b(c):
+    return hsh.md5_bucket(c, 100)
+
+
+@query("elected_refit")
+def q_elected_refit(spark, sf_dir):
+    """Refit the lab model with the parameters of the strongest elected trial
+    (highest Borda among election winners, then election id) and score the eval split."""
+    tr, c, d = _election_inputs(spark, sf_dir)
+    w = ele.winner_documents(ele.elect(tr, c, d), tr).where(F.col("status") == "OK")
+    best = w.orderBy(F.col("borda").desc(), F.col("election_id")).select(
+        "election_id", "winner", "n_estimators", "max_depth", "max_features", "random_state").first()  # one row
+    params = trn.params_from_trial(best["n_estimators"], best["max_depth"], best["max_features"], 1, best["random_state"])
+    lab = _lab(spark, sf_dir)
+    feats = [f"f{i}" for i in range(6)]
+    model = trn.fit(lab.where(F.col("split") == "train"), feats, "target", params)
+    scored = trn.score(model, lab.where(F.col("split") == "eval"), feats)
+    m = evaluate_metrics(scored, "target", "prediction")
+    return m.select(F.lit(best["election_id"]).alias("election_id"), F.lit(best["winner"]).alias("trial_id"),
+                    F.lit(int(best["n_estimators"])).alias("n_estimators"), "*")
+
+
+def evaluate_metrics(df, label, pred):
+    from ..operators import evaluate
+
+    return evaluate.regression_metrics(df, label, pred)
