@@ -306,15 +306,15 @@ def _payloads(spark, sf_dir):
 
 @query("payload_errors")
 def q_payload_errors(spark, sf_dir):
-    p = _payloads(spark, sf_dir)
-    return p.select("row_id", con.payload_errors(F.col("payload"), True).alias("error"),
-                    con.payload_errors(F.col("payload"), False).alias("error_latency_endpoint"))
+    p = con.parse_payload(_payloads(spark, sf_dir), "payload")
+    return p.select("row_id", con.payload_errors(F.col("_m"), True).alias("error"),
+                    con.payload_errors(F.col("_m"), False).alias("error_latency_endpoint"))
 
 
 @query("numeric_cast")
 def q_numeric_cast(spark, sf_dir):
-    p = _payloads(spark, sf_dir)
-    return p.select("row_id", *con.numeric_fields(F.col("payload")))
+    p = con.parse_payload(_payloads(spark, sf_dir), "payload")
+    return p.select("row_id", *con.numeric_fields(F.col("_m")))
 
 
 def _stand_in_latency() -> F.Column:
@@ -561,9 +561,9 @@ def _stand_in_score(cpu, ram, vcpu):
 @query("batch_status")
 def q_batch_status(spark, sf_dir):
     """Per-row status of a batch: invalid rows get the error text, others a score."""
-    p = _payloads(spark, sf_dir)
-    m = F.from_json(F.col("payload"), "map<string,string>")
-    err = F.coalesce(con.payload_errors(F.col("payload"), False), con.numeric_fields(F.col("payload"))[3])
+    p = con.parse_payload(_payloads(spark, sf_dir), "payload")
+    m = F.col("_m")
+    err = F.coalesce(con.payload_errors(m, False), con.numeric_fields(m)[3])
     score = _stand_in_score(m["cpu_usage"].try_cast("double"), m["RAM_GB"].try_cast("double"), m["vCPU"].try_cast("double"))
     return p.select(
         "row_id", F.when(err.isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"), err.alias("error"),
@@ -681,8 +681,8 @@ def q_batch_score(spark, sf_dir):
     rest are scored by the cost model (fit on the temporal train split)."""
     frame = _model_frame(spark, sf_dir)
     model = trn.fit(frame.where(F.col("split") == "train"), COST_FEATURES, "cost", trn.QUERY_FOREST)
-    p = _payloads(spark, sf_dir).select("row_id", "payload")
-    err = F.coalesce(con.payload_errors(F.col("payload"), False), con.numeric_fields(F.col("payload"))[3])
+    p = con.parse_payload(_payloads(spark, sf_dir).select("row_id", "payload"), "payload")
+    err = F.coalesce(con.payload_errors(F.col("_m"), False), con.numeric_fields(F.col("_m"))[3])
     checked = p.select("row_id", err.alias("error"))
     ok = frame.join(checked.where(F.col("error").isNull()).select("row_id"), "row_id", "left_semi")
     scored = trn.score(model, ok, COST_FEATURES).select("row_id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), "prediction")
