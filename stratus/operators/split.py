@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +17,19 @@ def temporal_split(df: DataFrame, ts_col: str, key_cols: list[str], train_fracti
     one boundary timestamp is found from that, and only the rows sharing the
     boundary timestamp are ranked by key.
     """
-    n = df.count()
-    cut = int(n * train_fraction)
-    if cut < 1 or cut >= n:
-        raise ValueError("Temporal split produced empty train or test")
-    counts = df.groupBy(ts_col).agg(F.count("*").alias("_c"))
-    cum = running_total(counts, [ts_col], F.col("_c"), "_cum", major=F.unix_micros(F.col(ts_col).cast("timestamp")))
-    b = cum.where((F.col("_cum") - F.col("_c") < cut) & (F.col("_cum") >= cut)).select(ts_col, (F.col("_cum") - F.col("_c")).alias("_before")).first()
+    # one narrow pass: rows per timestamp (the only input of the three small
+    # driver-side actions below); persisted so they do not rescan the input
+    counts = df.select(ts_col).groupBy(ts_col).agg(F.count("*").alias("_c")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = int(counts.agg(F.sum("_c")).first()[0] or 0)
+        cut = int(n * train_fraction)
+        if cut < 1 or cut >= n:
+            raise ValueError("Temporal split produced empty train or test")
+        cum = running_total(counts, [ts_col], F.col("_c"), "_cum", major=F.unix_micros(F.col(ts_col).cast("timestamp")))
+        b = cum.where((F.col("_cum") - F.col("_c") < cut) & (F.col("_cum") >= cut)).select(
+            ts_col, (F.col("_cum") - F.col("_c")).alias("_before")).first()
+    finally:
+        counts.unpersist()
     b_ts, before = b[0], int(b[1])
     at = df.where(F.col(ts_col) == F.lit(b_ts))
     w = Window.partitionBy(ts_col).orderBy(*key_cols)

@@ -47,10 +47,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tel = _telemetry(spark, sf_dir)
     contracts.assert_required_columns(tel)
-    df = features.temporal_features(tel, features.parse_timestamp(F.col("timestamp")))
+    df = split.temporal_split(tel, "ts", adapters.ROW_KEY)
+    df = features.temporal_features(df, features.parse_timestamp(F.col("timestamp")))
     dic = features.fit_encoders(df)
     df = features.ratio_features(features.apply_encoders(df, dic))
-    df = split.temporal_split(df, "ts", adapters.ROW_KEY)
     mean = df.where(F.col("split") == "train").agg(F.avg("cost").alias("_mean"))
     df = df.crossJoin(F.broadcast(mean))  # one row
     m = evaluate.regression_metrics(df, "cost", "pred", ["split"])

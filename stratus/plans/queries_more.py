@@ -652,12 +652,11 @@ LATENCY_FEATURES = [c for c in COST_FEATURES if c not in fea.LATENCY_EXCLUDED]
 
 def _model_frame(spark, sf_dir):
     """Telemetry with calendar, encoded and ratio features, temporally split."""
-    tel = _telemetry(spark, sf_dir)
-    df = fea.temporal_features(tel, fea.parse_timestamp(F.col("timestamp")))
-    df = fea.ratio_features(fea.apply_encoders(df, fea.fit_encoders(df)))
     from ..operators import split as spl
 
-    return spl.temporal_split(df, "ts", adapters.ROW_KEY)
+    df = spl.temporal_split(_telemetry(spark, sf_dir), "ts", adapters.ROW_KEY)
+    df = fea.temporal_features(df, fea.parse_timestamp(F.col("timestamp")))
+    return fea.ratio_features(fea.apply_encoders(df, fea.fit_encoders(df)))
 
 
 @query("cost_model")

@@ -24,7 +24,8 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return balance_splits(df)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
@@ -36,3 +37,25 @@ class Tables:
     @cached_property
     def names(self) -> tuple[str, ...]:
         return TABLE_NAMES
+
+
+# Below this estimated size a table is a dimension; rebalancing it is pointless.
+MIN_REBALANCE_BYTES = 512 * 1024
+
+
+def balance_splits(df: DataFrame) -> DataFrame:
+    """Spread a scan whose file layout yields fewer splits than the cluster has
+    cores (e.g. one large row group) over ``defaultParallelism`` partitions.
+
+    On a large table laid out in many files/row groups the scan already has
+    more splits than cores and this is a no-op; filters and column pruning
+    are still pushed below the repartition into the parquet scan.
+    """
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
+    if size < MIN_REBALANCE_BYTES:
+        return df
+    return df.repartition(target)
