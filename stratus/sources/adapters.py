@@ -19,15 +19,23 @@ from .tables import Tables
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 
-def _geo(t: Tables) -> DataFrame:
-    """supplier -> nation -> region (supplier-sized; nation/region fixed size)."""
+def _with_geo(df: DataFrame, t: Tables, suppkey: str) -> DataFrame:
+    """Attach nation and region names through the supplier.
+
+    The supplier scan is joined on its own, so Catalyst sizes it from its
+    files (broadcast when small, sort-merge when it grows with the scale
+    factor); nation and region are fixed-size dimensions (25 and 5 rows) and
+    are broadcast explicitly.  Joining them to supplier first would make the
+    size estimate of that side a product of all three and force a shuffle of
+    the fact table.
+    """
     nation = F.broadcast(t.nation.select("n_nationkey", "n_name", "n_regionkey"))
     region = F.broadcast(t.region.select("r_regionkey", "r_name"))
+    sup = t.supplier.select("s_suppkey", "s_nationkey")
     return (
-        t.supplier.select("s_suppkey", "s_nationkey")
+        df.join(sup, F.col(suppkey) == F.col("s_suppkey"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", "n_nationkey", "n_name", "r_name")
     )
 
 
@@ -35,7 +43,7 @@ def telemetry(t: Tables) -> DataFrame:
     """One row per VM observation (lineitem joined to part, supplier, nation, region)."""
     li = t.lineitem
     part = t.part.select("p_partkey", "p_type", "p_size", "p_retailprice")
-    df = li.join(part, li.l_partkey == part.p_partkey).join(_geo(t), li.l_suppkey == F.col("s_suppkey"))
+    df = _with_geo(li.join(part, li.l_partkey == part.p_partkey), t, "l_suppkey")
     ts = F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber") * 3)
     row_id = F.concat_ws(
         "|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
