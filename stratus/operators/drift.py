@@ -144,4 +144,4 @@ def psi(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10, edge
     return h.agg(
         F.round(F.sum(F.when(inb, (pa - pe) * F.ln(pa / pe))), 6).alias("psi"),
         F.round(F.sum(F.when(~inb, F.col("ca")).otherwise(0)) / F.lit(na), 6).alias("out_of_range_fraction"),
-    ).select("psi", "out_of_range_fraction", F.lit(ne).alias("n_expected"), F.lit(na).alias("n_actual"), F.lit(len(edges)).alias("n_edges"))
+    ).select("psi", "out_of_range_fraction", F.lit(ne).cast("bigint").alias("n_expected"), F.lit(na).cast("bigint").alias("n_actual"), F.lit(len(edges)).alias("n_edges"))

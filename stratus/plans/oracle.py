@@ -105,8 +105,8 @@ FROM tsplit, m GROUP BY split""")
 
 SQL["temporal_features"] = with_ctes(["telemetry"], """
 , p AS (SELECT row_id, strptime("timestamp", '%m/%d/%Y %H:%M') AS t FROM telemetry)
-SELECT row_id, hour(t) AS hour, day(t) AS day, month(t) AS month,
-       isodow(t) - 1 AS day_of_week, CASE WHEN isodow(t) - 1 IN (5, 6) THEN 1 ELSE 0 END AS is_weekend
+SELECT row_id, CAST(hour(t) AS INTEGER) AS hour, CAST(day(t) AS INTEGER) AS day, CAST(month(t) AS INTEGER) AS month,
+       CAST(isodow(t) - 1 AS INTEGER) AS day_of_week, CASE WHEN isodow(t) - 1 IN (5, 6) THEN 1 ELSE 0 END AS is_weekend
 FROM p""")
 
 SQL["ratio_features"] = with_ctes(["telemetry"], """
@@ -144,7 +144,8 @@ GROUP BY c."column\"""")
 SQL["feature_matrix"] = with_ctes(["dict"], """
 , p AS (SELECT *, strptime("timestamp", '%m/%d/%Y %H:%M') AS t FROM telemetry)
 SELECT row_id, cpu_usage, memory_usage, net_io, disk_io, vCPU, RAM_GB, latency_ms, throughput, utilization,
-       hour(t) AS hour, day(t) AS day, month(t) AS month, isodow(t) - 1 AS day_of_week,
+       CAST(hour(t) AS INTEGER) AS hour, CAST(day(t) AS INTEGER) AS day, CAST(month(t) AS INTEGER) AS month,
+       CAST(isodow(t) - 1 AS INTEGER) AS day_of_week,
        CASE WHEN isodow(t) - 1 IN (5, 6) THEN 1 ELSE 0 END AS is_weekend,
        coalesce((SELECT code FROM dict d WHERE d."column" = 'cloud_provider' AND d.value = p.cloud_provider), 0) AS cloud_provider_encoded,
        coalesce((SELECT code FROM dict d WHERE d."column" = 'region' AND d.value = p.region), 0) AS region_encoded,

@@ -291,7 +291,7 @@ SQL["latency_p95"] = with_ctes(["slide"], f"""
 , b AS (SELECT window_start, window_end, {_BUCKET} AS b, count(*) AS c FROM slide GROUP BY ALL),
 c AS (SELECT *, sum(c) OVER (PARTITION BY window_start ORDER BY b) AS cum, sum(c) OVER (PARTITION BY window_start) AS n FROM b),
 f AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY b) AS rn FROM c WHERE cum >= n * 0.95::DOUBLE)
-SELECT window_start, window_end, n,
+SELECT window_start, window_end, CAST(n AS BIGINT) AS n,
        (CASE WHEN b = {len(_B)} THEN {_B[-1]}::DOUBLE
              ELSE (CASE WHEN b = 0 THEN 0.0::DOUBLE ELSE ({_BOUNDS})[b] END)
                   + (({_BOUNDS})[b + 1] - (CASE WHEN b = 0 THEN 0.0::DOUBLE ELSE ({_BOUNDS})[b] END)) * (n * 0.95::DOUBLE - (cum - c)) / c END) AS p95
@@ -364,7 +364,7 @@ CTE["oob"] = f"oob AS (SELECT t.*, {_OFF} AS offenders FROM telemetry t, (SELECT
 DEPS["oob"] = ["ranges"]
 
 SQL["training_ranges"] = with_ctes(["ranges"], "SELECT field, round(low, 6) AS low, round(high, 6) AS high, source FROM ranges")
-SQL["oob_fields"] = with_ctes(["oob"], "SELECT row_id, array_to_string(offenders, ',') AS offenders, len(offenders) AS n_offenders FROM oob")
+SQL["oob_fields"] = with_ctes(["oob"], "SELECT row_id, array_to_string(offenders, ',') AS offenders, CAST(len(offenders) AS INTEGER) AS n_offenders FROM oob")
 SQL["oob_counts"] = with_ctes(["oob"], """
 SELECT field, count(*) AS n FROM (SELECT unnest(offenders) AS field FROM oob) GROUP BY field
 UNION ALL SELECT '*rows*', count(*) FROM oob WHERE len(offenders) > 0""")
