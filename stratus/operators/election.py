@@ -46,9 +46,11 @@ def eligibility(trials: DataFrame, constraints: DataFrame, deny: DataFrame) -> D
     """
     t = with_fingerprint(trials) if "fingerprint" not in trials.columns else trials
     if "election_id" in constraints.columns:
-        t = t.join(F.broadcast(constraints), "election_id")
+        # one row per election: bounded by the election count; AQE sizes the join
+        t = t.join(constraints, "election_id")
     else:
-        t = t.crossJoin(F.broadcast(constraints))
+        row = constraints.first().asDict()  # exactly one parameter row
+        t = t.select("*", *[F.lit(v).alias(k) for k, v in row.items()])
     d = deny.select(F.lower(F.trim(F.col("fingerprint"))).alias("_deny")).where(
         (F.col("_deny") != "") & ~F.col("_deny").startswith("#")
     ).distinct()

@@ -64,9 +64,8 @@ def latency_histogram(df: DataFrame, x: str, labels: list[str], bounds: list[flo
     the per-label table of at most len(bounds)+1 rows is accumulated.
     """
     per = df.groupBy(*labels, bucket_index(F.col(x), bounds).alias("b")).agg(F.count("*").alias("c"))
-    grid = df.select(*labels).distinct().crossJoin(
-        df.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("b"))
-    )  # labels x (bounds + 1): bounded by the label count
+    # every label gets all len(bounds)+1 buckets (explode, bounded by the label count)
+    grid = df.select(*labels).distinct().select(*labels, F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))).alias("b"))
     full = grid.join(per, [*labels, "b"], "left").fillna(0, ["c"])
     w = Window.partitionBy(*labels).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     return full.select(*labels, "b", _le_label(F.col("b"), bounds).alias("le"), F.sum("c").over(w).alias("cum_count"))
