@@ -154,3 +154,18 @@ def run_to_completion(df: DataFrame, checkpoint: str, mode: str = "append") -> l
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
     return rows
+
+
+def error_ratio_stream(req: DataFrame, width: str, slide: str, delay: str, threshold: float) -> DataFrame:
+    """5xx ratio per sliding event-time window (append mode: emitted once the
+    watermark passes the window end)."""
+    out = (
+        req.withWatermark("ts", delay)
+        .groupBy(F.window("ts", width, slide).alias("w"))
+        .agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("n_bad"))
+    )
+    ratio = F.col("n_bad") / F.greatest(F.col("n").cast("double"), F.lit(1e-9))
+    return out.select(
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        "n", "n_bad", F.round(ratio, 6).alias("ratio"), (ratio > threshold).alias("above"),
+    )

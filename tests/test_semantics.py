@@ -189,3 +189,17 @@ def test_version_parse(spark):
     df = spark.createDataFrame([("1.2.3",), ("10.0.1",), ("v1.0.0",), ("1.0",), ("1.a.0",)], "t string")
     out = [r[0] for r in df.select(promotion.version_struct(F.col("t"))).collect()]
     assert out[0] == (1, 2, 3) and out[1] == (10, 0, 1) and out[2:] == [None, None, None]
+
+
+def test_seal_audit_detects_tampering(spark):
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+    from stratus.sources import adapters
+    from stratus.sources.tables import Tables
+
+    audit = entry.queries()["seal_audit"](spark, SF_SMALL)
+    m = promotion.manifests(promotion.promotion_fold(adapters.candidates(Tables(spark, SF_SMALL)), promotion.QUERY_PARAMS))
+    rows = audit.join(m.select("line", "model_version", "cand_id"), ["line", "model_version"]).collect()
+    assert rows
+    # the query alters the stored MAC of every cand_id % 11 = 0 version
+    assert all(r["verified"] == (r["cand_id"] % 11 != 0) for r in rows)
