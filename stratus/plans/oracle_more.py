@@ -190,7 +190,7 @@ CTE["trials_fp"] = """
 trials_fp AS (
   SELECT *, sha256('{"max_depth":' || coalesce(CAST(max_depth AS VARCHAR), 'null') ||
                    ',"max_features":' || CASE WHEN max_features = '0.5' THEN '0.5' ELSE '"' || max_features || '"' END ||
-                   ',"min_samples_leaf":1,"min_samples_split":2,"n_estimators":' || n_estimators ||
+                   ',"min_samples_leaf":1,"min_samples_split":' || (p_partkey % 100000 + 2) || ',"n_estimators":' || n_estimators ||
                    ',"random_state":' || random_state || '}') AS fingerprint
   FROM trials
 )"""

@@ -652,11 +652,19 @@ LATENCY_FEATURES = [c for c in COST_FEATURES if c not in fea.LATENCY_EXCLUDED]
 
 def _model_frame(spark, sf_dir):
     """Telemetry with calendar, encoded and ratio features, temporally split."""
+    import hashlib
+
     from ..operators import split as spl
+    from ..sources import io
 
     df = spl.temporal_split(_telemetry(spark, sf_dir), "ts", adapters.ROW_KEY)
     df = fea.temporal_features(df, fea.parse_timestamp(F.col("timestamp")))
-    return fea.ratio_features(fea.apply_encoders(df, fea.fit_encoders(df)))
+    df = fea.ratio_features(fea.apply_encoders(df, fea.fit_encoders(df)))
+    # forests make many passes over their input: materialise the feature frame
+    # once in the shared checkpoint folder instead of recomputing joins per pass
+    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
+    cols = list(dict.fromkeys(["row_id", "split", "cost", "latency_ms", *COST_FEATURES]))
+    return io.cut_lineage(df.select(*cols), f"model_frame_{tag}")
 
 
 @query("cost_model")
@@ -677,16 +685,23 @@ def q_cv_r2(spark, sf_dir):
 @query("batch_score")
 def q_batch_score(spark, sf_dir):
     """Batch scoring with per-row status: invalid payloads get their error, the
-    rest are scored by the cost model (fit on the temporal train split)."""
+    rest are scored by the cost model (fit on the temporal train split).
+
+    No filter on the error column: a predicate on it would be pushed below the
+    projection and re-inline the JSON parse into every field check, so all
+    rows are joined once, scored, and the prediction is nulled where invalid.
+    """
     frame = _model_frame(spark, sf_dir)
     model = trn.fit(frame.where(F.col("split") == "train"), COST_FEATURES, "cost", trn.QUERY_FOREST)
     p = con.parse_payload(_payloads(spark, sf_dir).select("row_id", "payload"), "payload")
     err = F.coalesce(con.payload_errors(F.col("_m"), False), con.numeric_fields(F.col("_m"))[3])
     checked = p.select("row_id", err.alias("error"))
-    ok = frame.join(checked.where(F.col("error").isNull()).select("row_id"), "row_id", "left_semi")
-    scored = trn.score(model, ok, COST_FEATURES).select("row_id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), "prediction")
-    bad = checked.where(F.col("error").isNotNull()).select("row_id", F.lit("error").alias("status"), "error", F.lit(None).cast("double").alias("prediction"))
-    return scored.unionByName(bad)
+    scored = trn.score(model, frame.join(checked, "row_id"), COST_FEATURES)
+    ok = F.col("error").isNull()
+    return scored.select(
+        "row_id", F.when(ok, F.lit("ok")).otherwise(F.lit("error")).alias("status"), "error",
+        F.when(ok, F.col("prediction")).alias("prediction"),
+    )
 
 
 def _lab(spark, sf_dir):
