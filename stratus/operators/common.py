@@ -29,14 +29,21 @@ def range_buckets(df: DataFrame, major: Column, n_buckets: int | None = None, ac
     return F.size(F.filter(arr, lambda c: c <= major.cast("double")))
 
 
-def running_total(df: DataFrame, order_cols: list[str], value: Column, out: str, major: Column | None = None) -> DataFrame:
+def running_total(df: DataFrame, order_cols: list[str], value: Column, out: str, major: Column | None = None,
+                  single_task_rows: int = 100_000) -> DataFrame:
     """``sum(value) over (order by order_cols rows unbounded preceding)`` without a
     single-partition window.
 
     Rows are cut into range buckets on ``major`` (default: first order column);
     each bucket gets a local running sum (window partitioned by bucket) plus
     the total of all earlier buckets (a table of at most one row per bucket).
+    Inputs checked to hold at most ``single_task_rows`` rows use one window.
     """
+    if single_task_rows and df.limit(single_task_rows + 1).count() <= single_task_rows:
+        # checked to be small: one ordered window in one task is cheaper than
+        # computing bucket cut points
+        w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(w))
     major = major if major is not None else F.col(order_cols[0])
     b = range_buckets(df, major)
     tagged = df.withColumn("_bkt", b).withColumn("_v", value)

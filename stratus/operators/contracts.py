@@ -125,3 +125,9 @@ def manifest_valid(manifest: Column, folder_version: Column) -> Column:
     names = F.split(F.coalesce(manifest["blob_names"], F.lit("")), ",")
     blobs_ok = F.forall(F.array(*[F.lit(b) for b in CORE_BLOBS]), lambda b: F.array_contains(names, b))
     return keys_ok & (manifest["model_version"] == folder_version) & blobs_ok
+
+
+def table_ready(df: DataFrame, label: str) -> bool:
+    """A training table is usable when it has the label column and at least one
+    row (``limit(1)``: reads one row, not the table)."""
+    return label in df.columns and len(df.limit(1).take(1)) == 1

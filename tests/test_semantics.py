@@ -203,3 +203,29 @@ def test_seal_audit_detects_tampering(spark):
     assert rows
     # the query alters the stored MAC of every cand_id % 11 = 0 version
     assert all(r["verified"] == (r["cand_id"] % 11 != 0) for r in rows)
+
+
+def test_table_ready_and_model_versions(spark, scratch):
+    from stratus.operators import contracts, train
+
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.1), (3.0, 6.2), (4.0, 7.9)], "x double, cost double")
+    assert contracts.table_ready(df, "cost")
+    assert not contracts.table_ready(df.limit(0), "cost") and not contracts.table_ready(df, "nope")
+    m = train.fit(df, ["x"], "cost", train.ForestParams(num_trees=3, max_depth=3, min_samples_leaf=1, max_features="all"))
+    train.save_model(m, scratch, "1.0.0")
+    ptr = spark.createDataFrame([(7, "1.0.0", None, "1.0.0")], "line bigint, anchor string, probe string, active string")
+    back = train.load_model(scratch, pointer=ptr, line=7)
+    a = [r["prediction"] for r in train.score(m, df, ["x"]).collect()]
+    b = [r["prediction"] for r in train.score(back, df, ["x"]).collect()]
+    assert a == b
+
+
+def test_running_total_bucketed_equals_plain(spark):
+    from stratus.operators.common import running_total
+
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"k": rng.integers(0, 500, size=4000), "id": np.arange(4000), "v": rng.integers(1, 5, size=4000)})
+    df = spark.createDataFrame(pdf)
+    got = {r["id"]: r["cum"] for r in running_total(df, ["k", "id"], F.col("v"), "cum", single_task_rows=0).collect()}
+    want = pdf.sort_values(["k", "id"]).assign(cum=lambda d: d.v.cumsum()).set_index("id")["cum"].to_dict()
+    assert got == want
