@@ -66,22 +66,41 @@ def fit_encoders(df: DataFrame, columns: list[str] = CATEGORICAL_COLUMNS) -> Dat
     return dic.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
 
 
+# Dictionaries up to this many entries become a literal map lookup (no join).
+MAP_LOOKUP_MAX_ENTRIES = 10_000
+
+
 def apply_encoders(df: DataFrame, dictionary: DataFrame, columns: list[str] = CATEGORICAL_COLUMNS) -> DataFrame:
     """Add ``<col>_encoded``; unknown values and columns without an encoder get 0.
 
-    Each lookup is a left join on the value.  Dictionaries are aggregate
-    outputs, so AQE sees their real size and broadcasts them when under the
-    broadcast threshold, falling back to a shuffle join otherwise.
+    The dictionary's size is checked first: when it holds at most
+    ``MAP_LOOKUP_MAX_ENTRIES`` entries it is collected (a bounded list) and
+    applied as a map lookup inside the projection -- no join, no shuffle of the
+    fact table.  Larger dictionaries are left-joined per column, with AQE
+    choosing broadcast or shuffle from the measured size.
     """
+    small = dictionary.limit(MAP_LOOKUP_MAX_ENTRIES + 1).collect()
+    if len(small) <= MAP_LOOKUP_MAX_ENTRIES:
+        by_col: dict[str, list] = {}
+        for r in small:
+            by_col.setdefault(r["column"], []).append((r["value"], r["code"]))
+        cols = []
+        for col in columns:
+            pairs = by_col.get(col, [])
+            if pairs:
+                m = F.create_map(*[x for v, c in pairs for x in (F.lit(v), F.lit(c))])
+                code = F.coalesce(m[df[col].cast("string")], F.lit(0))
+            else:
+                code = F.lit(0)
+            cols.append(code.cast("int").alias(f"{col}_encoded"))
+        return df.select("*", *cols)
     out = df
-    known = set()
     for col in columns:
         d = dictionary.where(F.col("column") == col).select(
             F.col("value").alias(f"_v_{col}"), F.col("code").alias(f"_c_{col}")
         )
         out = out.join(d, out[col].cast("string") == d[f"_v_{col}"], "left")
         out = out.withColumn(f"{col}_encoded", F.coalesce(F.col(f"_c_{col}"), F.lit(0))).drop(f"_v_{col}", f"_c_{col}")
-        known.add(col)
     return out
 
 

@@ -229,3 +229,14 @@ def test_running_total_bucketed_equals_plain(spark):
     got = {r["id"]: r["cum"] for r in running_total(df, ["k", "id"], F.col("v"), "cum", single_task_rows=0).collect()}
     want = pdf.sort_values(["k", "id"]).assign(cum=lambda d: d.v.cumsum()).set_index("id")["cum"].to_dict()
     assert got == want
+
+
+def test_encoder_join_path_equals_map_path(spark, monkeypatch):
+    fit = spark.createDataFrame([("AWS", "a", "x", "t"), ("GCP", "b", "y", "u")], "cloud_provider string, region string, vm_type string, target string")
+    new = spark.createDataFrame([("GCP", "zz", "x", "u"), ("AWS", "b", "q", "t")], "cloud_provider string, region string, vm_type string, target string")
+    dic = features.fit_encoders(fit)
+    cols = [f"{c}_encoded" for c in features.CATEGORICAL_COLUMNS]
+    via_map = sorted(tuple(r) for r in features.apply_encoders(new, dic).select(*cols).collect())
+    monkeypatch.setattr(features, "MAP_LOOKUP_MAX_ENTRIES", 0)
+    via_join = sorted(tuple(r) for r in features.apply_encoders(new, dic).select(*cols).collect())
+    assert via_map == via_join == [(0, 0, 0, 0), (1, 0, 0, 1)]
