@@ -239,4 +239,4 @@ def test_encoder_join_path_equals_map_path(spark, monkeypatch):
     via_map = sorted(tuple(r) for r in features.apply_encoders(new, dic).select(*cols).collect())
     monkeypatch.setattr(features, "MAP_LOOKUP_MAX_ENTRIES", 0)
     via_join = sorted(tuple(r) for r in features.apply_encoders(new, dic).select(*cols).collect())
-    assert via_map == via_join == [(0, 0, 0, 0), (1, 0, 0, 1)]
+    assert via_map == via_join == [(0, 1, 0, 0), (1, 0, 0, 1)]
