@@ -379,9 +379,6 @@ def q_metrics_gate(spark, sf_dir):
     return per.select("run_id", "R2", "MAE", con.metrics_gate(F.col("R2"), F.col("MAE"), 0.99, 0.33, complete).alias("gate_code"))
 
 
-_FULL_ORDER = None
-
-
 def _full_feature_order():
     from ..operators import features as fe
 
