@@ -9,7 +9,7 @@ from conftest import REFERENCE_LAB
 from stratus.operators import election as ele
 from stratus.sources import io
 
-needs_lab = pytest.mark.skipif(not REFERENCE_LAB.exists(), reason="reference lab data not available")
+needs_lab = pytest.mark.skipif(not REFERENCE_LAB.exists(), reason="STRATUS_LAB_DIR not set")
 
 
 def _docs_frame(spark, trials):
