@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import params_fingerprint
@@ -124,9 +124,23 @@ def copeland_for_leaders(scored: DataFrame, salt_buckets: int | None = None) ->
     )
 
 
-def elect(trials: DataFrame, constraints: DataFrame, deny: DataFrame) -> DataFrame:
+def round_significant(c: Column, digits: int) -> Column:
+    """``c`` rounded to ``digits`` significant digits (decimal arithmetic rule of
+    the original elector: metrics equal to that many digits tie)."""
+    return F.format_string(f"%.{digits - 1}e", c).cast("double")
+
+
+def elect(trials: DataFrame, constraints: DataFrame, deny: DataFrame, digits: int | None = None) -> DataFrame:
     """One row per election: winner by Borda desc, Copeland desc, pred_var asc,
-    fingerprint asc, trial_id asc; ``status = 'NONE'`` when nobody survives."""
+    fingerprint asc, trial_id asc; ``status = 'NONE'`` when nobody survives.
+
+    ``digits`` (e.g. 9) rounds RMSE, MAE, R2 and pred_var to that many
+    significant digits before comparing; default compares full doubles."""
+    if digits:
+        trials = trials.select(
+            *[round_significant(F.col(c), digits).alias(c) if c in ("RMSE", "MAE", "R2", "pred_var") else F.col(c)
+              for c in trials.columns]
+        )
     el = eligibility(trials, constraints, deny)
     surv = el.where(F.col("reason").isNull())
     scored = borda(surv)

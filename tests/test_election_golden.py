@@ -72,3 +72,18 @@ def test_no_survivor_gives_none(spark):
     deny = spark.createDataFrame([("#none",)], "fingerprint string")
     w = ele.elect(tr, ele.Constraints().frame(spark), deny).collect()
     assert w[0]["status"] == "NONE" and w[0]["winner"] is None
+
+
+def test_nine_digit_comparison_ties(spark):
+    base = {"n_estimators": 200, "max_depth": None, "max_features": "sqrt", "random_state": 42}
+    trials = [
+        {"trial_id": "a", "params": dict(base, n_estimators=200), "metrics": {"RMSE": 1.0000000001, "MAE": 0.5, "R2": 0.5}, "pred_var": 2.0},
+        {"trial_id": "b", "params": dict(base, n_estimators=210), "metrics": {"RMSE": 1.0000000002, "MAE": 0.5, "R2": 0.5}, "pred_var": 1.0},
+    ]
+    tr = _docs_frame(spark, trials)
+    deny = spark.createDataFrame([("#none",)], "fingerprint string")
+    c = ele.Constraints().frame(spark)
+    # full doubles: a has the lower RMSE and wins on Borda
+    assert ele.elect(tr, c, deny).first()["winner"] == "a"
+    # 9 significant digits: RMSE ties, Borda and Copeland tie, lower pred_var (b) wins
+    assert ele.elect(tr, c, deny, digits=9).first()["winner"] == "b"
