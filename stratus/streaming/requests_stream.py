@@ -169,3 +169,35 @@ def error_ratio_stream(req: DataFrame, width: str, slide: str, delay: str, thres
         F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"),
         "n", "n_bad", F.round(ratio, 6).alias("ratio"), (ratio > threshold).alias("above"),
     )
+
+
+def audit_stream_sink(events: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Append audit events from a stream, one folder per micro-batch.
+
+    ``foreachBatch`` may replay a batch after a failure; each batch overwrites
+    its own ``epoch=<id>`` folder (partitioned by event date inside), so a
+    replay replaces rather than duplicates its rows.  Readers load ``path``
+    with partition discovery (``epoch`` and ``event_date`` columns).
+    """
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("event_date").parquet(f"{path.rstrip('/')}/epoch={epoch_id}")
+
+    w = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()
+
+
+def audit_events_stream(req: DataFrame, canary_percent: float = 10.0) -> DataFrame:
+    """Audit projection of the request stream (same columns as the batch audit)."""
+    from ..operators.scoring import audit_projection, canary_variant
+
+    r = req.select(
+        "request_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
+        F.col("endpoint"), F.lit("1.0.0").alias("model_version"),
+        canary_variant(F.col("request_id"), canary_percent).alias("variant"),
+        F.lit(None).cast("double").alias("prediction"),
+        F.lit(0).alias("cache_hit"), F.lit(None).cast("double").alias("latency_ms"),
+        F.when(F.col("status") >= 500, F.lit("error")).alias("status"),
+    )
+    return audit_projection(r)
