@@ -8,6 +8,7 @@ two order statistics around each requested position are picked by a join.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,36 +40,53 @@ def long_values(df: DataFrame, fields: list[str]) -> DataFrame:
     return out.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
-    """``(group, prob, q)`` with linear interpolation at position (n-1)*prob."""
-    counts = df.groupBy(group, value).agg(F.count("*").alias("_c"))
-    nb = max(2, shuffle_partitions(df))
-    cuts = counts.groupBy(group).agg(F.percentile_approx(value, [i / nb for i in range(1, nb)], 1000).alias("_cuts"))
-    t = counts.join(cuts, group).withColumn("_bkt", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-    tot = t.groupBy(group, "_bkt").agg(F.sum("_c").alias("_bt"))
-    wg = Window.partitionBy(group).orderBy("_bkt")  # one row per (group, bucket): bounded
-    tot = tot.select(
-        group, "_bkt",
-        F.coalesce(F.sum("_bt").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_bt").over(Window.partitionBy(group)).alias("_n"),
-    )
-    wi = Window.partitionBy(group, "_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.join(tot, [group, "_bkt"]).withColumn("_end", F.sum("_c").over(wi) + F.col("_off"))  # exclusive end
-    t = t.withColumn("_start", F.col("_end") - F.col("_c"))
-    n = tot.select(group, "_n").distinct()
-    targets = n.select(group, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-    targets = targets.withColumn("_pos", (F.col("_n") - 1) * F.col("prob"))
-    targets = targets.withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
-    hit = t.join(targets, group).where(
-        ((F.col("_start") <= F.col("_lo")) & (F.col("_lo") < F.col("_end")))
-        | ((F.col("_start") <= F.col("_hi")) & (F.col("_hi") < F.col("_end")))
-    )
-    picked = hit.groupBy(group, "prob", "_pos", "_lo").agg(
-        F.max(F.when((F.col("_start") <= F.col("_lo")) & (F.col("_lo") < F.col("_end")), F.col(value))).alias("_vlo"),
-        F.max(F.when((F.col("_start") <= F.col("_hi")) & (F.col("_hi") < F.col("_end")), F.col(value))).alias("_vhi"),
-    )
-    q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_lo"))
-    return picked.select(group, "prob", q.alias("q"))
+def exact_quantiles(df: DataFrame, group: str, value: str, probs: list[float], single_task_rows: int = 2_000_000) -> DataFrame:
+    """``(group, prob, q)`` with linear interpolation at position (n-1)*prob.
+
+    Runs eagerly and returns groups x probs rows (callers pass a bounded
+    group set: monitored fields, one sample).  The (group, value, count)
+    table is persisted for the duration of the call.  When it is checked to
+    hold at most ``single_task_rows`` rows, the running count is one window
+    per group; otherwise range buckets from approximate cut points give a
+    running count per (group, bucket) plus per-bucket offsets.
+    """
+    counts = df.groupBy(group, value).agg(F.count("*").alias("_c")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if counts.limit(single_task_rows + 1).count() <= single_task_rows:
+            w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+            t = counts.withColumn("_end", F.sum("_c").over(w))
+            n = counts.groupBy(group).agg(F.sum("_c").alias("_n"))
+        else:
+            nb = max(2, shuffle_partitions(df))
+            cuts = counts.groupBy(group).agg(F.percentile_approx(value, [i / nb for i in range(1, nb)], 1000).alias("_cuts"))
+            t = counts.join(cuts, group).withColumn("_bkt", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+            tot = t.groupBy(group, "_bkt").agg(F.sum("_c").alias("_bt"))
+            wg = Window.partitionBy(group).orderBy("_bkt")  # one row per (group, bucket): bounded
+            tot = tot.select(
+                group, "_bkt",
+                F.coalesce(F.sum("_bt").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+                F.sum("_bt").over(Window.partitionBy(group)).alias("_n"),
+            )
+            wi = Window.partitionBy(group, "_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+            t = t.join(tot, [group, "_bkt"]).withColumn("_end", F.sum("_c").over(wi) + F.col("_off"))  # exclusive end
+            n = tot.select(group, "_n").distinct()
+        t = t.withColumn("_start", F.col("_end") - F.col("_c"))
+        targets = n.select(group, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+        targets = targets.withColumn("_pos", (F.col("_n") - 1) * F.col("prob"))
+        targets = targets.withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
+        in_lo = (F.col("_start") <= F.col("_lo")) & (F.col("_lo") < F.col("_end"))
+        in_hi = (F.col("_start") <= F.col("_hi")) & (F.col("_hi") < F.col("_end"))
+        hit = t.join(targets, group).where(in_lo | in_hi)
+        picked = hit.groupBy(group, "prob", "_pos", "_lo").agg(
+            F.max(F.when(in_lo, F.col(value))).alias("_vlo"), F.max(F.when(in_hi, F.col(value))).alias("_vhi"),
+        )
+        q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_lo"))
+        out = picked.select(group, "prob", q.alias("q"))
+        rows = out.collect()  # groups x probs rows
+        schema = out.schema
+    finally:
+        counts.unpersist()
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def training_ranges(df: DataFrame, fields: list[str] = NUMERIC_FIELDS, defaults: dict = DEFAULT_RANGES) -> DataFrame:

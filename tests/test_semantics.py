@@ -240,3 +240,11 @@ def test_encoder_join_path_equals_map_path(spark, monkeypatch):
     monkeypatch.setattr(features, "MAP_LOOKUP_MAX_ENTRIES", 0)
     via_join = sorted(tuple(r) for r in features.apply_encoders(new, dic).select(*cols).collect())
     assert via_map == via_join == [(0, 1, 0, 0), (1, 0, 0, 1)]
+
+
+def test_exact_quantiles_bucket_path_matches_numpy(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, size=2000), "v": np.round(rng.normal(size=2000), 2)})
+    got = drift.exact_quantiles(spark.createDataFrame(pdf), "g", "v", [0.01, 0.5, 0.99], single_task_rows=0).collect()
+    for r in got:
+        assert abs(r["q"] - np.quantile(pdf[pdf.g == r["g"]].v.to_numpy(), r["prob"])) < 1e-9
