@@ -44,16 +44,11 @@ def q_promotion_step(spark, sf_dir):
 
 @query("parent_lookup")
 def q_parent_lookup(spark, sf_dir):
-    """As-of lookup: the latest accepted version of the line before each candidate."""
+    """As-of lookup: the latest accepted version of the line before each
+    candidate -- emitted by the fold itself, so no second sort per line."""
     f = _fold(spark, sf_dir)
-    w = Window.partitionBy("line").orderBy("ts", "cand_id").rowsBetween(Window.unboundedPreceding, -1)
-    acc = F.col("promotion_class").isNotNull()
-    return f.select(
-        "line", "cand_id",
-        F.last(F.when(acc, F.col("version")), ignorenulls=True).over(w).alias("parent_version"),
-        F.last(F.when(acc, F.col("R2")), ignorenulls=True).over(w).alias("parent_R2"),
-        F.last(F.when(acc, F.col("MAE")), ignorenulls=True).over(w).alias("parent_MAE"),
-    )
+    return f.select("line", "cand_id", F.col("seen_parent").alias("parent_version"),
+                    F.col("seen_parent_R2").alias("parent_R2"), F.col("seen_parent_MAE").alias("parent_MAE"))
 
 
 @query("active_pointer")
