@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from stratus.llm import line_dedup
+from stratus.llm import line_dedup, mixing
 
 
 def all_queries() -> dict:
     return {
+        "op4_mix_sources": mixing.query,
         "op10_line_dedup": line_dedup.query,
     }
 
 
 def all_sql() -> dict[str, str]:
     return {
+        "op4_mix_sources": mixing.SQL,
         "op10_line_dedup": line_dedup.SQL,
     }
