@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stratus.llm import line_dedup, mixing, packing, token_files
+from stratus.llm import line_dedup, mixing, packing, simhash, token_files
 
 
 def all_queries() -> dict:
     return {
         "op4_mix_sources": mixing.query,
+        "op7_simhash": simhash.query,
         "op8_token_planes": token_files.query,
         "op9_pack_sequences": packing.query,
         "op10_line_dedup": line_dedup.query,
