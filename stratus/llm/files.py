@@ -20,7 +20,7 @@ class NewFile:
         store, path = filesystem(folder)
         store.create_dir(path, recursive=True)
         name = f"{uuid.uuid4().hex}{suffix}"
-        self.uri, self.out, self.size = f"{folder}/{name}", store.open_output_stream(f"{path}/{name}"), 0
+        self.uri, self.out, self.size = f"{folder}/{name}", store.open_output_stream(f"{path}/{name}", compression=None), 0
 
     def write(self, data: bytes) -> int:
         """Appends; returns where the data begins."""

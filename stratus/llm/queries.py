@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stratus.llm import line_dedup, mixing, packing, simhash, substring_dedup, token_files
+from stratus.llm import line_dedup, mixing, packing, simhash, substring_dedup, token_files, warc
 
 
 def all_queries() -> dict:
     return {
+        "op1_warc": warc.query,
         "op3_substring_dedup": substring_dedup.query,
         "op4_mix_sources": mixing.query,
         "op7_simhash": simhash.query,
@@ -18,6 +19,7 @@ def all_queries() -> dict:
 
 def all_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.SQL,
         "op3_substring_dedup": substring_dedup.SQL,
         "op4_mix_sources": mixing.SQL,
         "op10_line_dedup": line_dedup.SQL,
