@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from stratus.llm import line_dedup, mixing, packing, simhash, substring_dedup, token_files, warc
+from stratus.llm import line_dedup, mixing, packing, quality, rules, simhash, substring_dedup, token_files, warc
 
 
 def all_queries() -> dict:
     return {
         "op1_warc": warc.query,
+        "op2_quality_fm": quality.query,
         "op3_substring_dedup": substring_dedup.query,
         "op4_mix_sources": mixing.query,
+        "op5_quality_rules": rules.query,
         "op7_simhash": simhash.query,
         "op8_token_planes": token_files.query,
         "op9_pack_sequences": packing.query,
