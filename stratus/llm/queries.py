@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratus.llm import line_dedup, mixing, packing, quality, rules, simhash, substring_dedup, token_files, warc
+from stratus.llm import line_dedup, mixing, packing, quality, rules, simhash, substring_dedup, token_files, vectors, warc
 
 
 def all_queries() -> dict:
@@ -12,6 +12,7 @@ def all_queries() -> dict:
         "op3_substring_dedup": substring_dedup.query,
         "op4_mix_sources": mixing.query,
         "op5_quality_rules": rules.query,
+        "op6_multi_index": vectors.query,
         "op7_simhash": simhash.query,
         "op8_token_planes": token_files.query,
         "op9_pack_sequences": packing.query,
