@@ -49,9 +49,9 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     return docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.array_compact(hashes))).alias("h"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, prefix: str = "") -> DataFrame:
     """The rows of ``docs`` with the text rewritten, and with n_lines (before) and
-    n_dropped appended."""
+    n_dropped appended, their names after ``prefix``; columns of those names are replaced."""
     hot = written(frequent_lines(docs, id_col, text_col, min_chars, min_docs), "frequent-lines")
     drops = (
         _exploded(docs, id_col, text_col, min_chars)
@@ -66,9 +66,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = joined.withColumn("__kept", F.when(F.col("__drops").isNotNull(), kept))
     n_lines = F.size(lines).cast("long")
     return joined.select(
-        *[F.coalesce(F.array_join("__kept", "\n"), F.col(text_col), F.lit("")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        n_lines.alias("n_lines"),
-        F.coalesce(n_lines - F.size("__kept"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.coalesce(F.array_join("__kept", "\n"), F.col(text_col), F.lit("")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in (f"{prefix}n_lines", f"{prefix}n_dropped")],
+        n_lines.alias(f"{prefix}n_lines"),
+        F.coalesce(n_lines - F.size("__kept"), F.lit(0)).cast("long").alias(f"{prefix}n_dropped"),
     )
 
 

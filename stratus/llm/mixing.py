@@ -91,20 +91,22 @@ def plan(keyed: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = 3) -> Dat
     return written(both.select("source", "source_size", "n_docs", "target", "epochs", "cut_bucket", "cut").coalesce(1), "mix-plan")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, weights: tuple = WEIGHTS, max_epochs: int = 3, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, weights: tuple = WEIGHTS, max_epochs: int = 3, seed: int = 42, prefix: str = "") -> DataFrame:
     """The rows of ``docs`` with size, source_size, target and copies (how often the mix
-    has the document) appended. ``weight``: a column of quality weights from 0.25 to 1."""
+    has the document) appended, their names after ``prefix``; columns of those names are
+    replaced. ``weight``: a column of quality weights from 0.25 to 1."""
     own = _keyed(id_col, text_col, source_col, weight, seed)
     keyed = written(docs.select(*[v.alias(k) for k, v in own.items()]), "mix-keys")
-    return _decided(docs.withColumns(own), plan(keyed, weights, max_epochs), docs.columns)
+    return _decided(docs.withColumns(own), plan(keyed, weights, max_epochs), docs.columns, prefix)
 
 
-def _decided(keyed: DataFrame, planned: DataFrame, columns: list[str]) -> DataFrame:
+def _decided(keyed: DataFrame, planned: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
     planned = planned.select(*[F.col(c).alias(f"__p_{c}") for c in planned.columns])
     x = keyed.join(planned, F.col("__source").eqNullSafe(F.col("__p_source")), "left")
     bucket = _bucket("__p_n_docs")
     inside = (bucket < F.col("__p_cut_bucket")) | ((bucket == F.col("__p_cut_bucket")) & (F.struct(F.col("__key"), F.col("__tie")) <= F.col("__p_cut")))
     own = {"size": F.col("__size"), "source_size": F.col("__p_source_size"), "target": F.col("__p_target"), "copies": F.col("__p_epochs") + F.coalesce(inside, F.lit(False)).cast("long")}
+    own = {prefix + k: v for k, v in own.items()}
     return x.select(*[F.col(f"`{c}`") for c in columns if c not in own], *[v.alias(k) for k, v in own.items()])
 
 

@@ -19,8 +19,8 @@ most as many links as members, and links are closed to components.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; rows
 that repeat an id or a text are linked as copies; null ids are never a component's id
-unless all its ids are null; other columns aren't read; an empty table gives an empty
-result.
+unless all its ids are null; other columns pass unchanged or aren't read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stratus.llm import tokens
 from stratus.llm.common import written
@@ -187,17 +187,32 @@ def links(distinct: DataFrame, max_bits: int = 2, max_shard: int = 2048) -> Data
     return out
 
 
+def _classes(fps: DataFrame, id_col: str, max_bits: int, max_shard: int) -> DataFrame:
+    """(f, top, component_id): for each fingerprint its class and the class's least id."""
+    reps = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
+    roots = written(components(links(reps.select("fp"), max_bits, max_shard)), "fingerprint-roots")
+    member = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("top"))
+    ids = member.groupBy(F.col("top").alias("t")).agg(F.min("least").alias("component_id"))
+    return written(member.join(ids, F.col("top") == F.col("t")).select(F.col("fp").alias("f"), "top", "component_id"), "fingerprint-classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, max_shard: int = 2048) -> DataFrame:
     """A row per row of ``docs``: the id, fp (signed long) and component_id, the smallest
     id that links reach."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
-    roots = written(components(links(reps.select("fp"), max_bits, max_shard)), "fingerprint-roots")
-    member = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "least", "root")
-    ids = member.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component"))
-    classes = member.join(ids.withColumnRenamed("root", "r"), F.col("root") == F.col("r"), "left").select(F.col("fp").alias("f"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
-    classes = written(classes, "fingerprint-classes")
-    return fps.join(classes, F.col("fp") == F.col("f")).select(id_col, "fp", "component_id")
+    return fps.join(_classes(fps, id_col, max_bits, max_shard), F.col("fp") == F.col("f")).select(id_col, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, max_shard: int = 2048) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the row with the least
+    id stays (null ids last; of rows with that id, one of them)."""
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    fps = keyed.select(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("who"), F.col(text_col))
+    fps = written(fingerprints(fps, "who", text_col, shingle).select("who.*", "fp"), "fingerprints")
+    best = fps.join(_classes(fps, "id", max_bits, max_shard), F.col("fp") == F.col("f")).groupBy("top").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
+    stay = best.select(F.col("best.row").alias("__stay"))
+    kept = keyed.join(stay, F.col("__row") == F.col("__stay")).withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
+    return kept.filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
