@@ -9,6 +9,9 @@ whatever the input's size, and every step moves as many sequences as the counts
    A combination that fills the gap exactly is used as often as its counts allow.
 2. What has no exact complement is placed longest first, each into the least gap that
    holds it; a new sequence starts where none does.
+3. Filling gaps with many short lengths can leave too few for the rest where there are
+   few pieces; of the plans with complements up to three, two, one and none, the one with
+   the fewest sequences counts.
 
 The plan is a list of slots (length, first rank, count, first sequence, offset), bounded
 by the capacity alone. A piece finds its slot by its rank among pieces of its length;
@@ -85,11 +88,16 @@ class Stock:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """[(lengths of a sequence, number of such sequences)] for a histogram of lengths."""
+    """[(lengths of a sequence, number of such sequences)] for a histogram of lengths: the
+    shortest of the plans whose complements have at most three, two, one or no lengths."""
+    return min((_planned(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda made: sum(t for _, t in made))
+
+
+def _planned(counts: dict[int, int], capacity: int, most: int) -> list[tuple[list[int], int]]:
     stock, made = Stock(counts, capacity), []
     for length in range(capacity, 0, -1):
         gap = capacity - length
-        for find in (stock.single, stock.pair, stock.triple) if gap else (lambda _gap, _lead: [],):
+        for find in (stock.single, stock.pair, stock.triple)[:most] if gap else (lambda _gap, _lead: [],):
             while stock.n[length] and (more := find(gap, [length])) is not None:
                 combo = [length, *more]
                 times = stock.fits(combo)

@@ -82,7 +82,7 @@ def test_plan_uses_every_piece_once():
                 used[x] += times
         assert used == counts
         filled = sum(t for _, t in made)
-        assert filled <= best_fit_decreasing(counts, capacity) + 2
+        assert filled <= best_fit_decreasing(counts, capacity)
 
 
 def best_fit_decreasing(counts, capacity):
