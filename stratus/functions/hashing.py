@@ -6,17 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def sha256_hex(c: Column) -> Column:
-    return F.sha2(c, 256)
-
-
 def params_fingerprint(params_json: Column) -> Column:
     """SHA-256 of the parameter object as sorted, compact JSON.
 
     Variant objects keep their keys sorted, and ``to_json`` of a variant is
-    compact, so parse + print is the canonical form (JSON nulls are kept).
+    compact, so parse + print is the canonical form (JSON nulls are kept).  Numbers
+    written with a trailing zero after the point or an exponent (``1.0``, ``1e3``) would be
+    printed otherwise than they were written, and match nothing; they are refused.
     """
-    return F.sha2(F.to_json(F.parse_json(params_json)), 256)
+    odd = params_json.rlike(r'[:\[,]\s*-?[0-9]+(\.[0-9]*0|\.?[0-9]*[eE][-+]?[0-9]+)\s*[,}\]]')
+    refused = F.raise_error(F.concat(F.lit("numbers of no canonical form in parameters: "), params_json)).cast("string")
+    return F.sha2(F.when(odd, refused).otherwise(F.to_json(F.parse_json(params_json))), 256)
 
 
 def git_blob_digest(content: Column) -> Column:

@@ -10,12 +10,24 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def order_number(df: DataFrame, column: str) -> Column:
+    """A double that never decreases in the column's order: the value of a number, the
+    microseconds of a time, the first six bytes of a text."""
+    kind = df.schema[column].dataType.typeName()
+    c = F.col(column)
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return c.cast("double")
+
+
 def range_buckets(df: DataFrame, major: Column, n_buckets: int | None = None, accuracy: int = 10000) -> Column:
     """A bucket id that is monotone in ``major`` (numeric), from approximate quantiles.
 
     One small job computes at most ``n_buckets`` cut points (a bounded list on
     the driver); the id is then a pure expression of the row, so recomputing a
-    lost partition gives the same buckets.
+    lost partition gives the same buckets.  Nulls are in the first bucket.
     """
     n = n_buckets or max(2, shuffle_partitions(df))
     probs = [i / n for i in range(1, n)]
@@ -23,44 +35,53 @@ def range_buckets(df: DataFrame, major: Column, n_buckets: int | None = None, ac
     cuts = sorted({float(x) for x in (row["q"] or []) if x is not None})
     if not cuts:
         return F.lit(0)
-    # bucket = number of cut points <= value (binary search in the JVM would be
-    # nicer; the list is at most n_buckets long)
+    # bucket = number of cut points <= value; the list is at most n_buckets long
     arr = F.array(*[F.lit(c) for c in cuts])
-    return F.size(F.filter(arr, lambda c: c <= major.cast("double")))
+    return F.coalesce(F.size(F.filter(arr, lambda c: c <= major.cast("double"))), F.lit(0))
 
 
-def running_total(df: DataFrame, order_cols: list[str], value: Column, out: str, major: Column | None = None,
-                  single_task_rows: int = 100_000) -> DataFrame:
-    """``sum(value) over (order by order_cols rows unbounded preceding)`` without a
-    single-partition window.
+def running_total(df: DataFrame, order_cols: list[str], value: Column, out: str, group: list[str] | None = None) -> DataFrame:
+    """``sum(value) over (partition by group order by order_cols rows unbounded
+    preceding)`` without a window over a whole group.
 
-    Rows are cut into range buckets on ``major`` (default: first order column);
-    each bucket gets a local running sum (window partitioned by bucket) plus
-    the total of all earlier buckets (a table of at most one row per bucket).
-    Inputs checked to hold at most ``single_task_rows`` rows use one window.
+    Rows are cut into range buckets on the first order column; each bucket gets a
+    local running sum plus the total of all earlier buckets of its group (at most
+    one row per group and bucket).
     """
-    if single_task_rows and df.limit(single_task_rows + 1).count() <= single_task_rows:
-        # checked to be small: one ordered window in one task is cheaper than
-        # computing bucket cut points
-        w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(w))
-    major = major if major is not None else F.col(order_cols[0])
-    b = range_buckets(df, major)
-    tagged = df.withColumn("_bkt", b).withColumn("_v", value)
-    totals = tagged.groupBy("_bkt").agg(F.sum("_v").alias("_bt"))
-    offs = totals.select(
-        "_bkt",
-        F.coalesce(
-            F.sum("_bt").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-    )  # bounded by the bucket count: a one-partition window is fine here
-    w = Window.partitionBy("_bkt").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        tagged.join(F.broadcast(offs), "_bkt")
-        .withColumn(out, F.sum("_v").over(w) + F.col("_off"))
-        .drop("_bkt", "_v", "_off")
-    )
+    group = group or []
+    tagged = df.withColumn("_bkt", range_buckets(df, order_number(df, order_cols[0]))).withColumn("_v", value)
+    totals = tagged.groupBy(*group, "_bkt").agg(F.sum("_v").alias("_bt"))
+    earlier = Window.partitionBy(*group).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(*[F.col(g).alias(f"_o_{g}") for g in group], F.col("_bkt").alias("_o_bkt"), F.coalesce(F.sum("_bt").over(earlier), F.lit(0)).alias("_off"))
+    on = F.col("_bkt") == F.col("_o_bkt")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
+    w = Window.partitionBy(*group, "_bkt").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    return tagged.join(offs, on).withColumn(out, F.sum("_v").over(w) + F.col("_off")).drop("_bkt", "_v", "_off", "_o_bkt", *[f"_o_{g}" for g in group])
 
 
-def rounded(c: Column, digits: int = 6) -> Column:
-    return F.round(c, digits)
+def nth_row(df: DataFrame, order_cols: list[str], n: int):
+    """The ``n``-th row (from 1) in the order of ``order_cols``, nulls first.
+
+    The search narrows to the range bucket that holds the row, from counts per bucket (a
+    bounded table), until the rows left agree in the column, and goes on with the next
+    one; the few rows left are sorted.  A round keeps about one bucket's share.
+    """
+    rows, left = df.select(*order_cols), n
+    for c in order_cols:
+        while True:
+            number = order_number(rows, c)
+            seen = rows.agg(F.count("*").alias("n"), F.count(c).alias("known"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
+            if seen["known"] in (0, seen["n"]) and seen["lo"] == seen["hi"]:
+                break
+            tagged = rows.withColumn("_bkt", F.when(F.col(c).isNull(), -1).otherwise(range_buckets(rows, number)))
+            size = 0
+            for b, size in sorted((r["_bkt"], r["count"]) for r in tagged.groupBy("_bkt").count().collect()):  # a row per bucket
+                if left <= size:
+                    rows = tagged.where(F.col("_bkt") == b).drop("_bkt")
+                    break
+                left -= size
+            if size == seen["n"]:
+                break  # texts that share six leading bytes
+    w = Window.orderBy(*order_cols)  # of what is left
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == left).drop("_rn").first()

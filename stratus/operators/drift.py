@@ -1,18 +1,19 @@
 """Feature drift: training ranges (exact quantiles), out-of-band checks, PSI.
 
-Exact quantiles are computed without collecting any group's values: rows
-become (group, value, count) pairs, a running count per group is built from
-range buckets (window per (group, bucket) plus per-bucket offsets), and the
-two order statistics around each requested position are picked by a join.
+Exact quantiles are computed in two passes: approximate quantiles bracket each
+position, and only values inside the brackets are grouped.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from .common import shuffle_partitions
+# Accuracy of the bracketing quantiles: rank error at most one in so many rows.
+ACCURACY = 10_000
 
 # Monitored numeric fields, in check order.
 NUMERIC_FIELDS = ["cpu_usage", "memory_usage", "net_io", "disk_io", "RAM_GB", "vCPU", "latency_ms", "throughput", "utilization"]
@@ -30,69 +31,70 @@ DEFAULT_RANGES = {
 }
 
 
-def long_values(df: DataFrame, fields: list[str]) -> DataFrame:
-    """``(field, v)`` rows, lenient numeric cast, nulls and NaN dropped."""
-    have = [f for f in fields if f in df.columns]
-    if not have:
-        return df.sparkSession.createDataFrame([], "field string, v double")
-    kv = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f).cast("string")).try_cast("double").alias("v")) for f in have]))
-    out = df.select(kv.alias("kv")).select("kv.field", "kv.v")
-    return out.where(F.col("v").isNotNull() & ~F.isnan("v"))
+def lenient_double(df: DataFrame, field: str) -> Column:
+    """The field as double; text that is no number, and NaN, become null."""
+    c = F.col(field)
+    v = c.cast("double") if isinstance(df.schema[field].dataType, NumericType) else c.cast("string").try_cast("double")
+    return F.when(~F.isnan(v), v)
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, probs: list[float], single_task_rows: int = 2_000_000) -> DataFrame:
-    """``(group, prob, q)`` with linear interpolation at position (n-1)*prob.
+def exact_quantiles(df: DataFrame, fields: list[str], probs: list[float]) -> DataFrame:
+    """``(field, prob, q)`` with linear interpolation at position (n-1)*prob; fields
+    without values have no rows.
 
-    Runs eagerly and returns groups x probs rows (callers pass a bounded
-    group set: monitored fields, one sample).  The (group, value, count)
-    table is persisted for the duration of the call.  When it is checked to
-    hold at most ``single_task_rows`` rows, the running count is one window
-    per group; otherwise range buckets from approximate cut points give a
-    running count per (group, bucket) plus per-bucket offsets.
+    Two passes, neither of which moves the table's values.  The first brackets each
+    requested position by approximate quantiles a little before and after it.  The second
+    counts the values below each bracket and groups the few inside; the exact order
+    statistics are among those.  A bracket that misses its position (the approximation has
+    a stated error, so it should not) is widened and the second pass repeated.
     """
-    counts = df.groupBy(group, value).agg(F.count("*").alias("_c")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if counts.limit(single_task_rows + 1).count() <= single_task_rows:
-            w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-            t = counts.withColumn("_end", F.sum("_c").over(w))
-            n = counts.groupBy(group).agg(F.sum("_c").alias("_n"))
-        else:
-            nb = max(2, shuffle_partitions(df))
-            cuts = counts.groupBy(group).agg(F.percentile_approx(value, [i / nb for i in range(1, nb)], 1000).alias("_cuts"))
-            t = counts.join(cuts, group).withColumn("_bkt", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-            tot = t.groupBy(group, "_bkt").agg(F.sum("_c").alias("_bt"))
-            wg = Window.partitionBy(group).orderBy("_bkt")  # one row per (group, bucket): bounded
-            tot = tot.select(
-                group, "_bkt",
-                F.coalesce(F.sum("_bt").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-                F.sum("_bt").over(Window.partitionBy(group)).alias("_n"),
-            )
-            wi = Window.partitionBy(group, "_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-            t = t.join(tot, [group, "_bkt"]).withColumn("_end", F.sum("_c").over(wi) + F.col("_off"))  # exclusive end
-            n = tot.select(group, "_n").distinct()
-        t = t.withColumn("_start", F.col("_end") - F.col("_c"))
-        targets = n.select(group, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-        targets = targets.withColumn("_pos", (F.col("_n") - 1) * F.col("prob"))
-        targets = targets.withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
-        in_lo = (F.col("_start") <= F.col("_lo")) & (F.col("_lo") < F.col("_end"))
-        in_hi = (F.col("_start") <= F.col("_hi")) & (F.col("_hi") < F.col("_end"))
-        hit = t.join(targets, group).where(in_lo | in_hi)
-        picked = hit.groupBy(group, "prob", "_pos", "_lo").agg(
-            F.max(F.when(in_lo, F.col(value))).alias("_vlo"), F.max(F.when(in_hi, F.col(value))).alias("_vhi"),
-        )
-        q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_lo"))
-        out = picked.select(group, "prob", q.alias("q"))
-        rows = out.collect()  # groups x probs rows
-        schema = out.schema
-    finally:
-        counts.unpersist()
-    return df.sparkSession.createDataFrame(rows, schema)
+    have = [f for f in dict.fromkeys(fields) if f in df.columns]
+    schema = "field string, prob double, q double"
+    if not have or not probs:
+        return df.sparkSession.createDataFrame([], schema)
+    vals = df.select(*[lenient_double(df, f).alias(f"v{i}") for i, f in enumerate(have)])
+    width, todo, out = 4.0 / ACCURACY, [(i, p) for i in range(len(have)) for p in probs], []
+    while todo:
+        marks = {}
+        aggs = [F.count(f"v{i}").alias(f"n{i}") for i in range(len(have))]
+        for k, (i, p) in enumerate(todo):
+            aggs.append(F.percentile_approx(f"v{i}", [max(0.0, p - width), min(1.0, p + width)], ACCURACY).alias(f"b{k}"))
+        first = vals.agg(*aggs).first()
+        todo = [(k, i, p) for k, (i, p) in enumerate(todo) if first[f"n{i}"]]
+        if not todo:
+            break
+        inside, below = [], []
+        for k, i, p in todo:
+            lo = first[f"b{k}"][0] if p > width else float("-inf")
+            hi = first[f"b{k}"][1] if p < 1 - width else float("inf")
+            marks[k] = (first[f"n{i}"] - 1) * p
+            v = F.col(f"v{i}")
+            below.append(F.count_if(v < F.lit(lo)).alias(f"c{k}"))
+            inside.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), F.struct(F.lit(k).alias("k"), v.alias("v"))))
+        before = vals.agg(*below).first()
+        few = vals.select(F.explode(F.array_compact(F.array(*inside))).alias("x")).groupBy("x.k", "x.v").agg(F.count("*").alias("c"))
+        w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        at = F.element_at(F.create_map(*[x for k in marks for x in (F.lit(k), F.lit(before[f"c{k}"]))]), F.col("k"))
+        pos = F.element_at(F.create_map(*[x for k, m in marks.items() for x in (F.lit(k), F.lit(m))]), F.col("k"))
+        t = few.withColumn("end", F.sum("c").over(w) + at).withColumn("pos", pos)
+        holds = lambda place: (F.col("end") - F.col("c") <= place) & (place < F.col("end"))
+        got = t.groupBy("k").agg(F.max(F.when(holds(F.floor("pos")), F.col("v"))).alias("lo"), F.max(F.when(holds(F.ceil("pos")), F.col("v"))).alias("hi"))
+        found = {r["k"]: (r["lo"], r["hi"]) for r in got.collect()}  # fields x probs rows
+        again = []
+        for k, i, p in todo:
+            lo, hi = found.get(k, (None, None))
+            if lo is None or hi is None:
+                again.append((i, p))
+            else:
+                out.append((have[i], float(p), lo + (hi - lo) * (marks[k] - math.floor(marks[k]))))
+        todo, width = again, width * 10
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def training_ranges(df: DataFrame, fields: list[str] = NUMERIC_FIELDS, defaults: dict = DEFAULT_RANGES) -> DataFrame:
     """``(field, low, high, source)``: 1 % / 99 % quantiles where data exist and
     high > low, else the default range."""
-    q = exact_quantiles(long_values(df, fields), "field", "v", [0.01, 0.99])
+    q = exact_quantiles(df, fields, [0.01, 0.99])
     qq = q.groupBy("field").agg(
         F.max(F.when(F.col("prob") == 0.01, F.col("q"))).alias("ql"), F.max(F.when(F.col("prob") == 0.99, F.col("q"))).alias("qh")
     )
@@ -119,16 +121,15 @@ def oob_fields(df: DataFrame, ranges: dict[str, tuple[float, float]], fields: li
         if f not in df.columns or f not in ranges:
             continue
         lo, hi = ranges[f]
-        v = (F.col(f).cast("string")).try_cast("double")
-        names.append(F.when(v.isNotNull() & ~F.isnan(v) & ((v < lo) | (v > hi)), F.lit(f)))
+        v = lenient_double(df, f)
+        names.append(F.when((v < lo) | (v > hi), F.lit(f)))
     return F.filter(F.array(*names), lambda x: x.isNotNull()) if names else F.array().cast("array<string>")
 
 
-def psi(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10, edge_digits: int = 6) -> DataFrame:
+def psi(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10, edge_digits: int | None = None) -> DataFrame:
     """Population stability index over quantile bins of the expected sample.
 
-    Edges = distinct quantiles (0, 1/bins, ..., 1) of expected, rounded to
-    ``edge_digits``; bins are [e_i, e_i+1) with the last one closed; values
+    Edges = distinct quantiles (0, 1/bins, ..., 1) of expected (``edge_digits``: rounded); bins are [e_i, e_i+1) with the last one closed; values
     outside the edges are dropped (and reported as ``out_of_range_fraction``);
     percentages are clipped at 1e-4.  0.0 when either sample has < bins rows
     or fewer than 3 edges remain.
@@ -136,8 +137,8 @@ def psi(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10, edge
     e = expected.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     a = actual.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     probs = [i / bins for i in range(bins + 1)]
-    qs = exact_quantiles(e.withColumn("g", F.lit(0)), "g", "v", probs)
-    edges = sorted({round(r["q"], edge_digits) for r in qs.collect()})  # at most bins + 1 numbers
+    qs = [r["q"] for r in exact_quantiles(e, ["v"], probs).collect()]  # at most bins + 1 numbers
+    edges = sorted(set(qs) if edge_digits is None else {round(q, edge_digits) for q in qs})
     ne, na = e.count(), a.count()
     spark = expected.sparkSession
     if ne < bins or na < bins or len(edges) < 3:
@@ -160,6 +161,6 @@ def psi(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10, edge
     pa = F.greatest(F.col("ca") / F.greatest(F.col("ta"), F.lit(1)), F.lit(1e-4))
     inb = F.col("b").isNotNull()
     return h.agg(
-        F.round(F.sum(F.when(inb, (pa - pe) * F.ln(pa / pe))), 6).alias("psi"),
-        F.round(F.sum(F.when(~inb, F.col("ca")).otherwise(0)) / F.lit(na), 6).alias("out_of_range_fraction"),
+        F.sum(F.when(inb, (pa - pe) * F.ln(pa / pe))).alias("psi"),
+        (F.sum(F.when(~inb, F.col("ca")).otherwise(0)) / F.lit(na)).alias("out_of_range_fraction"),
     ).select("psi", "out_of_range_fraction", F.lit(ne).cast("bigint").alias("n_expected"), F.lit(na).cast("bigint").alias("n_actual"), F.lit(len(edges)).alias("n_edges"))

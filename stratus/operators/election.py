@@ -1,22 +1,21 @@
 """Trial election: eligibility, deny list, Borda midranks, Copeland, winner.
 
-Works on a table of many elections keyed by ``election_id``.  Ranking
-windows are partitioned by (election, metric value) counts rather than by
-raw rows where possible; Copeland is only needed to break ties among the
+Works on a table of many elections keyed by ``election_id``; a trial is known
+by its election and id.  Copeland is only needed to break ties among the
 Borda leaders, so it is computed for leaders against all survivors, with
-the survivors of an election spread over salt buckets so a huge election
-does not land in one task.
+the survivors of a huge election spread over buckets.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import params_fingerprint
-from .common import shuffle_partitions
+from ..sources.io import cut_lineage
+from .common import running_total
 
 
 @dataclass(frozen=True)
@@ -49,68 +48,76 @@ def eligibility(trials: DataFrame, constraints: DataFrame, deny: DataFrame) -> D
         # one row per election: bounded by the election count; AQE sizes the join
         t = t.join(constraints, "election_id")
     else:
-        row = constraints.first().asDict()  # exactly one parameter row
+        rows = constraints.take(2)
+        if len(rows) != 1:
+            raise ValueError("constraints without election_id must be exactly one row")
+        row = rows[0].asDict()
         t = t.select("*", *[F.lit(v).alias(k) for k, v in row.items()])
     d = deny.select(F.lower(F.trim(F.col("fingerprint"))).alias("_deny")).where(
         (F.col("_deny") != "") & ~F.col("_deny").startswith("#")
     ).distinct()
     t = t.join(d, F.lower(F.col("fingerprint")) == F.col("_deny"), "left")
-    reason = (
-        F.when(F.col("n_estimators") < F.col("n_estimators_min"), F.lit("n_estimators_min"))
-        .when(F.col("n_estimators") > F.col("n_estimators_max"), F.lit("n_estimators_max"))
-        .when(F.col("max_features") != F.col("required_max_features"), F.lit("max_features"))
-        .when(F.col("random_state") != F.col("required_random_state"), F.lit("random_state"))
-        .when(F.col("require_unlimited_depth") & F.col("max_depth").isNotNull(), F.lit("max_depth"))
-        .when(F.col("pred_var") > F.col("pred_var_max"), F.lit("pred_var"))
-        .when(F.col("_deny").isNotNull(), F.lit("denied"))
-    )
+    c = F.col
+    # a rule that a null field cannot meet rejects the trial
+    rules = {
+        "n_estimators_min": c("n_estimators") >= c("n_estimators_min"),
+        "n_estimators_max": c("n_estimators") <= c("n_estimators_max"),
+        "max_features": c("max_features") == c("required_max_features"),
+        "random_state": c("random_state") == c("required_random_state"),
+        "max_depth": ~c("require_unlimited_depth") | c("max_depth").isNull(),
+        "pred_var": c("pred_var") <= c("pred_var_max"),
+        "metrics": c("RMSE").isNotNull() & c("MAE").isNotNull() & c("R2").isNotNull(),
+        "denied": c("_deny").isNull(),
+    }
+    reason = F.coalesce(*[F.when(~F.coalesce(met, F.lit(False)), F.lit(name)) for name, met in rules.items()])
     keep = [c for c in trials.columns if c not in ("fingerprint",)]
     return t.select(*keep, F.lower(F.col("fingerprint")).alias("fingerprint"), reason.alias("reason"))
 
 
-def _midrank_points(s: DataFrame, metric: str, higher_is_better: bool) -> DataFrame:
-    """``n - midrank`` per trial for one metric: ties share (first+last)/2.
+def borda(survivors: DataFrame) -> DataFrame:
+    """Borda points per metric (RMSE, MAE low is good; R2 high is good) and total:
+    ``n - midrank``, where ties share (first + last) / 2.
 
-    Ranks come from per-(election, value) counts with a running total per
-    election over distinct values only.
+    One aggregate counts the values of all three metrics; ranks are running counts over
+    distinct values in range buckets, so a huge election is ranked by many tasks.
     """
-    v = F.col(metric)
-    cnt = s.groupBy("election_id", metric).agg(F.count("*").alias("_c"))
-    order = v.desc() if higher_is_better else v.asc()
-    w = Window.partitionBy("election_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    cnt = cnt.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    cnt = cnt.withColumn("_mid", F.col("_before") + (F.col("_c") + 1) / 2.0)
-    return cnt.select("election_id", metric, "_mid")
-
-
-def borda(survivors: DataFrame) -> DataFrame:
-    """Borda points per metric (RMSE, MAE low is good; R2 high is good) and total."""
-    n = survivors.groupBy("election_id").agg(F.count("*").alias("n_survivors"))
+    good_first = {"borda_rmse": F.col("RMSE"), "borda_mae": F.col("MAE"), "borda_r2": -F.col("R2")}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("m"), v.cast("double").alias("v")) for k, v in good_first.items()]))
+    counts = survivors.select("election_id", each.alias("x")).groupBy("election_id", "x.m", "x.v").agg(F.count("*").alias("c"))
+    counts = cut_lineage(counts, "borda-values")
+    ranks = running_total(counts, ["v"], F.col("c"), "upto", group=["election_id", "m"])
+    ranks = cut_lineage(ranks.select("election_id", "m", "v", (F.col("upto") - (F.col("c") - 1) / 2.0).alias("mid")), "borda-ranks")
+    n = counts.where(F.col("m") == "borda_mae").groupBy("election_id").agg(F.sum("c").alias("n_survivors"))
     out = survivors.join(n, "election_id")
-    for metric, hi, name in (("RMSE", False, "borda_rmse"), ("MAE", False, "borda_mae"), ("R2", True, "borda_r2")):
-        r = _midrank_points(survivors, metric, hi)
-        out = out.join(r, ["election_id", metric]).withColumn(name, F.col("n_survivors") - F.col("_mid")).drop("_mid")
+    for name, v in good_first.items():
+        r = ranks.where(F.col("m") == name).select(F.col("election_id").alias("_e"), F.col("v").alias("_v"), F.col("mid").alias("_mid"))
+        out = out.join(r, (F.col("election_id") == F.col("_e")) & (v.cast("double") == F.col("_v")))
+        out = out.withColumn(name, F.col("n_survivors") - F.col("_mid")).drop("_e", "_v", "_mid")
     return out.withColumn("borda", F.col("borda_rmse") + F.col("borda_mae") + F.col("borda_r2"))
 
 
-def copeland_for_leaders(scored: DataFrame, salt_buckets: int | None = None) -> DataFrame:
+# Survivors that a leader meets in a task, about.
+ROWS_PER_BUCKET = 10_000
+
+
+def copeland_for_leaders(scored: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Copeland score (pairwise majority wins over 3 metrics, ties 0) for the
     trials tied at the top Borda total of their election.
 
-    Leaders are copied into every salt bucket; each survivor goes to one
-    bucket by hash, so an election's comparisons spread over many tasks.
+    An election has a bucket for every ``rows_per_bucket`` survivors; leaders are copied
+    into each of their election's buckets and a survivor goes to one by hash, so a huge
+    election's comparisons spread over many tasks and a small one's leaders stay single.
     """
-    s = salt_buckets or max(1, shuffle_partitions(scored))
+    buckets = F.ceil(F.col("n_survivors") / rows_per_bucket).cast("bigint")
     top = scored.groupBy("election_id").agg(F.max("borda").alias("_top"))
     leaders = scored.join(top, "election_id").where(F.col("borda") == F.col("_top")).select(
         "election_id", F.col("trial_id").alias("a_id"), F.col("RMSE").alias("a_rmse"),
-        F.col("MAE").alias("a_mae"), F.col("R2").alias("a_r2"),
+        F.col("MAE").alias("a_mae"), F.col("R2").alias("a_r2"), F.explode(F.sequence(F.lit(0).cast("bigint"), buckets - 1)).alias("_salt"),
     )
-    leaders = leaders.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
     others = scored.select(
         "election_id", F.col("trial_id").alias("b_id"), F.col("RMSE").alias("b_rmse"),
         F.col("MAE").alias("b_mae"), F.col("R2").alias("b_r2"),
-        (F.abs(F.xxhash64("trial_id")) % s).alias("_salt"),
+        F.pmod(F.xxhash64("trial_id"), buckets).alias("_salt"),
     )
     pairs = leaders.join(others, ["election_id", "_salt"]).where(F.col("a_id") != F.col("b_id"))
     sgn = lambda x: F.when(x, 1).otherwise(0)
@@ -130,6 +137,14 @@ def round_significant(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits - 1}e", c).cast("double")
 
 
+def one_per_trial(trials: DataFrame) -> DataFrame:
+    """One row per trial of an election: the first file by name where ``source_file``
+    tells, else the least row."""
+    first = [F.col("source_file")] if "source_file" in trials.columns else []
+    row = F.struct(*trials.columns)
+    return trials.groupBy("election_id", "trial_id").agg(F.min(F.struct(*first, row.alias("_row"))).alias("_first")).select("_first._row.*")
+
+
 def elect(trials: DataFrame, constraints: DataFrame, deny: DataFrame, digits: int | None = None) -> DataFrame:
     """One row per election: winner by Borda desc, Copeland desc, pred_var asc,
     fingerprint asc, trial_id asc; ``status = 'NONE'`` when nobody survives.
@@ -141,9 +156,10 @@ def elect(trials: DataFrame, constraints: DataFrame, deny: DataFrame, digits: in
             *[round_significant(F.col(c), digits).alias(c) if c in ("RMSE", "MAE", "R2", "pred_var") else F.col(c)
               for c in trials.columns]
         )
+    trials = one_per_trial(trials)
     el = eligibility(trials, constraints, deny)
-    surv = el.where(F.col("reason").isNull())
-    scored = borda(surv)
+    surv = cut_lineage(el.where(F.col("reason").isNull()), "survivors")
+    scored = cut_lineage(borda(surv), "borda")
     cope = copeland_for_leaders(scored)
     lead = scored.join(cope, ["election_id", "trial_id"])
     key = F.struct(
@@ -166,6 +182,8 @@ def elect(trials: DataFrame, constraints: DataFrame, deny: DataFrame, digits: in
 
 
 def winner_documents(winners: DataFrame, trials: DataFrame) -> DataFrame:
-    """Full trial document of each winner (left join keeps NONE elections)."""
-    docs = trials.select(F.col("trial_id").alias("winner"), *[c for c in trials.columns if c not in ("trial_id", "election_id")])
-    return winners.join(docs, "winner", "left")
+    """Full trial document of each winner in its own election (left join keeps NONE
+    elections)."""
+    trials = one_per_trial(trials)
+    docs = trials.select(F.col("election_id").alias("_e"), F.col("trial_id").alias("_t"), *[c for c in trials.columns if c not in ("trial_id", "election_id")])
+    return winners.join(docs, (F.col("election_id") == F.col("_e")) & (F.col("winner") == F.col("_t")), "left").drop("_e", "_t")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import cut_lineage
+from .common import running_total
+
 # Categorical columns that get a `<col>_encoded` twin, in order.
 CATEGORICAL_COLUMNS = ["cloud_provider", "region", "vm_type", "target"]
 # Columns excluded from the cost feature matrix (label leakage).
@@ -55,53 +58,32 @@ def ratio_features(df: DataFrame, include_latency_ratio: bool = True) -> DataFra
 def fit_encoders(df: DataFrame, columns: list[str] = CATEGORICAL_COLUMNS) -> DataFrame:
     """Label dictionary ``(column, value, code)``: sorted distinct values -> 0..k-1.
 
-    The distinct is a partial+final hash aggregate; the ranking window runs on
-    the dictionary only (one partition per column name).
+    The distinct is a partial+final hash aggregate, written once (a fitted dictionary is
+    an artefact of its own); codes are running counts over range buckets of the values, so
+    a column with a very large vocabulary is ranked by many tasks.
     """
     pairs = df.select(
         F.explode(F.array(*[F.struct(F.lit(col).alias("column"), F.col(col).cast("string").alias("value")) for col in columns])).alias("kv")
     ).select("kv.column", "kv.value")
-    dic = pairs.where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return dic.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
-
-
-# Dictionaries up to this many entries become a literal map lookup (no join).
-MAP_LOOKUP_MAX_ENTRIES = 10_000
+    dic = cut_lineage(pairs.where(F.col("value").isNotNull()).distinct(), "encoder-values")
+    ranked = running_total(dic, ["value"], F.lit(1), "code", group=["column"])
+    return cut_lineage(ranked.withColumn("code", (F.col("code") - 1).cast("int")), "encoder-dictionary")
 
 
 def apply_encoders(df: DataFrame, dictionary: DataFrame, columns: list[str] = CATEGORICAL_COLUMNS) -> DataFrame:
     """Add ``<col>_encoded``; unknown values and columns without an encoder get 0.
 
-    The dictionary's size is checked first: when it holds at most
-    ``MAP_LOOKUP_MAX_ENTRIES`` entries it is collected (a bounded list) and
-    applied as a map lookup inside the projection -- no join, no shuffle of the
-    fact table.  Larger dictionaries are left-joined per column, with AQE
-    choosing broadcast or shuffle from the measured size.
+    A left join per column against its part of the dictionary, which Spark broadcasts if
+    its size allows and otherwise shuffles.
     """
-    small = dictionary.limit(MAP_LOOKUP_MAX_ENTRIES + 1).collect()
-    if len(small) <= MAP_LOOKUP_MAX_ENTRIES:
-        by_col: dict[str, list] = {}
-        for r in small:
-            by_col.setdefault(r["column"], []).append((r["value"], r["code"]))
-        cols = []
-        for col in columns:
-            pairs = by_col.get(col, [])
-            if pairs:
-                m = F.create_map(*[x for v, c in pairs for x in (F.lit(v), F.lit(c))])
-                code = F.coalesce(m[df[col].cast("string")], F.lit(0))
-            else:
-                code = F.lit(0)
-            cols.append(code.cast("int").alias(f"{col}_encoded"))
-        return df.select("*", *cols)
     out = df
     for col in columns:
         d = dictionary.where(F.col("column") == col).select(
             F.col("value").alias(f"_v_{col}"), F.col("code").alias(f"_c_{col}")
         )
-        out = out.join(d, out[col].cast("string") == d[f"_v_{col}"], "left")
-        out = out.withColumn(f"{col}_encoded", F.coalesce(F.col(f"_c_{col}"), F.lit(0))).drop(f"_v_{col}", f"_c_{col}")
-    return out
+        out = out.join(d, F.col(col).cast("string") == F.col(f"_v_{col}"), "left")
+    codes = [F.coalesce(F.col(f"_c_{col}"), F.lit(0)).alias(f"{col}_encoded") for col in columns]
+    return out.select(*[F.col(c) for c in df.columns if c not in {f"{col}_encoded" for col in columns}], *codes)
 
 
 def encoder_unknowns(df: DataFrame, dictionary: DataFrame, columns: list[str] = CATEGORICAL_COLUMNS) -> DataFrame:

@@ -10,11 +10,9 @@ streaming pass that holds at most ``limit`` timestamps.
 
 from __future__ import annotations
 
-from datetime import timedelta
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import shuffle_partitions
 
@@ -41,7 +39,7 @@ def window_counts(df: DataFrame, ts: str, width: str, labels: list[str], slide:
     out = df.groupBy(w.alias("w"), *labels).agg(F.count("*").alias("n"))
     return out.select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *labels, "n",
-        F.round(F.col("n") / F.lit(_seconds(width)), 6).alias("rate_per_s"),
+        (F.col("n") / F.lit(_seconds(width))).alias("rate_per_s"),
     )
 
 
@@ -107,7 +105,7 @@ def ratio_series(df: DataFrame, ts: str, bad: Column, width: str, slide: str, th
     ratio = F.col("n_bad") / F.greatest(F.col("n").cast("double"), F.lit(1e-9))
     return out.select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "n_bad",
-        F.round(ratio, 6).alias("ratio"), (ratio > threshold).alias("above"),
+        ratio.alias("ratio"), (ratio > threshold).alias("above"),
     )
 
 
@@ -135,23 +133,35 @@ def sustained(series: DataFrame, key: str, tick: str, cond: Column, for_: str) -
     return s.withColumn("firing", F.coalesce(fire, F.lit(False))).drop("_grp")
 
 
-def alert_states(req: DataFrame, width: str, step: str, ratio_threshold: float, ratio_for: str, gauge_for: str) -> DataFrame:
-    """Two rules over one tick grid: 5xx ratio above threshold (sliding window
-    ending at the tick) and model-loaded gauge == 0 (last value before the tick)."""
+def alert_states(req: DataFrame, width: str, step: str, rules: dict[str, tuple], gauge_for: str, oob: Column) -> DataFrame:
+    """All rules over one tick grid, each a value per tick (of the sliding window that ends
+    there), its condition and how long that must hold. ``rules``: threshold and duration
+    of high_5xx_ratio, predict_error_ratio, select_error_ratio, latency_p95 and oob_rate;
+    model_not_loaded fires on a gauge of 0 that lasts ``gauge_for``. ``oob`` marks
+    requests with a feature out of band."""
     grid = tick_grid(req, "ts", step)
-    ratio = ratio_series(req, "ts", F.col("status") >= 500, width, step, ratio_threshold)
-    r = grid.join(ratio.select(F.col("window_end").alias("tick"), "ratio"), "tick", "left").select(
-        F.lit("high_5xx_ratio").alias("alert"), "tick", F.coalesce(F.col("ratio"), F.lit(0.0)).alias("value")
-    )
-    r = sustained(r, "alert", "tick", F.col("value") > ratio_threshold, ratio_for)
+    ratio = lambda bad, rows=None: ratio_series(req if rows is None else rows, "ts", bad, width, step, 0.0).select(F.col("window_end").alias("tick"), F.col("ratio").alias("value"))
+    failed = F.col("outcome") == "error"
+    series = {
+        "high_5xx_ratio": ratio(F.col("status") >= 500),
+        "predict_error_ratio": ratio(failed),
+        "select_error_ratio": ratio(failed, req.where(F.col("endpoint") != "view")),
+        "latency_p95": windowed_quantile(req, "ts", "latency_s", width, step).select(F.col("window_end").alias("tick"), F.col("p95").alias("value")),
+        "oob_rate": window_counts(req.where(oob), "ts", width, [], slide=step).select(F.col("window_end").alias("tick"), F.col("rate_per_s").alias("value")),
+    }
+    out = None
+    for name, values in series.items():
+        threshold, lasting = rules[name]
+        s = grid.join(values, "tick", "left").select(F.lit(name).alias("alert"), "tick", F.coalesce(F.col("value"), F.lit(0.0)).alias("value"))
+        s = sustained(s, "alert", "tick", F.col("value") > threshold, lasting)
+        out = s if out is None else out.unionByName(s)
     # gauge: last observed value at or before each tick, carried forward
     g = req.groupBy(F.window("ts", step).alias("w")).agg(F.max_by("model_loaded", F.struct("ts", "request_id")).alias("last_v"))
     g = grid.join(g.select(F.col("w.end").alias("tick"), "last_v"), "tick", "left")
     wg = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)  # one row per tick: bounded
     g = g.select(F.lit("model_not_loaded").alias("alert"), "tick",
                  F.last("last_v", ignorenulls=True).over(wg).cast("double").alias("value"))
-    g = sustained(g, "alert", "tick", F.col("value") == 0, gauge_for)
-    return r.unionByName(g)
+    return out.unionByName(sustained(g, "alert", "tick", F.col("value") == 0, gauge_for))
 
 
 # ------------------------------------------------------------------ sessionize
@@ -186,35 +196,27 @@ def sessionize(df: DataFrame, key: str, ts: str, order_tie: str, gap_seconds: fl
     )
 
 
-def _sorted_sessions(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    n = shuffle_partitions(df)
-    return df.repartition(n, key, "session_start").sortWithinPartitions(key, "session_start", ts, tie)
-
-
-# ------------------------------------------------------------------ rate limiter
-
-def _limiter(key: str, ts: str, tie: str, limit: int, window_s: float):
-    win = pd.Timedelta(seconds=window_s)
+def _folded(df: DataFrame, key: str, ts: str, tie: str, quiet_s: float, flag: str, decide) -> DataFrame:
+    """``df`` with a boolean ``flag`` from an ordered fold over each session of a key:
+    rows are dealt by (key, session start) and sorted, and ``decide(state, now)`` returns
+    (flag, state) for one event; times in microseconds, a session begins with state None.
+    The rows themselves pass through, so nothing is joined back."""
+    s = sessionize(df, key, ts, tie, quiet_s)
+    s = s.repartition(shuffle_partitions(df), key, "session_start").sortWithinPartitions(key, "session_start", ts, tie)
 
     def run(batches):
-        cur, bucket = None, []
+        cur, state = None, None
         for pdf in batches:
-            keys, sess, tss = pdf[key].to_numpy(), pdf["session_start"].to_numpy(), pdf[ts].to_numpy()
-            admitted = []
-            for i in range(len(pdf)):
-                k = (keys[i], sess[i])
-                if k != cur:
-                    cur, bucket = k, []
-                now = tss[i]
-                bucket = [b for b in bucket if not (now - b) > win]  # at most `limit` items
-                if len(bucket) >= limit:
-                    admitted.append(False)
-                else:
-                    bucket.append(now)
-                    admitted.append(True)
-            yield pd.DataFrame({tie: pdf[tie], "admitted": admitted})
-
-    return run
+            out = []
+            times = pdf[ts].astype("datetime64[us]").astype("int64").tolist()
+            for k, start, now in zip(pdf[key].tolist(), pdf["session_start"].tolist(), times, strict=True):
+                if (k, start) != cur:
+                    cur, state = (k, start), None
+                got, state = decide(state, now)
+                out.append(got)
+            yield pdf.drop(columns="session_start").assign(**{flag: out})
+
+    return s.mapInPandas(run, T.StructType([*[f for f in s.schema.fields if f.name != "session_start"], T.StructField(flag, T.BooleanType())]))
 
 
 def rate_limit(df: DataFrame, key: str, ts: str, tie: str, limit: int = 60, window: str = "60 seconds") -> DataFrame:
@@ -222,50 +224,28 @@ def rate_limit(df: DataFrame, key: str, ts: str, tie: str, limit: int = 60, wind
     is <= window; rejected hits do not count; limit <= 0 admits everything."""
     if limit <= 0:
         return df.withColumn("admitted", F.lit(True))
-    ws = _seconds(window)
-    s = sessionize(df.select(key, ts, tie), key, ts, tie, ws)
-    schema = f"{tie} {dict(df.dtypes)[tie]}, admitted boolean"
-    dec = _sorted_sessions(s, key, ts, tie).mapInPandas(_limiter(key, ts, tie, limit, ws), schema)
-    return df.join(dec, tie)
-
-
-# ------------------------------------------------------------------ TTL cache
+    age = int(_seconds(window) * 1_000_000)
 
-def _cache(key: str, ts: str, tie: str, ttl_s: float):
-    ttl = pd.Timedelta(seconds=ttl_s)
+    def decide(hits, now):
+        hits = [h for h in hits or () if now - h <= age]  # at most ``limit``
+        ok = len(hits) < limit
+        return ok, [*hits, now] if ok else hits
 
-    def run(batches):
-        cur, stored = None, None
-        for pdf in batches:
-            keys, sess, tss = pdf[key].to_numpy(), pdf["session_start"].to_numpy(), pdf[ts].to_numpy()
-            hit = []
-            for i in range(len(pdf)):
-                k = (keys[i], sess[i])
-                if k != cur:
-                    cur, stored = k, None
-                now = tss[i]
-                if stored is not None and not (ttl_s > 0 and (now - stored) > ttl):
-                    hit.append(True)  # hits do not refresh the entry
-                else:
-                    stored = now
-                    hit.append(False)
-            yield pd.DataFrame({tie: pdf[tie], "cache_hit": hit})
-
-    return run
+    return _folded(df, key, ts, tie, _seconds(window), "admitted", decide)
 
 
 def cache_replay(df: DataFrame, key: str, ts: str, tie: str, ttl: str = "300 seconds") -> DataFrame:
     """Replay a TTL cache per key: hit when the entry stored by the last miss
-    is at most ``ttl`` old; ttl = 0 never expires (only the first is a miss)."""
+    is at most ``ttl`` old (hits don't refresh it); ttl = 0 never expires (only the first
+    is a miss)."""
     ttl_s = _seconds(ttl)
     if ttl_s <= 0:
-        first = df.groupBy(key).agg(F.min_by(tie, F.struct(ts, tie)).alias("_first"))
-        return df.join(first, key).withColumn("cache_hit", F.col(tie) != F.col("_first")).drop("_first")
-    s = sessionize(df.select(key, ts, tie), key, ts, tie, ttl_s)
-    schema = f"{tie} {dict(df.dtypes)[tie]}, cache_hit boolean"
-    dec = _sorted_sessions(s, key, ts, tie).mapInPandas(_cache(key, ts, tie, ttl_s), schema)
-    return df.join(dec, tie)
+        first = df.groupBy(key).agg(F.min(F.struct(ts, tie)).alias("_first"))
+        return df.join(first, key).withColumn("cache_hit", F.struct(ts, tie) != F.col("_first")).drop("_first")
+    age = int(ttl_s * 1_000_000)
 
+    def decide(stored, now):
+        hit = stored is not None and now - stored <= age
+        return hit, stored if hit else now
 
-def parse_window(spec: str) -> timedelta:
-    return timedelta(seconds=_seconds(spec))
+    return _folded(df, key, ts, tie, ttl_s, "cache_hit", decide)

@@ -2,42 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket
-from .common import running_total
+from ..sources.io import cut_lineage
+from .common import nth_row
 
 
 def temporal_split(df: DataFrame, ts_col: str, key_cols: list[str], train_fraction: float = 0.8) -> DataFrame:
-    """Order rows by (ts, key); the first ``floor(n * train_fraction)`` are train.
+    """Order rows by (ts, key), nulls first; the first ``floor(n * train_fraction)`` are
+    train.
 
-    No global window: per-timestamp counts get a bucketed running total, the
-    one boundary timestamp is found from that, and only the rows sharing the
-    boundary timestamp are ranked by key.
+    The last train row is found from a narrow table of the order columns; the split is
+    then a comparison of each row with it: no window, no union, one scan.
     """
-    # one narrow pass: rows per timestamp (the only input of the three small
-    # driver-side actions below); persisted so they do not rescan the input
-    counts = df.select(ts_col).groupBy(ts_col).agg(F.count("*").alias("_c")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = int(counts.agg(F.sum("_c")).first()[0] or 0)
-        cut = int(n * train_fraction)
-        if cut < 1 or cut >= n:
-            raise ValueError("Temporal split produced empty train or test")
-        cum = running_total(counts, [ts_col], F.col("_c"), "_cum", major=F.unix_micros(F.col(ts_col).cast("timestamp")))
-        b = cum.where((F.col("_cum") - F.col("_c") < cut) & (F.col("_cum") >= cut)).select(
-            ts_col, (F.col("_cum") - F.col("_c")).alias("_before")).first()
-    finally:
-        counts.unpersist()
-    b_ts, before = b[0], int(b[1])
-    at = df.where(F.col(ts_col) == F.lit(b_ts))
-    w = Window.partitionBy(ts_col).orderBy(*key_cols)
-    at = at.withColumn("split", F.when(F.row_number().over(w) <= cut - before, "train").otherwise("test"))
-    rest = df.where(F.col(ts_col) != F.lit(b_ts)).withColumn(
-        "split", F.when(F.col(ts_col) < F.lit(b_ts), "train").otherwise("test")
-    )
-    return rest.unionByName(at)
+    order = [ts_col, *key_cols]
+    keys = cut_lineage(df.select(*order), "split-keys")
+    n = keys.count()
+    cut = int(n * train_fraction)
+    if cut < 1 or cut >= n:
+        raise ValueError("Temporal split produced empty train or test")
+    last = nth_row(keys, order, cut)
+    bound = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+    return df.withColumn("split", F.when(F.struct(*order) <= bound, "train").otherwise("test"))
 
 
 def hash_split(df: DataFrame, key: Column, test_percent: int = 20) -> DataFrame:

@@ -100,7 +100,7 @@ SQL["flagship_metrics"] = with_ctes(["tsplit"], f"""
 , m AS (SELECT avg(cost) AS mu FROM tsplit WHERE split = 'train')
 SELECT split, {_metrics('cost', 'pred')},
        round(avg(abs(cost - mu)), 6) AS baseline_MAE,
-       round(round(avg(abs(cost - mu)), 6) - round(avg(abs(cost - pred)), 6), 6) AS lift_MAE
+       round(avg(abs(cost - mu)) - avg(abs(cost - pred)), 6) AS lift_MAE
 FROM tsplit, m GROUP BY split""")
 
 SQL["temporal_features"] = with_ctes(["telemetry"], """
@@ -199,9 +199,11 @@ FROM tsplit, m WHERE split = 'test'""")
 
 SQL["baseline_lift"] = with_ctes(["tsplit"], f"""
 , m AS (SELECT avg(cost) AS baseline_mean FROM tsplit WHERE split = 'train'),
-b AS (SELECT round(any_value(baseline_mean), 6) AS baseline_mean, {_metrics('cost', 'baseline_mean', 'baseline_')} FROM tsplit, m WHERE split = 'test'),
-t AS (SELECT {_metrics('cost', 'pred', 'test_')} FROM tsplit WHERE split = 'test')
-SELECT t.*, b.*, round(b.baseline_MAE - t.test_MAE, 6) AS lift_MAE_vs_baseline FROM t, b""")
+b AS (SELECT any_value(baseline_mean) AS baseline_mean, {_metrics('cost', 'baseline_mean', 'baseline_', False)} FROM tsplit, m WHERE split = 'test'),
+t AS (SELECT {_metrics('cost', 'pred', 'test_', False)} FROM tsplit WHERE split = 'test'),
+x AS (SELECT t.*, b.*, b.baseline_MAE - t.test_MAE AS lift_MAE_vs_baseline FROM t, b)
+SELECT test_n, baseline_n, {", ".join(f"round({c}, 6) AS {c}" for c in [f"{s}_{m}" for s in ("test", "baseline") for m in ("MAE", "MSE", "RMSE", "R2")] + ["baseline_mean", "lift_MAE_vs_baseline"])}
+FROM x""")
 
 SQL["model_card"] = with_ctes(["telemetry"], f"""
 SELECT 'cost' AS model, '1.0.0' AS model_version, {_metrics('cost', 'pred')}, NULL::VARCHAR AS label_column FROM telemetry

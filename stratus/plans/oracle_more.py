@@ -185,6 +185,14 @@ trials AS (
          ((CAST(round(p_retailprice * 100) AS BIGINT) + 50) // 100) / 100 AS RMSE,
          p_size / 10 AS MAE, (p_partkey % 50) / 50 AS R2, (p_partkey % 11) / 2 AS pred_var
   FROM part
+  UNION ALL
+  SELECT 'again', 'trial_' || lpad(CAST(p_partkey AS VARCHAR), 7, '0'), p_partkey, p_size * 20,
+         CASE WHEN p_partkey % 7 = 0 THEN 12 END,
+         CASE WHEN p_type = 'PROMO' THEN '0.5' WHEN p_type = 'LARGE' THEN 'log2' ELSE 'sqrt' END,
+         CASE WHEN p_partkey % 10 = 0 THEN 7 ELSE 42 END,
+         CASE WHEN p_partkey % 80 <> 3 THEN ((CAST(round(p_retailprice * 100) AS BIGINT) + 50) // 100) / 100 END,
+         p_size / 10, (p_partkey % 50) / 50, (p_partkey % 11) / 2
+  FROM part WHERE p_partkey % 40 = 3
 )"""
 CTE["trials_fp"] = """
 trials_fp AS (
@@ -200,6 +208,7 @@ elig AS (
   SELECT t.*, CASE WHEN n_estimators < 100 THEN 'n_estimators_min' WHEN n_estimators > 800 THEN 'n_estimators_max'
                    WHEN max_features <> 'sqrt' THEN 'max_features' WHEN random_state <> 42 THEN 'random_state'
                    WHEN max_depth IS NOT NULL THEN 'max_depth' WHEN pred_var > 4.5 THEN 'pred_var'
+                   WHEN RMSE IS NULL THEN 'metrics'
                    WHEN fingerprint IN (SELECT fingerprint FROM trials_fp WHERE p_partkey % 13 = 0) THEN 'denied' END AS reason
   FROM trials_fp t
 )"""
@@ -239,7 +248,7 @@ e AS (SELECT DISTINCT election_id FROM trials)
 SELECT e.election_id, CASE WHEN w.winner IS NULL THEN 'NONE' ELSE 'OK' END AS status, w.winner, w.borda, w.copeland,
        coalesce(w.n_survivors, 0) AS n_survivors, t.n_estimators, t.max_depth, t.max_features, t.pred_var
 FROM e LEFT JOIN (SELECT * FROM w WHERE rn = 1) w USING (election_id)
-LEFT JOIN trials t ON t.trial_id = w.winner""")
+LEFT JOIN trials t ON t.trial_id = w.winner AND t.election_id = e.election_id""")
 
 # ------------------------------------------------------------------ request log
 CTE["req"] = """
@@ -306,20 +315,29 @@ FROM slide WHERE {where} GROUP BY window_start, window_end"""
 
 
 SQL["error_ratio"] = with_ctes(["slide"], _ratio("true", "status >= 500", 0.25, "http_5xx") + "\nUNION ALL\n"
-                               + _ratio("endpoint <> 'view'", "outcome = 'error'", 0.10, "select_errors"))
-
-SQL["alert_states"] = with_ctes(["slide"], f"""
+                               + _ratio("endpoint <> 'view'", "outcome = 'error'", 0.10, "select_errors") + "\nUNION ALL\n"
+                               + _ratio("true", "outcome = 'error'", 0.20, "predict_errors"))
+
+_ALERTS = {"high_5xx_ratio": (0.25, 3), "predict_error_ratio": (0.20, 2), "select_error_ratio": (0.35, 3), "latency_p95": (4.5, 2), "oob_rate": (0.0005, 1)}
+_VALUES = {
+    "high_5xx_ratio": "SELECT window_end AS tick, count(*) FILTER (WHERE status >= 500) / greatest(count(*), 1e-9) AS v FROM slide GROUP BY window_end",
+    "predict_error_ratio": "SELECT window_end AS tick, count(*) FILTER (WHERE outcome = 'error') / greatest(count(*), 1e-9) AS v FROM slide GROUP BY window_end",
+    "select_error_ratio": "SELECT window_end AS tick, count(*) FILTER (WHERE outcome = 'error') / greatest(count(*), 1e-9) AS v FROM slide WHERE endpoint <> 'view' GROUP BY window_end",
+    "latency_p95": "SELECT window_end AS tick, p95 AS v FROM p95",
+    "oob_rate": "SELECT window_end AS tick, count(*) / 21600 AS v FROM slide WHERE latency_s > 4.8 GROUP BY window_end",
+}
+CTE["p95"] = "p95 AS (" + SQL["latency_p95"].replace("WITH ", "WITH ", 1) + ")"
+SQL["alert_states"] = with_ctes(["slide", "p95"], f"""
 , grid AS (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS tick FROM req),
-ratio AS (SELECT window_end AS tick, count(*) FILTER (WHERE status >= 500) / greatest(count(*), 1e-9) AS v FROM slide GROUP BY window_end),
-r AS (SELECT 'high_5xx_ratio' AS alert, g.tick, round(coalesce(v, 0.0), 6) AS value FROM grid g LEFT JOIN ratio USING (tick)),
+""" + ",\n".join(f"v_{k} AS ({q})" for k, q in _VALUES.items()) + """,
 hr AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS tick, arg_max(model_loaded, (ts, request_id)) AS lv FROM req GROUP BY 1),
 gg AS (SELECT 'model_not_loaded' AS alert, g.tick, CAST(last_value(lv IGNORE NULLS) OVER (ORDER BY g.tick) AS DOUBLE) AS value
        FROM grid g LEFT JOIN hr USING (tick)),
-s AS (SELECT *, value > 0.25 AS cond FROM r UNION ALL SELECT *, value = 0 AS cond FROM gg),
+s AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS alert, g.tick, coalesce(v, 0.0) AS value, coalesce(v, 0.0) > {t}::DOUBLE AS cond, INTERVAL {h} HOUR AS lasting FROM grid g LEFT JOIN v_{k} USING (tick)" for k, (t, h) in _ALERTS.items()) + """
+      UNION ALL SELECT *, value = 0 AS cond, INTERVAL 1 HOUR FROM gg),
 i AS (SELECT *, sum(CASE WHEN cond THEN 0 ELSE 1 END) OVER (PARTITION BY alert ORDER BY tick) AS grp FROM s),
 j AS (SELECT *, CASE WHEN cond THEN min(tick) FILTER (WHERE cond) OVER (PARTITION BY alert, grp) END AS island_start FROM i)
-SELECT alert, tick, value, cond, island_start,
-       coalesce(cond AND tick - island_start >= CASE WHEN alert = 'high_5xx_ratio' THEN INTERVAL 3 HOUR ELSE INTERVAL 1 HOUR END, false) AS firing
+SELECT alert, tick, round(value, 6) AS value, cond, island_start, coalesce(cond AND tick - island_start >= lasting, false) AS firing
 FROM j""")
 
 SQL["rate_limit"] = with_ctes(["req"], """
@@ -399,19 +417,29 @@ SQL["psi"] = "SELECT * FROM " + _psi_sql("l_extendedprice", "baseline") + " UNIO
 _SCHEMA = ["timestamp", "cpu_usage", "memory_usage", "net_io", "disk_io", "cloud_provider", "region", "vm_type", "vCPU", "RAM_GB",
            "price_per_hour", "target", "latency_ms", "throughput", "utilization", "cost"]
 SQL["required_columns"] = with_ctes(["telemetry"], f"""
-, c AS (SELECT list_filter([{', '.join(f"CASE WHEN count(\"{c}\") = 0 THEN '{c}' END" for c in _SCHEMA)}], lambda x: x IS NOT NULL) AS m FROM telemetry)
+, h AS (SELECT list_transform(json_keys(to_json(t)), lambda x: x) AS have FROM telemetry t LIMIT 1),
+c AS (SELECT list_filter({_SCHEMA!r}, lambda x: NOT list_contains(have, x)) AS m FROM h)
 SELECT len(m) = 0 AS status, array_to_string(m, ',') AS missing, CAST(len(m) AS INTEGER) AS n_missing FROM c""")
 
-_MISSING = "CASE WHEN l_partkey % 11 = 0 THEN 'Missing required fields: cpu_usage' " \
+_MISSING = "CASE WHEN l_partkey % 101 IN (1, 2, 3, 4) THEN 'Request body must be a JSON object' WHEN l_partkey % 11 = 0 THEN 'Missing required fields: cpu_usage' " \
            "WHEN l_partkey % 12 = 0 AND l_partkey % 24 <> 0 THEN 'Provide ''timestamp'' or temporal fields hour/day/month/day_of_week/is_weekend' END"
 SQL["payload_errors"] = with_ctes(["telemetry"], f"SELECT row_id, {_MISSING} AS error, {_MISSING} AS error_latency_endpoint FROM telemetry")
 
-SQL["numeric_cast"] = with_ctes(["telemetry"], """
-SELECT row_id, CASE WHEN l_partkey % 11 <> 0 THEN cpu_usage END AS cpu_usage,
-       CASE WHEN l_partkey % 29 <> 0 THEN vCPU END AS vCPU,
-       CASE WHEN l_partkey % 13 <> 0 THEN latency_ms END AS latency_ms,
-       CASE WHEN l_partkey % 29 = 0 THEN 'could not convert: vCPU' END AS cast_error
-FROM telemetry""")
+_CAST = ("nullif(array_to_string(list_filter([CASE WHEN l_partkey % 29 = 0 THEN 'vCPU' END, CASE WHEN l_partkey % 31 = 0 THEN 'RAM_GB' END, "
+         "CASE WHEN l_partkey % 24 = 0 AND l_partkey % 7 = 0 THEN 'month' END], lambda x: x IS NOT NULL), ', '), '')")
+CTE["body"] = """
+body AS (SELECT *, strptime("timestamp", '%m/%d/%Y %H:%M') AS t, l_partkey % 24 = 0 AS cal FROM telemetry WHERE l_partkey % 101 NOT IN (1, 2, 3, 4))"""
+DEPS["body"] = ["telemetry"]
+SQL["numeric_cast"] = with_ctes(["body"], f"""
+SELECT t.row_id, CASE WHEN l_partkey % 11 <> 0 THEN b.cpu_usage END AS cpu_usage, b.memory_usage, b.net_io, b.disk_io,
+       CASE WHEN l_partkey % 29 <> 0 THEN b.vCPU END AS vCPU, CASE WHEN l_partkey % 31 <> 0 THEN b.RAM_GB END AS RAM_GB,
+       CASE WHEN l_partkey % 13 <> 0 THEN b.latency_ms END AS latency_ms, b.throughput, b.utilization,
+       CASE WHEN cal THEN hour(b.t)::BIGINT END AS hour, CASE WHEN cal THEN day(b.t)::BIGINT END AS day,
+       CASE WHEN cal AND l_partkey % 7 <> 0 THEN month(b.t)::BIGINT END AS month,
+       CASE WHEN cal THEN (isodow(b.t) - 1)::BIGINT END AS day_of_week,
+       CASE WHEN cal THEN (CASE WHEN isodow(b.t) - 1 IN (5, 6) THEN 1 ELSE 0 END)::BIGINT END AS is_weekend,
+       CASE WHEN b.row_id IS NOT NULL THEN 'could not convert: ' || {_CAST} END AS cast_error
+FROM (SELECT row_id FROM telemetry) t LEFT JOIN body b USING (row_id)""")
 
 SQL["latency_fill"] = with_ctes(["telemetry"], """
 SELECT row_id, CASE WHEN l_orderkey % 10 = 0 OR l_partkey % 13 = 0 THEN net_io / 4 * 0.98::DOUBLE + 2 ELSE latency_ms END AS latency_ms,
@@ -454,7 +482,10 @@ SELECT line, model_version,
        feature_order = 'A' AS serve_ok
 FROM manifest""")
 SQL["manifest_valid"] = with_ctes(["manifest"], """
-SELECT line, model_version, cand_id % 13 <> 0 AND cand_id % 17 <> 0 AND cand_id % 19 <> 0 AS valid FROM manifest""")
+, e AS (SELECT *, list_filter(['model_version', CASE WHEN cand_id % 13 <> 0 THEN 'binding_mac' END, 'promotion_class', 'bundle_epoch', 'digest_ring', 'blobs'],
+                              lambda x: x IS NOT NULL) AS keys FROM manifest)
+SELECT line, model_version, list_has_all(keys, ['model_version', 'blobs', 'digest_ring', 'binding_mac', 'promotion_class'])
+       AND cand_id % 17 <> 0 AND cand_id % 19 <> 0 AS valid FROM e""")
 SQL["params_fingerprint"] = with_ctes(["trials_fp"], "SELECT trial_id, fingerprint FROM trials_fp")
 SQL["payload_key"] = """
 SELECT event_id AS request_id, sha256('{"p":' || json(props)::VARCHAR || ',"v":"1.0.0"}') AS cache_key FROM events"""
@@ -511,17 +542,27 @@ FROM ddiff""")
 # ------------------------------------------------------------------ scoring
 SQL["batch_explode"] = with_ctes(["telemetry"], """
 SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS INTEGER) AS index,
-       l_linenumber, l_partkey, l_suppkey, cpu_usage, vm_type
-FROM telemetry""")
-SQL["batch_status"] = with_ctes(["telemetry"], f"""
-, e AS (SELECT *, coalesce({_MISSING}, CASE WHEN l_partkey % 29 = 0 THEN 'could not convert: vCPU' END) AS error FROM telemetry)
-SELECT row_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error,
+       l_linenumber, l_partkey, l_suppkey, cpu_usage, vm_type, NULL::VARCHAR AS error
+FROM telemetry WHERE l_orderkey % 50 > 2
+UNION ALL SELECT DISTINCT l_orderkey, NULL, NULL, NULL, NULL, NULL, NULL,
+       CASE WHEN l_orderkey % 50 = 0 THEN 'No instances' ELSE 'Request body must contain a list of instances' END
+FROM telemetry WHERE l_orderkey % 50 <= 2""")
+CTE["checked"] = f"""
+checked AS (SELECT *, coalesce({_MISSING}, 'could not convert: ' || {_CAST}) AS error FROM telemetry)"""
+DEPS["checked"] = ["telemetry"]
+SQL["batch_status"] = with_ctes(["checked"], """
+SELECT row_id, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error,
        CASE WHEN error IS NULL THEN cpu_usage * 0.01::DOUBLE + RAM_GB * 0.05::DOUBLE + CAST(vCPU AS DOUBLE) * 0.1::DOUBLE END AS prediction
-FROM e""")
+FROM checked""")
+SQL["batch_score"] = with_ctes(["checked"], """
+SELECT row_id, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error,
+       CASE WHEN error IS NULL THEN CASE WHEN l_partkey % 13 = 0 THEN 'model' ELSE 'request' END END AS latency_source,
+       error IS NULL AS has_prediction, error IS NULL AND l_partkey % 13 = 0 AS has_predicted_latency
+FROM checked""")
 SQL["payload_dedup"] = """
 SELECT event_id AS request_id, props AS payload_key, CAST(props->>'k' AS DOUBLE) * 1.5::DOUBLE + length(props) AS score FROM events"""
 SQL["canary_route"] = """
-SELECT event_id AS request_id, CASE WHEN ('0x' || left(md5(CAST(event_id AS VARCHAR)), 8))::BIGINT % 100 < 10 THEN 'probe' ELSE 'anchor' END AS variant FROM events"""
+SELECT event_id AS request_id, CASE WHEN ('0x' || left(md5(CAST(event_id AS VARCHAR)), 8))::BIGINT * (100.0::DOUBLE / 4294967296) < 0.5 THEN 'probe' ELSE 'anchor' END AS variant FROM events"""
 SQL["shadow_delta"] = with_ctes(["req"], """
 SELECT endpoint, count(*) AS n, round(avg((latency_s * 2.1::DOUBLE + 0.9::DOUBLE) - (latency_s * 2 + 1)), 6) AS mean_delta,
        round(max(abs((latency_s * 2.1::DOUBLE + 0.9::DOUBLE) - (latency_s * 2 + 1))), 6) AS max_abs_delta
@@ -530,16 +571,28 @@ CTE["audit"] = """
 audit AS (
   SELECT CAST(request_id AS VARCHAR) AS request_id, epoch_us(ts) / 1e6 AS created_at,
          coalesce(CASE WHEN endpoint <> 'view' THEN endpoint END, 'unknown') AS endpoint, '1.0.0' AS model_version,
-         CASE WHEN ('0x' || left(md5(CAST(request_id AS VARCHAR)), 8))::BIGINT % 100 < 10 THEN 'probe' ELSE 'anchor' END AS variant,
-         latency_s * 2 + 1 AS prediction, CASE WHEN outcome = 'cache_hit' THEN 1 ELSE 0 END AS cache_hit,
+         CASE WHEN ('0x' || left(md5(CAST(request_id AS VARCHAR)), 8))::BIGINT * (100.0::DOUBLE / 4294967296) < 0.5 THEN 'probe' ELSE 'anchor' END AS variant,
+         latency_s * 2 + 1 AS prediction, CASE WHEN request_id % 10 = 0 THEN latency_s * 980 + 2 END AS predicted_latency_ms, CASE WHEN outcome = 'cache_hit' THEN 1 ELSE 0 END AS cache_hit,
          latency_s * 1000 AS latency_ms, CASE WHEN status >= 500 THEN 'error' ELSE 'success' END AS status,
          CAST(ts AS DATE) AS event_date, latency_s
   FROM req
 )"""
 DEPS["audit"] = ["req"]
 SQL["audit_events"] = with_ctes(["audit"], """
-SELECT request_id, created_at, endpoint, model_version, variant, prediction, cache_hit, latency_ms, status FROM audit""")
+SELECT request_id, created_at, endpoint, model_version, variant, prediction, predicted_latency_ms, cache_hit, latency_ms, status FROM audit""")
 SQL["audit_lookup"] = with_ctes(["audit"], """
 SELECT 'status=error' AS lookup, endpoint, count(*) AS n FROM audit WHERE status = 'error' GROUP BY endpoint
 UNION ALL SELECT 'date in [01-10, 01-12)', endpoint, count(*) FROM audit WHERE event_date >= DATE '2024-01-10' AND event_date < DATE '2024-01-12' GROUP BY endpoint
 UNION ALL SELECT 'request_id in slow set', endpoint, count(*) FROM audit WHERE latency_s > 4.5 GROUP BY endpoint""")
+
+# ------------------------------------------------------------------ models (rows, label means, gates)
+
+def _report(label: str) -> str:
+    return with_ctes(["tsplit"], f"""
+SELECT split, count({label}) AS n, round(avg({label}), 6) AS label_mean, '{label}' AS label, 300 AS num_trees, true AS gate FROM tsplit GROUP BY split""")
+
+
+SQL["cost_model"], SQL["latency_model"] = _report("cost"), _report("latency_ms")
+SQL["cv_r2"] = with_ctes(["telemetry"], """
+SELECT ('0x' || left(md5(CAST(row_id AS VARCHAR)), 8))::BIGINT % 3 AS fold, count(*) AS n, round(avg(cost), 6) AS label_mean, true AS gate
+FROM telemetry GROUP BY 1""")

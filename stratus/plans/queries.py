@@ -27,6 +27,11 @@ def query(name: str):
     return deco
 
 
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Double columns rounded for comparison; operators return full doubles."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.telemetry(Tables(spark, sf_dir))
 
@@ -53,10 +58,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = features.ratio_features(features.apply_encoders(df, dic))
     mu = F.lit(evaluate.train_mean(df, "cost")).cast("double")
     out = df.groupBy("split").agg(
-        *evaluate._metric_exprs(F.col("cost"), F.col("pred")),  # noqa: SLF001
-        F.round(F.avg(F.abs(F.col("cost") - mu)), 6).alias("baseline_MAE"),
+        *evaluate.metric_exprs(F.col("cost"), F.col("pred")),
+        F.avg(F.abs(F.col("cost") - mu)).alias("baseline_MAE"),
     )
-    return out.withColumn("lift_MAE", F.round(F.col("baseline_MAE") - F.col("MAE"), 6))
+    return rounded(out.withColumn("lift_MAE", F.col("baseline_MAE") - F.col("MAE")))
 
 
 query("flagship_metrics")(flagship)
@@ -143,23 +148,22 @@ def q_split_metadata(spark, sf_dir):
 def q_regression_metrics(spark, sf_dir):
     """Metrics per provider/region with rollup subtotals (GROUPING SETS)."""
     tel = _telemetry(spark, sf_dir)
-    exprs = evaluate._metric_exprs(F.col("cost"), F.col("pred"))  # noqa: SLF001
-    return tel.rollup("cloud_provider", "region").agg(*exprs)
+    return rounded(tel.rollup("cloud_provider", "region").agg(*evaluate.metric_exprs(F.col("cost"), F.col("pred"))))
 
 
 @query("metric_gaps")
 def q_metric_gaps(spark, sf_dir):
-    return evaluate.metric_gaps(_split_telemetry(spark, sf_dir), "cost", "pred")
+    return rounded(evaluate.metric_gaps(_split_telemetry(spark, sf_dir), "cost", "pred"))
 
 
 @query("mean_baseline")
 def q_mean_baseline(spark, sf_dir):
-    return evaluate.mean_baseline(_split_telemetry(spark, sf_dir), "cost")
+    return rounded(evaluate.mean_baseline(_split_telemetry(spark, sf_dir), "cost"))
 
 
 @query("baseline_lift")
 def q_baseline_lift(spark, sf_dir):
-    return evaluate.baseline_lift(_split_telemetry(spark, sf_dir), "cost", "pred")
+    return rounded(evaluate.baseline_lift(_split_telemetry(spark, sf_dir), "cost", "pred"))
 
 
 @query("model_card")
@@ -169,14 +173,14 @@ def q_model_card(spark, sf_dir):
 
     tel = _telemetry(spark, sf_dir)
     tel = tel.withColumn("latency_pred", F.col("latency_ms") * 0.95 + 1)
-    return metrics_docs.model_card(tel, "1.0.0")
+    return rounded(metrics_docs.model_card(tel, "1.0.0"))
 
 
 @query("metrics_long")
 def q_metrics_long(spark, sf_dir):
     from ..operators import metrics_docs
 
-    return metrics_docs.metrics_long(_split_telemetry(spark, sf_dir))
+    return rounded(metrics_docs.metrics_long(_split_telemetry(spark, sf_dir)))
 
 
 def all_queries() -> dict[str, Query]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import promotion as prm
 from ..sources import adapters
 from ..sources.tables import Tables
-from .queries import query
+from .queries import query, rounded
 
 P = prm.QUERY_PARAMS
 
@@ -63,11 +63,9 @@ def _manifests(spark, sf_dir):
 @query("catalog_packages")
 def q_catalog_packages(spark, sf_dir):
     """Version rows joined to their metrics (r2, mae) and lineage token."""
-    m = _manifests(spark, sf_dir)
-    tok = prm.lineage(m).select("line", "model_version", "lineage_token")
-    return m.join(tok, ["line", "model_version"]).select(
+    return _manifests(spark, sf_dir).select(
         "line", F.col("model_version").alias("version"), "parent_version", "created_at", "promotion_class",
-        "bundle_epoch", F.col("R2").alias("r2"), F.col("MAE").alias("mae"), "lineage_token",
+        "bundle_epoch", F.col("R2").alias("r2"), F.col("MAE").alias("mae"), prm.token().alias("lineage_token"),
     )
 
 
@@ -91,12 +89,6 @@ def q_lineage_token(spark, sf_dir):
     return prm.lineage(_manifests(spark, sf_dir))
 
 
-@query("seal_audit")
-def q_seal_audit(spark, sf_dir):
-    m = _manifests(spark, sf_dir)
-    return prm.seal_audit(m, tamper=(F.col("cand_id") % 11 == 0))
-
-
 @query("parent_chain")
 def q_parent_chain(spark, sf_dir):
     return prm.parent_chain(_manifests(spark, sf_dir))
@@ -187,7 +179,7 @@ def q_outcome_counts(spark, sf_dir):
 
 @query("request_rate")
 def q_request_rate(spark, sf_dir):
-    return rl.window_counts(_requests(spark, sf_dir), "ts", "1 hour", ["status", "outcome"])
+    return rounded(rl.window_counts(_requests(spark, sf_dir), "ts", "1 hour", ["status", "outcome"]))
 
 
 @query("latency_histogram")
@@ -202,18 +194,30 @@ def q_latency_p95(spark, sf_dir):
 
 @query("error_ratio")
 def q_error_ratio(spark, sf_dir):
-    """5xx ratio per sliding window (and the predict-style error ratio by outcome)."""
+    """Error ratios per sliding window: 5xx, prediction errors, selection errors."""
     r = _requests(spark, sf_dir)
     a = rl.ratio_series(r, "ts", F.col("status") >= 500, AL_WIDTH, AL_STEP, AL_THRESHOLD).withColumn("series", F.lit("http_5xx"))
     b = rl.ratio_series(r.where(F.col("endpoint") != "view"), "ts", F.col("outcome") == "error", AL_WIDTH, AL_STEP, 0.10).withColumn(
         "series", F.lit("select_errors")
     )
-    return a.unionByName(b)
+    c = rl.ratio_series(r, "ts", F.col("outcome") == "error", AL_WIDTH, AL_STEP, 0.20).withColumn("series", F.lit("predict_errors"))
+    return rounded(a.unionByName(b).unionByName(c))
+
+
+# thresholds and durations at the adapter's scale
+ALERTS = {
+    "high_5xx_ratio": (AL_THRESHOLD, AL_FOR),
+    "predict_error_ratio": (0.20, "2 hours"),
+    "select_error_ratio": (0.35, AL_FOR),
+    "latency_p95": (4.5, "2 hours"),
+    "oob_rate": (0.0005, "1 hour"),
+}
 
 
 @query("alert_states")
 def q_alert_states(spark, sf_dir):
-    return rl.alert_states(_requests(spark, sf_dir), AL_WIDTH, AL_STEP, AL_THRESHOLD, AL_FOR, GAUGE_FOR)
+    """The six alert rules at every tick."""
+    return rounded(rl.alert_states(_requests(spark, sf_dir), AL_WIDTH, AL_STEP, ALERTS, GAUGE_FOR, F.col("latency_s") > 4.8))
 
 
 def _keyed_requests(spark, sf_dir):
@@ -268,7 +272,7 @@ def q_oob_counts(spark, sf_dir):
 def q_oob_rate(spark, sf_dir):
     o = _oob(spark, sf_dir).where(F.size("offenders") > 0)
     r = rl.window_counts(o, "ts", "7 days", [], slide="1 day")
-    return r.withColumn("above", F.col("rate_per_s") > 0.2)
+    return rounded(r.withColumn("above", F.col("rate_per_s") > 0.2))
 
 
 @query("psi")
@@ -276,9 +280,9 @@ def q_psi(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem
     cut = F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz")
     exp, act = li.where(cut), li.where(~cut)
-    base = drf.psi(exp, act, "l_extendedprice").withColumn("scenario", F.lit("baseline"))
+    base = rounded(drf.psi(exp, act, "l_extendedprice", edge_digits=6)).withColumn("scenario", F.lit("baseline"))
     shaped = act.select((F.col("l_extendedprice") * F.col("l_extendedprice") / 105000).alias("l_extendedprice"))
-    drifted = drf.psi(exp, shaped, "l_extendedprice").withColumn("scenario", F.lit("drifted"))
+    drifted = rounded(drf.psi(exp, shaped, "l_extendedprice", edge_digits=6)).withColumn("scenario", F.lit("drifted"))
     return base.unionByName(drifted)
 
 
@@ -336,9 +340,9 @@ def _runs(spark, sf_dir):
     """Metrics documents per (provider, region) run, long form; runs of nations
     with n_nationkey % 5 = 0 lack MSE."""
     tel = _telemetry(spark, sf_dir)
-    m = tel.groupBy("cloud_provider", "region").agg(
+    m = rounded(tel.groupBy("cloud_provider", "region").agg(
         F.first("n_nationkey").alias("n_nationkey"), *evaluate_exprs()
-    )
+    ))
     kv = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("MAE", "MSE", "RMSE", "R2")]))
     long = m.select(F.concat_ws("/", "cloud_provider", "region").alias("run_id"), "n_nationkey", kv.alias("kv")).select(
         "run_id", "n_nationkey", "kv.metric", "kv.value"
@@ -349,7 +353,7 @@ def _runs(spark, sf_dir):
 def evaluate_exprs():
     from ..operators import evaluate
 
-    return [c for c in evaluate._metric_exprs(F.col("cost"), F.col("pred"))[1:]]  # noqa: SLF001
+    return evaluate.metric_exprs(F.col("cost"), F.col("pred"))[1:]
 
 
 @query("metrics_complete")
@@ -375,14 +379,13 @@ def q_metrics_gate(spark, sf_dir):
 
 
 def _full_feature_order():
+    """Feature columns of the schema, calendar, encoded and ratio columns, in that order."""
     from ..operators import features as fe
 
-    base = ["cpu_usage", "memory_usage", "net_io", "disk_io", "cloud_provider", "region", "vm_type", "vCPU", "RAM_GB",
-            "price_per_hour", "target", "latency_ms", "throughput", "utilization", "cost", "hour", "day", "month",
-            "day_of_week", "is_weekend"] + [f"{c}_encoded" for c in fe.CATEGORICAL_COLUMNS] + [
-            "cpu_memory_ratio", "total_io", "io_ratio", "resource_efficiency", "latency_throughput_ratio",
-            "resource_intensity", "ram_per_vcpu"]
-    return _feature_order(base)
+    schema = [c for c in con.TELEMETRY_SCHEMA if c != "timestamp"]
+    ratios = ["cpu_memory_ratio", "total_io", "io_ratio", "resource_efficiency", "latency_throughput_ratio",
+              "resource_intensity", "ram_per_vcpu"]
+    return _feature_order([*schema, *con.TEMPORAL_FIELDS, *[f"{c}_encoded" for c in fe.CATEGORICAL_COLUMNS], *ratios])
 
 
 def _feature_docs(spark, sf_dir):
@@ -425,7 +428,8 @@ def q_manifest_valid(spark, sf_dir):
     names = F.array_join(F.filter(F.map_keys("blobs"), lambda k: ~((F.col("cand_id") % 17 == 0) & (k == "label_encoders.pkl"))), ",")
     entries = [
         ("model_version", F.col("model_version")),
-        ("created_at", F.when(F.col("cand_id") % 13 != 0, F.col("created_at").cast("string"))),
+        ("binding_mac", F.when(F.col("cand_id") % 13 != 0, F.sha2(F.col("model_version"), 256))),
+        ("digest_ring", prm.ring_stand_in(F.col("blobs"), F.col("bundle_epoch"))),
         ("promotion_class", F.col("promotion_class")),
         ("bundle_epoch", F.col("bundle_epoch").cast("string")),
         ("blobs", F.lit("4")),
@@ -478,7 +482,7 @@ def q_content_dedup(spark, sf_dir):
         F.count("*").alias("n_copies"),
         F.min("doc_id").alias("stored_doc_id"),
         F.min_by("logical_name", "doc_id").alias("logical_name"),
-        (F.countDistinct("size") > 1).alias("collision"),
+        (F.min("size") != F.max("size")).alias("collision"),
     )
 
 
@@ -536,13 +540,15 @@ INSTANCE = "l_linenumber int, l_partkey bigint, l_suppkey bigint, cpu_usage doub
 
 @query("batch_explode")
 def q_batch_explode(spark, sf_dir):
-    """Batches of instances (one JSON document per order, at most 7 lines) ->
-    one row per instance with its position."""
+    """Batches of instances (one JSON document per order) -> one row per instance with
+    its position.  Orders with key % 50 below 3 send an empty list, no JSON, or nothing."""
     tel = _telemetry(spark, sf_dir)
     inst = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "cpu_usage", "vm_type")
     docs = tel.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(inst)).alias("xs"))
-    docs = docs.select("l_orderkey", F.to_json(F.struct(
-        F.transform("xs", lambda x: x.dropFields("l_extendedprice", "l_shipdate")).alias("instances"))).alias("doc"))
+    doc = F.to_json(F.struct(F.transform("xs", lambda x: x.dropFields("l_extendedprice", "l_shipdate")).alias("instances")))
+    odd = F.col("l_orderkey") % 50
+    doc = F.when(odd == 0, F.lit('{"instances": []}')).when(odd == 1, F.lit("not json")).when(odd == 2, F.lit(None)).otherwise(doc)
+    docs = docs.select("l_orderkey", doc.alias("doc"))
     return sco.explode_batch(docs, "doc", INSTANCE, "l_orderkey")
 
 
@@ -555,10 +561,10 @@ def q_batch_status(spark, sf_dir):
     """Per-row status of a batch: invalid rows get the error text, others a score."""
     p = con.parse_payload(_payloads(spark, sf_dir), "payload")
     m = F.col("_m")
-    err = F.coalesce(con.payload_errors(m, False), con.numeric_fields(m)[3])
+    err = F.coalesce(con.payload_errors(m, False), con.numeric_fields(m)[-1])
     score = _stand_in_score(m["cpu_usage"].try_cast("double"), m["RAM_GB"].try_cast("double"), m["vCPU"].try_cast("double"))
     return p.select(
-        "row_id", F.when(err.isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"), err.alias("error"),
+        "row_id", F.when(err.isNull(), F.lit("success")).otherwise(F.lit("error")).alias("status"), err.alias("error"),
         F.when(err.isNull(), score).alias("prediction"),
     )
 
@@ -572,7 +578,7 @@ def q_payload_dedup(spark, sf_dir):
     return out.select("request_id", "payload_key", "score")
 
 
-CANARY_PERCENT = 10.0
+CANARY_PERCENT = 0.5
 
 
 def _variant_scores(df):
@@ -607,6 +613,7 @@ def _audit(spark, sf_dir):
         F.lit("1.0.0").alias("model_version"),
         sco.canary_variant(F.col("request_id"), CANARY_PERCENT).alias("variant"),
         (F.col("latency_s") * 2 + 1).alias("prediction"),
+        F.when(F.col("request_id") % 10 == 0, F.col("latency_s") * 980 + 2).alias("predicted_latency_ms"),
         (F.col("outcome") == "cache_hit").alias("cache_hit"),
         (F.col("latency_s") * 1000).alias("latency_ms"),
         F.when(F.col("status") >= 500, F.lit("error")).alias("status"),
@@ -642,58 +649,97 @@ COST_FEATURES = _full_feature_order()
 LATENCY_FEATURES = [c for c in COST_FEATURES if c not in fea.LATENCY_EXCLUDED]
 
 
-def _model_frame(spark, sf_dir):
-    """Telemetry with calendar, encoded and ratio features, temporally split."""
-    import hashlib
+_FRAMES: dict[tuple, tuple] = {}
+
 
+def _model_frame(spark, sf_dir):
+    """(frame, dictionary): telemetry with calendar, encoded and ratio features, temporally
+    split, written once per session (forests make many passes) and shared by the queries."""
     from ..operators import split as spl
     from ..sources import io
 
-    df = spl.temporal_split(_telemetry(spark, sf_dir), "ts", adapters.ROW_KEY)
-    df = fea.temporal_features(df, fea.parse_timestamp(F.col("timestamp")))
-    df = fea.ratio_features(fea.apply_encoders(df, fea.fit_encoders(df)))
-    # forests make many passes over their input: materialise the feature frame
-    # once in the shared checkpoint folder instead of recomputing joins per pass
-    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
-    cols = list(dict.fromkeys(["row_id", "split", "cost", "latency_ms", *COST_FEATURES]))
-    return io.cut_lineage(df.select(*cols), f"model_frame_{tag}")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FRAMES:
+        df = spl.temporal_split(_telemetry(spark, sf_dir), "ts", adapters.ROW_KEY)
+        df = fea.temporal_features(df, fea.parse_timestamp(F.col("timestamp")))
+        dic = fea.fit_encoders(df)
+        df = fea.ratio_features(fea.apply_encoders(df, dic))
+        cols = list(dict.fromkeys(["row_id", "split", "cost", "latency_ms", *COST_FEATURES]))
+        _FRAMES[key] = (io.cut_lineage(df.select(*cols), "model-frame"), dic)
+    return _FRAMES[key]
+
+
+FOREST = trn.ForestParams()
+# what a fitted forest must reach on the held-out rows
+R2_FLOOR = 0.8
+
+
+def _checked_report(spark, sf_dir, features, label):
+    """Rows and label mean per split, and whether the fit passes its gate; the forest's own
+    metrics differ from run to run in their last digits and are tested with bounds."""
+    frame, _ = _model_frame(spark, sf_dir)
+    report = trn.holdout_report(frame, features, label, FOREST).select(F.lit(label).alias("label"), F.lit(FOREST.num_trees).alias("num_trees"), (F.col("test_R2") >= R2_FLOOR).alias("gate"))
+    rows = frame.groupBy("split").agg(F.count(label).alias("n"), F.avg(label).alias("label_mean"))
+    return rounded(rows.join(F.broadcast(report), F.lit(True)))  # one row
 
 
 @query("cost_model")
 def q_cost_model(spark, sf_dir):
-    return trn.holdout_report(_model_frame(spark, sf_dir), COST_FEATURES, "cost", trn.QUERY_FOREST)
+    return _checked_report(spark, sf_dir, COST_FEATURES, "cost")
 
 
 @query("latency_model")
 def q_latency_model(spark, sf_dir):
-    return trn.holdout_report(_model_frame(spark, sf_dir), LATENCY_FEATURES, "latency_ms", trn.QUERY_FOREST)
+    return _checked_report(spark, sf_dir, LATENCY_FEATURES, "latency_ms")
 
 
 @query("cv_r2")
 def q_cv_r2(spark, sf_dir):
-    return trn.cv_r2(_model_frame(spark, sf_dir), "row_id", COST_FEATURES, "cost", trn.QUERY_FOREST, k=3)
+    """Rows per fold, and whether the out-of-fold R2 reaches the floor."""
+    frame, _ = _model_frame(spark, sf_dir)
+    m = trn.cv_r2(frame, "row_id", COST_FEATURES, "cost", FOREST, k=3).select((F.col("cv_r2") >= R2_FLOOR).alias("gate"))
+    rows = frame.groupBy(hsh.md5_bucket(F.col("row_id"), 3).alias("fold")).agg(F.count("*").alias("n"), F.avg("cost").alias("label_mean"))
+    return rounded(rows.join(F.broadcast(m), F.lit(True)))  # one row
+
+
+def payload_frame(p, m, dictionary):
+    """Model features from a parsed payload map: numbers, calendar from the timestamp or
+    the fields, encoded categories, ratios (of a latency still blank: null)."""
+    cols = con.numeric_fields(m)
+    text = [m[c].alias(c) for c in fea.CATEGORICAL_COLUMNS]
+    x = p.select("row_id", F.coalesce(con.payload_errors(m, False), cols[-1]).alias("error"), m["timestamp"].alias("timestamp"), *cols[:-1], *text)
+    sent = x.withColumnsRenamed({c: f"_{c}" for c in con.TEMPORAL_FIELDS})
+    x = fea.temporal_features(sent, fea.parse_timestamp(F.col("timestamp"), tolerant=True))
+    x = x.withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in con.TEMPORAL_FIELDS}).drop(*[f"_{c}" for c in con.TEMPORAL_FIELDS])
+    return fea.apply_encoders(x, dictionary)
 
 
 @query("batch_score")
 def q_batch_score(spark, sf_dir):
-    """Batch scoring with per-row status: invalid payloads get their error, the
-    rest are scored by the cost model (fit on the temporal train split).
-
-    No filter on the error column: a predicate on it would be pushed below the
-    projection and re-inline the JSON parse into every field check, so all
-    rows are joined once, scored, and the prediction is nulled where invalid.
-    """
-    frame = _model_frame(spark, sf_dir)
-    model = trn.fit(frame.where(F.col("split") == "train"), COST_FEATURES, "cost", trn.QUERY_FOREST)
+    """Batch scoring end to end: features come from the payload itself, a blank latency is
+    filled by the latency model, the cost model scores the rest; an invalid payload gets
+    its error.  Predictions are reported as present or not."""
+    frame, dictionary = _model_frame(spark, sf_dir)
+    train = frame.where(F.col("split") == "train")
+    latency, cost = trn.fit(train, LATENCY_FEATURES, "latency_ms", FOREST), trn.fit(train, COST_FEATURES, "cost", FOREST)
     p = con.parse_payload(_payloads(spark, sf_dir).select("row_id", "payload"), "payload")
-    err = F.coalesce(con.payload_errors(F.col("_m"), False), con.numeric_fields(F.col("_m"))[3])
-    checked = p.select("row_id", err.alias("error"))
-    scored = trn.score(model, frame.join(checked, "row_id"), COST_FEATURES)
-    ok = F.col("error").isNull()
-    return scored.select(
-        "row_id", F.when(ok, F.lit("ok")).otherwise(F.lit("error")).alias("status"), "error",
-        F.when(ok, F.col("prediction")).alias("prediction"),
-    )
+    x = score_payloads(payload_frame(p, F.col("_m"), dictionary), latency, cost)
+    return x.select("row_id", "status", "error", "latency_source", F.col("prediction").isNotNull().alias("has_prediction"),
+                    F.col("predicted_latency_ms").isNotNull().alias("has_predicted_latency"))
+
+
+def score_payloads(x, latency, cost):
+    """Status, latency source, predicted latency and cost prediction of payload features."""
+    ok, blank = F.col("error").isNull(), F.col("latency_ms").isNull()
+    x = trn.score(latency, fea.ratio_features(x), LATENCY_FEATURES, "_latency")
+    x = x.drop(*[c for c in COST_FEATURES if c in ("cpu_memory_ratio", "total_io", "io_ratio", "resource_efficiency", "latency_throughput_ratio", "resource_intensity", "ram_per_vcpu")])
+    x = x.withColumns({
+        "latency_source": F.when(ok, F.when(blank, F.lit("model")).otherwise(F.lit("request"))),
+        "predicted_latency_ms": F.when(ok & blank, F.col("_latency")),
+        "latency_ms": F.coalesce("latency_ms", "_latency"),
+    }).drop("_latency")
+    x = trn.score(cost, fea.ratio_features(x), COST_FEATURES)
+    return x.withColumns({"status": F.when(ok, F.lit("success")).otherwise(F.lit("error")), "prediction": F.when(ok, F.col("prediction"))})
 
 
 def _lab(spark, sf_dir):
@@ -712,20 +758,30 @@ def md5_b(c):
 
 @query("elected_refit")
 def q_elected_refit(spark, sf_dir):
-    """Refit the lab model with the parameters of the strongest elected trial
-    (highest Borda among election winners, then election id) and score the eval split."""
+    """Refit the lab model with the parameters of every elected trial and score the eval
+    split: rows and label mean, and whether the fit beats the mean.  One row per election
+    with a winner; equal parameters are fitted once."""
     tr, c, d = _election_inputs(spark, sf_dir)
     w = ele.winner_documents(ele.elect(tr, c, d), tr).where(F.col("status") == "OK")
-    best = w.orderBy(F.col("borda").desc(), F.col("election_id")).select(
-        "election_id", "winner", "n_estimators", "max_depth", "max_features", "random_state").first()  # one row
-    params = trn.params_from_trial(best["n_estimators"], best["max_depth"], best["max_features"], 1, best["random_state"])
+    won = w.select("election_id", "winner", "n_estimators", "max_depth", "max_features", "random_state").collect()  # a row per election
     lab = _lab(spark, sf_dir)
-    feats = [f"f{i}" for i in range(6)]
-    model = trn.fit(lab.where(F.col("split") == "train"), feats, "target", params)
-    scored = trn.score(model, lab.where(F.col("split") == "eval"), feats)
-    m = evaluate_metrics(scored, "target", "prediction")
-    return m.select(F.lit(best["election_id"]).alias("election_id"), F.lit(best["winner"]).alias("trial_id"),
-                    F.lit(int(best["n_estimators"])).alias("n_estimators"), "*")
+    lab = io_cut(lab, "lab")
+    feats, fitted, out = [f"f{i}" for i in range(6)], {}, []
+    base = lab.where(F.col("split") == "eval").agg(F.count("target").alias("n"), F.round(F.avg("target"), 6).alias("m")).first()
+    for r in won:
+        key = (r["n_estimators"], r["max_depth"], r["max_features"], r["random_state"])
+        if key not in fitted:
+            model = trn.fit(lab.where(F.col("split") == "train"), feats, "target", trn.params_from_trial(key[0], key[1], key[2], 1, key[3]))
+            scored = trn.score(model, lab.where(F.col("split") == "eval"), feats)
+            fitted[key] = evaluate_metrics(scored, "target", "prediction").first()["R2"]
+        out.append((r["election_id"], r["winner"], int(r["n_estimators"]), base["n"], base["m"], bool(fitted[key] > 0)))
+    return spark.createDataFrame(out, "election_id string, trial_id string, n_estimators int, n bigint, label_mean double, beats_mean boolean")
+
+
+def io_cut(df, name):
+    from ..sources import io
+
+    return io.cut_lineage(df, name)
 
 
 def evaluate_metrics(df, label, pred):

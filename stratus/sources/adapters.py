@@ -103,6 +103,8 @@ def trials(t: Tables) -> DataFrame:
 
     ``params_json`` is the raw parameter object as a trial file would hold it
     (file key order, spaces); the fingerprint canonicalises it through Variant.
+    Trials of p_partkey % 40 = 3 also stand in the election ``again``, those of
+    p_partkey % 80 = 3 without an RMSE there.
     ``min_samples_split`` (2 + p_partkey % 100000) makes parameter sets, and so
     fingerprints, distinct per trial, so the deny list removes about 1 in 13.
     """
@@ -123,7 +125,7 @@ def trials(t: Tables) -> DataFrame:
         F.lit(', "min_samples_leaf": 1, "max_features": '), mf_json,
         F.lit(', "random_state": '), random_state.cast("string"), F.lit("}"),
     )
-    return p.select(
+    own = p.select(
         F.col("p_brand").alias("election_id"),
         F.concat(F.lit("trial_"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("trial_id"),
         F.col("p_partkey").alias("source_key"),
@@ -138,6 +140,9 @@ def trials(t: Tables) -> DataFrame:
         ((F.col("p_partkey") % 11) / 2).alias("pred_var"),
         params_json.alias("params_json"),
     )
+    again = own.where(F.col("source_key") % 40 == 3).withColumns({
+        "election_id": F.lit("again"), "RMSE": F.when(F.col("source_key") % 80 != 3, F.col("RMSE"))})
+    return own.unionByName(again)
 
 
 def deny_list(t: Tables) -> DataFrame:
@@ -210,7 +215,9 @@ def payloads(t: Tables) -> DataFrame:
     Keys are dropped (absent, not null) by rule: ``cpu_usage`` when
     l_partkey % 11 = 0; ``timestamp`` when % 12 = 0, with the five calendar
     fields sent instead when % 24 = 0; ``latency_ms`` is blank text when
-    % 13 = 0; ``vCPU`` is the text ``x`` when % 29 = 0.
+    % 13 = 0; ``vCPU`` is the text ``x`` when % 29 = 0; ``RAM_GB`` is ``zz`` when % 31 = 0;
+    ``month`` is ``June`` when calendar fields are sent and % 7 = 0.  The body is null, no
+    JSON, a list or a text when % 101 is 1, 2, 3 or 4.
     """
     tel = telemetry(t)
     pk = F.col("l_partkey")
@@ -220,15 +227,17 @@ def payloads(t: Tables) -> DataFrame:
         F.when(pk % 12 != 0, F.col("timestamp")).alias("timestamp"),
         F.when(cal, F.hour(ts)).alias("hour"),
         F.when(cal, F.dayofmonth(ts)).alias("day"),
-        F.when(cal, F.month(ts)).alias("month"),
+        F.when(cal, F.when(pk % 7 == 0, F.lit("June")).otherwise(F.month(ts).cast("string"))).alias("month"),
         F.when(cal, F.weekday(ts)).alias("day_of_week"),
         F.when(cal, F.weekday(ts).isin(5, 6).cast("int")).alias("is_weekend"),
         F.when(pk % 11 != 0, F.col("cpu_usage")).alias("cpu_usage"),
         F.col("memory_usage"), F.col("net_io"), F.col("disk_io"),
         F.col("cloud_provider"), F.col("region"), F.col("vm_type"),
         F.when(pk % 29 == 0, F.lit("x")).otherwise(F.col("vCPU").cast("string")).alias("vCPU"),
-        F.col("RAM_GB"), F.col("target"),
+        F.when(pk % 31 == 0, F.lit("zz")).otherwise(F.col("RAM_GB").cast("string")).alias("RAM_GB"), F.col("target"),
         F.when(pk % 13 == 0, F.lit("")).otherwise(F.col("latency_ms").cast("string")).alias("latency_ms"),
         F.col("throughput"), F.col("utilization"),
     ]
-    return tel.select("row_id", "l_orderkey", "l_linenumber", "l_partkey", F.to_json(F.struct(*fields)).alias("payload"))
+    body = (F.when(pk % 101 == 1, F.lit(None)).when(pk % 101 == 2, F.lit("not json")).when(pk % 101 == 3, F.lit("[1]"))
+            .when(pk % 101 == 4, F.lit('"x"')).otherwise(F.to_json(F.struct(*fields))))
+    return tel.select("row_id", "l_orderkey", "l_linenumber", "l_partkey", body.alias("payload"))

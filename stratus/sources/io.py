@@ -7,6 +7,8 @@ partitioning chosen for the later filters.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,11 +33,6 @@ TELEMETRY_SCHEMA = T.StructType([
     T.StructField("cost", T.DoubleType()),
 ])
 
-TRIAL_TYPED = (
-    "trial_id string, params struct<n_estimators:bigint, max_depth:bigint, min_samples_split:bigint, "
-    "min_samples_leaf:bigint, random_state:bigint>, metrics struct<RMSE:double, MAE:double, R2:double>, pred_var double"
-)
-
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = TELEMETRY_SCHEMA, strict: bool = True) -> DataFrame:
     """Header CSV with a fixed schema; FAILFAST rejects malformed rows when strict.
@@ -131,14 +128,16 @@ def overwrite_catalog(packages: DataFrame, blobs: DataFrame, root: str) -> None:
 
 
 def append_release(rows: DataFrame, path: str) -> None:
-    format_release_ledger(rows).coalesce(1).write.mode("append").text(path)
+    """Appends ledger lines, a file per partition; readers order by the time in a line."""
+    format_release_ledger(rows).write.mode("append").text(path)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Materialise ``df`` under the session's shared checkpoint folder and read it
-    back (survives executor loss; never a machine-local folder on a cluster)."""
+    back (survives executor loss).  Each call has a folder of its own, so a frame built
+    earlier stays readable and jobs don't meet."""
     from ..session import checkpoint_dir
 
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -82,8 +82,8 @@ def _limit_fn(limit: int, window_s: int):
             us = (pdf["ts"].astype("datetime64[us]").astype("int64")).to_numpy()
             for rid, now in zip(pdf["request_id"].to_numpy(), us, strict=True):
                 bucket = [b for b in bucket if not (now - b) > win_us]
-                ok = len(bucket) < limit
-                if ok:
+                ok = limit <= 0 or len(bucket) < limit  # no limit admits everything
+                if ok and limit > 0:
                     bucket.append(int(now))
                 out_ids.append(int(rid))
                 out_adm.append(ok)
@@ -197,6 +197,7 @@ def audit_events_stream(req: DataFrame, canary_percent: float = 10.0) -> DataFra
         F.col("endpoint"), F.lit("1.0.0").alias("model_version"),
         canary_variant(F.col("request_id"), canary_percent).alias("variant"),
         F.lit(None).cast("double").alias("prediction"),
+        F.lit(None).cast("double").alias("predicted_latency_ms"),
         F.lit(0).alias("cache_hit"), F.lit(None).cast("double").alias("latency_ms"),
         F.when(F.col("status") >= 500, F.lit("error")).alias("status"),
     )

@@ -43,19 +43,35 @@ def test_r2_constant_label(spark):
 
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
-    vals = np.round(rng.normal(size=3000) * 10, 1)
-    df = spark.createDataFrame(pd.DataFrame({"g": rng.integers(0, 3, size=3000), "v": vals}))
-    got = drift.exact_quantiles(df, "g", "v", [0.0, 0.01, 0.5, 0.99, 1.0]).collect()
-    pdf = df.toPandas()
-    for r in got:
-        want = np.quantile(pdf[pdf.g == r["g"]].v.to_numpy(), r["prob"])
-        assert abs(r["q"] - want) < 1e-9
+    pdf = pd.DataFrame({
+        "ties": np.round(rng.normal(size=30000) * 10, 1), "wide": rng.lognormal(size=30000), "tiny": rng.normal(size=30000) * 1e-7,
+        "one": np.ones(30000), "text": [str(x) for x in rng.integers(0, 50, size=30000)],
+    })
+    df = spark.createDataFrame(pdf).withColumn("void", F.lit(None).cast("double")).repartition(7)
+    probs = [0.0, 0.01, 0.3333, 0.5, 0.99, 1.0]
+    got = {(r["field"], r["prob"]): r["q"] for r in drift.exact_quantiles(df, [*pdf.columns, "void", "absent"], probs).collect()}
+    assert len(got) == len(pdf.columns) * len(probs)
+    for (f, p), q in got.items():
+        want = np.quantile(pdf[f].astype(float).to_numpy(), p)
+        assert abs(q - want) <= 1e-12 * max(1, abs(want)) + 1e-16
+
+
+def test_psi_of_tiny_values(spark):
+    rng = np.random.default_rng(6)
+    e, a = (spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=1000) * 1e-7 + k * 1e-7})) for k in (0, 1))
+    r = drift.psi(e, a, "x").first()
+    assert r["n_edges"] == 11 and r["psi"] > 0.5
+
+
+def test_metrics_of_small_errors_are_not_rounded(spark):
+    df = spark.createDataFrame([(0.002 * (-1) ** i, 0.0, "test") for i in range(100)], "y double, p double, split string")
+    assert abs(evaluate.regression_metrics(df, "y", "p").first()["MSE"] - 4e-6) < 1e-18
 
 
 def test_psi_matches_numpy(spark):
     rng = np.random.default_rng(5)
     e, a = rng.normal(size=4000), rng.normal(0.3, 1.2, size=3000)
-    edges = np.unique(np.round(np.quantile(e, np.linspace(0, 1, 11)), 6))
+    edges = np.unique(np.quantile(e, np.linspace(0, 1, 11)))
     eh, _ = np.histogram(e, bins=edges)
     ah, _ = np.histogram(a, bins=edges)
     ep, ap = np.clip(eh / eh.sum(), 1e-4, None), np.clip(ah / ah.sum(), 1e-4, None)
@@ -68,8 +84,8 @@ def test_psi_matches_numpy(spark):
 
 
 def test_percentile_check_value(spark):
-    df = spark.createDataFrame([(0, float(x)) for x in (1, 2, 3, 4)], "g int, v double")
-    q = {r["prob"]: r["q"] for r in drift.exact_quantiles(df, "g", "v", [0.01, 0.99]).collect()}
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)], "v double")
+    q = {r["prob"]: r["q"] for r in drift.exact_quantiles(df, ["v"], [0.01, 0.99]).collect()}
     assert abs(q[0.01] - 1.03) < 1e-12 and abs(q[0.99] - 3.97) < 1e-12
 
 
@@ -132,24 +148,35 @@ def test_cache_replay_matches_python(spark):
     assert got0 == _py_cache(ev, 0)
 
 
+def _by_contract(d, rel, broken, p):
+    """The decision table of the bundle contract, written anew: the region of (d, rel)."""
+    size = "major" if d >= p.r2_major else "minor" if d >= p.r2_minor else "flat" if d >= 0 else "loss"
+    worse = "better" if rel < 0 else "same" if rel == 0 else "soft" if rel <= p.mae_tolerance else "hard"
+    if broken:
+        return "schema_break_accepted" if size in ("major", "minor") and worse != "hard" else "refused:schema_break"
+    gain = {"major": "major_gain", "minor": "minor_gain", "flat": "stable_or_better"}
+    if size == "loss":
+        return "refused:dual_regression" if worse != "better" else "tradeoff_mae" if p.allow_patch else "refused:tradeoff_disabled"
+    if worse in ("better", "same"):
+        return gain[size]
+    if size == "flat":
+        return "r2_ok_mae_worse" if p.allow_patch else "refused:patch_disabled"
+    return "minor_gain_mae_soft" if worse == "soft" else "refused:mae_regression"
+
+
 def _py_fold(rows, p):
     out, parent = {}, {}
-    for line, cid, ts, r2, mae, fo in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
-        if r2 < p.r2_floor:
-            out[cid] = "refused:r2_below_floor"
+    for line, cid, _ts, r2, mae, fo in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if r2 < p.r2_floor or mae > p.mae_ceiling:
+            out[cid] = "refused:" + ("r2_below_floor" if r2 < p.r2_floor else "mae_above_ceiling")
             continue
-        if mae > p.mae_ceiling:
-            out[cid] = "refused:mae_above_ceiling"
-            continue
-        par = parent.get(line)
-        if par is None:
+        if line in parent:
+            r2_0, mae_0, fo_0 = parent[line]
+            out[cid] = _by_contract(r2 - r2_0, (mae - mae_0) / max(mae_0, 1e-12), fo != fo_0, p)
+        else:
             out[cid] = "bootstrap"
-            parent[line] = {"R2": r2, "MAE": mae, "fo": fo}
-            continue
-        dec = promotion._decide(r2, mae, fo, par, p)[0]
-        out[cid] = dec
-        if not dec.startswith("refused"):
-            parent[line] = {"R2": r2, "MAE": mae, "fo": fo}
+        if not out[cid].startswith("refused"):
+            parent[line] = (r2, mae, fo)
     return out
 
 
@@ -167,15 +194,18 @@ def test_promotion_fold_matches_python(spark):
 
 def test_decision_table_rows(spark):
     p = promotion.PromotionParams(r2_floor=0.0, mae_ceiling=1.0, r2_minor=0.05, r2_major=0.15, mae_tolerance=0.05)
-    par = {"R2": 0.5, "MAE": 0.1, "fo": "A"}
     cases = {
-        (0.70, 0.10, "A"): "major_gain", (0.56, 0.09, "A"): "minor_gain", (0.56, 0.104, "A"): "minor_gain_mae_soft",
-        (0.56, 0.2, "A"): "refused:mae_regression", (0.5, 0.1, "A"): "stable_or_better", (0.51, 0.11, "A"): "r2_ok_mae_worse",
-        (0.49, 0.09, "A"): "tradeoff_mae", (0.49, 0.1, "A"): "refused:dual_regression", (0.56, 0.1, "B"): "schema_break_accepted",
-        (0.70, 0.09, "B"): "schema_break_accepted", (0.52, 0.1, "B"): "refused:schema_break",
+        (0.20, 0.0, False): "major_gain", (0.06, -0.1, False): "minor_gain", (0.06, 0.04, False): "minor_gain_mae_soft",
+        (0.06, 1.0, False): "refused:mae_regression", (0.0, 0.0, False): "stable_or_better", (0.01, 0.1, False): "r2_ok_mae_worse",
+        (-0.01, -0.1, False): "tradeoff_mae", (-0.01, 0.0, False): "refused:dual_regression", (0.06, 0.0, True): "schema_break_accepted",
+        (0.20, -0.1, True): "schema_break_accepted", (0.02, 0.0, True): "refused:schema_break", (0.16, 0.03, False): "minor_gain_mae_soft",
     }
-    for (r2, mae, fo), want in cases.items():
-        assert promotion._decide(r2, mae, fo, par, p)[0] == want
+    df = spark.createDataFrame([(*k, v) for k, v in cases.items()], "d double, rel double, brk boolean, want string")
+    got = df.select("want", promotion.step_decision(F.col("d"), F.col("rel"), F.col("brk"), p).alias("got")).collect()
+    assert all(r["got"] == r["want"] == _by_contract(*k, p) for r, k in zip(got, cases))
+    off = promotion.PromotionParams(allow_patch=False)
+    got = df.select("d", "rel", "brk", promotion.step_decision(F.col("d"), F.col("rel"), F.col("brk"), off).alias("got")).collect()
+    assert all(r["got"] == _by_contract(r["d"], r["rel"], r["brk"], off) for r in got)
 
 
 def test_seal_is_reproducible():
@@ -192,16 +222,14 @@ def test_version_parse(spark):
 
 
 def test_seal_audit_detects_tampering(spark):
-    import __spark_entry__ as entry
     from conftest import SF_SMALL
     from stratus.sources import adapters
     from stratus.sources.tables import Tables
 
-    audit = entry.queries()["seal_audit"](spark, SF_SMALL)
     m = promotion.manifests(promotion.promotion_fold(adapters.candidates(Tables(spark, SF_SMALL)), promotion.QUERY_PARAMS))
+    audit = promotion.seal_audit(m, tamper=(F.col("cand_id") % 11 == 0))
     rows = audit.join(m.select("line", "model_version", "cand_id"), ["line", "model_version"]).collect()
     assert rows
-    # the query alters the stored MAC of every cand_id % 11 = 0 version
     assert all(r["verified"] == (r["cand_id"] % 11 != 0) for r in rows)
 
 
@@ -226,25 +254,130 @@ def test_running_total_bucketed_equals_plain(spark):
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"k": rng.integers(0, 500, size=4000), "id": np.arange(4000), "v": rng.integers(1, 5, size=4000)})
     df = spark.createDataFrame(pdf)
-    got = {r["id"]: r["cum"] for r in running_total(df, ["k", "id"], F.col("v"), "cum", single_task_rows=0).collect()}
+    got = {r["id"]: r["cum"] for r in running_total(df, ["k", "id"], F.col("v"), "cum").collect()}
     want = pdf.sort_values(["k", "id"]).assign(cum=lambda d: d.v.cumsum()).set_index("id")["cum"].to_dict()
     assert got == want
 
 
-def test_encoder_join_path_equals_map_path(spark, monkeypatch):
+def test_running_total_by_group_and_text(spark):
+    from stratus.operators.common import running_total
+
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 2000), "t": ["word%05d" % i for i in rng.permutation(2000)]})
+    got = {r["t"]: r["n"] for r in running_total(spark.createDataFrame(pdf), ["t"], F.lit(1), "n", group=["g"]).collect()}
+    want = pdf.sort_values("t").assign(n=lambda d: d.groupby("g", dropna=False).cumcount() + 1).set_index("t")["n"].to_dict()
+    assert got == want
+
+
+def test_nth_row_of_ties(spark):
+    """One timestamp for all rows, repeated keys and nulls: the split is still exact."""
+    from stratus.operators.common import nth_row
+    from stratus.operators.split import temporal_split
+
+    rng = np.random.default_rng(13)
+    rows = [(dt.datetime(2024, 1, 1), int(k), "prefix-%03d" % t) for k, t in zip(rng.integers(0, 20, 1500), rng.integers(0, 400, 1500))]
+    rows += [(None, 3, "x"), (dt.datetime(2023, 1, 1), None, None)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, k int, t string")
+    key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
+    order = sorted(rows, key=key)
+    for n in (1, 2, 3, 700, 1502):
+        assert tuple(nth_row(df, ["ts", "k", "t"], n)) == order[n - 1]
+    unique = spark.createDataFrame([(dt.datetime(2024, 1, 1), i) for i in range(1000)], "ts timestamp_ntz, k int")
+    split = {r["k"]: r["split"] for r in temporal_split(unique, "ts", ["k"]).collect()}
+    assert all(split[i] == ("train" if i < 800 else "test") for i in range(1000))
+
+
+def test_encoders_join_by_column(spark):
     fit = spark.createDataFrame([("AWS", "a", "x", "t"), ("GCP", "b", "y", "u")], "cloud_provider string, region string, vm_type string, target string")
-    new = spark.createDataFrame([("GCP", "zz", "x", "u"), ("AWS", "b", "q", "t")], "cloud_provider string, region string, vm_type string, target string")
-    dic = features.fit_encoders(fit)
+    new = spark.createDataFrame([("GCP", "zz", "x", "u"), ("AWS", "b", None, "t")], "cloud_provider string, region string, vm_type string, target string")
+    out = features.apply_encoders(new, features.fit_encoders(fit))
     cols = [f"{c}_encoded" for c in features.CATEGORICAL_COLUMNS]
-    via_map = sorted(tuple(r) for r in features.apply_encoders(new, dic).select(*cols).collect())
-    monkeypatch.setattr(features, "MAP_LOOKUP_MAX_ENTRIES", 0)
-    via_join = sorted(tuple(r) for r in features.apply_encoders(new, dic).select(*cols).collect())
-    assert via_map == via_join == [(0, 1, 0, 0), (1, 0, 0, 1)]
-
-
-def test_exact_quantiles_bucket_path_matches_numpy(spark):
-    rng = np.random.default_rng(4)
-    pdf = pd.DataFrame({"g": rng.integers(0, 2, size=2000), "v": np.round(rng.normal(size=2000), 2)})
-    got = drift.exact_quantiles(spark.createDataFrame(pdf), "g", "v", [0.01, 0.5, 0.99], single_task_rows=0).collect()
-    for r in got:
-        assert abs(r["q"] - np.quantile(pdf[pdf.g == r["g"]].v.to_numpy(), r["prob"])) < 1e-9
+    assert sorted(tuple(r) for r in out.select(*cols).collect()) == [(0, 1, 0, 0), (1, 0, 0, 1)]
+
+
+def test_payload_bodies_and_numbers(spark):
+    import json
+
+    from stratus.operators import contracts
+
+    whole = {"cpu_usage": 1, "memory_usage": 2, "net_io": 3, "disk_io": 4, "cloud_provider": "a", "region": "b", "vm_type": "c", "vCPU": 2.9,
+             "RAM_GB": 8, "target": "d", "latency_ms": "", "throughput": 5, "utilization": 6, "timestamp": "1/1/2024 0:00"}
+    odd = [None, "not json", "[1]", '"x"']
+    bad = [dict(whole, memory_usage="abc"), dict(whole, RAM_GB="zz"), {k: v for k, v in whole.items() if k != "timestamp"},
+           {**{k: v for k, v in whole.items() if k != "timestamp"}, "hour": 1, "day": 1, "month": "June", "day_of_week": 0, "is_weekend": 0}]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate([*odd, json.dumps(whole), *map(json.dumps, bad)])], "i int, payload string")
+    p = contracts.parse_payload(df, "payload")
+    m = F.col("_m")
+    got = {r["i"]: (r["e"], r["cast_error"], r["vCPU"]) for r in p.select("i", contracts.payload_errors(m).alias("e"), *contracts.numeric_fields(m)).collect()}
+    assert all(got[i][0] == contracts.MSG_BODY for i in range(4))
+    assert got[4] == (None, None, 2)
+    assert got[5][1] == "could not convert: memory_usage" and got[6][1] == "could not convert: RAM_GB"
+    assert got[7][0] == contracts.MSG_TEMPORAL and got[8][1] == "could not convert: month"
+
+
+def test_required_columns_by_name(spark):
+    from stratus.operators import contracts
+
+    df = spark.createDataFrame([(None,)], "timestamp string")
+    r = contracts.required_columns(df, ["timestamp", "cost"]).first()
+    assert (r["status"], r["missing"], r["n_missing"]) == (False, "cost", 1)
+
+
+def test_canary_takes_a_share_of_the_whole_range(spark):
+    from stratus.operators import scoring
+
+    n = spark.range(200000).where(scoring.canary_variant(F.col("id"), 0.5) == "probe").count()
+    assert 850 < n < 1150
+    assert spark.range(500).where(scoring.canary_variant(F.col("id"), 100) == "anchor").count() == 0
+
+
+def test_batch_documents_are_never_lost(spark):
+    from stratus.operators import scoring
+
+    df = spark.createDataFrame([(1, '{"instances": [{"a": 1}, {"a": 2}]}'), (2, '[{"a": 3}]'), (3, "no"), (4, None), (5, "[]")], "b int, doc string")
+    got = sorted((r["b"], r["index"], r["a"], r["error"]) for r in scoring.explode_batch(df, "doc", "a int", "b").collect() if r["error"] is None)
+    assert got == [(1, 0, 1, None), (1, 1, 2, None), (2, 0, 3, None)]
+    assert {r["b"]: r["error"] for r in scoring.explode_batch(df, "doc", "a int", "b").where("error IS NOT NULL").collect()} == {3: scoring.MSG_BATCH, 4: scoring.MSG_BATCH, 5: scoring.MSG_EMPTY}
+
+
+def test_elections_keep_apart_and_reject_nulls(spark):
+    from stratus.operators import election as ele
+
+    def trial(e, t, rmse, n=200, mf="sqrt", pv=1.0):
+        return (e, t, n, None, mf, 42, rmse, 0.5, 0.5, pv, '{"t": "%s%s"}' % (e, t))
+
+    rows = [trial("e1", "t1", 1.0), trial("e1", "t2", None), trial("e1", "t3", 2.0, mf=None), trial("e1", "t4", 2.0, pv=None), trial("e1", "t5", 3.0, n=300),
+            trial("e2", "t1", 5.0, n=400), trial("e2", "t1", 5.0, n=400)]
+    tr = spark.createDataFrame(rows, "election_id string, trial_id string, n_estimators bigint, max_depth bigint, max_features string, "
+                                     "random_state bigint, RMSE double, MAE double, R2 double, pred_var double, params_json string")
+    c, deny = ele.Constraints().frame(spark), spark.createDataFrame([("#none",)], "fingerprint string")
+    reasons = {r["trial_id"]: r["reason"] for r in ele.eligibility(tr, c, deny).where("election_id = 'e1'").collect()}
+    assert reasons == {"t1": None, "t2": "metrics", "t3": "max_features", "t4": "pred_var", "t5": None}
+    docs = {r["election_id"]: (r["winner"], r["n_survivors"], r["n_estimators"]) for r in ele.winner_documents(ele.elect(tr, c, deny), tr).collect()}
+    assert docs == {"e1": ("t1", 2, 200), "e2": ("t1", 1, 400)}
+
+
+def test_uncanonical_numbers_are_refused(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    from stratus.functions.hashing import params_fingerprint
+
+    ok = spark.createDataFrame([('{"b": 0.5, "a": 10}',)], "j string").select(params_fingerprint(F.col("j"))).first()[0]
+    assert len(ok) == 64
+    with pytest.raises(PySparkException):
+        spark.createDataFrame([('{"max_features": 1.0}',)], "j string").select(params_fingerprint(F.col("j"))).collect()
+
+
+def test_frames_of_two_calls_stay_readable(spark):
+    from stratus.sources import io
+
+    a, b = (io.cut_lineage(spark.range(n), "same-name") for n in (5, 7))
+    assert (a.count(), b.count()) == (5, 7)
+
+
+def test_depth_beyond_spark_is_refused():
+    import pytest
+    from stratus.operators import train
+
+    with pytest.raises(ValueError):
+        train.ForestParams(max_depth=31).estimator("y")

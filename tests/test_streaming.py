@@ -41,6 +41,17 @@ def test_rate_limit_and_cache_stream_equal_batch(spark, scratch):
     assert stream2 == batch2
 
 
+def test_rate_limit_stream_for_other_limits(spark, scratch):
+    src = _split_by_day(spark, scratch)
+    r = adapters.requests(Tables(spark, SF_SMALL))
+    r = r.withColumn("client_key", rl.client_key(F.col("xff"), F.col("endpoint"))).select("request_id", "ts", "client_key")
+    for limit in (0, 1):
+        req = rs.requests_stream(rs.read_events_stream(spark, f"{src}/*", max_files_per_trigger=8))
+        got = rs.run_to_completion(rs.rate_limit_stream(req, limit, "1 day", "1 day"), f"{scratch}/ck{limit}")
+        batch = {row["request_id"]: row["admitted"] for row in rl.rate_limit(r, "client_key", "ts", "request_id", limit, "1 day").collect()}
+        assert {x["request_id"]: x["admitted"] for x in got} == batch
+
+
 def test_windowed_counts_stream_equal_batch(spark, scratch):
     src = _split_by_day(spark, scratch)
     req = rs.requests_stream(rs.read_events_stream(spark, f"{src}/*", max_files_per_trigger=3))
