@@ -589,10 +589,17 @@ UNION ALL SELECT 'request_id in slow set', endpoint, count(*) FROM audit WHERE l
 
 def _report(label: str) -> str:
     return with_ctes(["tsplit"], f"""
-SELECT split, count({label}) AS n, round(avg({label}), 6) AS label_mean, '{label}' AS label, 300 AS num_trees, true AS gate FROM tsplit GROUP BY split""")
+SELECT split, count({label}) AS n, round(avg({label}), 6) AS label_mean, '{label}' AS label, true AS gate FROM tsplit GROUP BY split""")
 
 
 SQL["cost_model"], SQL["latency_model"] = _report("cost"), _report("latency_ms")
 SQL["cv_r2"] = with_ctes(["telemetry"], """
 SELECT ('0x' || left(md5(CAST(row_id AS VARCHAR)), 8))::BIGINT % 3 AS fold, count(*) AS n, round(avg(cost), 6) AS label_mean, true AS gate
 FROM telemetry GROUP BY 1""")
+SQL["elected_refit"] = with_ctes(["cope", "trials"], """
+, lead AS (SELECT b.*, b.borda_rmse + b.borda_mae + b.borda_r2 AS borda, c.copeland FROM borda b JOIN cope c USING (election_id, trial_id)),
+w AS (SELECT election_id, trial_id FROM lead ORDER BY election_id DESC, borda DESC, copeland DESC, pred_var, upper(fingerprint), trial_id LIMIT 1),
+lab AS (SELECT label * 10 + embedding[7]::DOUBLE * 50 AS target FROM embeddings WHERE ('0x' || left(md5(CAST(vec_id AS VARCHAR)), 8))::BIGINT % 100 < 25)
+SELECT w.election_id, w.trial_id, CAST(t.n_estimators AS INTEGER) AS n_estimators, (SELECT count(target) FROM lab) AS n,
+       (SELECT round(avg(target), 6) FROM lab) AS label_mean, true AS all_predicted
+FROM w JOIN trials t USING (election_id, trial_id)""")

@@ -644,6 +644,7 @@ def q_audit_lookup(spark, sf_dir):
 # ------------------------------------------------------------------ models (rows-only checks)
 from ..operators import features as fea  # noqa: E402
 from ..operators import train as trn  # noqa: E402
+from ..sources import io  # noqa: E402
 
 COST_FEATURES = _full_feature_order()
 LATENCY_FEATURES = [c for c in COST_FEATURES if c not in fea.LATENCY_EXCLUDED]
@@ -656,7 +657,6 @@ def _model_frame(spark, sf_dir):
     """(frame, dictionary): telemetry with calendar, encoded and ratio features, temporally
     split, written once per session (forests make many passes) and shared by the queries."""
     from ..operators import split as spl
-    from ..sources import io
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FRAMES:
@@ -669,7 +669,9 @@ def _model_frame(spark, sf_dir):
     return _FRAMES[key]
 
 
-FOREST = trn.ForestParams()
+# Forest of the registered queries, at the adapters' scale like their other parameters;
+# ForestParams() has the reference values (300 trees of depth 20).
+FOREST = trn.ForestParams(num_trees=20, max_depth=8)
 # what a fitted forest must reach on the held-out rows
 R2_FLOOR = 0.8
 
@@ -678,9 +680,9 @@ def _checked_report(spark, sf_dir, features, label):
     """Rows and label mean per split, and whether the fit passes its gate; the forest's own
     metrics differ from run to run in their last digits and are tested with bounds."""
     frame, _ = _model_frame(spark, sf_dir)
-    report = trn.holdout_report(frame, features, label, FOREST).select(F.lit(label).alias("label"), F.lit(FOREST.num_trees).alias("num_trees"), (F.col("test_R2") >= R2_FLOOR).alias("gate"))
+    report = trn.holdout_report(frame, features, label, FOREST).first()  # one row
     rows = frame.groupBy("split").agg(F.count(label).alias("n"), F.avg(label).alias("label_mean"))
-    return rounded(rows.join(F.broadcast(report), F.lit(True)))  # one row
+    return rounded(rows).withColumns({"label": F.lit(label), "gate": F.lit(report["test_R2"] >= R2_FLOOR)})
 
 
 @query("cost_model")
@@ -697,9 +699,9 @@ def q_latency_model(spark, sf_dir):
 def q_cv_r2(spark, sf_dir):
     """Rows per fold, and whether the out-of-fold R2 reaches the floor."""
     frame, _ = _model_frame(spark, sf_dir)
-    m = trn.cv_r2(frame, "row_id", COST_FEATURES, "cost", FOREST, k=3).select((F.col("cv_r2") >= R2_FLOOR).alias("gate"))
+    m = trn.cv_r2(frame, "row_id", COST_FEATURES, "cost", FOREST, k=3).first()  # one row
     rows = frame.groupBy(hsh.md5_bucket(F.col("row_id"), 3).alias("fold")).agg(F.count("*").alias("n"), F.avg("cost").alias("label_mean"))
-    return rounded(rows.join(F.broadcast(m), F.lit(True)))  # one row
+    return rounded(rows).withColumn("gate", F.lit(m["cv_r2"] >= R2_FLOOR))
 
 
 def payload_frame(p, m, dictionary):
@@ -756,35 +758,25 @@ def md5_b(c):
     return hsh.md5_bucket(c, 100)
 
 
+def refit_elected(lab, elected, election_id, features, label):
+    """(model, winner's document): a forest with the parameters that an election chose,
+    fitted on the lab table's train split."""
+    r = elected.where(F.col("election_id") == election_id).first()  # a row per election
+    if r is None or r["status"] != "OK":
+        raise ValueError(f"no winner in election {election_id}")
+    params = trn.params_from_trial(r["n_estimators"], r["max_depth"], r["max_features"], 1, r["random_state"])
+    return trn.fit(lab.where(F.col("split") == "train"), features, label, params), r
+
+
 @query("elected_refit")
 def q_elected_refit(spark, sf_dir):
-    """Refit the lab model with the parameters of every elected trial and score the eval
-    split: rows and label mean, and whether the fit beats the mean.  One row per election
-    with a winner; equal parameters are fitted once."""
+    """Refit the lab model with the parameters that the last election by name chose and
+    score its eval split: rows, label mean, and whether all rows have a prediction."""
     tr, c, d = _election_inputs(spark, sf_dir)
-    w = ele.winner_documents(ele.elect(tr, c, d), tr).where(F.col("status") == "OK")
-    won = w.select("election_id", "winner", "n_estimators", "max_depth", "max_features", "random_state").collect()  # a row per election
-    lab = _lab(spark, sf_dir)
-    lab = io_cut(lab, "lab")
-    feats, fitted, out = [f"f{i}" for i in range(6)], {}, []
-    base = lab.where(F.col("split") == "eval").agg(F.count("target").alias("n"), F.round(F.avg("target"), 6).alias("m")).first()
-    for r in won:
-        key = (r["n_estimators"], r["max_depth"], r["max_features"], r["random_state"])
-        if key not in fitted:
-            model = trn.fit(lab.where(F.col("split") == "train"), feats, "target", trn.params_from_trial(key[0], key[1], key[2], 1, key[3]))
-            scored = trn.score(model, lab.where(F.col("split") == "eval"), feats)
-            fitted[key] = evaluate_metrics(scored, "target", "prediction").first()["R2"]
-        out.append((r["election_id"], r["winner"], int(r["n_estimators"]), base["n"], base["m"], bool(fitted[key] > 0)))
-    return spark.createDataFrame(out, "election_id string, trial_id string, n_estimators int, n bigint, label_mean double, beats_mean boolean")
-
-
-def io_cut(df, name):
-    from ..sources import io
-
-    return io.cut_lineage(df, name)
-
-
-def evaluate_metrics(df, label, pred):
-    from ..operators import evaluate
-
-    return evaluate.regression_metrics(df, label, pred)
+    elected = io.cut_lineage(ele.winner_documents(ele.elect(tr, c, d), tr), "elected")
+    last = elected.where("status = 'OK'").agg(F.max("election_id")).first()[0]
+    lab, feats = io.cut_lineage(_lab(spark, sf_dir), "lab"), [f"f{i}" for i in range(6)]
+    model, r = refit_elected(lab, elected, last, feats, "target")
+    scored = trn.score(model, lab.where(F.col("split") == "eval"), feats)
+    out = scored.agg(F.count("target").alias("n"), F.avg("target").alias("label_mean"), (F.count("prediction") == F.count("*")).alias("all_predicted"))
+    return rounded(out).select(F.lit(last).alias("election_id"), F.lit(r["winner"]).alias("trial_id"), F.lit(int(r["n_estimators"])).alias("n_estimators"), "*")
