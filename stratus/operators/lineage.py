@@ -35,9 +35,18 @@ def digest_diff(recorded: DataFrame, current: DataFrame, keys: list[str]) -> Dat
     )
 
 
-def staleness_plan(diff: DataFrame, pipeline: str, stage: str) -> DataFrame:
-    """Stages in order; the first stale stage forces every later one to run.
-
-    The window is per pipeline over its stage list (one row per stage)."""
-    w = Window.partitionBy(pipeline).orderBy(stage).rowsBetween(Window.unboundedPreceding, 0)
-    return diff.select(pipeline, stage, "stale", F.bool_or("stale").over(w).alias("must_run"))
+def staleness_plan(diff: DataFrame, stages: DataFrame) -> DataFrame:
+    """Which stages must run: (pipeline, stage, position, stale, reason, must_run).
+
+    ``stages`` declares each pipeline's stages in order (position) and the status its
+    ledger recorded.  A stage is stale if the ledger has no success, or any of its
+    dependencies or outputs differ; a stale stage forces every later one to run.  The
+    window is per pipeline over its stage list (one row per stage)."""
+    per = diff.groupBy("pipeline", "stage").agg(
+        F.bool_or(F.col("stale") & (F.col("kind") == "dependency")).alias("dep"), F.bool_or(F.col("stale") & (F.col("kind") == "output")).alias("out"))
+    s = stages.join(per, ["pipeline", "stage"], "left")
+    reason = (F.when(~F.col("status").eqNullSafe(F.lit("success")), F.lit("status"))
+              .when(F.col("dep"), F.lit("dependency")).when(F.col("out"), F.lit("output")))
+    w = Window.partitionBy("pipeline").orderBy("position", "stage").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("reason", reason).withColumn("stale", F.col("reason").isNotNull())
+    return s.select("pipeline", "stage", "position", "stale", "reason", F.bool_or("stale").over(w).alias("must_run"))

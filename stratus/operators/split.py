@@ -10,26 +10,37 @@ from ..sources.io import cut_lineage
 from .common import nth_row
 
 
-def temporal_split(df: DataFrame, ts_col: str, key_cols: list[str], train_fraction: float = 0.8) -> DataFrame:
+def temporal_split(df: DataFrame, ts_col: str, key_cols: list[str], train_fraction: float = 0.8, order: str = "time") -> DataFrame:
     """Order rows by (ts, key), nulls first; the first ``floor(n * train_fraction)`` are
-    train.
+    train.  ``order='text'`` compares timestamps as the texts they are printed as.
 
     The last train row is found from a narrow table of the order columns; the split is
     then a comparison of each row with it: no window, no union, one scan.
     """
-    order = [ts_col, *key_cols]
-    keys = cut_lineage(df.select(*order), "split-keys")
-    n = keys.count()
-    cut = int(n * train_fraction)
-    if cut < 1 or cut >= n:
-        raise ValueError("Temporal split produced empty train or test")
-    last = nth_row(keys, order, cut)
-    bound = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order])
-    return df.withColumn("split", F.when(F.struct(*order) <= bound, "train").otherwise("test"))
+    if order not in ("time", "text"):
+        raise ValueError(f"order {order!r}: time or text")
+    columns = {"_s0": F.col(ts_col).cast("string") if order == "text" else F.col(ts_col), **{f"_s{i}": F.col(k) for i, k in enumerate(key_cols, 1)}}
+    return _first_part(df, columns, train_fraction, "train", "test")
 
 
-def hash_split(df: DataFrame, key: Column, test_percent: int = 20) -> DataFrame:
-    """Repeatable split: md5 bucket of the row key below ``test_percent`` is test."""
+def _first_part(df: DataFrame, columns: dict[str, Column], fraction: float, first: str, rest: str) -> DataFrame:
+    """``split`` = ``first`` for the first floor(n * fraction) rows in the columns' order."""
+    keys = cut_lineage(df.select(*[c.alias(k) for k, c in columns.items()]), "split-keys")
+    n = keys.count()
+    cut = int(n * fraction)
+    if cut < 1 or cut >= n:
+        raise ValueError("Split produced empty train or test")
+    last = nth_row(keys, list(columns), cut)
+    bound = F.struct(*[F.lit(last[k]).cast(keys.schema[k].dataType).alias(k) for k in columns])
+    return df.withColumn("split", F.when(F.struct(*[c.alias(k) for k, c in columns.items()]) <= bound, first).otherwise(rest))
+
+
+def hash_split(df: DataFrame, key: Column, test_percent: int = 20, exact: bool = False) -> DataFrame:
+    """Repeatable split: md5 bucket of the row key below ``test_percent`` is test.  With
+    ``exact``, test has floor(n * test_percent / 100) rows: the first in the order of the
+    key's md5 (rows of equal keys at the cut go together)."""
+    if exact:
+        return _first_part(df, {"_s0": md5_bucket(key, 1 << 32), "_s1": F.md5(key.cast("string"))}, test_percent / 100, "test", "train")
     return df.withColumn("split", F.when(md5_bucket(key, 100) < test_percent, "test").otherwise("train"))
 
 

@@ -128,16 +128,17 @@ DEPS["manifest"] = ["fold"]
 
 CTE["lineage"] = """
 lineage AS (
-  SELECT line, model_version, parent_version,
-         sha256(coalesce(parent_version, 'ROOT') || '|' || model_version || '|' ||
-                sha256(bundle_epoch || '|' || d_model || '|' || d_metrics || '|' || d_enc || '|' || d_feat)) AS lineage_token
-  FROM manifest
+  SELECT line, model_version, parent_version, sha256(coalesce(parent_version, 'ROOT') || '|' || model_version || '|' || digest_ring) AS lineage_token,
+         digest_ring, publish_nonce, left(sha256(publish_nonce), 32) AS seal_tag
+  FROM (SELECT *, sha256(bundle_epoch || '|' || d_model || '|' || d_metrics || '|' || d_enc || '|' || d_feat) AS digest_ring,
+               left(md5(line || '|' || model_version), 16) AS publish_nonce FROM manifest)
 )"""
 DEPS["lineage"] = ["manifest"]
 
 SQL["catalog_packages"] = with_ctes(["lineage"], """
 SELECT m.line, m.model_version AS version, m.parent_version, m.created_at, m.promotion_class, m.bundle_epoch,
-       m.R2 AS r2, m.MAE AS mae, l.lineage_token
+       m.R2 AS r2, m.MAE AS mae, l.lineage_token, l.digest_ring, l.seal_tag, l.publish_nonce,
+       sha256(l.publish_nonce || '|' || l.seal_tag || '|' || l.digest_ring) AS binding_mac
 FROM manifest m JOIN lineage l USING (line, model_version)""")
 
 SQL["lineage_token"] = with_ctes(["lineage"], "SELECT line, model_version, parent_version, lineage_token FROM lineage")
@@ -276,7 +277,7 @@ DEPS["slide"] = ["req"]
 
 SQL["request_counts"] = with_ctes(["req"], """
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
-       endpoint, status, count(*) AS n
+       'inference-api' AS service, CASE WHEN endpoint = 'view' THEN 'GET' ELSE 'POST' END AS method, endpoint, status, count(*) AS n
 FROM req GROUP BY ALL""")
 
 SQL["outcome_counts"] = with_ctes(["req"], """
@@ -512,32 +513,39 @@ FROM rec FULL JOIN scan ON rec.path = scan.path""")
 _GIT = "sha256(('blob ' || octet_length(encode({t})))::BLOB || '\\x00'::BLOB || encode({t}))"
 CTE["digests"] = f"""
 digests AS (
+  SELECT *, CASE WHEN path % 5 = 0 THEN 'output' ELSE 'dependency' END AS kind FROM (
   SELECT lang AS pipeline, source AS stage, doc_id AS path, 'recorded' AS snapshot, {_GIT.format(t='text')} AS digest FROM documents
   UNION ALL
   SELECT lang, source, doc_id, 'current', {_GIT.format(t="CASE WHEN doc_id % 97 = 0 THEN text || ' ' ELSE text END")} FROM documents WHERE doc_id % 193 <> 0
   UNION ALL
-  SELECT lang, source, doc_id + 1000000000, 'current', {_GIT.format(t='text')} FROM documents WHERE doc_id % 197 = 0
+  SELECT lang, source, doc_id + 1000000000, 'current', {_GIT.format(t='text')} FROM documents WHERE doc_id % 197 = 0)
 )"""
 CTE["ddiff"] = """
 ddiff AS (
-  SELECT coalesce(r.pipeline, c.pipeline) AS pipeline, coalesce(r.stage, c.stage) AS stage,
+  SELECT coalesce(r.pipeline, c.pipeline) AS pipeline, coalesce(r.stage, c.stage) AS stage, coalesce(r.kind, c.kind) AS kind,
          count(*) FILTER (WHERE r.digest IS NOT NULL AND c.digest IS NOT NULL AND r.digest <> c.digest) AS n_changed,
          count(*) FILTER (WHERE c.digest IS NULL) AS n_missing,
          count(*) FILTER (WHERE r.digest IS NULL) AS n_extra,
          NOT bool_and(r.digest IS NOT DISTINCT FROM c.digest) AS stale
   FROM (SELECT * FROM digests WHERE snapshot = 'recorded') r
-  FULL JOIN (SELECT * FROM digests WHERE snapshot = 'current') c USING (pipeline, stage, path)
+  FULL JOIN (SELECT * FROM digests WHERE snapshot = 'current') c USING (pipeline, stage, kind, path)
   GROUP BY ALL
 )"""
 DEPS["ddiff"] = ["digests"]
 SQL["digest_snapshot"] = with_ctes(["digests"], """
-SELECT pipeline, stage, count(*) AS n_paths,
+SELECT pipeline, stage, kind, count(*) AS n_paths,
        count(*) || ':' || CAST(sum(('0x' || left(sha256(path || '|' || digest), 15))::BIGINT) AS VARCHAR) AS snapshot_digest
-FROM digests WHERE snapshot = 'recorded' GROUP BY pipeline, stage""")
+FROM digests WHERE snapshot = 'recorded' GROUP BY pipeline, stage, kind""")
 SQL["digest_diff"] = with_ctes(["ddiff"], "SELECT * FROM ddiff")
 SQL["staleness_plan"] = with_ctes(["ddiff"], """
-SELECT pipeline, stage, stale, bool_or(stale) OVER (PARTITION BY pipeline ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS must_run
-FROM ddiff""")
+, st AS (SELECT DISTINCT lang AS pipeline, source AS stage, CAST(substr(source, 4) AS INTEGER) AS k FROM documents),
+per AS (SELECT pipeline, stage, bool_or(stale AND kind = 'dependency') AS dep, bool_or(stale AND kind = 'output') AS o FROM ddiff GROUP BY ALL),
+x AS (SELECT pipeline, stage, CASE WHEN k = 7 THEN -1 ELSE k END AS position,
+             CASE WHEN k = 11 THEN 'status' WHEN dep THEN 'dependency' WHEN o THEN 'output' END AS reason
+      FROM st LEFT JOIN per USING (pipeline, stage))
+SELECT pipeline, stage, position, reason IS NOT NULL AS stale, reason,
+       bool_or(reason IS NOT NULL) OVER (PARTITION BY pipeline ORDER BY position, stage ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS must_run
+FROM x""")
 
 # ------------------------------------------------------------------ scoring
 SQL["batch_explode"] = with_ctes(["telemetry"], """

@@ -66,6 +66,7 @@ def q_catalog_packages(spark, sf_dir):
     return _manifests(spark, sf_dir).select(
         "line", F.col("model_version").alias("version"), "parent_version", "created_at", "promotion_class",
         "bundle_epoch", F.col("R2").alias("r2"), F.col("MAE").alias("mae"), prm.token().alias("lineage_token"),
+        "digest_ring", "seal_tag", "publish_nonce", "binding_mac",
     )
 
 
@@ -166,7 +167,7 @@ def _requests(spark, sf_dir):
 
 @query("request_counts")
 def q_request_counts(spark, sf_dir):
-    return rl.window_counts(_requests(spark, sf_dir), "ts", "1 hour", ["endpoint", "status"]).drop("rate_per_s")
+    return rl.window_counts(_requests(spark, sf_dir), "ts", "1 hour", ["service", "method", "endpoint", "status"]).drop("rate_per_s")
 
 
 @query("outcome_counts")
@@ -428,8 +429,8 @@ def q_manifest_valid(spark, sf_dir):
     names = F.array_join(F.filter(F.map_keys("blobs"), lambda k: ~((F.col("cand_id") % 17 == 0) & (k == "label_encoders.pkl"))), ",")
     entries = [
         ("model_version", F.col("model_version")),
-        ("binding_mac", F.when(F.col("cand_id") % 13 != 0, F.sha2(F.col("model_version"), 256))),
-        ("digest_ring", prm.ring_stand_in(F.col("blobs"), F.col("bundle_epoch"))),
+        ("binding_mac", F.when(F.col("cand_id") % 13 != 0, F.col("binding_mac"))),
+        ("digest_ring", F.col("digest_ring")),
         ("promotion_class", F.col("promotion_class")),
         ("bundle_epoch", F.col("bundle_epoch").cast("string")),
         ("blobs", F.lit("4")),
@@ -517,20 +518,20 @@ def _digests(spark, sf_dir):
 @query("digest_snapshot")
 def q_digest_snapshot(spark, sf_dir):
     d = _digests(spark, sf_dir).where(F.col("snapshot") == "recorded")
-    return lin.snapshot(d, ["pipeline", "stage"])
+    return lin.snapshot(d, ["pipeline", "stage", "kind"])
 
 
 @query("digest_diff")
 def q_digest_diff(spark, sf_dir):
     d = _digests(spark, sf_dir)
-    return lin.digest_diff(d.where(F.col("snapshot") == "recorded"), d.where(F.col("snapshot") == "current"), ["pipeline", "stage"])
+    return lin.digest_diff(d.where(F.col("snapshot") == "recorded"), d.where(F.col("snapshot") == "current"), ["pipeline", "stage", "kind"])
 
 
 @query("staleness_plan")
 def q_staleness_plan(spark, sf_dir):
     d = _digests(spark, sf_dir)
-    diff = lin.digest_diff(d.where(F.col("snapshot") == "recorded"), d.where(F.col("snapshot") == "current"), ["pipeline", "stage"])
-    return lin.staleness_plan(diff, "pipeline", "stage")
+    diff = lin.digest_diff(d.where(F.col("snapshot") == "recorded"), d.where(F.col("snapshot") == "current"), ["pipeline", "stage", "kind"])
+    return lin.staleness_plan(diff, adapters.stages(Tables(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ scoring

@@ -88,6 +88,8 @@ def requests(t: Tables) -> DataFrame:
         .alias("outcome"),
         (F.col("value") / 100).alias("latency_s"),
         F.col("props").alias("payload_key"),
+        F.lit("inference-api").alias("service"),
+        F.when(F.col("event_type") == "view", F.lit("GET")).otherwise(F.lit("POST")).alias("method"),
         F.when(F.hour("ts").isin(3, 4), F.lit(0)).otherwise(F.lit(1)).alias("model_loaded"),
         # forwarded-for header: client first, then a proxy hop
         F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(", 10.0."), (F.col("user_id") % 7).cast("string"), F.lit(".1")).alias("xff"),
@@ -180,7 +182,8 @@ def blobs(t: Tables) -> DataFrame:
 def digests(t: Tables) -> DataFrame:
     """Stage ledgers over ``documents``: recorded vs current digest per path.
 
-    pipeline = lang, stage = source, path = doc_id.  The current snapshot has
+    pipeline = lang, stage = source, path = doc_id, kind = output when doc_id % 5 = 0, else
+    dependency.  The current snapshot has
     changed text when doc_id % 97 = 0, is missing when doc_id % 193 = 0 and has
     extra paths (doc_id + 1e9) when doc_id % 197 = 0.
     """
@@ -206,7 +209,16 @@ def digests(t: Tables) -> DataFrame:
         "pipeline", "stage", (F.col("path") + 1000000000).alias("path"), F.lit("current").alias("snapshot"),
         git_blob_digest(F.encode("text", "UTF-8")).alias("digest"),
     )
-    return recorded.unionByName(current).unionByName(extra)
+    kind = F.when(F.col("path") % 5 == 0, F.lit("output")).otherwise(F.lit("dependency"))
+    return recorded.unionByName(current).unionByName(extra).withColumn("kind", kind)
+
+
+def stages(t: Tables) -> DataFrame:
+    """Declared stages: position = number in the source's name, except that src7 stands
+    first; the ledger's status is failed for position 11."""
+    d = t.documents.select(F.col("lang").alias("pipeline"), F.col("source").alias("stage")).distinct()
+    number = F.regexp_extract("stage", "([0-9]+)$", 1).try_cast("int")
+    return d.select("pipeline", "stage", F.when(number == 7, -1).otherwise(number).alias("position"), F.when(number == 11, F.lit("failed")).otherwise(F.lit("success")).alias("status"))
 
 
 def payloads(t: Tables) -> DataFrame:

@@ -29,3 +29,28 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in plan
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
+
+
+def _plan(spark, key):
+    return entry.queries()[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_reads_each_table_once(spark):
+    """The split is a comparison with one row: as many scans as without it, no window."""
+    plan = _plan(spark, "temporal_split")
+    assert plan.count("FileScan") == _plan(spark, "hash_split").count("FileScan") and "Window" not in plan
+
+
+def test_election_shuffles_little(spark):
+    assert audit(entry.queries()["election_winner"](spark, SF_SMALL))["shuffle"] < 20
+
+
+def test_one_python_node_per_fold(spark):
+    for key in ("promotion_fold", "catalog_packages", "rate_limit", "cache_replay"):
+        plan = _plan(spark, key)
+        assert plan.count("MapInPandas") == 1, key
+
+
+def test_quantiles_move_no_table(spark):
+    """Ranges are read from two aggregates over the table; the result is a few rows."""
+    assert "FileScan" not in _plan(spark, "training_ranges")

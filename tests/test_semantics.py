@@ -381,3 +381,23 @@ def test_depth_beyond_spark_is_refused():
 
     with pytest.raises(ValueError):
         train.ForestParams(max_depth=31).estimator("y")
+
+
+def test_split_options(spark):
+    from stratus.operators.split import hash_split, temporal_split
+
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=i % 40, hours=i % 5)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id bigint, ts timestamp_ntz")
+    by_text = {r["id"] for r in temporal_split(df.withColumn("t", F.date_format("ts", "M/d/yyyy H:mm")), "t", ["id"], order="text").where("split = 'train'").collect()}
+    text = lambda d: f"{d.month}/{d.day}/{d.year} {d.hour}:{d.minute:02d}"
+    assert by_text == {i for i, _ in sorted(rows, key=lambda r: (text(r[1]), r[0]))[:800]}
+    assert hash_split(df, F.col("id"), 20, exact=True).where("split = 'test'").count() == 200
+
+
+def test_staleness_follows_the_declared_order(spark):
+    from stratus.operators import lineage
+
+    diff = spark.createDataFrame([("p", "b", "dependency", False), ("p", "b", "output", True), ("p", "a", "dependency", False), ("p", "c", "dependency", False)], "pipeline string, stage string, kind string, stale boolean")
+    stages = spark.createDataFrame([("p", "c", 1, "success"), ("p", "b", 2, "success"), ("p", "a", 3, "success"), ("q", "x", 1, None)], "pipeline string, stage string, position int, status string")
+    got = {(r["pipeline"], r["stage"]): (r["stale"], r["reason"], r["must_run"]) for r in lineage.staleness_plan(diff, stages).collect()}
+    assert got == {("p", "c"): (False, None, False), ("p", "b"): (True, "output", True), ("p", "a"): (False, None, True), ("q", "x"): (True, "status", True)}
