@@ -2,14 +2,16 @@
 and the two stateful replays (sliding-window rate limiter, TTL cache).
 
 Windowed counts use ``window()`` group-bys (partial aggregation, so a hot
-endpoint or status costs nothing extra).  The replays are ordered folds;
-they are cut at exact independence points (a quiet gap longer than the
-window/TTL empties the state), and each piece is folded by a sorted
-streaming pass that holds at most ``limit`` timestamps.
+endpoint or status costs nothing extra).  The limiter is an ordered fold cut
+at exact independence points (a quiet gap longer than the window empties the
+state); each piece is a sorted streaming pass that holds at most ``limit``
+timestamps.  The cache is replayed in time buckets.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -234,18 +236,74 @@ def rate_limit(df: DataFrame, key: str, ts: str, tie: str, limit: int = 60, wind
     return _folded(df, key, ts, tie, _seconds(window), "admitted", decide)
 
 
+# Width of a time bucket of the cache replay, in lifetimes of an entry.
+BUCKET_LIFETIMES = 8
+
+
+def _chain(times: np.ndarray, age: int) -> np.ndarray:
+    """For each event the index of the first that comes more than ``age`` later."""
+    return np.searchsorted(times, times + age, side="right")
+
+
 def cache_replay(df: DataFrame, key: str, ts: str, tie: str, ttl: str = "300 seconds") -> DataFrame:
     """Replay a TTL cache per key: hit when the entry stored by the last miss
     is at most ``ttl`` old (hits don't refresh it); ttl = 0 never expires (only the first
-    is a miss)."""
+    is a miss).
+
+    A miss is followed by the first event more than ``ttl`` after it, so a time bucket's
+    last miss is a function of the last miss before it, and only events of the bucket's
+    first lifetime can tell the difference.  Each (key, bucket) computes that function
+    from its own rows in one backward pass; a fold over a key's buckets, which reads the
+    events of first lifetimes only, gives every bucket its entry; then buckets mark their
+    hits.  No task holds more of a key than a bucket."""
     ttl_s = _seconds(ttl)
     if ttl_s <= 0:
         first = df.groupBy(key).agg(F.min(F.struct(ts, tie)).alias("_first"))
         return df.join(first, key).withColumn("cache_hit", F.struct(ts, tie) != F.col("_first")).drop("_first")
     age = int(ttl_s * 1_000_000)
-
-    def decide(stored, now):
-        hit = stored is not None and now - stored <= age
-        return hit, stored if hit else now
-
-    return _folded(df, key, ts, tie, ttl_s, "cache_hit", decide)
+    held = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    held = held.withColumn("_bkt", F.floor(F.col("_us") / (age * BUCKET_LIFETIMES)))
+    kind = df.schema[key].dataType.simpleString()
+
+    def exits(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """(event of the first lifetime or the one after, last miss if it is one)."""
+        times = np.sort(pdf["_us"].to_numpy())
+        after, last = _chain(times, age), times.copy()
+        for i in range(len(times) - 1, -1, -1):
+            if after[i] < len(times):
+                last[i] = last[after[i]]
+        n = min(int(np.searchsorted(times, group[1] * age * BUCKET_LIFETIMES + age, side="right")) + 1, len(times))
+        keep = np.flatnonzero(np.r_[True, times[1:n] != times[: n - 1]])
+        return pd.DataFrame({key: group[0], "_bkt": int(group[1]), "at": times[keep], "last": last[keep]})
+
+    def entries(batches):
+        """The last miss before each bucket of a key; rows stand in order."""
+        cur = bucket = state = None
+        done = False
+        for pdf in batches:
+            out = []
+            for k, b, at, last in zip(pdf[key].tolist(), pdf["_bkt"].tolist(), pdf["at"].tolist(), pdf["last"].tolist(), strict=True):
+                if k != cur:
+                    cur, bucket, state = k, None, None
+                if b != bucket:
+                    bucket, done = b, False
+                    out.append((k, b, state))
+                if not done and (state is None or at > state + age):
+                    state, done = last, True
+            yield pd.DataFrame({key: [x[0] for x in out], "_b": [x[1] for x in out], "_entry": pd.array([x[2] for x in out], dtype="Int64")})
+
+    def marks(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_us", tie], kind="stable")
+        times, entry = pdf["_us"].to_numpy(), pdf["_entry"].iloc[0]
+        after, hit = _chain(times, age), np.ones(len(times), bool)
+        i = 0 if pd.isna(entry) else int(np.searchsorted(times, int(entry) + age, side="right"))
+        while i < len(times):
+            hit[i] = False
+            i = int(after[i])
+        return pdf.drop(columns=["_us", "_bkt", "_entry"]).assign(cache_hit=hit)
+
+    jumps = held.select(key, "_us", "_bkt").groupBy(key, "_bkt").applyInPandas(exits, f"`{key}` {kind}, _bkt bigint, at bigint, last bigint")
+    jumps = jumps.repartition(shuffle_partitions(df), key).sortWithinPartitions(key, "_bkt", "at")
+    state = jumps.mapInPandas(entries, f"`{key}` {kind}, _b bigint, _entry bigint").withColumnRenamed(key, "_k")
+    rows = held.join(state, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bkt") == F.col("_b"))).select(*df.columns, "_us", "_bkt", "_entry")
+    return rows.groupBy(key, "_bkt").applyInPandas(marks, T.StructType([*df.schema.fields, T.StructField("cache_hit", T.BooleanType())]))

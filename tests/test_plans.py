@@ -46,7 +46,7 @@ def test_election_shuffles_little(spark):
 
 
 def test_one_python_node_per_fold(spark):
-    for key in ("promotion_fold", "catalog_packages", "rate_limit", "cache_replay"):
+    for key in ("promotion_fold", "catalog_packages", "rate_limit"):
         plan = _plan(spark, key)
         assert plan.count("MapInPandas") == 1, key
 

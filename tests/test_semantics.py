@@ -148,6 +148,21 @@ def test_cache_replay_matches_python(spark):
     assert got0 == _py_cache(ev, 0)
 
 
+def test_cache_replay_of_a_key_without_pauses(spark):
+    """Traffic without a quiet gap, over many buckets, with ties and exact lifetimes."""
+    rnd = random.Random(8)
+    t, ev = dt.datetime(2024, 1, 1), []
+    for i in range(3000):
+        t = t + dt.timedelta(seconds=rnd.choice([0, 0, 1, 5, 10, 30]))
+        ev.append((i, t, "hot" if i % 3 else rnd.choice(["a", None])))
+    ev += [(9000 + i, dt.datetime(2025, 1, 1) + dt.timedelta(seconds=60 * i), "exact") for i in range(200)]
+    df = spark.createDataFrame(ev, "request_id bigint, ts timestamp_ntz, k string").withColumn("more", F.lit("x"))
+    for ttl in (10, 60):
+        out = requests_log.cache_replay(df, "k", "ts", "request_id", f"{ttl} seconds")
+        assert out.columns == ["request_id", "ts", "k", "more", "cache_hit"]
+        assert {r["request_id"]: r["cache_hit"] for r in out.collect()} == _py_cache(ev, ttl)
+
+
 def _by_contract(d, rel, broken, p):
     """The decision table of the bundle contract, written anew: the region of (d, rel)."""
     size = "major" if d >= p.r2_major else "minor" if d >= p.r2_minor else "flat" if d >= 0 else "loss"
