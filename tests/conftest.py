@@ -10,10 +10,6 @@ sys.path.insert(0, str(ROOT))
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_MID = "/root/testdata/sf0.01"
-# Folder with the trial registry, deny list and acceptance cases used by the
-# golden tests (``trials/``, ``config/exclude_fingerprints.txt``,
-# ``acceptance/case_0N.json``); those tests skip when it is not given.
-REFERENCE_LAB = Path(os.environ.get("STRATUS_LAB_DIR", "/nonexistent-lab-dir"))
 
 
 @pytest.fixture(scope="session")

@@ -57,3 +57,30 @@ def test_partition_count_invariance(spark):
             assert sorted(map(tuple, q[k](spark, SF_SMALL).collect()), key=str) == before[k], k
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_metrics_catalogue_and_audit_sinks(spark, scratch):
+    m = spark.createDataFrame([("MAE", 0.5), ("R2", 0.9)], "metric string, value double")
+    io.append_runs(m, f"{scratch}/runs", "a")
+    io.append_runs(m, f"{scratch}/runs", "b")
+    assert {(r["run_id"], r["count"]) for r in spark.read.parquet(f"{scratch}/runs").groupBy("run_id").count().collect()} == {("a", 2), ("b", 2)}
+    p, b = spark.createDataFrame([("1.0.0",)], "version string"), spark.createDataFrame([("ab",)], "sha256 string")
+    for _ in range(2):
+        io.overwrite_catalog(p, b, f"{scratch}/catalog")
+    assert spark.read.parquet(f"{scratch}/catalog/packages").count() == spark.read.parquet(f"{scratch}/catalog/blobs").count() == 1
+    e = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "request_id int, d string").select("request_id", F.to_date("d").alias("event_date"))
+    io.append_audit(e, f"{scratch}/audit")
+    io.append_audit(e, f"{scratch}/audit")
+    assert spark.read.parquet(f"{scratch}/audit").where("event_date = DATE '2024-01-02'").count() == 2
+
+
+def test_blobs_and_absent_features(spark, scratch):
+    import hashlib
+
+    from stratus.operators.train import assemble
+
+    open(f"{scratch}/x.bin", "wb").write(b"\x00\xffblob")
+    r = io.read_blobs(spark, f"{scratch}/x.bin").first()
+    assert (r["sha256"], r["size"]) == (hashlib.sha256(b"\x00\xffblob").hexdigest(), 6)
+    v = assemble(spark.createDataFrame([(1.0,)], "a double"), ["b", "a"]).first()["features"]
+    assert v[1] == 1.0 and v[0] != v[0]
