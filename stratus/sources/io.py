@@ -83,6 +83,19 @@ def read_deny_list(spark: SparkSession, path: str) -> DataFrame:
     return t.where((F.col("fingerprint") != "") & ~F.col("fingerprint").startswith("#"))
 
 
+def read_constraints(spark: SparkSession, path: str) -> DataFrame:
+    """Election constraints from a parameter file of ``key: value`` lines (``#`` comments);
+    keys that are no constraint are skipped, absent ones keep their default.  One row."""
+    from dataclasses import fields
+
+    from ..operators.election import Constraints
+
+    lines = spark.read.text(path).where(F.col("value").contains(":")).collect()  # a parameter file
+    found = {k.strip(): v.split("#")[0].strip() for k, _, v in (r["value"].partition(":") for r in lines) if not k.strip().startswith("#")}
+    kinds = {"int": int, "float": float, "str": str, "bool": lambda v: {"true": True, "false": False}[v.lower()]}
+    return Constraints(**{f.name: kinds[f.type](found[f.name]) for f in fields(Constraints) if f.name in found}).frame(spark)
+
+
 def parse_release_ledger(lines: DataFrame) -> DataFrame:
     """``<unix_ms> <version> <class> <ring> <token> <nonce> <mac>`` per line."""
     p = F.split(F.col("value"), " ")

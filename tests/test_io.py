@@ -84,3 +84,10 @@ def test_blobs_and_absent_features(spark, scratch):
     assert (r["sha256"], r["size"]) == (hashlib.sha256(b"\x00\xffblob").hexdigest(), 6)
     v = assemble(spark.createDataFrame([(1.0,)], "a double"), ["b", "a"]).first()["features"]
     assert v[1] == 1.0 and v[0] != v[0]
+
+
+def test_constraints_file(spark, scratch):
+    p = f"{scratch}/constraints.yaml"
+    open(p, "w").write("# bounds\nn_estimators_min: 50\nrequire_unlimited_depth: false  # any\npred_var_max: 3.5\nscore_epsilon: 1.0e-9\n")
+    r = io.read_constraints(spark, p).collect()
+    assert len(r) == 1 and (r[0]["n_estimators_min"], r[0]["n_estimators_max"], r[0]["require_unlimited_depth"], r[0]["pred_var_max"]) == (50, 800, False, 3.5)
