@@ -142,20 +142,6 @@ def cache_replay_stream(req: DataFrame, ttl: str, delay: str) -> DataFrame:
     )
 
 
-def run_to_completion(df: DataFrame, checkpoint: str, mode: str = "append") -> list:
-    """Drive a streaming query over all available input (``availableNow``) and
-    return the rows it emitted, collected micro-batch by micro-batch."""
-    rows: list = []
-
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        rows.extend(batch.collect())  # test/dev helper: output of a bounded input
-
-    q = (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-         .foreachBatch(sink).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return rows
-
-
 def error_ratio_stream(req: DataFrame, width: str, slide: str, delay: str, threshold: float) -> DataFrame:
     """5xx ratio per sliding event-time window (append mode: emitted once the
     watermark passes the window end)."""
