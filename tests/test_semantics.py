@@ -416,3 +416,26 @@ def test_staleness_follows_the_declared_order(spark):
     stages = spark.createDataFrame([("p", "c", 1, "success"), ("p", "b", 2, "success"), ("p", "a", 3, "success"), ("q", "x", 1, None)], "pipeline string, stage string, position int, status string")
     got = {(r["pipeline"], r["stage"]): (r["stale"], r["reason"], r["must_run"]) for r in lineage.staleness_plan(diff, stages).collect()}
     assert got == {("p", "c"): (False, None, False), ("p", "b"): (True, "output", True), ("p", "a"): (False, None, True), ("q", "x"): (True, "status", True)}
+
+
+def test_shadow_scores_of_two_versions(spark):
+    from stratus.operators import train
+
+    df = spark.createDataFrame([(float(i), float(i * 2)) for i in range(40)], "x double, cost double")
+    a, b = (train.fit(df, ["x"], "cost", train.ForestParams(num_trees=n, max_depth=3, max_features="all", seed=n)) for n in (3, 9))
+    got = train.shadow_scores(a, b, df, ["x"]).collect()
+    alone = {r["x"]: r["prediction"] for r in train.score(b, df, ["x"]).collect()}
+    assert all(r["shadow"] == alone[r["x"]] and r["delta"] == r["shadow"] - r["primary"] for r in got)
+    assert any(r["delta"] for r in got)
+
+
+def test_forest_metrics_within_bounds(spark):
+    """The fitted forests' own numbers, with thresholds: what the model queries only gate."""
+    from conftest import SF_SMALL
+    from stratus.operators import train
+    from stratus.plans import queries_more as q
+
+    frame, _ = q._model_frame(spark, SF_SMALL)
+    r = train.holdout_report(frame, q.COST_FEATURES, "cost", q.FOREST).first()
+    assert r["test_R2"] > 0.9 and abs(r["gap_R2"]) < 0.05 and r["test_MAE"] < 1.0
+    assert train.cv_r2(frame, "row_id", q.COST_FEATURES, "cost", q.FOREST).first()["cv_r2"] > 0.9
