@@ -28,6 +28,7 @@ result. Ids are integers.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +57,16 @@ def windows(hashes: np.ndarray, window: int) -> np.ndarray:
     """A hash for each window: the sum of its words' hashes times powers of an odd number."""
     n = len(hashes) - window + 1
     out = np.zeros(max(n, 0), dtype=np.uint64)
-    for k in range(window if n > 0 else 0):
-        out += hashes[k : k + n] * np.uint64(pow(STEP, k, 1 << 64))
+    for k, power in enumerate(_powers(window) if n > 0 else ()):
+        out += hashes[k : k + n] * power
     return out
 
 
+@lru_cache
+def _powers(n: int) -> np.ndarray:
+    return np.array([pow(STEP, k, 1 << 64) for k in range(n)], dtype=np.uint64)
+
+
 def _zip(a: np.ndarray) -> bytes:
     """Byte planes of an array, compressed."""
     import zstandard
@@ -95,14 +101,25 @@ class Texts:
         texts = [(t or "").encode() for t in table.column("text").to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids, self.texts, self.window = [ids[i] for i in order], [texts[i] for i in order], window
-
-    def hashed(self):
-        """(index, word hashes, window hashes) of documents that have windows."""
+        self.found: list | None = None
+
+    def hashed(self, keep: bool):
+        """(index, word hashes, window hashes) of documents that have windows; ``keep``
+        holds them for the next time."""
+        if self.found is not None:
+            yield from self.found
+            return
+        held = []
         for i, t in enumerate(self.texts):
             words = t.split()
             if len(words) >= self.window:
                 h = word_hashes(words)
-                yield i, h, windows(h[:, 0], self.window)
+                row = (i, h, windows(h[:, 0], self.window))
+                if keep:
+                    held.append(row)
+                yield row
+        if keep:
+            self.found = held
 
 
 class Layout:
@@ -130,14 +147,14 @@ def _sketch_cells(hashes: np.ndarray, layout: Layout, row: int) -> tuple[np.ndar
     return cells[at], np.diff(np.r_[at, len(cells)]) > 1
 
 
-def _gathered(texts: Texts) -> np.ndarray:
+def _gathered(texts: Texts, keep: bool) -> np.ndarray:
     """Each document's distinct windows."""
-    found = [np.unique(w) for _, _, w in texts.hashed()]
+    found = [np.unique(w) for _, _, w in texts.hashed(keep)]
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def sketch(table: pa.Table, layout: Layout, window: int) -> pa.Table:
-    pid, hashes, rows = table.column("pid")[0].as_py(), _gathered(Texts(table, window)), []
+    pid, hashes, rows = table.column("pid")[0].as_py(), _gathered(Texts(table, window), False), []
     shift = layout.cell_bits - layout.block_bits
     for row in range(DEPTH):
         cells, twice = _sketch_cells(hashes, layout, row)
@@ -169,7 +186,7 @@ class Candidates:
     sorted by hash."""
 
     def __init__(self, texts: Texts, answers: list[dict], layout: Layout):
-        hashes = _gathered(texts)
+        hashes = _gathered(texts, True)
         self.by_doc: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         local_bits = min(max(10, (16 * len(hashes)).bit_length()), 25)
         mask = np.uint64((1 << local_bits) - 1)
@@ -184,7 +201,7 @@ class Candidates:
                 repeated[cells[np.concatenate(flags).astype(bool)] & mask] = True
             local.append(repeated)
         h0, h1, doc = [], [], []
-        for i, words, w in texts.hashed():
+        for i, words, w in texts.hashed(True):
             able = local[0][layout.cells(w, 0) & mask]
             for row in range(1, DEPTH):
                 able &= local[row][layout.cells(w, row) & mask]
