@@ -41,7 +41,9 @@ P = len(FEATURES)
 MIN_ROWS = 100
 #: Share of clean documents (of normal statistics) that the cutoff would reject: 1e-4.
 KEEP = 0.9999
-MAX_STEPS = 30
+#: Estimates have settled when no cell's mean moves further in a step (sum over statistics; a
+#: fifth of the least floor, as halves that end at a bin's edge can alternate).
+MAX_STEPS, SETTLED = 30, 0.01
 #: Distance bins in a factor of e; value bins in 1.
 DISTANCE_BINS, VALUE_BINS = 48, 256
 
@@ -183,7 +185,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         before = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         near = bins.withColumn("before", before).withColumn("half", F.floor((F.sum("n").over(w) + P + 1) / 2)).filter("before < half")
         params = written(_estimate(_totals(near), HALF).coalesce(1), "rule-estimate")
-        if (params.agg(F.max("moved")).first()[0] or 0.0) < 1e-9:  # a row per cell
+        if (params.agg(F.max("moved")).first()[0] or 0.0) < SETTLED:  # a row per cell
             break
     inner = distances(rows, params).filter(F.col("d2") <= chi2_point(0.975, P))
     return written(_estimate(_moments(inner), 1.0).coalesce(1), "rule-estimate")
