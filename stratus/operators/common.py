@@ -60,28 +60,40 @@ def running_total(df: DataFrame, order_cols: list[str], value: Column, out: str,
     return tagged.join(offs, on).withColumn(out, F.sum("_v").over(w) + F.col("_off")).drop("_bkt", "_v", "_off", "_o_bkt", *[f"_o_{g}" for g in group])
 
 
+# Accuracy of the quantiles that bracket a position, and rows that are sorted in the end.
+ACCURACY, LAST_ROWS = 10_000, 10_000
+
+
 def nth_row(df: DataFrame, order_cols: list[str], n: int):
     """The ``n``-th row (from 1) in the order of ``order_cols``, nulls first.
 
-    The search narrows to the range bucket that holds the row, from counts per bucket (a
-    bounded table), until the rows left agree in the column, and goes on with the next
-    one; the few rows left are sorted.  A round keeps about one bucket's share.
+    Approximate quantiles bracket the row's place in the first column; rows before the
+    bracket are counted and rows outside it left out, which keeps about one row in 5,000.
+    That is repeated until few rows are left to sort, going on to the next column when the
+    rows agree in this one.
     """
-    rows, left = df.select(*order_cols), n
+    rows, left, size = df.select(*order_cols), n, None
     for c in order_cols:
-        while True:
-            number = order_number(rows, c)
+        number = order_number(rows, c)
+        while size is None or size > LAST_ROWS:
             seen = rows.agg(F.count("*").alias("n"), F.count(c).alias("known"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-            if seen["known"] in (0, seen["n"]) and seen["lo"] == seen["hi"]:
+            size, nulls = seen["n"], seen["n"] - seen["known"]
+            if size <= LAST_ROWS or seen["lo"] == seen["hi"] and nulls in (0, size):
+                break
+            if left <= nulls:
+                rows, size = rows.where(F.col(c).isNull()), nulls
                 break
-            tagged = rows.withColumn("_bkt", F.when(F.col(c).isNull(), -1).otherwise(range_buckets(rows, number)))
-            size = 0
-            for b, size in sorted((r["_bkt"], r["count"]) for r in tagged.groupBy("_bkt").count().collect()):  # a row per bucket
-                if left <= size:
-                    rows = tagged.where(F.col("_bkt") == b).drop("_bkt")
+            rows, left, known = rows.where(F.col(c).isNotNull()), left - nulls, seen["known"]
+            place, width = (left - 0.5) / known, 1.0 / ACCURACY
+            while True:
+                lo, hi = rows.agg(F.percentile_approx(number, [max(0.0, place - width), min(1.0, place + width)], ACCURACY).alias("q")).first()["q"]
+                counts = rows.agg(F.count_if(number < lo).alias("before"), F.count_if((number >= lo) & (number <= hi)).alias("inside")).first()
+                if counts["before"] < left <= counts["before"] + counts["inside"] or width >= 1:
                     break
-                left -= size
-            if size == seen["n"]:
-                break  # texts that share six leading bytes
-    w = Window.orderBy(*order_cols)  # of what is left
+                width *= 10
+            rows, left = rows.where((number >= lo) & (number <= hi)), left - counts["before"]
+            if counts["inside"] == known:
+                break  # texts that share their first bytes, or one value
+            size = counts["inside"]
+    w = Window.orderBy(*order_cols)  # of the few rows left
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == left).drop("_rn").first()

@@ -12,6 +12,11 @@ TABLE_NAMES = (
 ).split()
 
 
+# A session that reads tables of one row group each (the bench) may ask for this many
+# partitions above every scan; unset, a scan has the splits of its files.
+SCAN_PARTITIONS = "stratus.scan.partitions"
+
+
 class Tables:
     """Lazy accessors for the driver tables of one scale factor.
 
@@ -24,7 +29,9 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        n = self.spark.conf.get(SCAN_PARTITIONS, None)
+        return df.repartition(int(n)) if n else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:

@@ -284,18 +284,21 @@ def test_running_total_by_group_and_text(spark):
     assert got == want
 
 
-def test_nth_row_of_ties(spark):
+def test_nth_row_of_ties(spark, monkeypatch):
     """One timestamp for all rows, repeated keys and nulls: the split is still exact."""
+    from stratus.operators import common
     from stratus.operators.common import nth_row
     from stratus.operators.split import temporal_split
 
+    monkeypatch.setattr(common, "LAST_ROWS", 5)
+
     rng = np.random.default_rng(13)
     rows = [(dt.datetime(2024, 1, 1), int(k), "prefix-%03d" % t) for k, t in zip(rng.integers(0, 20, 1500), rng.integers(0, 400, 1500))]
     rows += [(None, 3, "x"), (dt.datetime(2023, 1, 1), None, None)]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, k int, t string")
     key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
     order = sorted(rows, key=key)
-    for n in (1, 2, 3, 700, 1502):
+    for n in (1, 2, 3, 300, 700, 1501, 1502):
         assert tuple(nth_row(df, ["ts", "k", "t"], n)) == order[n - 1]
     unique = spark.createDataFrame([(dt.datetime(2024, 1, 1), i) for i in range(1000)], "ts timestamp_ntz, k int")
     split = {r["k"]: r["split"] for r in temporal_split(unique, "ts", ["k"]).collect()}
