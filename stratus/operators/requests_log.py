@@ -237,7 +237,7 @@ def rate_limit(df: DataFrame, key: str, ts: str, tie: str, limit: int = 60, wind
 
 
 # Width of a time bucket of the cache replay, in lifetimes of an entry.
-BUCKET_LIFETIMES = 8
+BUCKET_LIFETIMES = 32
 
 
 def _chain(times: np.ndarray, age: int) -> np.ndarray:
