@@ -43,8 +43,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Words of a text (null: 0) as long."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def hash_unit(*cols: Column) -> Column:
-    """A repeatable number in (0, 1) from a row's values (53 bits of a 64-bit hash)."""
-    return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
