@@ -18,6 +18,10 @@ re-estimates from all documents within the 97.5 % point.
 
 Statistics that are constant in half of a cell would make any other value infinitely far,
 so ``FLOORS`` (the least spread that counts, by statistic) are added to the variances.
+Those of the repetition shares are what chance does to the shortest document that passes:
+the root of a share of n units has a standard deviation of at most 1 / (2 sqrt(n)), and 50
+words, of which a repeat always covers both occurrences, are 25 units. In a cell without
+repeats either share then rejects alone from about 26 %.
 
 Defined cases: a null or empty text has no words and fails the base limits; null languages
 and sources are values of their own; rows that repeat an id are judged each; other
@@ -36,7 +40,7 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Transformed statistics: log words, log word length, and square roots of the shares of
 #: symbols, repeated lines and repeated words; and the least spread of each.
 FEATURES = ("x1", "x2", "x3", "x4", "x5")
-FLOORS = (0.5, 0.05, 0.05, 0.2, 0.2)
+FLOORS = (0.5, 0.05, 0.05, 0.1, 0.1)
 P = len(FEATURES)
 MIN_ROWS = 100
 #: Share of clean documents (of normal statistics) that the cutoff would reject: 1e-4.

@@ -149,6 +149,32 @@ def test_outliers_match_a_plain_estimate(spark):
     assert [got[i].kept for i in range(len(rows))] == want.tolist() and not want[:12].any() and want[12:].all()
 
 
+def test_repetition_alone_rejects(spark):
+    """A clean cell with documents whose only fault is repeated lines, or repeated words
+    under the base limit; a phrase said twice is no fault."""
+    import random
+
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choices("abcdefghij", k=draw.randint(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, text(draw.randint(60, 300)), "en", "a") for i in range(200)]
+    for i in range(200, 204):
+        few, lines = [word() for _ in range(40)], None
+        while lines is None or len(set(zip(lines, lines[1:], lines[2:]))) < len(lines) - 2:
+            lines = draw.choices(few, k=160)
+        rows.append((i, "\n".join(lines), "en", "a"))
+    for i in range(204, 208):
+        phrases = [text(8) for _ in range(4)]
+        rows.append((i, " ".join(f"{p} {text(12)}" for p in phrases + phrases), "en", "a"))
+    twice = text(3)
+    rows.append((208, f"{twice} {text(80)} {twice} {text(80)}", "en", "a"))
+    got = {r.doc_id: r for r in rules.judge(frame(spark, rows)).collect()}
+    assert all(got[i].n_repeat_words == 0 and got[i].n_dup_lines >= 0.7 * 160 for i in range(200, 204))
+    assert all(got[i].n_dup_lines == 0 and 100 * got[i].n_repeat_words == 40 * got[i].n_words for i in range(204, 208))
+    assert not any(got[i].base_failed or got[i].kept for i in range(200, 208))
+    assert all(got[i].kept for i in [*range(200), 208])
+
+
 def _distances(x, near, factor, floors):
     s = np.cov(near.T, bias=True) * factor + floors
     e = x - near.mean(0)
