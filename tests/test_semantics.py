@@ -442,3 +442,23 @@ def test_forest_metrics_within_bounds(spark):
     r = train.holdout_report(frame, q.COST_FEATURES, "cost", q.FOREST).first()
     assert r["test_R2"] > 0.9 and abs(r["gap_R2"]) < 0.05 and r["test_MAE"] < 1.0
     assert train.cv_r2(frame, "row_id", q.COST_FEATURES, "cost", q.FOREST).first()["cv_r2"] > 0.9
+
+
+def test_model_queries_fit_the_reference_forest(spark, monkeypatch):
+    """Every fit of the registered queries asks for 300 trees of depth 20; a session fits the
+    cost and the latency forest once."""
+    from conftest import SF_SMALL
+    from stratus.operators import train
+    from stratus.plans import queries_more as q
+
+    asked, fit = [], train.fit
+
+    def small(df, features, label, params):
+        asked.append((label, params.num_trees, params.max_depth))
+        return fit(df, features, label, train.ForestParams(num_trees=2, max_depth=3))
+
+    monkeypatch.setattr(train, "fit", small)
+    monkeypatch.setattr(q, "_MODELS", {}, raising=False)
+    for run in (q.q_cost_model, q.q_latency_model, q.q_batch_score, q.q_cv_r2):
+        run(spark, SF_SMALL)
+    assert sorted(asked) == [("cost", 300, 20)] * 4 + [("latency_ms", 300, 20)]
