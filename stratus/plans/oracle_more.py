@@ -239,7 +239,7 @@ DEPS["cope"] = ["borda"]
 SQL["eligible_trials"] = with_ctes(["elig"], "SELECT election_id, trial_id, fingerprint, reason FROM elig")
 SQL["borda_points"] = with_ctes(["borda"], """
 SELECT election_id, trial_id, n_survivors, borda_rmse, borda_mae, borda_r2, borda_rmse + borda_mae + borda_r2 AS borda FROM borda""")
-SQL["copeland"] = with_ctes(["cope"], "SELECT election_id, trial_id, copeland FROM cope")
+SQL["copeland_leaders"] = with_ctes(["cope"], "SELECT election_id, trial_id, copeland FROM cope")
 SQL["election_winner"] = with_ctes(["cope", "trials"], """
 , lead AS (SELECT b.*, b.borda_rmse + b.borda_mae + b.borda_r2 AS borda, c.copeland FROM borda b JOIN cope c USING (election_id, trial_id)),
 w AS (SELECT election_id, trial_id AS winner, borda, copeland, n_survivors,

@@ -137,8 +137,8 @@ def q_borda_points(spark, sf_dir):
     return ele.borda(s).select("election_id", "trial_id", "n_survivors", "borda_rmse", "borda_mae", "borda_r2", "borda")
 
 
-@query("copeland")
-def q_copeland(spark, sf_dir):
+@query("copeland_leaders")
+def q_copeland_leaders(spark, sf_dir):
     tr, c, d = _election_inputs(spark, sf_dir)
     s = ele.borda(ele.eligibility(tr, c, d).where(F.col("reason").isNull()))
     return ele.copeland_for_leaders(s)

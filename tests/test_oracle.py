@@ -43,6 +43,11 @@ def test_every_query_has_oracle_or_is_model():
     assert own - set(SQL) == rows_only
 
 
+def test_copeland_is_named_for_the_leaders_it_scores():
+    for registered in (QUERIES, SQL):
+        assert "copeland_leaders" in registered and "copeland" not in registered
+
+
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_query_matches_oracle(spark, con, key):
     df = QUERIES[key](spark, SF_SMALL)
