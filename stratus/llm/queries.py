@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratus.llm import line_dedup, mixing, packing, quality, rules, simhash, substring_dedup, token_files, vectors, warc
+from stratus.llm import line_dedup, mixing, packing, personal_data, quality, rules, simhash, substring_dedup, token_files, vectors, warc
 
 
 def all_queries() -> dict:
@@ -17,6 +17,7 @@ def all_queries() -> dict:
         "op8_token_planes": token_files.query,
         "op9_pack_sequences": packing.query,
         "op10_line_dedup": line_dedup.query,
+        "op11_personal_data": personal_data.query,
     }
 
 
