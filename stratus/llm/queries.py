@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratus.llm import line_dedup, mixing, packing, personal_data, quality, rules, simhash, substring_dedup, token_files, vectors, warc
+from stratus.llm import divergence, line_dedup, mixing, packing, personal_data, quality, rules, simhash, substring_dedup, token_files, vectors, warc
 
 
 def all_queries() -> dict:
@@ -18,6 +18,7 @@ def all_queries() -> dict:
         "op9_pack_sequences": packing.query,
         "op10_line_dedup": line_dedup.query,
         "op11_personal_data": personal_data.query,
+        "op12_divergence_audit": divergence.query,
     }
 
 
@@ -27,4 +28,5 @@ def all_sql() -> dict[str, str]:
         "op3_substring_dedup": substring_dedup.SQL,
         "op4_mix_sources": mixing.SQL,
         "op10_line_dedup": line_dedup.SQL,
+        "op12_divergence_audit": divergence.SQL,
     }
