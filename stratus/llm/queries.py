@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratus.llm import divergence, line_dedup, mixing, packing, personal_data, quality, rules, simhash, substring_dedup, token_files, vectors, warc
+from stratus.llm import divergence, line_dedup, mixing, packing, personal_data, quality, rules, simhash, substring_dedup, token_files, vectors, warc, whitening
 
 
 def all_queries() -> dict:
@@ -19,6 +19,7 @@ def all_queries() -> dict:
         "op10_line_dedup": line_dedup.query,
         "op11_personal_data": personal_data.query,
         "op12_divergence_audit": divergence.query,
+        "op13_whitening": whitening.query,
     }
 
 
