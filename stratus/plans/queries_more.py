@@ -652,46 +652,62 @@ LATENCY_FEATURES = [c for c in COST_FEATURES if c not in fea.LATENCY_EXCLUDED]
 
 
 _FRAMES: dict[tuple, tuple] = {}
+_MODELS: dict[tuple, object] = {}
+
+
+def _version(spark, sf_dir):
+    """The session and the files of the telemetry's table, with their times and sizes: what is
+    kept of one version is not used for another."""
+    files = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
+    mark = files.distinct().agg(F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()[0]
+    return spark.sparkContext.applicationId, sf_dir, str(mark)
+
+
+def _kept(table, key, make):
+    """What ``make`` gives, once for each key; other sessions' and versions' entries go."""
+    if key not in table:
+        for old in [k for k in table if k[0] != key[0] or k[1] == key[1] and k[2] != key[2]]:
+            del table[old]
+        table[key] = make()
+    return table[key]
 
 
 def _model_frame(spark, sf_dir):
     """(frame, dictionary): telemetry with calendar, encoded and ratio features, temporally
-    split, written once per session (forests make many passes) and shared by the queries."""
+    split, written once per session and shared by the queries."""
     from ..operators import split as spl
 
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FRAMES:
+    def make():
         df = spl.temporal_split(_telemetry(spark, sf_dir), "ts", adapters.ROW_KEY)
         df = fea.temporal_features(df, fea.parse_timestamp(F.col("timestamp")))
         dic = fea.fit_encoders(df)
         df = fea.ratio_features(fea.apply_encoders(df, dic))
         cols = list(dict.fromkeys(["row_id", "split", "cost", "latency_ms", *COST_FEATURES]))
-        _FRAMES[key] = (io.cut_lineage(df.select(*cols), "model-frame"), dic)
-    return _FRAMES[key]
+        return io.cut_lineage(df.select(*cols), "model-frame"), dic
+
+    return _kept(_FRAMES, _version(spark, sf_dir), make)
 
 
-# Forest of the registered queries: the reference values (300 trees of depth 20).
+# Forest of the registered queries: the reference values (300 trees of depth 20), and the
+# probe version's of the shadow comparison.
 FOREST = trn.ForestParams()
+PROBE = trn.ForestParams(num_trees=100, seed=43)
 # what a fitted forest must reach on the held-out rows
-R2_FLOOR = 0.8
+R2_FLOOR = 0.99
+KEY = ["row_id"]
 
 
-_MODELS: dict[tuple, object] = {}
-
-
-def _fitted(spark, sf_dir, features, label):
+def _fitted(spark, sf_dir, features, label, params=None):
     """The forest of ``label``, fitted on the train split once per session and shared by the
-    queries."""
-    key = (spark.sparkContext.applicationId, sf_dir, label)
-    if key not in _MODELS:
-        frame, _ = _model_frame(spark, sf_dir)
-        _MODELS[key] = trn.fit(frame.where(F.col("split") == "train"), features, label, FOREST)
-    return _MODELS[key]
+    queries; what is kept is where it lies."""
+    frame, _ = _model_frame(spark, sf_dir)
+    params = params or FOREST
+    return _kept(_MODELS, (*_version(spark, sf_dir), label, params), lambda: trn.fit(frame.where(F.col("split") == "train"), features, label, params, KEY))
 
 
 def _checked_report(spark, sf_dir, features, label):
-    """Rows and label mean per split, and whether the fit passes its gate; the forest's own
-    metrics differ from run to run in their last digits and are tested with bounds."""
+    """Rows and label mean per split, and whether the fit passes its gate (``model_metrics``
+    has the metrics)."""
     frame, _ = _model_frame(spark, sf_dir)
     report = trn.holdout_report(frame, features, label, FOREST, _fitted(spark, sf_dir, features, label)).first()  # one row
     rows = frame.groupBy("split").agg(F.count(label).alias("n"), F.avg(label).alias("label_mean"))
@@ -708,6 +724,50 @@ def q_latency_model(spark, sf_dir):
     return _checked_report(spark, sf_dir, LATENCY_FEATURES, "latency_ms")
 
 
+def _both_models(spark, sf_dir):
+    return [(label, features, _fitted(spark, sf_dir, features, label)) for label, features in (("cost", COST_FEATURES), ("latency_ms", LATENCY_FEATURES))]
+
+
+@query("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    """The forests' own numbers: train, test and gaps for both labels."""
+    frame, _ = _model_frame(spark, sf_dir)
+    out = [trn.holdout_report(frame, features, label, FOREST, model) for label, features, model in _both_models(spark, sf_dir)]
+    return rounded(out[0].unionByName(out[1]))
+
+
+@query("model_predictions")
+def q_model_predictions(spark, sf_dir):
+    """Every telemetry row with its predicted cost and latency."""
+    frame, _ = _model_frame(spark, sf_dir)
+    for label, features, model in _both_models(spark, sf_dir):
+        frame = trn.score(model, frame, features, f"predicted_{label}")
+    return rounded(frame.select("row_id", "split", "predicted_cost", "predicted_latency_ms"))
+
+
+@query("oob_r2")
+def q_oob_r2(spark, sf_dir):
+    """Training rows with an out-of-bag prediction, by label, and whether their R2 reaches
+    the floor."""
+    frame, _ = _model_frame(spark, sf_dir)
+    train, out = frame.where(F.col("split") == "train"), None
+    for label, _, model in _both_models(spark, sf_dir):
+        m = trn.oob_r2(model, train, label, KEY).select(F.lit(label).alias("label"), "n", (F.col("oob_r2") >= R2_FLOOR).alias("gate"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("oob_metrics")
+def q_oob_metrics(spark, sf_dir):
+    """The out-of-bag numbers of both forests."""
+    frame, _ = _model_frame(spark, sf_dir)
+    train, out = frame.where(F.col("split") == "train"), None
+    for label, _, model in _both_models(spark, sf_dir):
+        m = trn.oob_r2(model, train, label, KEY).withColumn("label", F.lit(label))
+        out = m if out is None else out.unionByName(m)
+    return rounded(out)
+
+
 @query("cv_r2")
 def q_cv_r2(spark, sf_dir):
     """Rows per fold, and whether the out-of-fold R2 reaches the floor."""
@@ -717,6 +777,15 @@ def q_cv_r2(spark, sf_dir):
     return rounded(rows).withColumn("gate", F.lit(m["cv_r2"] >= R2_FLOOR))
 
 
+@query("shadow_fitted")
+def q_shadow_fitted(spark, sf_dir):
+    """Two fitted versions of the cost model side by side: shadow - primary, per split."""
+    frame, _ = _model_frame(spark, sf_dir)
+    anchor, probe = (_fitted(spark, sf_dir, COST_FEATURES, "cost", p) for p in (FOREST, PROBE))
+    x = trn.shadow_scores(anchor, probe, frame, COST_FEATURES)
+    return rounded(x.groupBy("split").agg(F.count("*").alias("n"), F.avg("delta").alias("mean_delta"), F.max(F.abs("delta")).alias("max_abs_delta")))
+
+
 def payload_frame(p, m, dictionary):
     """Model features from a parsed payload map: numbers, calendar from the timestamp or
     the fields, encoded categories, ratios (of a latency still blank: null)."""
@@ -729,19 +798,29 @@ def payload_frame(p, m, dictionary):
     return fea.apply_encoders(x, dictionary)
 
 
+def _scored_batch(spark, sf_dir):
+    _, dictionary = _model_frame(spark, sf_dir)
+    (_, _, cost), (_, _, latency) = _both_models(spark, sf_dir)
+    p = con.parse_payload(_payloads(spark, sf_dir).select("row_id", "payload"), "payload")
+    return score_payloads(payload_frame(p, F.col("_m"), dictionary), latency, cost)
+
+
 @query("batch_score")
 def q_batch_score(spark, sf_dir):
     """Batch scoring end to end: features come from the payload itself, a blank latency is
     filled by the latency model, the cost model scores the rest; an invalid payload gets
-    its error.  Predictions are reported as present or not."""
-    _, dictionary = _model_frame(spark, sf_dir)
-    latency, cost = _fitted(spark, sf_dir, LATENCY_FEATURES, "latency_ms"), _fitted(spark, sf_dir, COST_FEATURES, "cost")
-    p = con.parse_payload(_payloads(spark, sf_dir).select("row_id", "payload"), "payload")
-    x = score_payloads(payload_frame(p, F.col("_m"), dictionary), latency, cost)
+    its error.  Predictions are reported as present or not (``batch_predictions`` has them)."""
+    x = _scored_batch(spark, sf_dir)
     return x.select("row_id", "status", "error", "latency_source", F.col("prediction").isNotNull().alias("has_prediction"),
                     F.col("predicted_latency_ms").isNotNull().alias("has_predicted_latency"))
 
 
+@query("batch_predictions")
+def q_batch_predictions(spark, sf_dir):
+    """The costs and latencies that batch scoring answers with."""
+    return rounded(_scored_batch(spark, sf_dir).select("row_id", "status", "prediction", "predicted_latency_ms"))
+
+
 def score_payloads(x, latency, cost):
     """Status, latency source, predicted latency and cost prediction of payload features."""
     ok, blank = F.col("error").isNull(), F.col("latency_ms").isNull()
@@ -780,15 +859,27 @@ def refit_elected(lab, elected, election_id, features, label):
     return trn.fit(lab.where(F.col("split") == "train"), features, label, params), r
 
 
-@query("elected_refit")
-def q_elected_refit(spark, sf_dir):
-    """Refit the lab model with the parameters that the last election by name chose and
-    score its eval split: rows, label mean, and whether all rows have a prediction."""
+def _refit(spark, sf_dir):
+    """(scored eval rows, election, winner): the lab model refitted with the parameters that
+    the last election by name chose."""
     tr, c, d = _election_inputs(spark, sf_dir)
     elected = io.cut_lineage(ele.winner_documents(ele.elect(tr, c, d), tr), "elected")
     last = elected.where("status = 'OK'").agg(F.max("election_id")).first()[0]
     lab, feats = io.cut_lineage(_lab(spark, sf_dir), "lab"), [f"f{i}" for i in range(6)]
     model, r = refit_elected(lab, elected, last, feats, "target")
-    scored = trn.score(model, lab.where(F.col("split") == "eval"), feats)
+    return trn.score(model, lab.where(F.col("split") == "eval"), feats), last, r
+
+
+@query("elected_refit")
+def q_elected_refit(spark, sf_dir):
+    """The refitted model's eval split: rows, label mean, and whether all rows have a
+    prediction."""
+    scored, last, r = _refit(spark, sf_dir)
     out = scored.agg(F.count("target").alias("n"), F.avg("target").alias("label_mean"), (F.count("prediction") == F.count("*")).alias("all_predicted"))
     return rounded(out).select(F.lit(last).alias("election_id"), F.lit(r["winner"]).alias("trial_id"), F.lit(int(r["n_estimators"])).alias("n_estimators"), "*")
+
+
+@query("elected_predictions")
+def q_elected_predictions(spark, sf_dir):
+    """The refitted model's predictions for the eval split."""
+    return rounded(_refit(spark, sf_dir)[0].select("vec_id", "target", "prediction"))

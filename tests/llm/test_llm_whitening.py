@@ -47,8 +47,8 @@ def test_equals_numpy(spark, monkeypatch):
     bad = [None, [], [1.0, None, 3.0, 1.0, 1.0, 1.0], [float("nan")] * 6, [float("inf"), *[0.0] * 5], [float("-inf"), *[0.0] * 5]]
     rows = [(i, v, 1, 2, "n", 3) for i, v in enumerate(vectors + bad)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    for block_rows, splits in ((1024, 16), (7, 2)):
-        monkeypatch.setattr(wh, "BLOCK_ROWS", block_rows)
+    for entries, splits in ((1 << 19, 16), (45, 2)):
+        monkeypatch.setattr(wh, "BLOCK_ENTRIES", entries)
         monkeypatch.setattr(wh, "SPLIT_BLOCKS", splits)
         check(wh.whiten(docs).collect(), range(len(vectors)), vectors)
     monkeypatch.setattr(wh, "BLOCK_COLS", 4)
