@@ -683,7 +683,9 @@ def _model_frame(spark, sf_dir):
         dic = fea.fit_encoders(df)
         df = fea.ratio_features(fea.apply_encoders(df, dic))
         cols = list(dict.fromkeys(["row_id", "split", "cost", "latency_ms", *COST_FEATURES]))
-        return io.cut_lineage(df.select(*cols), "model-frame"), dic
+        # every row goes down hundreds of trees: spread by key, whatever the tables' files are
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return io.cut_lineage(df.select(*cols).repartition(parts, "row_id"), "model-frame"), dic
 
     return _kept(_FRAMES, _version(spark, sf_dir), make)
 
