@@ -77,8 +77,8 @@ def test_simhash(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0 and simhash.one_of_each(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("max_shard", [20, 4096])
-def test_shards_are_cut_without_losing_links(spark, max_shard):
+@pytest.mark.parametrize(("shard", "tree_bytes"), [(20, 1 << 20), (20, 0), (4096, 1 << 20)])
+def test_shards_are_cut_without_losing_links(spark, shard, tree_bytes):
     """Fingerprints around few centres crowd the shards; any cut gives the same groups."""
     draw, values = np.random.default_rng(5), set()
     centres = [int(x) for x in draw.integers(0, 1 << 62, 3)]
@@ -90,18 +90,40 @@ def test_shards_are_cut_without_losing_links(spark, max_shard):
     values = sorted(values)
     tops = brute.components(len(values), lambda i, j: bin(values[i] ^ values[j]).count("1") <= 2)
     frame_ = spark.createDataFrame([(v,) for v in values], "fp long")
-    got = {r.node: r.root for r in components(simhash.links(frame_, 2, max_shard)).collect()}
+    got = {r.node: r.root for r in components(simhash.links(frame_, 2, shard, tree_bytes)).collect()}
     assert [got.get(v, v) for v in values] == [values[t] for t in tops]
 
 
 def test_bk_tree_follows_edges_within_the_radius():
     draw = np.random.default_rng(1)
-    values = [int(x) for x in draw.integers(0, 1 << 16, 300)]
-    tree = simhash.BKTree()
-    for v in values:
-        tree.insert(v)
-    for q in values[:40]:
-        assert sorted(tree.within(q, 3)) == sorted({v for v in values if bin(v ^ q).count("1") <= 3})
+    values = np.unique(draw.integers(0, 1 << 16, 300)).astype(np.uint64)
+    draw.shuffle(values)
+    tree = simhash.BKTree.of(values)
+    q, node, _ = tree.within(values[:40], 3)
+    assert set(zip(q, node)) == {(i, j) for i in range(40) for j in range(len(values)) if int(values[i] ^ values[j]).bit_count() <= 3} and len(q) == len(set(zip(q, node)))
+    for i in range(1, len(values)):  # a child hangs under its distance to the parent
+        assert tree.edge[i] == int(values[i] ^ values[tree.parent[i]]).bit_count()
+
+
+def test_bk_trees_prune(spark):
+    """A shard holds thousands, and a search sees a part of it."""
+    draw = np.random.default_rng(2)
+    values = draw.integers(0, 1 << 63, 40_000).astype(np.uint64)
+    tree = simhash.BKTree.of(values[: simhash.SHARD])
+    *_, visits = tree.within(values[:1000], 2)
+    assert visits / 1000 < 0.4 * simhash.SHARD
+    df = spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "fp long")
+    sizes = [r["count"] for r in simhash.shards(df).groupBy("mask", "key").count().collect()]
+    assert min(sizes) > 500 and max(sizes) <= 4 * simhash.SHARD
+
+
+def test_rows_of_equal_short_hashes_are_not_one(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_digest", lambda text: F.lit(b"x"))
+    docs = [d for d in documents() if d[0] not in (None, 3, 7)]  # ids of one row each
+    tops = brute.components(len(docs), lambda i, j: bin(brute.simhash(docs[i][1]) ^ brute.simhash(docs[j][1])).count("1") <= 2)
+    least = {t: min(d[0] for d, top in zip(docs, tops) if top == t) for t in set(tops)}
+    kept = simhash.one_of_each(frame(spark, docs).withColumnRenamed("fp", "row").withColumnRenamed("bin", "nth"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
 
 def test_components(spark):
