@@ -3,13 +3,17 @@ multivariate outliers.
 
 Base statistics come from the whole text inside its row. Documents that pass the base
 limits are judged by the Mahalanobis distance of a vector of transformed statistics from
-a minimum-covariance-determinant estimate for their cell, a language and source. Small
-cells (under ``MIN_ROWS`` documents that pass) are pooled, first with the other small
-ones of their language, then over all languages; a pool that is still small judges nothing.
+a minimum-covariance-determinant estimate for their cell, a language and source.
 
-An estimate starts from the medians and quartiles of a cell and takes concentration
-steps: distances under the current estimate, then mean and covariance of the half of the
-documents that are nearest. A step is one scan of a narrow table with one aggregate: rows
+Every cell, every language and the whole have an estimate. A cell of n documents that pass
+is judged by its own with the weight n / (n + ``PRIOR``), the rest being its language's,
+which is drawn towards that of all documents in the same way: small cells need no pool, and
+no document goes unjudged.
+
+An estimate has four starts (``_starts``). From each, concentration steps are taken:
+distances under the current estimate, then mean and covariance of the half of the documents
+that are nearest. After ``TRIAL_STEPS`` the start whose covariance has the least determinant
+goes on alone. A step is one scan of a narrow table with one aggregate: rows
 are counted and their moments summed by cell and by a fine logarithmic bin of the
 distance, so the nearest half is a running sum over a cell's bins, and a cell with a
 third of all documents is reduced before it is shuffled. The half ends at a bin's edge, so
@@ -31,6 +35,7 @@ columns pass unchanged; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -42,12 +47,13 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("x1", "x2", "x3", "x4", "x5")
 FLOORS = (0.5, 0.05, 0.05, 0.1, 0.1)
 P = len(FEATURES)
-MIN_ROWS = 100
+#: Documents of a cell that count as much as its language's estimate.
+PRIOR = 100
 #: Share of clean documents (of normal statistics) that the cutoff would reject: 1e-4.
 KEEP = 0.9999
 #: Estimates have settled when no cell's mean moves further in a step (sum over statistics; a
 #: fifth of the least floor, as halves that end at a bin's edge can alternate).
-MAX_STEPS, SETTLED = 30, 0.01
+TRIAL_STEPS, MAX_STEPS, SETTLED = 2, 30, 0.01
 #: Distance bins in a factor of e; value bins in 1.
 DISTANCE_BINS, VALUE_BINS = 48, 256
 
@@ -117,19 +123,32 @@ def chi2_point(share: float, k: int) -> float:
 HALF = 0.5 / chi2_cdf(chi2_point(0.5, P), P + 2)
 
 
-def _cells(stats: DataFrame, lang: str, source: str) -> DataFrame:
-    """``stats`` with cell and its number of usable rows (cell_n)."""
-    counts = stats.groupBy(F.col(lang).alias("__lang"), F.col(source).alias("__source")).agg(F.sum((~F.col("base_failed")).cast("long")).alias("n"))
-    own = F.to_json(F.struct(F.col("__lang").alias("lang"), F.col("__source").alias("source")))
-    by_lang = Window.partitionBy("__lang", F.col("n") < MIN_ROWS)
-    pooled = F.when(F.col("n") >= MIN_ROWS, own).when(F.sum("n").over(by_lang) >= MIN_ROWS, F.to_json(F.struct(F.col("__lang").alias("pooled_lang"))))
-    cells = counts.withColumn("cell", F.coalesce(pooled, F.lit("pooled")))
-    cells = written(cells.withColumn("cell_n", F.sum("n").over(Window.partitionBy("cell"))).drop("n").coalesce(1), "rule-cells")
-    return stats.join(cells, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source"))).drop("__lang", "__source")
+#: The entries of a vector and of a lower triangle.
+ONE = range(1, P + 1)
+LOWER = [(i, j) for i in ONE for j in range(1, i + 1)]
+
+
+def _keys(lang: str, source: str) -> list[Column]:
+    """A document's cell, its language and the whole, as texts."""
+    own = F.struct(F.col(lang).alias("lang"), F.col(source).alias("source"))
+    return [F.concat(F.lit("cell "), F.to_json(own)), F.concat(F.lit("lang "), F.to_json(F.struct(F.col(lang).alias("lang")))), F.lit("all")]
+
+
+def _factored(x: DataFrame, *keep: str) -> DataFrame:
+    """The Cholesky factor l of the covariances c plus the floors, beside the means m."""
+    for i, j in LOWER:
+        left = F.col(f"c{i}{j}") + (FLOORS[i - 1] ** 2 if i == j else 0.0)
+        for k in range(1, j):
+            left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        x = x.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-12))) if i == j else left / F.col(f"l{j}{j}"))
+    return x.select(*keep, *[f"m{i}" for i in ONE], *[f"l{i}{j}" for i, j in LOWER])
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians as means; quartile spreads, with the floors, as a diagonal factor."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """(cell, start, m, l): of each cell, four first estimates. Around the medians, with
+    quartile spreads as a diagonal, and with those spreads and the correlations of the
+    hyperbolic tangents and of the spatial signs of the standardised rows; and the plain mean
+    and covariance."""
     each = rows.select("cell", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.floor(F.col(x) * VALUE_BINS).cast("int").alias("bin")) for i, x in enumerate(FEATURES, 1)])).alias("e"))
     bins = each.groupBy("cell", F.col("e.f").alias("f"), F.col("e.bin").alias("bin")).count()
     w = Window.partitionBy("cell", "f")
@@ -137,13 +156,36 @@ def _start(rows: DataFrame) -> DataFrame:
     bins = bins.withColumn("upto", F.sum("count").over(run)).withColumn("n", F.sum("count").over(w))
     at = {q: F.min(F.when(F.col("upto") >= q * F.col("n"), (F.col("bin") + 0.5) / VALUE_BINS)) for q in (0.25, 0.5, 0.75)}
     q = bins.groupBy("cell", "f").agg(at[0.5].alias("m"), ((at[0.75] - at[0.25]) / 1.349).alias("s"))
-    wide = q.groupBy("cell").agg(*[F.max(F.when(F.col("f") == i, F.col(c))).alias(f"{c}{i}") for i in range(1, P + 1) for c in ("m", "s")])
-    spread = {i: F.sqrt(F.col(f"s{i}") * F.col(f"s{i}") + FLOORS[i - 1] ** 2) for i in range(1, P + 1)}
-    return wide.select("cell", *[f"m{i}" for i in range(1, P + 1)], *[(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(1, P + 1) for j in range(1, i + 1)])
+    wide = q.groupBy("cell").agg(*[F.max(F.when(F.col("f") == i, F.col(c))).alias(f"{c}{i}") for i in ONE for c in ("m", "s")])
+    wide = written(wide.select("cell", *[f"m{i}" for i in ONE], *[F.sqrt(F.col(f"s{i}") * F.col(f"s{i}") + FLOORS[i - 1] ** 2).alias(f"s{i}") for i in ONE]), "rule-medians")
+
+    x = rows.join(wide, "cell").withColumns({f"z{i}": (F.col(c) - F.col(f"m{i}")) / F.col(f"s{i}") for i, c in enumerate(FEATURES, 1)})
+    far = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(2, P + 1)), F.col("z1") * F.col("z1")))
+    x = x.withColumns({f"t{i}": F.tanh(f"z{i}") for i in ONE}).withColumns({f"u{i}": F.when(far > 0, F.col(f"z{i}") / far).otherwise(0.0) for i in ONE})
+    sums = [F.avg(F.col(f"{v}{i}") * F.col(f"{v}{j}")).alias(f"{v}{i}{j}") for v in "ztu" for i, j in LOWER]
+    got = x.groupBy("cell").agg(*sums, *[F.avg(f"{v}{i}").alias(f"{v}{i}") for v in "zt" for i in ONE])
+    got = written(got.join(wide, "cell"), "rule-starts")
+
+    def around(start: int, moment) -> DataFrame:
+        """Correlations of second moments about the medians, with the spreads."""
+        def entry(i: int, j: int) -> Column:
+            by = F.sqrt(moment(i, i) * moment(j, j))
+            return F.when(by > 0, moment(i, j) / by).otherwise(0.0) if i != j else F.lit(1.0)
+
+        return got.select("cell", F.lit(start).alias("start"), *[f"m{i}" for i in ONE], *[(entry(i, j) * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in LOWER])
+
+    plain = [(F.col(f"z{i}{j}") - F.col(f"z{i}") * F.col(f"z{j}")) * F.col(f"s{i}") * F.col(f"s{j}") for i, j in LOWER]
+    made = [
+        around(0, lambda i, j: F.lit(1.0 if i == j else 0.0)),
+        around(1, lambda i, j: F.col(f"t{i}{j}") - F.col(f"t{i}") * F.col(f"t{j}")),
+        around(2, lambda i, j: F.col(f"u{i}{j}")),
+        got.select("cell", F.lit(3).alias("start"), *[(F.col(f"m{i}") + F.col(f"z{i}") * F.col(f"s{i}")).alias(f"m{i}") for i in ONE], *[c.alias(f"c{i}{j}") for c, (i, j) in zip(plain, LOWER)]),
+    ]
+    return _factored(reduce(DataFrame.unionByName, made), "cell", "start")
 
 
 def distances(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """``rows`` with their squared Mahalanobis distance (d2) from their cell's estimate."""
+    """``rows`` with their squared Mahalanobis distance (d2) from each estimate of their cell."""
     named = params.select(F.col("cell").alias("__cell"), *[F.col(c).alias(f"__{c}") for c in params.columns if c != "cell"])
     x = rows.join(named, F.col("cell") == F.col("__cell"), "left")
     for i, name in enumerate(FEATURES, 1):  # forward substitution with the Cholesky factor
@@ -155,57 +197,82 @@ def distances(rows: DataFrame, params: DataFrame) -> DataFrame:
     return x.withColumn("d2", d2)
 
 
-def _estimate(sums: DataFrame, factor: float) -> DataFrame:
-    """Mean and Cholesky factor of factor * covariance + floors, from moments about the old
-    mean (n, s_i, s_ij, __m_i)."""
-    x = sums.withColumns({f"e{i}": F.col(f"s{i}") / F.col("n") for i in range(1, P + 1)})
-    x = x.withColumns({f"c{i}{j}": (F.col(f"s{i}{j}") / F.col("n") - F.col(f"e{i}") * F.col(f"e{j}")) * factor + (FLOORS[i - 1] ** 2 if i == j else 0.0) for i in range(1, P + 1) for j in range(1, i + 1)})
-    for i in range(1, P + 1):
-        for j in range(1, i + 1):
-            left = F.col(f"c{i}{j}")
-            for k in range(1, j):
-                left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            x = x.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-12))) if i == j else left / F.col(f"l{j}{j}"))
-    return x.select("cell", *[(F.col(f"o{i}") + F.col(f"e{i}")).alias(f"m{i}") for i in range(1, P + 1)], *[f"l{i}{j}" for i in range(1, P + 1) for j in range(1, i + 1)], sum((F.abs(F.col(f"e{i}")) for i in range(2, P + 1)), F.abs("e1")).alias("moved"))
+def _covariances(sums: DataFrame, factor: float) -> DataFrame:
+    """Means m and covariances c (times ``factor``) from moments about the old mean, and how
+    far the means have moved."""
+    x = sums.withColumns({f"e{i}": F.col(f"s{i}") / F.col("n") for i in ONE})
+    c = [((F.col(f"s{i}{j}") / F.col("n") - F.col(f"e{i}") * F.col(f"e{j}")) * factor).alias(f"c{i}{j}") for i, j in LOWER]
+    return x.select("cell", "start", *[(F.col(f"o{i}") + F.col(f"e{i}")).alias(f"m{i}") for i in ONE], *c, sum((F.abs(F.col(f"e{i}")) for i in range(2, P + 1)), F.abs("e1")).alias("moved"))
 
 
 def _moments(rows: DataFrame, *keys: str) -> DataFrame:
     off = [F.col(x) - F.col(f"__m{i}") for i, x in enumerate(FEATURES, 1)]
-    sums = [F.sum(off[i]).alias(f"s{i + 1}") for i in range(P)] + [F.sum(off[i] * off[j]).alias(f"s{i + 1}{j + 1}") for i in range(P) for j in range(i + 1)]
-    return rows.groupBy("cell", *keys).agg(F.count(F.lit(1)).alias("n"), *sums, *[F.max(f"__m{i}").alias(f"o{i}") for i in range(1, P + 1)])
+    sums = [F.sum(off[i - 1]).alias(f"s{i}") for i in ONE] + [F.sum(off[i - 1] * off[j - 1]).alias(f"s{i}{j}") for i, j in LOWER]
+    return rows.groupBy("cell", F.col("__start").alias("start"), *keys).agg(F.count(F.lit(1)).alias("n"), *sums, *[F.max(f"__m{i}").alias(f"o{i}") for i in ONE])
 
 
-def _totals(parts: DataFrame) -> DataFrame:
-    sums = [f"s{i}" for i in range(1, P + 1)] + [f"s{i}{j}" for i in range(1, P + 1) for j in range(1, i + 1)]
-    return parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", *sums)], *[F.max(f"o{i}").alias(f"o{i}") for i in range(1, P + 1)])
+def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """A concentration step: the estimate of each (cell, start) from its nearest half."""
+    bins = _moments(distances(rows, params).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * DISTANCE_BINS)), "bin")
+    w = Window.partitionBy("cell", "start")
+    before = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = bins.withColumn("before", before).withColumn("half", F.floor((F.sum("n").over(w) + P + 1) / 2)).filter("before < half")
+    sums = [f"s{i}" for i in ONE] + [f"s{i}{j}" for i, j in LOWER]
+    total = near.groupBy("cell", "start").agg(*[F.sum(c).alias(c) for c in ("n", *sums)], *[F.max(f"o{i}").alias(f"o{i}") for i in ONE])
+    return _factored(_covariances(total, HALF), "cell", "start", "moved")
+
+
+def _least(params: DataFrame) -> DataFrame:
+    """Of each cell the start of the least determinant (the square of the factor's diagonal)."""
+    determinant = sum((F.log(f"l{i}{i}") for i in range(2, P + 1)), F.log("l11"))
+    return params.groupBy("cell").agg(F.min(F.struct(determinant.alias("d"), *[c for c in params.columns if c != "cell"])).alias("best")).select("cell", *[f"best.{c}" for c in params.columns if c != "cell"])
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """A mean and Cholesky factor for each cell of ``rows`` (cell and FEATURES)."""
-    params = written(_start(rows).withColumn("moved", F.lit(1.0)).coalesce(1), "rule-estimate")
-    for _ in range(MAX_STEPS):
-        bins = _moments(distances(rows, params).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * DISTANCE_BINS)), "bin")
-        w = Window.partitionBy("cell")
-        before = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        near = bins.withColumn("before", before).withColumn("half", F.floor((F.sum("n").over(w) + P + 1) / 2)).filter("before < half")
-        params = written(_estimate(_totals(near), HALF).coalesce(1), "rule-estimate")
-        if (params.agg(F.max("moved")).first()[0] or 0.0) < SETTLED:  # a row per cell
+    """(cell, n, m, c) for each cell of ``rows`` (cell and FEATURES): the mean and covariance
+    of the rows near the estimate of least determinant."""
+    params = written(_starts(rows), "rule-estimate")
+    for step in range(MAX_STEPS):
+        params = written(_step(rows, params), "rule-estimate")
+        if step + 1 == TRIAL_STEPS:
+            params = written(_least(params), "rule-estimate")
+        elif step >= TRIAL_STEPS and (params.agg(F.max("moved")).first()[0] or 0.0) < SETTLED:  # a row per cell
             break
     inner = distances(rows, params).filter(F.col("d2") <= chi2_point(0.975, P))
-    return written(_estimate(_moments(inner), 1.0).coalesce(1), "rule-estimate")
+    return _covariances(_moments(inner), 1.0).join(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell")
+
+
+def shrunk(cells: DataFrame, made: DataFrame) -> DataFrame:
+    """(cell, m, l): of each row of ``cells`` (cell, lang_cell, all_cell) its own estimate
+    drawn towards its language's, which is drawn towards that of all."""
+    entries = [f"m{i}" for i in ONE] + [f"c{i}{j}" for i, j in LOWER]
+    x = cells
+    for key, mark in (("cell", "own"), ("lang_cell", "lang"), ("all_cell", "all")):
+        named = made.select(F.col("cell").alias(f"{mark}_key"), *[F.col(c).alias(f"{mark}_{c}") for c in ("n", *entries)])
+        x = x.join(named, F.col(key) == F.col(f"{mark}_key"))
+    share = lambda mark: F.col(f"{mark}_n") / (F.col(f"{mark}_n") + PRIOR)
+    for e in entries:
+        wide = share("lang") * F.col(f"lang_{e}") + (1 - share("lang")) * F.col(f"all_{e}")
+        x = x.withColumn(e, share("own") * F.col(f"own_{e}") + (1 - share("own")) * wide)
+    return _factored(x, "cell")
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (default: all) with the BASE columns, base_failed,
-    d2 (null where nothing judges) and kept appended. The rows are written once."""
+    d2 (null for documents that fail the base limits) and kept appended. The rows are written
+    once."""
     names = [c for c in (docs.columns if keep is None else keep) if c not in (*BASE, "base_failed", "d2", "kept")]
-    held = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__text"), F.col(lang_col).alias("__of_lang"), F.col(source_col).alias("__of_source"))
+    own = [f"own{i}" for i in range(len(names))]  # the result has the names; here they are numbers
+    held = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own)], F.col(text_col).alias("__text"), F.col(lang_col).alias("__of_lang"), F.col(source_col).alias("__of_source"))
     x = base_statistics(held, "__text").drop("__text").withColumn("base_failed", base_failed()).withColumns(vector())
-    stats = _cells(written(x, "rule-statistics"), "__of_lang", "__of_source")
-    params = estimates(stats.filter((~F.col("base_failed")) & (F.col("cell_n") >= MIN_ROWS)).select("cell", *FEATURES))
-    out = distances(stats, params)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_point(KEEP, P), F.lit(True))
-    return out.select(*[F.col(f"`{c}`") for c in names], *BASE, "base_failed", F.when(~F.col("base_failed"), F.col("d2")).alias("d2"), kept.alias("kept"))
+    cell, lang, whole = _keys("__of_lang", "__of_source")
+    stats = written(x.withColumns({"cell": cell, "lang_cell": lang, "all_cell": whole}), "rule-statistics")
+    passed = stats.filter(~F.col("base_failed"))
+    rows = written(passed.select(F.explode(F.array("cell", "lang_cell", "all_cell")).alias("cell"), *FEATURES), "rule-rows")
+    cells = passed.select("cell", "lang_cell", "all_cell").distinct()
+    out = distances(stats, written(shrunk(cells, written(estimates(rows), "rule-estimate")), "rule-estimate"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_point(KEEP, P), F.lit(False))
+    return out.select(*[F.col(o).alias(c) for c, o in zip(names, own)], *BASE, "base_failed", F.when(~F.col("base_failed"), F.col("d2")).alias("d2"), kept.alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

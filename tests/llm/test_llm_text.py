@@ -197,6 +197,86 @@ def test_repetition_alone_rejects(spark):
     assert all(got[i].kept for i in [*range(200), 208])
 
 
+def _mcd(x):
+    """(n, mean, covariance) by the four starts, with exact halves."""
+    floors = np.square(rules.FLOORS)
+    m = np.median(x, 0)
+    s = np.sqrt(((np.percentile(x, 75, 0) - np.percentile(x, 25, 0)) / 1.349) ** 2 + floors)
+    z = (x - m) / s
+    far = np.sqrt((z * z).sum(1))[:, None]
+    t, u = np.tanh(z), np.divide(z, far, out=np.zeros_like(z), where=far > 0)
+
+    def around(c):
+        by = np.sqrt(np.outer(np.diag(c), np.diag(c)))
+        r = np.divide(c, by, out=np.zeros_like(c), where=by > 0)
+        np.fill_diagonal(r, 1)
+        return m, r * np.outer(s, s)
+
+    starts = [around(np.eye(rules.P)), around(np.cov(t.T, bias=True)), around(u.T @ u / len(x)), (x.mean(0), np.cov(x.T, bias=True))]
+
+    def step(mean, c):
+        e = x - mean
+        d = np.einsum("ij,jk,ik->i", e, np.linalg.inv(c + np.diag(floors)), e)
+        near = x[np.argsort(d, kind="stable")[: (len(x) + rules.P + 1) // 2]]
+        return near.mean(0), np.cov(near.T, bias=True).reshape(rules.P, rules.P) * rules.HALF
+
+    for _ in range(2):
+        starts = [step(*e) for e in starts]
+    best = min(starts, key=lambda e: np.linalg.slogdet(e[1] + np.diag(floors))[1])
+    for _ in range(30):
+        best = step(*best)
+    e = x - best[0]
+    inner = x[np.einsum("ij,jk,ik->i", e, np.linalg.inv(best[1] + np.diag(floors)), e) <= rules.chi2_point(0.975, rules.P)]
+    return len(x), inner.mean(0), np.cov(inner.T, bias=True).reshape(rules.P, rules.P)
+
+
+def test_every_cell_is_judged_by_a_shrunk_estimate(spark):
+    """Cells of 5, 50 and 500 documents, a document without faults in each and one with."""
+    import random
+
+    draw = random.Random(8)
+    text = lambda: " ".join("".join(draw.choices("abcdefghij", k=draw.randint(3, 8))) for _ in range(draw.randint(60, 300)))
+    rows, bad = [], []
+    for source, lang, n in (("five", "en", 5), ("fifty", "en", 50), ("many", "de", 500), (None, None, 1)):
+        for k in range(n):
+            t = text()
+            if k == 4:
+                bad.append(len(rows))
+                t = t.replace(" ", " |# ")
+            rows.append((len(rows), t, lang, source))
+    df = frame(spark, rows).withColumn("x1", F.lit("keep")).withColumn("cell", F.lit("keep")).withColumn("m1", F.lit("keep"))
+    got = {r.doc_id: r for r in rules.judge(df).collect()}
+    assert all((r.x1, r.cell, r.m1) == ("keep",) * 3 and r.d2 is not None for r in got.values())
+    assert sorted(i for i, r in got.items() if not r.kept) == bad
+
+    x = []
+    for _, t, *_ in rows:
+        n, chars, symbols, dups, rep, _ = brute.base_statistics(t)
+        x.append((np.log1p(n), np.log1p(chars / n), (symbols / chars) ** 0.5, (dups / len(t.split("\n"))) ** 0.5, (rep / n) ** 0.5))
+    x, of = np.array(x), [(lang, source) for _, _, lang, source in rows]
+    pick = lambda test: _mcd(x[[i for i, o in enumerate(of) if test(o)]])
+    whole = pick(lambda o: True)
+    want = np.zeros(len(rows))
+    for key in set(of):
+        if key[0] is None:
+            continue  # one document: its own covariance is none
+        a, b = pick(lambda o: o == key), pick(lambda o: o[0] == key[0])
+        mix = lambda e, f: tuple(e[0] / (e[0] + rules.PRIOR) * p + rules.PRIOR / (e[0] + rules.PRIOR) * q for p, q in zip(e[1:], f))
+        m, c = mix(a, mix(b, whole[1:]))
+        for i, o in enumerate(of):
+            if o == key:
+                want[i] = (x[i] - m) @ np.linalg.inv(c + np.diag(np.square(rules.FLOORS))) @ (x[i] - m)
+    mine = np.array([got[i].d2 for i in range(len(rows) - 1)])
+    assert np.corrcoef(np.log(mine + 1), np.log(want[:-1] + 1))[0, 1] > 0.99
+
+
+def test_the_start_of_least_determinant_goes_on(spark):
+    names = [f"l{i}{j}" for i, j in rules.LOWER]
+    rows = [("a", s, *[float(s + 1) if n[1] == n[2] else 9.0 * s for n in names]) for s in (2, 0, 1)] + [("b", 3, *[0.5] * len(names)), ("b", 1, *[0.5] * len(names))]
+    df = spark.createDataFrame(rows, "cell string, start int, " + ", ".join(f"{n} double" for n in names))
+    assert sorted((r.cell, r.start) for r in rules._least(df).collect()) == [("a", 0), ("b", 1)]
+
+
 def _distances(x, near, factor, floors):
     s = np.cov(near.T, bias=True) * factor + floors
     e = x - near.mean(0)
