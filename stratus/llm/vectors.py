@@ -10,7 +10,7 @@ precision, so no link is false.
 
 Codebooks and excess are fitted in one task on a sample of at most about ``MAX_SAMPLE``
 vectors; every vector is indexed. The codebooks' size follows the root of the number of
-vectors for each label and ends at ``MAX_CODES``, which bounds what is broadcast.
+vectors of the largest label and ends at ``MAX_CODES``, which bounds what is broadcast.
 
 Equal vectors of a label are one before the search. A cell with more members than
 ``BLOCK`` is cut into blocks and every two blocks meet in a group of their own, so a cell
@@ -19,7 +19,7 @@ blocks. A group returns a row for each linked member: how many it is linked to,
 least it is joined to there; never the pairs.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components,
-one without a label, and one of another length than most of the sample link with nothing;
+and one without a label link with nothing; each length that occurs has an index of its own;
 rows that repeat an id are vectors of their own; null ids are never a component's id
 unless all its ids are null; other columns aren't read; an empty table gives an empty
 result.
@@ -28,6 +28,8 @@ result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -80,13 +82,23 @@ class MultiIndex:
 
     def visits(self, d1: np.ndarray, d2: np.ndarray) -> list[int]:
         """Cells in multi-sequence order up to the excess, the nearest first."""
-        o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-        s1, s2 = d1[o1] - d1[o1[0]], d2[o2] - d2[o2[0]]
-        n1, n2 = int(np.searchsorted(s1, self.excess, "right")), int(np.searchsorted(s2, self.excess, "right"))
-        total = s1[:n1, None] + s2[None, :n2]
-        a, b = np.nonzero(total <= self.excess)
-        order = np.argsort(total[a, b], kind="stable")
-        return (o1[a[order]] * len(self.second) + o2[b[order]]).tolist()
+        (o1, s1), (o2, s2) = self._within(d1), self._within(d2)
+        found, todo, width = [], [(0.0, 0, 0)], len(self.second)
+        while todo:  # each cell is entered once: along its row, or down the first column
+            total, i, j = heappop(todo)
+            found.append(o1[i] * width + o2[j])
+            if j + 1 < len(o2) and s1[i] + s2[j + 1] <= self.excess:
+                heappush(todo, (s1[i] + s2[j + 1], i, j + 1))
+            if j == 0 and i + 1 < len(o1):
+                heappush(todo, (s1[i + 1], i + 1, 0))
+        return found
+
+    def _within(self, d: np.ndarray) -> tuple[list[int], list[float]]:
+        """Codewords by distance, and their excess over the nearest, up to the limit."""
+        over = d - d.min()
+        some = np.flatnonzero(over <= self.excess)
+        order = some[np.argsort(over[some], kind="stable")]
+        return order.tolist(), over[order].tolist()
 
     @staticmethod
     def fitted(sample: np.ndarray, codes: int, least: float, recall: float) -> "MultiIndex":
@@ -109,20 +121,20 @@ class MultiIndex:
 
 
 def fit(reps: DataFrame, least: float, recall: float, max_sample: int) -> MultiIndex | None:
-    """From about ``max_sample`` of the vectors (vector, label) at most, by a hash."""
-    n = reps.count()
-    if not n:
+    """From about ``max_sample`` of the vectors (vector, label; of one length) at most, by a
+    hash."""
+    seen = reps.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
+    if not seen[0]:
         return None
-    share = min(1.0, max_sample / n)
-    codes = int(min(MAX_CODES, max(2, np.sqrt(n / CELL_ROWS / max(reps.agg(F.approx_count_distinct("label")).first()[0], 1)))))
+    share = min(1.0, max_sample / seen[0])
+    codes = int(min(MAX_CODES, max(1, np.sqrt(seen[1] / CELL_ROWS))))  # the largest label's cells have CELL_ROWS
     picked = written(reps.filter(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("vector"), "vector-sample")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.asarray(v, dtype=np.float32) for b in batches for v in b.column(0).to_pylist()]
+        rows = [np.asarray(v, dtype=np.float64) for b in batches for v in b.column(0).to_pylist()]
         if not rows:
             return
-        sizes = np.bincount([len(r) for r in rows])
-        x = np.stack([r for r in rows if len(r) == sizes.argmax()])
+        x = np.stack(rows)
         m = MultiIndex.fitted(unit(x[np.lexsort(x.T)]), codes, least, recall)
         yield pa.RecordBatch.from_arrays([pa.array([m.first.tobytes()]), pa.array([m.second.tobytes()]), pa.array([len(m.first)]), pa.array([m.excess])], names=["first", "second", "codes", "excess"])
 
@@ -148,11 +160,9 @@ def members(reps: DataFrame, index: MultiIndex) -> DataFrame:
         m = MultiIndex(*shared.value)
         width = m.first.shape[1] + m.second.shape[1]
         for b in batches:
-            lists = b.column(b.schema.get_field_index("vector"))
-            b = b.filter(pa.array(np.asarray(lists.value_lengths()) == width))
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                x = part.column(part.schema.get_field_index("vector")).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
+                x = part.column(part.schema.get_field_index("vector")).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
                 d = m.distances(unit(x))
                 home = m.home(d)
                 visits = [m.visits(p, q) for p, q in zip(*d, strict=True)]
@@ -180,7 +190,7 @@ def verified(table: pa.Table, least: float) -> pa.Table:
     that meets in two cells counts in the one of the smaller number."""
     if table.num_rows < 2:
         return LINKED.empty_table()
-    x = unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(table.num_rows, -1))
+    x = unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(table.num_rows, -1))
     node, n, home, block = (table.column(c).to_numpy() for c in ("node", "n", "home", "block"))
     cell, two = table.column("cell")[0].as_py(), len(np.unique(block)) > 1
     near = x @ x.T >= least
@@ -207,14 +217,10 @@ def verified(table: pa.Table, least: float) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids), pa.array(root), pa.array(near @ n[linked])], schema=LINKED)
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, recall: float = 0.99, max_sample: int = MAX_SAMPLE) -> DataFrame:
-    """A row per row of ``rows``: the id, n_links, component_id and kept."""
-    all_rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"), F.col(label_col).alias("l")).withColumn("ok", usable("v", "l"))
-    reps = all_rows.filter("ok").groupBy(F.col("l").alias("label"), F.col("v").alias("vector")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    index = fit(reps, least, recall, max_sample)
-    if index is None:
-        return all_rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+def _linked(reps: DataFrame, least: float, recall: float, max_sample: int) -> DataFrame:
+    """(node, root, links) of the linked vectors of one length, by group."""
+    # a hash sample of a rare length can be empty: then all its vectors are the sample
+    index = fit(reps, least, recall, max_sample) or fit(reps, least, recall, 1 << 62)
     inside = members(reps, index)
     sizes = inside.groupBy("label", "cell").count().filter(F.col("count") > BLOCK)
     sizes = written(sizes.select(F.col("label").alias("__l"), F.col("cell").alias("__c"), F.ceil(F.col("count") / BLOCK).alias("blocks")), "hot-cells")
@@ -222,7 +228,18 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     x = x.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
     groups = x.select("label", "cell", "first", "second", "block", "home", "visits", "node", "n", "vector").groupBy("label", "cell", "first", "second")
-    found = written(groups.applyInArrow(lambda t: verified(t, least), "node long, root long, links long"), "vector-links")
+    return written(groups.applyInArrow(lambda t: verified(t, least), "node long, root long, links long"), "vector-links")
+
+
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, recall: float = 0.99, max_sample: int = MAX_SAMPLE) -> DataFrame:
+    """A row per row of ``rows``: the id, n_links, component_id and kept."""
+    all_rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("l")).withColumn("ok", usable("v", "l"))
+    reps = all_rows.filter("ok").groupBy(F.col("l").alias("label"), F.col("v").alias("vector")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    lengths = sorted(r[0] for r in reps.select(F.size("vector").alias("length")).distinct().collect())  # those that occur
+    if not lengths:
+        return all_rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    found = reduce(DataFrame.unionByName, [_linked(reps.filter(F.size("vector") == n), least, recall, max_sample) for n in lengths])
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
     tops = reps.join(roots, "node", "left").withColumn("top", F.coalesce("root", "node")).join(counts, "node", "left")
