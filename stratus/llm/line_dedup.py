@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratus.llm.common import BLANKS, written
+from stratus.llm.common import BLANKS, unused, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,23 +52,24 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, prefix: str = "") -> DataFrame:
     """The rows of ``docs`` with the text rewritten, and with n_lines (before) and
     n_dropped appended, their names after ``prefix``; columns of those names are replaced."""
+    drop_id, drops_col, kept_col = (unused(n, docs) for n in ("drop_id", "drops", "kept"))
     hot = written(frequent_lines(docs, id_col, text_col, min_chars, min_docs), "frequent-lines")
     drops = (
         _exploded(docs, id_col, text_col, min_chars)
         .join(hot.select("h", "keep_id"), "h")
         .filter(~F.col("id").eqNullSafe(F.col("keep_id")))
-        .groupBy(F.col("id").alias("__drop_id"))
-        .agg(F.collect_set("h").alias("__drops"))
+        .groupBy(F.col("id").alias(drop_id))
+        .agg(F.collect_set("h").alias(drops_col))
     )
-    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__drop_id")), "left")
+    joined = docs.join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col(drop_id)), "left")
     lines = _lines(F.col(text_col))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__drops"), _hash(x, min_chars)), F.lit(False)))
-    joined = joined.withColumn("__kept", F.when(F.col("__drops").isNotNull(), kept))
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(drops_col), _hash(x, min_chars)), F.lit(False)))
+    joined = joined.withColumn(kept_col, F.when(F.col(drops_col).isNotNull(), kept))
     n_lines = F.size(lines).cast("long")
     return joined.select(
-        *[F.coalesce(F.array_join("__kept", "\n"), F.col(text_col), F.lit("")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in (f"{prefix}n_lines", f"{prefix}n_dropped")],
+        *[F.coalesce(F.array_join(kept_col, "\n"), F.col(text_col), F.lit("")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in (f"{prefix}n_lines", f"{prefix}n_dropped")],
         n_lines.alias(f"{prefix}n_lines"),
-        F.coalesce(n_lines - F.size("__kept"), F.lit(0)).cast("long").alias(f"{prefix}n_dropped"),
+        F.coalesce(n_lines - F.size(kept_col), F.lit(0)).cast("long").alias(f"{prefix}n_dropped"),
     )
 
 
