@@ -77,18 +77,18 @@ def plan(keyed: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = 3) -> Dat
     ``keyed`` has __source, __size, __key and __tie."""
     sizes = keyed.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     t = targets(sizes, weights, max_epochs).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    t = written(t.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).coalesce(1), "mix-targets")
+    t = written(t.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
     held = keyed.join(t, F.col("__source").eqNullSafe(F.col("source"))).withColumn("bucket", _bucket("n_docs"))
     sums = held.groupBy("source", "bucket", "rest").agg(F.sum("__size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).filter("before < rest AND rest <= before + words")
-    ends = written(ends.select(F.col("source").alias("s"), F.col("bucket").alias("cut_bucket"), "before").coalesce(1), "mix-ends")
+    ends = written(ends.select(F.col("source").alias("s"), F.col("bucket").alias("cut_bucket"), "before"), "mix-ends")
     last = held.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("cut_bucket")))
     run = Window.partitionBy("source").orderBy("__key", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("at", F.col("before") + F.coalesce(F.sum("__size").over(run), F.lit(0)) + F.col("__size") / 2)
     cut = last.filter("at <= rest").groupBy(F.col("source").alias("c")).agg(F.max(F.struct("__key", "__tie")).alias("cut"))
     both = t.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").join(cut, F.col("source").eqNullSafe(F.col("c")), "left")
-    return written(both.select("source", "source_size", "n_docs", "target", "epochs", "cut_bucket", "cut").coalesce(1), "mix-plan")
+    return written(both.select("source", "source_size", "n_docs", "target", "epochs", "cut_bucket", "cut"), "mix-plan")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, weights: tuple = WEIGHTS, max_epochs: int = 3, seed: int = 42, prefix: str = "") -> DataFrame:
@@ -97,24 +97,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     replaced. ``weight``: a column of quality weights from 0.25 to 1."""
     own = _keyed(id_col, text_col, source_col, weight, seed)
     keyed = written(docs.select(*[v.alias(k) for k, v in own.items()]), "mix-keys")
-    return _decided(docs.withColumns(own), plan(keyed, weights, max_epochs), docs.columns, prefix)
+    held = [f"c{i}" for i in range(len(docs.columns))]  # the result has the names; here they are numbers
+    numbered = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(docs.columns, held)], *[v.alias(k) for k, v in own.items()])
+    return _decided(numbered, plan(keyed, weights, max_epochs), dict(zip(docs.columns, held)), prefix)
 
 
-def _decided(keyed: DataFrame, planned: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
+def _decided(keyed: DataFrame, planned: DataFrame, columns: dict[str, str], prefix: str = "") -> DataFrame:
     planned = planned.select(*[F.col(c).alias(f"__p_{c}") for c in planned.columns])
     x = keyed.join(planned, F.col("__source").eqNullSafe(F.col("__p_source")), "left")
     bucket = _bucket("__p_n_docs")
     inside = (bucket < F.col("__p_cut_bucket")) | ((bucket == F.col("__p_cut_bucket")) & (F.struct(F.col("__key"), F.col("__tie")) <= F.col("__p_cut")))
     own = {"size": F.col("__size"), "source_size": F.col("__p_source_size"), "target": F.col("__p_target"), "copies": F.col("__p_epochs") + F.coalesce(inside, F.lit(False)).cast("long")}
     own = {prefix + k: v for k, v in own.items()}
-    return x.select(*[F.col(f"`{c}`") for c in columns if c not in own], *[v.alias(k) for k, v in own.items()])
+    return x.select(*[F.col(held).alias(c) for c, held in columns.items() if c not in own], *[v.alias(k) for k, v in own.items()])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     own = _keyed("doc_id", "text", "source", None, 42)
     keyed = written(docs.select("doc_id", *[v.alias(k) for k, v in own.items()]), "mix-keys")
-    out = _decided(keyed, plan(keyed), ["doc_id"])
+    out = _decided(keyed, plan(keyed), {"doc_id": "doc_id"})
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 

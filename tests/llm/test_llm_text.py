@@ -21,6 +21,18 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_clashing_names_pass_unchanged(spark):
+    from stratus.llm import mixing
+
+    names = ["drops", "drop_id", "kept", "__drops", "__drop_id", "__kept", "__p_epochs", "__size", "__key", "__tie", "__source", "bucket", "cut", "c0", "s"]
+    docs = frame(spark)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    for out in (line_dedup.dedup_lines(docs), mixing.mix(docs, prefix="mix_"), simhash.one_of_each(docs)):
+        for n in names:
+            assert [r[0] for r in out.select(n).distinct().collect()] == [f"own {n}"]
+
+
 def test_line_dedup_keeps_the_last_of_null_ids(spark):
     line = "x" * 40
     rows = [(i, line, None, None) for i in range(4)] + [(None, line + " ", None, None), (None, "short\n" + line, None, None)]
