@@ -47,6 +47,8 @@ MIN_DOCS, TOP = 30, 50
 UNIT, ADDED = 1_000_000_000, 5
 #: Terms in a shard (mean), bytes of shards broadcast at once, sources in a block.
 SHARD, ROUND_BYTES, BLOCK = 1024, 48 << 20, 64
+#: Places where a language's terms meet its number of shards.
+SALTS = 256
 #: Distinct terms and slots that a task holds before it sends them on; remembered words.
 HELD_TERMS, HELD_SLOTS, HELD_WORDS = 300_000, 8_000_000, 400_000
 #: Letters (A-Z lower-cased) and bytes of other than ASCII characters; all else is a blank.
@@ -163,7 +165,10 @@ def frequent_terms(texts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def shards(kept: DataFrame) -> DataFrame:
     """(lang, shard, n_shards of the language, and a packed perfect hash) of the kept terms."""
     sizes = kept.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("n_shards"))
-    x = kept.join(sizes, "lang").select("lang", "term", F.pmod(F.xxhash64("term", F.lit("shard")), F.col("n_shards")).alias("shard"), "n_shards")
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    # a language's terms meet its number of shards in SALTS places
+    x = kept.withColumn("salt", F.pmod(F.xxhash64("term", F.lit("salt")), F.lit(SALTS))).join(sizes, ["lang", "salt"])
+    x = x.select("lang", "term", F.pmod(F.xxhash64("term", F.lit("shard")), F.col("n_shards")).alias("shard"), "n_shards")
 
     def build(group: pa.Table) -> pa.Table:
         made = PerfectHash.of([t.encode() for t in group.column("term").to_pylist()]).pack()
