@@ -393,7 +393,8 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     language by distance ('pair'), and the terms that it has more of than its language
     ('term', the ``top`` first); ranks by value, then item."""
     texts = _texts(docs, text_col, lang_col, source_col)
-    tables = written(shards(frequent_terms(texts, min_docs)), "term-shards")
+    kept = written(frequent_terms(texts, min_docs), "frequent-terms")  # counted and placed from here
+    tables = written(shards(kept), "term-shards")
     slots = written(recount(texts, tables, round_bytes), "term-slots")
     groups = texts.select("lang", "source").distinct()
     groups = groups.withColumns({"at": F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1, "groups": F.count(F.lit(1)).over(Window.partitionBy("lang"))})
