@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +22,14 @@ def temporal_split(df: DataFrame, ts_col: str, key_cols: list[str], train_fracti
     if order not in ("time", "text"):
         raise ValueError(f"order {order!r}: time or text")
     columns = {"_s0": F.col(ts_col).cast("string") if order == "text" else F.col(ts_col), **{f"_s{i}": F.col(k) for i, k in enumerate(key_cols, 1)}}
-    return _first_part(df, columns, train_fraction, "train", "test")
+    return _first_part(df, columns, lambda n: int(n * train_fraction), "train", "test")
 
 
-def _first_part(df: DataFrame, columns: dict[str, Column], fraction: float, first: str, rest: str) -> DataFrame:
-    """``split`` = ``first`` for the first floor(n * fraction) rows in the columns' order."""
+def _first_part(df: DataFrame, columns: dict[str, Column], rows: Callable[[int], int], first: str, rest: str) -> DataFrame:
+    """``split`` = ``first`` for the first ``rows(n)`` of n rows in the columns' order."""
     keys = cut_lineage(df.select(*[c.alias(k) for k, c in columns.items()]), "split-keys")
     n = keys.count()
-    cut = int(n * fraction)
+    cut = rows(n)
     if cut < 1 or cut >= n:
         raise ValueError("Split produced empty train or test")
     last = nth_row(keys, list(columns), cut)
@@ -37,10 +39,10 @@ def _first_part(df: DataFrame, columns: dict[str, Column], fraction: float, firs
 
 def hash_split(df: DataFrame, key: Column, test_percent: int = 20, exact: bool = False) -> DataFrame:
     """Repeatable split: md5 bucket of the row key below ``test_percent`` is test.  With
-    ``exact``, test has floor(n * test_percent / 100) rows: the first in the order of the
+    ``exact``, test has ceil(n * test_percent / 100) rows: the first in the order of the
     key's md5 (rows of equal keys at the cut go together)."""
     if exact:
-        return _first_part(df, {"_s0": md5_bucket(key, 1 << 32), "_s1": F.md5(key.cast("string"))}, test_percent / 100, "test", "train")
+        return _first_part(df, {"_s0": md5_bucket(key, 1 << 32), "_s1": F.md5(key.cast("string"))}, lambda n: -(-n * test_percent // 100), "test", "train")
     return df.withColumn("split", F.when(md5_bucket(key, 100) < test_percent, "test").otherwise("train"))
 
 

@@ -402,6 +402,7 @@ def test_split_options(spark):
     text = lambda d: f"{d.month}/{d.day}/{d.year} {d.hour}:{d.minute:02d}"
     assert by_text == {i for i, _ in sorted(rows, key=lambda r: (text(r[1]), r[0]))[:800]}
     assert hash_split(df, F.col("id"), 20, exact=True).where("split = 'test'").count() == 200
+    assert hash_split(df.where("id < 101"), F.col("id"), 20, exact=True).where("split = 'test'").count() == 21
 
 
 def test_staleness_follows_the_declared_order(spark):
