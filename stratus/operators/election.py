@@ -1,15 +1,19 @@
 """Trial election: eligibility, deny list, Borda midranks, Copeland, winner.
 
 Works on a table of many elections keyed by ``election_id``; a trial is known
-by its election and id.  Copeland is only needed to break ties among the
-Borda leaders, so it is computed for leaders against all survivors, with
-the survivors of a huge election spread over buckets.
+by its election and id.  The winner needs Copeland only to break ties among the
+Borda leaders, so there it is computed for leaders against all survivors, with
+the survivors of a huge election spread over buckets.  ``copeland`` has the scores
+of all survivors, by dominance counts.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +71,7 @@ def eligibility(trials: DataFrame, constraints: DataFrame, deny: DataFrame) -> D
         "max_depth": ~c("require_unlimited_depth") | c("max_depth").isNull(),
         "pred_var": c("pred_var") <= c("pred_var_max"),
         "metrics": c("RMSE").isNotNull() & c("MAE").isNotNull() & c("R2").isNotNull(),
+        "params": c("fingerprint").isNotNull(),  # no JSON: the deny list can't be asked
         "denied": c("_deny").isNull(),
     }
     reason = F.coalesce(*[F.when(~F.coalesce(met, F.lit(False)), F.lit(name)) for name, met in rules.items()])
@@ -131,6 +136,104 @@ def copeland_for_leaders(scored: DataFrame, rows_per_bucket: int = ROWS_PER_BUCK
     )
 
 
+# Rows of a block whose pairs one task compares itself.
+BLOCK_BITS = 11
+
+
+def _block_counts(names: list[str]):
+    """Counts within one block: for each row that may win, the rows that may lose and come
+    later in all of ``names``."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        win, lose = rows[rows["can_win"]], rows[rows["can_lose"]]
+        # as ranks, where NaN is last as in an ORDER BY
+        ranks = {n: np.unique(rows[n].to_numpy(), return_inverse=True)[1] for n in names}
+        w, o = rows["can_win"].to_numpy(), rows["can_lose"].to_numpy()
+        got = np.zeros(len(win), dtype=np.int64)
+        for i in range(0, len(win), 256):
+            later = np.ones((min(256, len(win) - i), len(lose)), dtype=bool)
+            for n in names:
+                later &= ranks[n][w][i:i + 256, None] < ranks[n][o][None, :]
+            got[i:i + 256] = later.sum(axis=1)
+        return pd.DataFrame({"part": win["part"], "election_id": win["election_id"], "trial_id": win["trial_id"], "n": got})
+
+    return count
+
+
+def _dominated(rows: DataFrame, places: list[str], last: str, block_bits: int) -> DataFrame:
+    """(part, election_id, trial_id, n): for each row the rows of its part and election that
+    come later in all of ``places`` (row numbers from 0, no ties) and have a greater ``last``.
+
+    Two row numbers either share their block (the bits above ``block_bits``), or there is one
+    highest bit at which their blocks differ.  So each pair is met once: in its block, by one
+    task, or at one bit, where the rows with 0 may win over those with 1 and the next place is
+    treated alike.  What is left after the last place is a running count along ``last``.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("part", "election_id", "trial_id").schema) + ", n bigint"
+    group, found = ["part", "election_id"], []
+    cur = rows.withColumn("can_win", F.lit(True)).withColumn("can_lose", F.lit(True))
+    for i, place in enumerate(places):
+        block = F.shiftright(F.col(place), block_bits)
+        tagged = cur.withColumn("block", block)
+        seen = tagged.select(*group, "block", "trial_id", "can_win", "can_lose", *places[i:], last)
+        found.append(seen.groupBy(*group, "block").applyInPandas(_block_counts([*places[i:], last]), schema))
+        bits = F.length(F.conv(F.shiftright(F.col("n_rows") - 1, block_bits).cast("string"), 10, 2))  # 1 where there is one block
+        level = F.explode(F.when(F.col("n_rows") > 1 << block_bits, F.sequence(F.lit(0), bits - 1)).otherwise(F.array().cast("array<int>")))
+        cur = tagged.select("*", level.alias(f"bit{i}"))
+        one = F.expr(f"(block >> bit{i}) & 1") == 1
+        cur = cur.withColumn(f"high{i}", F.expr(f"block >> (bit{i} + 1)")).withColumn("can_win", F.col("can_win") & ~one)
+        cur = cur.withColumn("can_lose", F.col("can_lose") & one).where("can_win or can_lose").drop("block")
+        group += [f"bit{i}", f"high{i}"]
+    cur = cut_lineage(cur.withColumn("from_last", -F.col(last)).withColumn("loses", F.col("can_lose").cast("int")), "copeland-bits")
+    ran = running_total(cur, ["from_last", "loses"], F.col("loses").cast("bigint"), "n", group=group)
+    found.append(ran.where("can_win").select("part", "election_id", "trial_id", "n"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def copeland(survivors: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """Copeland score of every survivor: (election_id, trial_id, copeland), the trials of its
+    election over which it wins more of RMSE, MAE and R2 than it loses.
+
+    No pairs are formed.  A trial wins if it is better in at least two metrics, or better in
+    one and equal in two.  The first kind is the sum of the three counts of trials worse in
+    two metrics, less twice the count of those worse in all three; the second is a count
+    among trials that share two values.  Ties in a metric are ordered by the next one
+    downwards, so that rows which tie there never come later in all.  A row is copied once for
+    each bit of the number of blocks, for three metrics once for each pair of bits.
+    """
+    good_first = {"x": F.col("RMSE"), "y": F.col("MAE"), "z": -F.col("R2")}
+    # an added 0.0 makes one zero of the two
+    base = survivors.select("election_id", "trial_id", *[(v.cast("double") + 0.0).alias(k) for k, v in good_first.items()])
+    size = base.groupBy("election_id").agg(F.count("*").alias("n_rows"))
+    base = cut_lineage(base.join(size, "election_id"), "copeland-rows")
+
+    def placed(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+        falling = [F.col(c) if i == 0 or c == "trial_id" else -F.col(c) for i, c in enumerate(order)]
+        keyed = rows.select("*", *[v.alias(f"k{i}") for i, v in enumerate(falling)])
+        keys = [f"k{i}" for i in range(len(order))]
+        got = running_total(keyed, keys, F.lit(1).cast("bigint"), out, group=["part", "election_id"]).drop(*keys)
+        return cut_lineage(got.withColumn(out, F.col(out) - 1), "copeland-places")
+
+    pairs = [("x", "y"), ("x", "z"), ("y", "z")]
+    two = base.select("election_id", "trial_id", "n_rows", F.explode(F.array(*[
+        F.struct(F.lit(a + b).alias("part"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs])).alias("v"))
+    two = placed(two.select("election_id", "trial_id", "n_rows", "v.*"), ["a", "b", "trial_id"], "p")
+    three = placed(base.withColumn("part", F.lit("xyz")), ["x", "y", "z", "trial_id"], "p")
+    three = placed(three, ["y", "z", "trial_id"], "q")
+    # x, y and z each as the metric that differs
+    same = base.select("election_id", "trial_id", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("part"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(c).alias("c"), (-F.col(c)).alias("from_c"))
+        for a, b, c in [("x", "y", "z"), ("x", "z", "y"), ("y", "z", "x")]])).alias("v")).select("election_id", "trial_id", "v.*")
+    keys = ["part", "election_id", "a", "b"]
+    values = cut_lineage(same.groupBy(*keys, "c", "from_c").agg(F.count("*").alias("c_rows")), "copeland-values")
+    worse = running_total(values, ["from_c"], F.col("c_rows"), "upto", group=keys).withColumn("n", F.col("upto") - F.col("c_rows"))
+    alone = same.join(worse.select(*keys, "c", "n").where("n > 0"), [*keys, "c"]).select("part", "election_id", "trial_id", "n")
+    weight = F.when(F.col("part") == "xyz", -2).otherwise(1)
+    won = _dominated(two, ["p"], "b", block_bits).unionByName(_dominated(three, ["p", "q"], "z", block_bits)).unionByName(alone)
+    won = won.groupBy("election_id", "trial_id").agg(F.sum(weight * F.col("n")).alias("copeland"))
+    return base.select("election_id", "trial_id").join(won, ["election_id", "trial_id"], "left").fillna(0, ["copeland"])
+
+
 def round_significant(c: Column, digits: int) -> Column:
     """``c`` rounded to ``digits`` significant digits (decimal arithmetic rule of
     the original elector: metrics equal to that many digits tie)."""

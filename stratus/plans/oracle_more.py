@@ -239,6 +239,13 @@ DEPS["cope"] = ["borda"]
 SQL["eligible_trials"] = with_ctes(["elig"], "SELECT election_id, trial_id, fingerprint, reason FROM elig")
 SQL["borda_points"] = with_ctes(["borda"], """
 SELECT election_id, trial_id, n_survivors, borda_rmse, borda_mae, borda_r2, borda_rmse + borda_mae + borda_r2 AS borda FROM borda""")
+SQL["copeland_all"] = with_ctes(["borda"], """
+SELECT a.election_id, a.trial_id,
+       CAST(count(b.trial_id) FILTER (WHERE
+          ((a.RMSE < b.RMSE)::INT + (a.MAE < b.MAE)::INT + (a.R2 > b.R2)::INT) >
+          ((a.RMSE > b.RMSE)::INT + (a.MAE > b.MAE)::INT + (a.R2 < b.R2)::INT)) AS BIGINT) AS copeland
+FROM borda a LEFT JOIN borda b ON a.election_id = b.election_id AND a.trial_id <> b.trial_id
+GROUP BY a.election_id, a.trial_id""")
 SQL["copeland_leaders"] = with_ctes(["cope"], "SELECT election_id, trial_id, copeland FROM cope")
 SQL["election_winner"] = with_ctes(["cope", "trials"], """
 , lead AS (SELECT b.*, b.borda_rmse + b.borda_mae + b.borda_r2 AS borda, c.copeland FROM borda b JOIN cope c USING (election_id, trial_id)),
@@ -547,6 +554,28 @@ SELECT pipeline, stage, position, reason IS NOT NULL AS stale, reason,
        bool_or(reason IS NOT NULL) OVER (PARTITION BY pipeline ORDER BY position, stage ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS must_run
 FROM x""")
 
+SQL["stage_graph"] = with_ctes(["ddiff"], """
+, st AS (SELECT DISTINCT lang AS pipeline, source AS stage, CAST(substr(source, 4) AS INTEGER) AS k FROM documents),
+edge AS (
+  SELECT DISTINCT pipeline, stage, unnest(list_filter([CASE WHEN k > 0 THEN 'src' || (k // 2) END, CASE WHEN k > 0 THEN 'src' || (k // 3) END,
+         CASE WHEN k % 9 = 4 THEN 'gone' END, CASE WHEN pipeline = 'de' AND k = 3 THEN 'src6' END], lambda x: x IS NOT NULL)) AS parent FROM st),
+per AS (SELECT pipeline, stage, bool_or(stale AND kind = 'dependency') AS dep, bool_or(stale AND kind = 'output') AS o FROM ddiff GROUP BY ALL),
+odd AS (SELECT DISTINCT pipeline, stage FROM edge e WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.pipeline = e.pipeline AND st.stage = e.parent)),
+own AS (SELECT st.pipeline, st.stage, CASE WHEN k = 11 THEN 'status' WHEN dep THEN 'dependency' WHEN o THEN 'output' WHEN odd.stage IS NOT NULL THEN 'parent' END AS reason
+        FROM st LEFT JOIN per USING (pipeline, stage) LEFT JOIN odd USING (pipeline, stage)),
+above AS (
+  WITH RECURSIVE r(pipeline, stage, parent) AS (
+    SELECT pipeline, stage, parent FROM edge
+    UNION
+    SELECT r.pipeline, r.stage, e.parent FROM r JOIN edge e ON e.pipeline = r.pipeline AND e.stage = r.parent
+  ) SELECT * FROM r),
+ring AS (SELECT pipeline, stage FROM above WHERE parent = stage),
+bad AS (SELECT pipeline, stage FROM ring UNION SELECT a.pipeline, a.stage FROM above a JOIN ring ON ring.pipeline = a.pipeline AND ring.stage = a.parent),
+up AS (SELECT a.pipeline, a.stage, bool_or(o.reason IS NOT NULL) AS stale FROM above a JOIN own o ON o.pipeline = a.pipeline AND o.stage = a.parent GROUP BY ALL)
+SELECT own.pipeline, own.stage, reason, CASE WHEN bad.stage IS NULL THEN reason IS NOT NULL OR coalesce(up.stale, false) END AS must_run,
+       CASE WHEN bad.stage IS NOT NULL THEN 'cycle' END AS error
+FROM own LEFT JOIN bad USING (pipeline, stage) LEFT JOIN up USING (pipeline, stage)""")
+
 # ------------------------------------------------------------------ scoring
 SQL["batch_explode"] = with_ctes(["telemetry"], """
 SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS INTEGER) AS index,

@@ -144,6 +144,13 @@ def q_copeland_leaders(spark, sf_dir):
     return ele.copeland_for_leaders(s)
 
 
+@query("copeland_all")
+def q_copeland_all(spark, sf_dir):
+    """Copeland scores of all survivors."""
+    tr, c, d = _election_inputs(spark, sf_dir)
+    return ele.copeland(ele.eligibility(tr, c, d).where(F.col("reason").isNull()))
+
+
 @query("election_winner")
 def q_election_winner(spark, sf_dir):
     tr, c, d = _election_inputs(spark, sf_dir)
@@ -451,8 +458,7 @@ def q_params_fingerprint(spark, sf_dir):
 def q_payload_key(spark, sf_dir):
     """Cache key: SHA-256 of {"p": payload (keys sorted), "v": model version}."""
     r = _requests(spark, sf_dir)
-    key = F.sha2(F.to_json(F.struct(F.parse_json(F.col("payload_key")).alias("p"), F.lit("1.0.0").alias("v"))), 256)
-    return r.select("request_id", key.alias("cache_key"))
+    return r.select("request_id", hsh.cache_key(F.col("payload_key"), F.lit("1.0.0")).alias("cache_key"))
 
 
 # ------------------------------------------------------------------ blobs and digests
@@ -534,6 +540,14 @@ def q_staleness_plan(spark, sf_dir):
     return lin.staleness_plan(diff, adapters.stages(Tables(spark, sf_dir)))
 
 
+@query("stage_graph")
+def q_stage_graph(spark, sf_dir):
+    """Stages of a graph that must run, by their own or an ancestor's staleness."""
+    d, t = _digests(spark, sf_dir), Tables(spark, sf_dir)
+    diff = lin.digest_diff(d.where(F.col("snapshot") == "recorded"), d.where(F.col("snapshot") == "current"), ["pipeline", "stage", "kind"])
+    return lin.stage_graph(lin.own_reasons(diff, adapters.stages(t)), adapters.stage_edges(t))
+
+
 # ------------------------------------------------------------------ scoring
 
 INSTANCE = "l_linenumber int, l_partkey bigint, l_suppkey bigint, cpu_usage double, vm_type string"

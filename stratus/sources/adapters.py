@@ -221,6 +221,18 @@ def stages(t: Tables) -> DataFrame:
     return d.select("pipeline", "stage", F.when(number == 7, -1).otherwise(number).alias("position"), F.when(number == 11, F.lit("failed")).otherwise(F.lit("success")).alias("status"))
 
 
+def stage_edges(t: Tables) -> DataFrame:
+    """Declared inputs of stages: the one of number k reads those of k // 2 and k // 3 (none
+    reads itself), of k % 9 = 4 also ``gone``, which is no stage; in the pipeline ``de``
+    number 3 also reads 6, which reads 3."""
+    s = stages(t).select("pipeline", "stage", F.regexp_extract("stage", "([0-9]+)$", 1).try_cast("int").alias("k"))
+    name = lambda k: F.concat(F.lit("src"), k.cast("int").cast("string"))
+    parents = F.array_compact(F.array(
+        F.when(F.col("k") > 0, name(F.floor(F.col("k") / 2))), F.when(F.col("k") > 0, name(F.floor(F.col("k") / 3))),
+        F.when(F.col("k") % 9 == 4, F.lit("gone")), F.when((F.col("pipeline") == "de") & (F.col("k") == 3), F.lit("src6"))))
+    return s.select("pipeline", "stage", F.explode(parents).alias("parent"))
+
+
 def payloads(t: Tables) -> DataFrame:
     """JSON request payloads built from telemetry rows.
 

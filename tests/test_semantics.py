@@ -375,16 +375,6 @@ def test_elections_keep_apart_and_reject_nulls(spark):
     assert docs == {"e1": ("t1", 2, 200), "e2": ("t1", 1, 400)}
 
 
-def test_uncanonical_numbers_are_refused(spark):
-    import pytest
-    from pyspark.errors import PySparkException
-    from stratus.functions.hashing import params_fingerprint
-
-    ok = spark.createDataFrame([('{"b": 0.5, "a": 10}',)], "j string").select(params_fingerprint(F.col("j"))).first()[0]
-    assert len(ok) == 64
-    with pytest.raises(PySparkException):
-        spark.createDataFrame([('{"max_features": 1.0}',)], "j string").select(params_fingerprint(F.col("j"))).collect()
-
 
 def test_frames_of_two_calls_stay_readable(spark):
     from stratus.sources import io
