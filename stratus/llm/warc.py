@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stratus.llm.common import new_folder, written
 from stratus.llm.files import NewFile, opened
+from stratus.llm.tokens import slices
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -162,7 +163,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, n, done = None, 0, []
-        for b in batches:
+        for b in (x.slice(a, z - a) for x in batches for a, z in slices(x.column(2))):
             for key, url, body, response in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if file is None:
                     file, n = NewFile(to, ".warc.gz"), 0
