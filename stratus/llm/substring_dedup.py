@@ -9,15 +9,16 @@ are shuffled once into partitions of their own (pid) that every pass reads:
    and packed, to the block of cells they belong to. Blocks merge the partitions' counts
    and tell each partition, in a bit for each of its cells, which reached two. An
    estimate is never below the true count, so no repeated window is lost.
-2. Windows whose cells all reached two are sent with a 96-bit hash and their document to
-   buckets by hash, which group them exactly and answer with a bit for each: whether a
-   smaller document has it.
+2. Windows whose cells all reached two are sent with a 96-bit hash, once a partition with
+   the least document that has them there, to buckets by hash. Those group them exactly and
+   answer with a bit for each: whether another partition has a smaller document.
 3. Partitions take the words of those windows out of their texts.
 
 Nothing is broadcast and nothing grows in one place: rows of the sketch are four times as
 wide as there are windows and are cut into blocks by that number, so the share of false
 alarms (about 5 %) and the size of a merge stay the same for any input. A passage that
-very many documents share is one cell in each partition's sketch.
+very many documents share is one cell in each partition's sketch and one row of each in
+its bucket. Rows that repeat both id and text share a partition.
 
 Defined cases: a null or empty text has no words; texts shorter than a window stay whole;
 rows that repeat an id are one document (their windows don't remove each other); a null
@@ -37,7 +38,6 @@ from pyspark.sql import DataFrame, functions as F
 DEPTH = 2
 #: Windows in a merge, and bytes of text in a partition, about.
 BLOCK_WINDOWS, PART_BYTES = 1 << 20, 12 << 20
-NULL_ID = -(1 << 63)
 #: Odd multipliers that spread a hash over a row's cells, and over positions in a window.
 SPREAD = np.array([1, 0xD6E8FEB86659FD93], dtype=np.uint64)
 STEP = 0x9E3779B97F4A7C15
@@ -97,9 +97,9 @@ class Texts:
     """The documents of a partition in a fixed order, whatever order they came in."""
 
     def __init__(self, table: pa.Table, window: int):
-        ids = [NULL_ID if x is None else x for x in table.column("id").to_pylist()]
+        ids = table.column("id").to_pylist()
         texts = [(t or "").encode() for t in table.column("text").to_pylist()]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
         self.ids, self.texts, self.window = [ids[i] for i in order], [texts[i] for i in order], window
         self.found: list | None = None
 
@@ -178,12 +178,13 @@ def merge(table: pa.Table, layout: Layout) -> pa.Table:
 
 # ---- pass 2: exact groups of the windows estimated repeated -----------------------------
 
-CANDIDATE = pa.schema([("bucket", pa.int64()), ("pid", pa.int64()), ("hash", pa.binary()), ("more", pa.binary()), ("doc", pa.binary()), ("ids", pa.binary())])
+CANDIDATE = pa.schema([("bucket", pa.int64()), ("pid", pa.int64()), ("hash", pa.binary()), ("more", pa.binary()), ("doc", pa.binary()), ("ids", pa.binary()), ("known", pa.binary())])
 
 
 class Candidates:
-    """A partition's windows that the merged sketch estimates repeated, once a document,
-    sorted by hash."""
+    """A partition's windows that the merged sketch estimates repeated, sorted by hash: in
+    ``hash``, ``more`` and ``doc`` once each with the first document, in ``order`` and
+    ``group`` once a document, where ``after`` tells that the first one's id is smaller."""
 
     def __init__(self, texts: Texts, answers: list[dict], layout: Layout):
         hashes = _gathered(texts, True)
@@ -213,35 +214,49 @@ class Candidates:
                 h1.append(windows(words[:, 1], texts.window)[at[first]] >> np.uint64(32))
                 doc.append(np.full(len(own), i, dtype=np.uint32))
         both = np.concatenate(h0) if h0 else np.zeros(0, np.uint64)
-        self.order = np.argsort(both, kind="stable")
-        self.hash = both[self.order]
-        self.more = (np.concatenate(h1)[self.order] if h1 else both).astype("<u4")
-        self.doc = (np.concatenate(doc)[self.order] if doc else both).astype("<u4")
+        more = (np.concatenate(h1) if h1 else both).astype("<u4")
+        docs = (np.concatenate(doc) if doc else both).astype("<u4")
+        order = np.argsort(both, kind="stable")  # documents stay in their order
+        if np.any((both[order][1:] == both[order][:-1]) & (more[order][1:] != more[order][:-1])):
+            order = np.lexsort((docs, more, both))
+        h, m, d = both[order], more[order], docs[order]
+        first = np.r_[True, (h[1:] != h[:-1]) | (m[1:] != m[:-1])] if len(h) else np.zeros(0, bool)
+        self.order, self.group = order, np.cumsum(first) - 1
+        self.hash, self.more, self.doc = h[first], m[first], d[first]
+        place = np.cumsum([i > 0 and x != texts.ids[i - 1] for i, x in enumerate(texts.ids)])  # equal ids share one
+        self.after = place[d] > place[self.doc[self.group]]
         self.sizes = [(i, len(own)) for i, (_, own) in self.by_doc.items()]
 
 
 def candidates(table: pa.Table, answers: pa.Table, layout: Layout, window: int) -> pa.Table:
     pid, texts, rows = table.column("pid")[0].as_py(), Texts(table, window), []
     found = Candidates(texts, answers.to_pylist(), layout)
-    ids = np.array(texts.ids, dtype="<i8")
+    ids = np.array([x or 0 for x in texts.ids], dtype="<i8")
+    known = np.array([x is not None for x in texts.ids])
     for bucket, a, b in _cut(found.hash, 64 - layout.block_bits) if layout.block_bits else [(0, 0, len(found.hash))] * bool(len(found.hash)):
         docs, index = np.unique(found.doc[a:b], return_inverse=True)
-        rows.append({"bucket": bucket, "pid": pid, "hash": _zip(_deltas(found.hash[a:b])), "more": _zip(found.more[a:b]), "doc": _zip(index.astype("<u4")), "ids": _zip(ids[docs])})
+        rows.append({"bucket": bucket, "pid": pid, "hash": _zip(_deltas(found.hash[a:b])), "more": _zip(found.more[a:b]), "doc": _zip(index.astype("<u4")),
+                     "ids": _zip(ids[docs]), "known": np.packbits(known[docs]).tobytes()})
     return pa.Table.from_pylist(rows, CANDIDATE)
 
 
 def exact(table: pa.Table) -> pa.Table:
-    """Groups the windows of a bucket; a bit for each: a smaller document has it."""
-    rows = table.select(["pid", "bucket"]).to_pylist()
-    parts = [(np.cumsum(_unzip(h, "<u8")), _unzip(m, "<u4"), _unzip(i, "<i8")[_unzip(d, "<u4")]) for h, m, d, i in zip(*(table.column(c).to_pylist() for c in ("hash", "more", "doc", "ids")), strict=True)]
-    hashes, more, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((docs, more, hashes))
-    h, m, d = hashes[order], more[order], docs[order]
+    """Groups the windows of a bucket; a bit for each: another partition has a smaller
+    document."""
+    rows, parts = table.select(["pid", "bucket"]).to_pylist(), []
+    for x in table.select(["hash", "more", "doc", "ids", "known"]).to_pylist():
+        ids, doc = _unzip(x["ids"], "<i8"), _unzip(x["doc"], "<u4")
+        known = np.unpackbits(np.frombuffer(x["known"], np.uint8), count=len(ids))
+        parts.append((np.cumsum(_unzip(x["hash"], "<u8")), _unzip(x["more"], "<u4"), known[doc], ids[doc]))
+    hashes, more, known, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((docs, known, more, hashes))
+    h, m, k, d = hashes[order], more[order], known[order], docs[order]
     first = np.r_[True, (h[1:] != h[:-1]) | (m[1:] != m[:-1])]
+    least = np.flatnonzero(first)[np.cumsum(first) - 1]
     later = np.zeros(len(d), bool)
-    later[order] = d > d[np.flatnonzero(first)][np.cumsum(first) - 1]
+    later[order] = (k > k[least]) | (d > d[least]) & (k == k[least])
     out, at = [], 0
-    for x, (part, _, _) in zip(rows, parts, strict=True):
+    for x, (part, *_) in zip(rows, parts, strict=True):
         out.append({"pid": x["pid"], "row": DEPTH, "block": x["bucket"], "bits": np.packbits(later[at : at + len(part)]).tobytes()})
         at += len(part)
     return pa.Table.from_pylist(out, ANSWER)
@@ -256,9 +271,9 @@ def rewritten(table: pa.Table, answers: pa.Table, layout: Layout, window: int, s
     bits = {x["block"]: x["bits"] for x in told if x["row"] == DEPTH}
     cuts = _cut(found.hash, 64 - layout.block_bits) if layout.block_bits else [(0, 0, len(found.hash))] * bool(len(found.hash))
     flags = [np.unpackbits(np.frombuffer(bits[k], np.uint8), count=b - a) for k, a, b in cuts]
-    gone = np.zeros(len(found.hash), bool)
+    gone = np.zeros(len(found.order), bool)
     if flags:
-        gone[found.order] = np.concatenate(flags).astype(bool)
+        gone[found.order] = found.after | np.concatenate(flags).astype(bool)[found.group]
     removed, at = {}, 0
     for i, n in found.sizes:
         w, own = found.by_doc[i]
@@ -277,7 +292,7 @@ def rewritten(table: pa.Table, answers: pa.Table, layout: Layout, window: int, s
             np.add.at(edge, removed[i] + window, -1)
             kept = [x for x, c in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not c]
         body = b" ".join(kept)
-        row = {"id": None if texts.ids[i] == NULL_ID else texts.ids[i], "n_words": len(words), "n_removed": len(words) - len(kept)}
+        row = {"id": texts.ids[i], "n_words": len(words), "n_removed": len(words) - len(kept)}
         for name in cols:
             cols[name].append(row[name] if name in row else hashlib.sha256(body).hexdigest() if name == "kept_sha256" else body.decode())
     return pa.Table.from_pydict(cols, schema)

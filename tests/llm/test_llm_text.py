@@ -64,6 +64,34 @@ def test_sketch_never_underestimates():
         assert set(layout.cells(parts[0][:50], row).tolist()) <= reached
 
 
+def test_substring_dedup_least_id_and_null(spark):
+    shared = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, f"{shared} a b"), (-(1 << 63), f"c {shared}"), (None, shared), (7, f"{shared} d"), (7, f"{shared} d"), ((1 << 63) - 1, shared)]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, 22, 0, f"{shared} a b"), (None, 20, 0, shared), (-(1 << 63), 21, 20, "c"), (7, 21, 20, "d"), (7, 21, 20, "d"), ((1 << 63) - 1, 20, 20, "")]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[3])
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
+    own = spark.createDataFrame(rows[3:5] + [(7, f"e {shared}")], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.dedup_substrings(own).collect()} == {0}
+
+
+def test_substring_candidates_once_a_partition():
+    """A passage that all documents of a partition hold is sent once for each window."""
+    import numpy as np
+    import pyarrow as pa
+
+    passage = " ".join(f"w{i}" for i in range(30))
+    table = pa.table({"id": pa.array([None, *range(500)], pa.int64()), "text": [f"{passage} own{i}" for i in range(501)], "pid": pa.array([3] * 501, pa.int64())})
+    layout = substring_dedup.Layout(1 << 14, 4)
+    sketch = substring_dedup.sketch(table, layout, 13)
+    merged = [substring_dedup.merge(sketch.take([i]), layout) for i in range(sketch.num_rows)]
+    answers = pa.concat_tables(merged)
+    sent = substring_dedup.candidates(table, answers, layout, 13)
+    assert sum(len(substring_dedup._unzip(x, "<u8")) for x in sent.column("hash").to_pylist()) <= 18 + 30  # 18 shared windows and false alarms
+    found = substring_dedup.Candidates(substring_dedup.Texts(table, 13), answers.to_pylist(), layout)
+    assert len(found.order) >= 18 * 501 and np.count_nonzero(~found.after) <= len(found.hash)
+
+
 def test_substring_dedup_keeps_text(spark):
     rows = [(1, "a b c d", None, None), (2, "x a b c y", None, None)]
     got = {r.doc_id: r.kept for r in substring_dedup.dedup_substrings(frame(spark, rows), window=3).collect()}
