@@ -10,8 +10,10 @@ timestamps.  The cache is replayed in time buckets.
 
 from __future__ import annotations
 
-import numpy as np
+from collections import deque
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -240,9 +242,39 @@ def rate_limit(df: DataFrame, key: str, ts: str, tie: str, limit: int = 60, wind
 BUCKET_LIFETIMES = 32
 
 
-def _chain(times: np.ndarray, age: int) -> np.ndarray:
-    """For each event the index of the first that comes more than ``age`` later."""
-    return np.searchsorted(times, times + age, side="right")
+class _Exits:
+    """A time bucket's last miss as a function of the last miss before it, from the
+    bucket's events in order.
+
+    Each event of the first lifetime, and the first one after it, may be the bucket's first
+    miss, so each starts a chain of misses. Chains that meet stay together, and those
+    that have met began at neighbouring events: ``chains`` holds (last miss, ends of the
+    runs of starts) in the order of the last misses."""
+
+    def __init__(self, begin: int, age: int):
+        self.until, self.age, self.seen, self.more = begin + age, age, None, True
+        self.chains: deque[tuple[int, list[int]]] = deque()
+
+    def event(self, now: int) -> None:
+        if now == self.seen:
+            return
+        self.seen, starts = now, []
+        if self.more:
+            starts, self.more = [now], now <= self.until
+        met = bool(starts)
+        while self.chains and self.chains[0][0] + self.age < now:
+            met = True
+            for end in self.chains.popleft()[1]:
+                if starts and starts[-1] < end:
+                    starts[-1] = end  # the run before it ends here now
+                else:
+                    starts.append(end)
+        if met:
+            self.chains.append((now, starts))
+
+    def steps(self) -> list[tuple[int, int]]:
+        """(last start of a run, last miss of its chains) by start."""
+        return sorted((end, miss) for miss, ends in self.chains for end in ends)
 
 
 def cache_replay(df: DataFrame, key: str, ts: str, tie: str, ttl: str = "300 seconds") -> DataFrame:
@@ -251,30 +283,35 @@ def cache_replay(df: DataFrame, key: str, ts: str, tie: str, ttl: str = "300 sec
     is a miss).
 
     A miss is followed by the first event more than ``ttl`` after it, so a time bucket's
-    last miss is a function of the last miss before it, and only events of the bucket's
-    first lifetime can tell the difference.  Each (key, bucket) computes that function
-    from its own rows in one backward pass; a fold over a key's buckets, which reads the
-    events of first lifetimes only, gives every bucket its entry; then buckets mark their
-    hits.  No task holds more of a key than a bucket."""
+    last miss is a step function of the last miss before it. Three sorted streams: each
+    (key, bucket) computes its function, a fold over a key's buckets reads only
+    the steps and gives every bucket its entry, and a pass over the rows marks the hits.
+    A task holds the distinct times of one key's single lifetime in the first of them
+    and one time in the others, however many rows a key has."""
     ttl_s = _seconds(ttl)
     if ttl_s <= 0:
         first = df.groupBy(key).agg(F.min(F.struct(ts, tie)).alias("_first"))
         return df.join(first, key).withColumn("cache_hit", F.struct(ts, tie) != F.col("_first")).drop("_first")
     age = int(ttl_s * 1_000_000)
+    width = age * BUCKET_LIFETIMES
     held = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    held = held.withColumn("_bkt", F.floor(F.col("_us") / (age * BUCKET_LIFETIMES)))
+    held = held.withColumn("_bkt", F.floor(F.col("_us") / width))
     kind = df.schema[key].dataType.simpleString()
+    parts = shuffle_partitions(df)
 
-    def exits(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """(event of the first lifetime or the one after, last miss if it is one)."""
-        times = np.sort(pdf["_us"].to_numpy())
-        after, last = _chain(times, age), times.copy()
-        for i in range(len(times) - 1, -1, -1):
-            if after[i] < len(times):
-                last[i] = last[after[i]]
-        n = min(int(np.searchsorted(times, group[1] * age * BUCKET_LIFETIMES + age, side="right")) + 1, len(times))
-        keep = np.flatnonzero(np.r_[True, times[1:n] != times[: n - 1]])
-        return pd.DataFrame({key: group[0], "_bkt": int(group[1]), "at": times[keep], "last": last[keep]})
+    def exits(batches):
+        cur, bucket = None, None
+        for pdf in batches:
+            out = []
+            for k, b, now in zip(pdf[key].tolist(), pdf["_bkt"].tolist(), pdf["_us"].tolist(), strict=True):
+                if (k, b) != cur:
+                    if bucket is not None:
+                        out += [(*cur, *step) for step in bucket.steps()]
+                    cur, bucket = (k, b), _Exits(b * width, age)
+                bucket.event(now)
+            yield pd.DataFrame(out, columns=[key, "_bkt", "at", "last"])
+        if bucket is not None:
+            yield pd.DataFrame([(*cur, *step) for step in bucket.steps()], columns=[key, "_bkt", "at", "last"])
 
     def entries(batches):
         """The last miss before each bucket of a key; rows stand in order."""
@@ -292,18 +329,22 @@ def cache_replay(df: DataFrame, key: str, ts: str, tie: str, ttl: str = "300 sec
                     state, done = last, True
             yield pd.DataFrame({key: [x[0] for x in out], "_b": [x[1] for x in out], "_entry": pd.array([x[2] for x in out], dtype="Int64")})
 
-    def marks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", tie], kind="stable")
-        times, entry = pdf["_us"].to_numpy(), pdf["_entry"].iloc[0]
-        after, hit = _chain(times, age), np.ones(len(times), bool)
-        i = 0 if pd.isna(entry) else int(np.searchsorted(times, int(entry) + age, side="right"))
-        while i < len(times):
-            hit[i] = False
-            i = int(after[i])
-        return pdf.drop(columns=["_us", "_bkt", "_entry"]).assign(cache_hit=hit)
-
-    jumps = held.select(key, "_us", "_bkt").groupBy(key, "_bkt").applyInPandas(exits, f"`{key}` {kind}, _bkt bigint, at bigint, last bigint")
-    jumps = jumps.repartition(shuffle_partitions(df), key).sortWithinPartitions(key, "_bkt", "at")
-    state = jumps.mapInPandas(entries, f"`{key}` {kind}, _b bigint, _entry bigint").withColumnRenamed(key, "_k")
+    def marks(batches):
+        cur = miss = None
+        for batch in batches:
+            hits = []
+            for k, b, now, entry in zip(*(batch.column(c).to_pylist() for c in (key, "_bkt", "_us", "_entry")), strict=True):
+                if (k, b) != cur:
+                    cur, miss = (k, b), entry
+                hits.append(miss is not None and now - miss <= age)
+                if not hits[-1]:
+                    miss = now
+            yield batch.drop_columns(["_us", "_bkt", "_entry"]).append_column("cache_hit", pa.array(hits, pa.bool_()))
+
+    steps = held.select(key, "_us", "_bkt").repartition(parts, key, "_bkt").sortWithinPartitions(key, "_bkt", "_us")
+    steps = steps.mapInPandas(exits, f"`{key}` {kind}, _bkt bigint, at bigint, last bigint")
+    steps = steps.repartition(parts, key).sortWithinPartitions(key, "_bkt", "at")
+    state = steps.mapInPandas(entries, f"`{key}` {kind}, _b bigint, _entry bigint").withColumnRenamed(key, "_k")
     rows = held.join(state, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bkt") == F.col("_b"))).select(*df.columns, "_us", "_bkt", "_entry")
-    return rows.groupBy(key, "_bkt").applyInPandas(marks, T.StructType([*df.schema.fields, T.StructField("cache_hit", T.BooleanType())]))
+    rows = rows.repartition(parts, key, "_bkt").sortWithinPartitions(key, "_bkt", "_us", tie)
+    return rows.mapInArrow(marks, T.StructType([*df.schema.fields, T.StructField("cache_hit", T.BooleanType())]))

@@ -148,6 +148,27 @@ def test_cache_replay_matches_python(spark):
     assert got0 == _py_cache(ev, 0)
 
 
+def test_cache_bucket_is_a_step_function(spark):
+    """Steps of a bucket equal the chain from every possible entry, and are few."""
+    rnd = random.Random(3)
+    for age, n in ((10, 400), (50, 2000), (7, 3), (1, 1)):
+        times = sorted(rnd.randrange(32 * age) for _ in range(n))
+        bucket = requests_log._Exits(0, age)
+        held = 0
+        for t in times:
+            bucket.event(t)
+            held = max(held, sum(len(ends) for _, ends in bucket.chains))
+        steps = bucket.steps()
+        assert held <= age + 2 and len(steps) <= held
+        for entry in [*range(-2 * age, 0), None]:
+            last = entry
+            for t in times:
+                if last is None or t - last > age:
+                    last = t
+            found = next((miss for end, miss in steps if entry is None or end > entry + age), entry)
+            assert found == last
+
+
 def test_cache_replay_of_a_key_without_pauses(spark):
     """Traffic without a quiet gap, over many buckets, with ties and exact lifetimes."""
     rnd = random.Random(8)
