@@ -7,7 +7,8 @@ holds them; what stays is put together again in the order of its positions.
 Only hashes are shuffled by line: the texts move once, by document, to meet the set of
 hashes that each must drop. A line that a third of all documents hold is counted with
 map-side combine, and meets the frequent lines in a join whose two sides are plain
-exchanges, which AQE can split.
+exchanges, which AQE can split. The hashes that a document drops lie in buckets, so that
+a text of n lines and d such hashes takes about (n + d) sqrt(d) comparisons.
 
 Defined cases: a null or empty text is one empty line; rows that repeat an id are one
 document for the counts, and each such row is rewritten; null ids are one document that
@@ -49,6 +50,16 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     return docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.array_compact(hashes))).alias("h"))
 
 
+def _buckets(hashes: Column) -> Column:
+    """The hashes in about as many buckets as each then holds."""
+    n = F.ceil(F.sqrt(F.size(hashes)))
+    return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda b: F.filter(hashes, lambda h: F.pmod(F.xxhash64(h), n) == b))
+
+
+def _in_buckets(buckets: Column, h: Column) -> Column:
+    return F.array_contains(F.get(buckets, F.pmod(F.xxhash64(h), F.size(buckets)).cast("int")), h)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, prefix: str = "") -> DataFrame:
     """The rows of ``docs`` with the text rewritten, and with n_lines (before) and
     n_dropped appended, their names after ``prefix``; columns of those names are replaced."""
@@ -60,10 +71,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(~F.col("id").eqNullSafe(F.col("keep_id")))
         .groupBy(F.col("id").alias(drop_id))
         .agg(F.collect_set("h").alias(drops_col))
+        .withColumn(drops_col, _buckets(F.col(drops_col)))
     )
     joined = docs.join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col(drop_id)), "left")
     lines = _lines(F.col(text_col))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(drops_col), _hash(x, min_chars)), F.lit(False)))
+    hashed = F.transform(lines, lambda x: F.struct(x.alias("line"), _hash(x, min_chars).alias("h")))
+    stay = F.filter(hashed, lambda x: ~F.coalesce(_in_buckets(F.col(drops_col), x["h"]), F.lit(False)))
+    kept = F.transform(stay, lambda x: x["line"])
     joined = joined.withColumn(kept_col, F.when(F.col(drops_col).isNotNull(), kept))
     n_lines = F.size(lines).cast("long")
     return joined.select(

@@ -33,6 +33,17 @@ def test_clashing_names_pass_unchanged(spark):
             assert [r[0] for r in out.select(n).distinct().collect()] == [f"own {n}"]
 
 
+def test_line_dedup_of_a_text_with_many_frequent_lines(spark):
+    """20,000 dropped lines of one text are found by bucket, kept ones stay in order."""
+    frequent = [f"frequent line number {i} of at least forty code points" for i in range(20_000)]
+    own = [f"x{i}" for i in range(20_000)]
+    long = "\n".join(v for pair in zip(frequent, own, strict=True) for v in pair)
+    rows = [(0, long)] + [(i, "\n".join(frequent)) for i in range(1, 6)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0]["text"] == "\n".join(own) and got[0]["n_dropped"] == 20_000
+    assert got[1]["text"] == "" and got[5]["text"] == rows[5][1]
+
+
 def test_line_dedup_keeps_the_last_of_null_ids(spark):
     line = "x" * 40
     rows = [(i, line, None, None) for i in range(4)] + [(None, line + " ", None, None), (None, "short\n" + line, None, None)]
