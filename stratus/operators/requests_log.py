@@ -223,19 +223,33 @@ def _folded(df: DataFrame, key: str, ts: str, tie: str, quiet_s: float, flag: st
     return s.mapInPandas(run, T.StructType([*[f for f in s.schema.fields if f.name != "session_start"], T.StructField(flag, T.BooleanType())]))
 
 
+def limiter(limit: int, age: int):
+    """Rule of the rate limiter: (admitted, admitted times not older than ``age``)."""
+
+    def decide(hits, now):
+        hits = [h for h in hits or () if now - h <= age]  # at most ``limit``
+        ok = limit <= 0 or len(hits) < limit
+        return ok, [*hits, now] if ok and limit > 0 else hits
+
+    return decide
+
+
+def cached(age: int):
+    """Rule of the cache: (hit, [time of the entry]); 0 never expires."""
+
+    def decide(entry, now):
+        hit = bool(entry) and (age <= 0 or now - entry[0] <= age)
+        return hit, entry if hit else [now]
+
+    return decide
+
+
 def rate_limit(df: DataFrame, key: str, ts: str, tie: str, limit: int = 60, window: str = "60 seconds") -> DataFrame:
     """Sliding-window admission per key: at most ``limit`` admitted hits whose age
     is <= window; rejected hits do not count; limit <= 0 admits everything."""
     if limit <= 0:
         return df.withColumn("admitted", F.lit(True))
-    age = int(_seconds(window) * 1_000_000)
-
-    def decide(hits, now):
-        hits = [h for h in hits or () if now - h <= age]  # at most ``limit``
-        ok = len(hits) < limit
-        return ok, [*hits, now] if ok else hits
-
-    return _folded(df, key, ts, tie, _seconds(window), "admitted", decide)
+    return _folded(df, key, ts, tie, _seconds(window), "admitted", limiter(limit, int(_seconds(window) * 1_000_000)))
 
 
 # Width of a time bucket of the cache replay, in lifetimes of an entry.
