@@ -153,7 +153,7 @@ def error_ratio_stream(req: DataFrame, width: str, slide: str, delay: str, thres
     ratio = F.col("n_bad") / F.greatest(F.col("n").cast("double"), F.lit(1e-9))
     return out.select(
         F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-        "n", "n_bad", F.round(ratio, 6).alias("ratio"), (ratio > threshold).alias("above"),
+        "n", "n_bad", ratio.alias("ratio"), (ratio > threshold).alias("above"),
     )
 
 
