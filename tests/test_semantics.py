@@ -454,3 +454,18 @@ def test_model_queries_fit_the_reference_forest(spark, monkeypatch):
     for run in (q.q_cost_model, q.q_latency_model, q.q_batch_score, q.q_cv_r2):
         run(spark, SF_SMALL)
     assert sorted(asked) == [("cost", 300, 20)] * 4 + [("latency_ms", 300, 20)]
+
+
+def test_numeric_fields_in_columns_of_their_own(spark):
+    """The same values and errors as from the map, but no field is looked up twice."""
+    from pyspark.sql import functions as F
+
+    from stratus.operators import contracts as con
+
+    rows = [(None,), ("{}",), ('{"cpu_usage": "x", "vCPU": "2.7", "latency_ms": " ", "month": "June"}',), ('{"timestamp": "t", "month": "June", "RAM_GB": null, "vCPU": "zz", "latency_ms": "a"}',), ('{"cpu_usage": 1.5, "hour": 3, "day": "4.9"}',)]
+    p = con.parse_payload(spark.createDataFrame(rows, "payload string"), "payload")
+    wide, fields = con.with_numeric_fields(p, F.col("_m"))
+    got = wide.select("payload", *fields)
+    assert sorted(map(str, got.collect())) == sorted(map(str, p.select("payload", *con.numeric_fields(F.col("_m"))).collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[cpu_usage]") == plan.count("[month]") == 1
