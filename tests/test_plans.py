@@ -54,3 +54,13 @@ def test_one_python_node_per_fold(spark):
 def test_quantiles_move_no_table(spark):
     """Ranges are read from two aggregates over the table; the result is a few rows."""
     assert "FileScan" not in _plan(spark, "training_ranges")
+
+
+def test_borda_reads_written_survivors(spark):
+    """Parameter sets are fingerprinted once, not once more when points are joined back."""
+    from conftest import SF_SMALL
+
+    from stratus.plans import queries_more as q
+
+    for query in (q.q_borda_points, q.q_copeland_leaders):
+        assert "sha2" not in query(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
